@@ -353,6 +353,179 @@ def dashboards() -> dict[str, str]:
     }
 
 
+# ---- vectors --------------------------------------------------------------------------------
+
+VEC = "vec AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _distance(metric: str, a: str, b: str, eps: float = 0.0) -> str:
+    return {
+        "l2": f"list_distance({a}, {b}) ** 2",
+        "cosine": f"1 - list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a}))"
+                  f" * sqrt(list_inner_product({b}, {b})) + {eps!r}::DOUBLE)",
+        "dot": f"-list_inner_product({a}, {b})",
+        "manhattan": f"list_sum(list_transform(list_zip({a}, {b}), lambda p: abs(p[1] - p[2])))",
+    }[metric]
+
+
+def _rounded(value: str, digits: int = 4) -> str:
+    return f"CASE WHEN round({value}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({value}, {digits}) END"
+
+
+def _knn(metric: str) -> str:
+    return f"""pairs AS (
+      SELECT q.vec_id AS query_id, b.vec_id, {_distance(metric, 'q.v', 'b.v')} AS d
+      FROM vec q, vec b),
+    best AS (SELECT query_id, vec_id, d,
+      row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM pairs
+      QUALIFY rank <= 10)"""
+
+
+def _kmeans(cells: int, metric: str, rounds: int, name: str = "") -> str:
+    """CTEs ``{name}a``: rows with their cell, and ``{name}m``: cell means, after enough rounds.
+
+    Each round is the assignment to the means of the round before; past convergence rounds repeat.
+    """
+    n = name
+    out = [f"""{n}c0 AS MATERIALIZED (SELECT c, v FROM (SELECT v,
+        row_number() OVER (ORDER BY (vec_id % 2147483648) * 2654435761 % 4294967296, vec_id) - 1
+        AS c FROM vec) WHERE c < {cells})"""]
+    for i in range(rounds + 1):
+        out.append(f"""{n}a{i} AS MATERIALIZED (
+          SELECT vec_id, v, c, d FROM (SELECT vec.vec_id, vec.v, k.c,
+            {_distance(metric, 'vec.v', 'k.v')} AS d FROM vec, {n}c{i} k)
+          QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, c) = 1)""")
+        out.append(f"""{n}m{i} AS MATERIALIZED (
+          SELECT c, list(x ORDER BY pos) AS v FROM (
+            SELECT c, pos, avg(x) AS x FROM (
+              SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM {n}a{i})
+            GROUP BY c, pos) GROUP BY c)""")
+        if i < rounds:
+            out.append(f"""{n}c{i + 1} AS MATERIALIZED (
+              SELECT o.c, coalesce(m.v, o.v) AS v FROM {n}c{i} o LEFT JOIN {n}m{i} m USING (c))""")
+    out.append(f"{n}a AS (SELECT * FROM {n}a{rounds})")
+    out.append(f"{n}m AS (SELECT * FROM {n}m{rounds})")
+    return ",\n".join(out)
+
+
+def _probe(metric: str, nprobe: int, per_cell: int | None, name: str = "") -> str:
+    """CTE ``{name}found``: top 10 of the probed cells for every vector as a query."""
+    cap = "" if per_cell is None else f"QUALIFY row_number() OVER (PARTITION BY query_id, c " \
+                                      f"ORDER BY d, vec_id) <= {per_cell}"
+    return f"""{name}probes AS (
+      SELECT query_id, v, c FROM (SELECT q.vec_id AS query_id, q.v, k.c,
+        {_distance(metric, 'q.v', 'k.v')} AS d FROM vec q, {name}m k)
+      QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, c) <= {nprobe}),
+    {name}cands AS (
+      SELECT query_id, vec_id, c, d FROM (SELECT p.query_id, a.vec_id, p.c,
+        {_distance(metric, 'p.v', 'a.v')} AS d FROM {name}probes p JOIN {name}a a USING (c)) {cap}),
+    {name}found AS (
+      SELECT query_id, vec_id, d, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id)
+      AS rank FROM {name}cands QUALIFY rank <= 10)"""
+
+
+def _graph(metric: str, name: str = "") -> str:
+    """CTE ``{name}links(src, dst, d)``."""
+    return f"""{name}fwd AS MATERIALIZED (
+      SELECT src, dst, d FROM (SELECT q.vec_id AS src, b.vec_id AS dst,
+        {_distance(metric, 'q.v', 'b.v')} AS d FROM vec q JOIN vec b ON b.vec_id < q.vec_id)
+      QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 5),
+    {name}links AS MATERIALIZED (
+      SELECT src, dst, d FROM {name}fwd UNION ALL SELECT dst, src, d FROM {name}fwd)"""
+
+
+def _walk(metric: str, rounds: int, name: str = "", beam: int = 50) -> str:
+    """CTE ``{name}walked``: top 10 of the beam after enough rounds."""
+    n = name
+    out = [f"""{n}s0 AS MATERIALIZED (
+      SELECT q.vec_id AS query_id, b.vec_id, {_distance(metric, 'q.v', 'b.v')} AS d
+      FROM vec q JOIN vec b ON b.vec_id = (SELECT min(vec_id) FROM vec))""",
+           f"{n}b0 AS MATERIALIZED (SELECT * FROM {n}s0)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""{n}n{i} AS MATERIALIZED (
+          SELECT r.query_id, r.vec_id, {_distance(metric, 'q.v', 'b.v')} AS d
+          FROM (SELECT DISTINCT query_id, dst AS vec_id FROM {n}b{i - 1} m
+                JOIN {n}links l ON l.src = m.vec_id) r
+          JOIN vec q ON q.vec_id = r.query_id JOIN vec b ON b.vec_id = r.vec_id
+          WHERE NOT EXISTS (SELECT 1 FROM {n}s{i - 1} s
+                            WHERE s.query_id = r.query_id AND s.vec_id = r.vec_id))""")
+        out.append(f"""{n}s{i} AS MATERIALIZED (
+          SELECT * FROM {n}s{i - 1} UNION ALL SELECT * FROM {n}n{i})""")
+        out.append(f"""{n}b{i} AS MATERIALIZED (
+          SELECT * FROM (SELECT * FROM {n}b{i - 1} UNION ALL SELECT * FROM {n}n{i})
+          QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= {beam})""")
+    out.append(f"""{n}walked AS (SELECT query_id, vec_id, d, row_number() OVER (
+      PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM {n}b{rounds} QUALIFY rank <= 10)""")
+    return ",\n".join(out)
+
+
+def vectors() -> dict[str, str]:
+    shown = f"SELECT query_id, rank, vec_id, {_rounded('d')} AS distance FROM "
+    a, b = "v", "center"
+    metric = "CASE label % 5 WHEN 1 THEN 'cosine' WHEN 2 THEN 'dot' WHEN 3 THEN 'manhattan' " \
+             "ELSE 'l2' END"
+    arms = " ".join(f"WHEN '{m}' THEN {_distance(m, 'q.v', 'b.v', C.RETRIEVAL_EPS)}"
+                    for m in C.METRICS)
+    out = {
+        "dist_all_metrics": _with(VEC) + f""",
+            cells AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM vec),
+            centers AS (SELECT label, list(x ORDER BY pos) AS center FROM (
+              SELECT label, pos, avg(x) AS x FROM cells GROUP BY label, pos) GROUP BY label)
+            SELECT vec_id, {_rounded(_distance('l2', a, b))} AS l2sq,
+                   {_rounded(f'list_distance({a}, {b})')} AS l2,
+                   {_rounded(_distance('cosine', a, b))} AS cosine,
+                   {_rounded(_distance('cosine', a, b, C.RETRIEVAL_EPS))} AS cosine_eps,
+                   {_rounded(_distance('dot', a, b))} AS neg_dot,
+                   {_rounded(_distance('manhattan', a, b))} AS manhattan,
+                   {_rounded(f'sqrt(list_inner_product({a}, {a}))')} AS norm
+            FROM vec JOIN centers USING (label)""",
+        "knn_mixed_metric": _with(VEC) + f""",
+            asked AS (SELECT vec_id, v, label + 1 AS k, {metric} AS metric FROM vec),
+            pairs AS (SELECT q.vec_id AS query_id, q.k, b.vec_id,
+                      CASE q.metric {arms} END AS d FROM asked q, vec b),
+            best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank
+                     FROM pairs QUALIFY rank <= k)
+            {shown} best""",
+        "kmeans_assign_step": _with(VEC, _kmeans(10, "l2", 0)) + f"""
+            SELECT vec_id, c::INT AS cluster_id, {_rounded('d')} AS distance FROM a""",
+        "kmeans_update_step": _with(VEC, _kmeans(10, "l2", 0)) + f"""
+            SELECT cluster_id, position, {_rounded('x')} AS value FROM (
+              SELECT c::INT AS cluster_id, unnest(v) AS x,
+                     (generate_subscripts(v, 1) - 1)::INT AS position FROM m)""",
+        "kmeans_l2": _with(VEC, _kmeans(10, "l2", 30)) +
+            "SELECT vec_id, c::INT AS cluster_id FROM a",
+        "ivf_search": _with(VEC, _kmeans(C.IVF_CELLS, "l2", 20),
+                            _probe("l2", C.IVF_PROBES, C.IVF_PER_CELL)) + shown + "found",
+        "ivf_single_probe": _with(VEC, _kmeans(C.SINGLE_PROBE_CELLS, "l2", 20),
+                                  _probe("l2", 1, None)) + shown + "found",
+        "graph_edges": _with(VEC, _graph("l2")) + f"""
+            SELECT src, dst, {_rounded('d')} AS distance FROM links""",
+        "graph_search": _with(VEC, _graph("l2"), _walk("l2", 12)) + shown + "walked",
+    }
+    for m in C.METRICS:
+        out[f"knn_{'l2' if m == 'l2' else m}"] = _with(VEC, _knn(m)) + shown + "best"
+    return out
+
+
+def recall() -> dict[str, str]:
+    views, parts = [VEC], []
+    for m in C.METRICS:
+        views += [_knn(m).replace("pairs", f"{m}_pairs").replace("best", f"{m}_best"),
+                  _kmeans(C.IVF_CELLS, m, 20, f"{m}_x_"),
+                  _probe(m, C.IVF_PROBES, C.IVF_PER_CELL, f"{m}_x_"),
+                  _kmeans(C.SINGLE_PROBE_CELLS, m, 20, f"{m}_y_"),
+                  _probe(m, 1, None, f"{m}_y_"), _graph(m, f"{m}_"), _walk(m, 12, f"{m}_")]
+        for method, found in (("ivf", f"{m}_x_found"), ("ivf_single_probe", f"{m}_y_found"),
+                              ("graph", f"{m}_walked")):
+            parts.append(f"""
+              SELECT '{m}' AS metric, '{method}' AS method, query_id,
+                     count(f.vec_id) / count(*) AS recall
+              FROM {m}_best t LEFT JOIN {found} f USING (query_id, vec_id) GROUP BY query_id""")
+    return {"recall_by_method": _with(*views) + f"""
+        SELECT metric, method, round(avg(recall), 4) AS recall, min(recall) AS worst,
+               count(*) AS queries FROM ({' UNION ALL '.join(parts)}) GROUP BY metric, method"""}
+
+
 def _uniform(key: str, salt: str) -> str:
     return f"(CAST('0x' || left(md5('{salt}:' || {key}), 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
 
@@ -405,7 +578,7 @@ def passthrough() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (samples, profile, guards, audits, dashboards, generated,
+    for part in (samples, profile, guards, audits, dashboards, generated, vectors, recall,
                  passthrough):
         out.update(part())
     return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillon.plans import audits, dashboards, generated, passthrough, samples
+from quillon.plans import vector_queries as vq
 from quillon.sources import catalog
 
 QUERIES = {
@@ -22,6 +23,20 @@ QUERIES = {
     "bias_tool": audits.bias_tool,
     "ethics_report": audits.ethics_report,
     "bias_by_language": audits.bias_by_language,
+    "dist_all_metrics": vq.dist_all_metrics,
+    "knn_l2": vq.knn_by("l2"),
+    "knn_cosine": vq.knn_by("cosine"),
+    "knn_dot": vq.knn_by("dot"),
+    "knn_manhattan": vq.knn_by("manhattan"),
+    "knn_mixed_metric": vq.knn_mixed_metric,
+    "kmeans_assign_step": vq.kmeans_assign_step,
+    "kmeans_update_step": vq.kmeans_update_step,
+    "kmeans_l2": vq.kmeans_l2,
+    "ivf_search": vq.ivf_search,
+    "ivf_single_probe": vq.ivf_single_probe,
+    "graph_edges": vq.graph_edges,
+    "graph_search": vq.graph_search,
+    "recall_by_method": vq.recall_by_method,
     "batch_groups": dashboards.batch_groups,
     "batch_stats": dashboards.batch_stats,
     "dashboard_totals": dashboards.dashboard_totals,
