@@ -243,9 +243,7 @@ parts AS (SELECT *,
     CASE WHEN m + f = 0 THEN 0.0::DOUBLE ELSE abs(m - f)::DOUBLE / (m + f) END
       * CASE WHEN total < 20 AND m + f = 1 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS gender,
     CASE WHEN s = 0 THEN 0.0::DOUBLE ELSE s::DOUBLE / total END AS stereo FROM counted),
-scored AS (SELECT *, CASE WHEN blank THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, round_even(
-      CAST(0.7::DOUBLE * gender + 0.3::DOUBLE * least(stereo * 10, 1.0::DOUBLE)
-           AS DECIMAL(20, 14)), 4)::DOUBLE) END AS bias_score FROM parts),
+scored AS (SELECT *, CASE WHEN blank THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, printf('%.4f', 0.7::DOUBLE * gender + 0.3::DOUBLE * least(stereo * 10, 1.0::DOUBLE))::DOUBLE) END AS bias_score FROM parts),
 banded AS (SELECT *, CASE WHEN blank THEN 'neutral' WHEN bias_score < 0.1 THEN 'minimal'
       WHEN bias_score < 0.3 THEN 'low' WHEN bias_score < 0.5 THEN 'moderate' ELSE 'high' END
       AS category FROM scored)"""
@@ -272,8 +270,7 @@ def audits() -> dict[str, str]:
                 regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM texts),
             counted AS (SELECT text_id, len(list_intersect(w, {_list(C.ANSWER_MALE)})) AS m,
                 len(list_intersect(w, {_list(C.ANSWER_FEMALE)})) AS f FROM words)
-            SELECT text_id, CASE WHEN m + f = 0 THEN 0.0::DOUBLE ELSE round_even(
-                     CAST(abs(m - f)::DOUBLE / (m + f) AS DECIMAL(20, 14)), 4)::DOUBLE END
+            SELECT text_id, CASE WHEN m + f = 0 THEN 0.0::DOUBLE ELSE printf('%.4f', abs(m - f)::DOUBLE / (m + f))::DOUBLE END
                      AS bias_score,
                    CASE WHEN m + f = 0 THEN 'No gendered language detected'
                         ELSE 'Male terms: ' || m || ', Female terms: ' || f END AS details
@@ -282,9 +279,9 @@ def audits() -> dict[str, str]:
             judged AS (SELECT *, {unsafe} AS unsafe FROM banded),
             ethical AS (SELECT *, greatest(0.0::DOUBLE, 1.0::DOUBLE - bias_score * 0.5::DOUBLE
                 - CASE WHEN unsafe THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS e FROM judged)
-            SELECT text_id, round_even(CAST(e AS DECIMAL(20, 14)), 4)::DOUBLE AS ethical_score,
+            SELECT text_id, printf('%.4f', e)::DOUBLE AS ethical_score,
                    e >= 0.5 AS passed, bias_score, NOT unsafe AS is_safe,
-                   'Ethical score: ' || printf('%.2f', round(CAST(e AS DECIMAL(20, 14)) * 100, 2))
+                   'Ethical score: ' || printf('%.2f', e * 100)
                    || '% | Bias: ' || category || ' | Safe: '
                    || CASE WHEN unsafe THEN 'False' ELSE 'True' END AS summary
             FROM ethical""",
@@ -526,6 +523,237 @@ def recall() -> dict[str, str]:
                count(*) AS queries FROM ({' UNION ALL '.join(parts)}) GROUP BY metric, method"""}
 
 
+# ---- questions ------------------------------------------------------------------------------
+
+def _title(text: str, gap: str) -> str:
+    return (f"array_to_string(list_transform(string_split({text}, '{gap}'), "
+            "lambda x: upper(x[1]) || lower(x[2:])), ' ')")
+
+
+def _slots(source: str = "question_log") -> str:
+    """CTE ``slots``: the questions of ``source`` that need a statement, with their slots."""
+    def has(*words: str) -> str:
+        return _any_contains("low", list(words))
+
+    return f"""
+lowered AS (SELECT *, lower(query) AS low FROM {source}),
+tabled AS (SELECT *, {_any_contains('low', C.NEEDS_SQL_WORDS)} AS needs_sql,
+    CASE WHEN {_any_contains('low', C.CUSTOMER_WORDS)} THEN 'customers' ELSE 'trips' END
+    AS base_table FROM lowered),
+measured AS (SELECT *,
+    CASE WHEN {has('passenger')} THEN 'passengers' WHEN {has('tenure')} THEN 'tenure'
+         WHEN {has('region')} THEN 'region' WHEN {has('location', 'zone')} THEN 'location'
+         WHEN {has('month', 'time', 'date')} AND base_table = 'trips' THEN 'month'
+         WHEN base_table = 'trips' THEN 'location' ELSE 'region' END AS group_col,
+    CASE WHEN {has('fare')} THEN 'fare' WHEN {has('revenue')} THEN 'revenue'
+         WHEN {has('churn')} THEN 'churn' WHEN {has('trip', 'count')} THEN '*'
+         WHEN base_table = 'trips' THEN 'fare' ELSE 'revenue' END AS measure,
+    CASE WHEN {_any_contains('low', C.ASCENDING_WORDS)} THEN 'ASC' ELSE 'DESC' END AS direction,
+    coalesce(try_cast(list_filter(regexp_split_to_array(low, '\\s+'),
+        lambda w: regexp_full_match(w, '[0-9]+'))[1] AS BIGINT), 5) AS row_limit,
+    {has('churn')} AND {has('rate')} AS rate FROM tabled),
+aggregated AS (SELECT *, CASE measure WHEN 'churn' THEN 'AVG' WHEN '*' THEN 'COUNT' ELSE
+    CASE WHEN {has('average', 'avg')} THEN 'AVG' WHEN {has('count', 'number')} THEN 'COUNT'
+         ELSE 'SUM' END END AS func FROM measured),
+named AS (SELECT *, CASE WHEN rate THEN 'churn_rate' WHEN measure = '*' THEN 'count'
+    ELSE lower(func) || '_' || measure END AS value_name,
+    CASE group_col WHEN 'month' THEN {_quoted(C.MONTH_EXPRESSION)} ELSE group_col END AS g
+    FROM aggregated),
+slots AS (SELECT *,
+    CASE WHEN group_col IN ('location', 'passengers', 'month') AND base_table = 'customers'
+           OR group_col IN ('region', 'tenure') AND base_table = 'trips'
+         THEN 'no such column: ' || group_col
+         WHEN NOT rate AND (measure = 'fare' AND base_table = 'customers'
+           OR measure IN ('revenue', 'churn') AND base_table = 'trips')
+         THEN 'no such column: ' || measure END AS error,
+    'SELECT ' || g || ', ' || CASE WHEN rate
+        THEN 'AVG(churn) * 100 as churn_rate, COUNT(*) as total'
+        WHEN measure = '*' THEN 'COUNT(*) as count'
+        ELSE func || '(' || measure || ') as ' || value_name END
+      || ' FROM ' || base_table || ' GROUP BY ' || g || ' ORDER BY ' || value_name || ' '
+      || direction || ' LIMIT ' || row_limit AS statement
+    FROM named WHERE needs_sql)"""
+
+
+def _catalogue() -> str:
+    """CTEs from every group value under every measure to each question's row count and texts."""
+    parts = []
+    groups = {"location": ("trips", "location", "location::VARCHAR"),
+              "passengers": ("trips", "passengers", "passengers::VARCHAR"),
+              "month": ("trips", "NULL::BIGINT", "strftime(pickup_date, '%Y-%m')"),
+              "region": ("customers", "NULL::BIGINT", "region"),
+              "tenure": ("customers", "tenure", "tenure::VARCHAR")}
+    measures = {
+        "trips": {"sum_fare": "sum(fare)", "avg_fare": "avg(fare)", "count_fare": "count(fare)",
+                  "count": "count(*)"},
+        "customers": {"sum_revenue": "sum(revenue)", "avg_revenue": "avg(revenue)",
+                      "count_revenue": "count(revenue)", "avg_churn": "avg(churn)",
+                      "churn_rate": "avg(churn) * 100", "count": "count(*)"}}
+    for group, (table, number, text) in groups.items():
+        for name, call in measures[table].items():
+            total = "count(*)" if name == "churn_rate" else "NULL::BIGINT"
+            key = text if number.startswith("NULL") else number
+            parts.append(f"SELECT '{table}' AS base_table, '{group}' AS group_col, "
+                         f"'{name}' AS value_name, {number} AS kn, {text} AS key, "
+                         f"round(CAST({call} AS DOUBLE), 4) AS value, {total} AS total "
+                         f"FROM {table} GROUP BY {key}")
+    described = " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in C.COLUMN_DESCRIPTIONS.items())
+    return f"""
+catalogue AS ({' UNION ALL '.join(parts)}),
+ranked AS MATERIALIZED (SELECT *, d.direction AS dir, row_number() OVER (
+    PARTITION BY base_table, group_col, value_name, d.direction
+    ORDER BY CASE d.direction WHEN 'ASC' THEN value ELSE -value END, kn, key) AS rank
+    FROM catalogue, (VALUES ('ASC'), ('DESC')) d(direction)),
+whole AS (SELECT *, value_name IN ('count', 'count_fare', 'count_revenue') AS is_whole,
+    CASE WHEN group_col IN ('region', 'month') THEN '"' || key || '"'
+         ELSE coalesce(key, 'null') END AS key_json,
+    CASE group_col WHEN 'location' THEN 'Loc ' || key WHEN 'region' THEN {_title('key', ' ')}
+         ELSE key END AS label FROM ranked),
+texted AS (SELECT *, CASE WHEN is_whole THEN value::BIGINT::VARCHAR
+         ELSE value::DECIMAL(20, 4)::VARCHAR END AS number_json,
+    CASE WHEN is_whole THEN value::BIGINT::VARCHAR ELSE printf('%.2f', value) END AS shown
+    FROM whole),
+packs AS (SELECT base_table, group_col, value_name, dir, lim,
+    count(*) AS n, '[' || string_agg('{{"' || group_col || '": ' || key_json || ', "' || value_name
+      || '": ' || number_json || coalesce(', "total": ' || total, '') || '}}', ', ' ORDER BY rank)
+      || ']' AS result,
+    min_by(key, rank) AS top_key, min_by(value, rank) AS top_value,
+    '[' || string_agg((rank - 1)::VARCHAR, ',' ORDER BY rank) || ']' AS spots,
+    '[' || string_agg(number_json, ',' ORDER BY rank) || ']' AS ys,
+    '[' || string_agg('"' || shown || '"', ',' ORDER BY rank) || ']' AS texts,
+    '[' || string_agg('"' || label || ': ' || shown || '"', ',' ORDER BY rank) || ']' AS hover,
+    '[' || string_agg('"' || label || '"', ',' ORDER BY rank) || ']' AS labels
+    FROM texted, range(1, 21) r(lim) WHERE rank <= lim
+    GROUP BY base_table, group_col, value_name, dir, lim),
+answered AS (SELECT q.question_id, q.query, s.statement, s.error, s.group_col, s.value_name, p.n,
+    p.result, p.top_key, p.top_value, p.spots, p.ys, p.texts, p.hover, p.labels
+    FROM question_log q LEFT JOIN slots s USING (question_id)
+    LEFT JOIN packs p ON p.base_table = s.base_table AND p.group_col = s.group_col
+      AND p.value_name = s.value_name AND p.dir = s.direction
+      AND p.lim = least(s.row_limit, 20)),
+told AS (SELECT *, CASE WHEN n IS NULL
+      THEN 'Query processed: ' || query || '. See visualization for details.'
+      ELSE 'Analysis: Found ' || n || ' results. Top result: ' || CASE group_col {described}
+        ELSE group_col END || ' ''' || top_key || '''' || CASE
+        WHEN contains(value_name, 'revenue') THEN ' generated highest revenue of $'
+          || printf('%.2f', top_value) || '. This segment leads in financial performance.'
+        WHEN contains(value_name, 'churn') THEN ' has the highest churn rate of '
+          || printf('%.2f', top_value) || '. This segment requires retention focus.'
+        WHEN contains(value_name, 'fare') THEN ' recorded the highest fare total of $'
+          || printf('%.2f', top_value) || '. High demand segment identified.'
+        ELSE ' has ' || printf('%.2f', top_value) || ' total records.' END END AS narrative,
+    CASE WHEN n IS NOT NULL THEN '{{"data":[{{"type":"bar","x":' || spots || ',"y":' || ys
+      || ',"name":"' || value_name || '","text":' || texts || ',"textposition":"auto","hovertext":'
+      || hover || '}}],"layout":{{"title":"' || {_title('value_name', '_')} || ' by '
+      || {_title('group_col', '_')} || '","xaxis":{{"title":"' || {_title('group_col', '_')}
+      || '","tickmode":"array","tickvals":' || spots || ',"ticktext":' || labels
+      || ',"tickangle":0}},"yaxis":{{"title":"' || {_title('value_name', '_')}
+      || '"}},"template":"plotly_dark","showlegend":false}}}}' END AS chart
+    FROM answered)"""
+
+
+def questions() -> dict[str, str]:
+    told = _with(QUESTION_LOG, TRIPS, CUSTOMERS, _slots(), _catalogue())
+    return {
+        "question_classify": _with(QUESTION_LOG) + f"""
+            SELECT question_id, {_any_contains('lower(query)', C.NEEDS_SQL_WORDS)} AS needs_sql
+            FROM question_log""",
+        "question_slots": _with(QUESTION_LOG, _slots()) + """
+            SELECT q.question_id, s.base_table, s.group_col, s.measure, s.func, s.direction,
+                   s.row_limit, s.statement
+            FROM question_log q LEFT JOIN slots s USING (question_id)""",
+        "question_answers": told + """
+            SELECT question_id, error, coalesce(n, 0)::INT AS row_count, result AS sql_result
+            FROM told""",
+        "chart_specs": told + "SELECT question_id, chart FROM told WHERE chart IS NOT NULL",
+        "narratives": told + "SELECT question_id, narrative FROM told",
+    }
+
+
+# ---- retrieval ------------------------------------------------------------------------------
+
+def _embedded(name: str, source: str, key: str, text: str) -> str:
+    """CTE ``{name}(key, v)``: mean md5 bytes of the tokens of every text of ``source``."""
+    return f"""
+{name}_tokens AS (SELECT {key} AS key, unnest(regexp_extract_all(lower({text}),
+    '[\\p{{L}}\\p{{N}}_]+')) AS t FROM {source}),
+{name}_counts AS MATERIALIZED (SELECT key, t, count(*) AS n FROM {name}_tokens GROUP BY key, t),
+{name}_bytes AS (SELECT t, i, CAST('0x' || substr(md5(t), (2 * i + 1)::INT, 2) AS INT) AS b
+    FROM (SELECT DISTINCT t FROM {name}_counts), range(16) r(i)),
+{name}_means AS (SELECT key, i, (CAST(sum(n * b) AS DOUBLE) / CAST(sum(n) AS DOUBLE) - 127.5)
+    / 127.5 AS m FROM {name}_counts JOIN {name}_bytes USING (t) GROUP BY key, i),
+{name} AS MATERIALIZED (SELECT s.{key} AS key,
+    coalesce(list(m ORDER BY i) FILTER (WHERE m IS NOT NULL),
+             list_transform(range(16), lambda x: 0.0::DOUBLE)) AS v
+    FROM {source} s LEFT JOIN {name}_means e ON e.key = s.{key} GROUP BY s.{key})"""
+
+
+def retrieval() -> dict[str, str]:
+    found = _with(QUESTION_LOG, _embedded("qe", "user_turns", "question_id", "query"),
+                  _embedded("de", "documents", "doc_id", "text")) + """,
+        found AS (SELECT q.key AS question_id, d.key AS doc_id, list_distance(q.v, d.v) AS d,
+          row_number() OVER (PARTITION BY q.key ORDER BY list_distance(q.v, d.v), d.key)
+          AS rank FROM qe q, de d QUALIFY rank <= 10)"""
+    arms = " ".join(f"WHEN '{m}' THEN {_distance(m, 'q.v', 'd.v', C.RETRIEVAL_EPS)}"
+                    for m in C.METRICS)
+    harmful = "(" + " OR ".join(
+        f"regexp_matches(lower(c.query), {_quoted(p)})" for p in C.HARMFUL_PATTERNS) + ")"
+    unsafe = f"({harmful} OR {_any_contains('lower(c.query)', C.BLOCKED_TOPICS)})"
+    agent = _with(
+        QUESTION_LOG, TRIPS, CUSTOMERS, _slots(), _catalogue(), """
+        checked AS (SELECT question_id, query, session_id, coalesce(k, 10) AS k,
+          coalesce(metric, 'l2') AS metric FROM question_log),
+        distinct_queries AS (SELECT DISTINCT query, k, metric FROM checked
+          WHERE k BETWEEN 1 AND 50),
+        query_texts AS (SELECT DISTINCT query FROM distinct_queries)""",
+        _embedded("qe", "query_texts", "query", "query"),
+        _embedded("de", "benchmark", "item_id", "text"), f"""
+        scored AS (SELECT c.query, c.k, c.metric, d.key AS doc_id,
+          CASE c.metric {arms} ELSE {_distance('l2', 'q.v', 'd.v')} END AS d
+          FROM distinct_queries c JOIN qe q ON q.key = c.query, de d),
+        best AS (SELECT *, row_number() OVER (PARTITION BY query, k, metric ORDER BY d, doc_id)
+          AS rank FROM scored QUALIFY rank <= k),
+        finds AS (SELECT query, k, metric, list(doc_id ORDER BY rank) AS ids,
+          list(b.text ORDER BY rank) AS docs
+          FROM best JOIN benchmark b ON b.item_id = doc_id GROUP BY query, k, metric)""", f"""
+        worded AS (SELECT question_id, list_distinct(list_filter(
+          regexp_split_to_array(lower(narrative), '\\s+'), lambda x: x <> '')) AS w FROM told),
+        gendered AS (SELECT question_id, len(list_intersect(w, {_list(C.ANSWER_MALE)})) AS m,
+          len(list_intersect(w, {_list(C.ANSWER_FEMALE)})) AS f FROM worded)""") + f"""
+        SELECT c.question_id, c.query, c.session_id, c.k::INT AS k, c.metric,
+               CASE WHEN fine THEN NOT {unsafe} END AS is_safe,
+               CASE WHEN fine THEN t.statement END AS sql_query,
+               CASE WHEN fine THEN t.result END AS sql_result,
+               CASE WHEN fine THEN t.error WHEN c.k < 1 THEN 'k must be at least 1'
+                    ELSE 'k must be at most 50' END AS error,
+               CASE WHEN fine THEN t.narrative END AS narrative,
+               CASE WHEN fine THEN t.chart END AS viz_code,
+               CASE WHEN fine THEN CASE WHEN m + f = 0 THEN 0.0::DOUBLE ELSE printf('%.4f', abs(m - f)::DOUBLE / (m + f))::DOUBLE END END
+                 AS bias_score,
+               CASE WHEN fine THEN finds.docs END AS retrieved_docs,
+               CASE WHEN fine THEN finds.ids END AS retrieved_ids
+        FROM (SELECT *, k BETWEEN 1 AND 50 AS fine FROM checked) c
+        JOIN told t USING (question_id) JOIN gendered USING (question_id)
+        LEFT JOIN finds ON finds.query = c.query AND finds.k = c.k AND finds.metric = c.metric"""
+    return {
+        "pool_embeddings": "WITH" + _embedded("de", "documents", "doc_id", "text") + f"""
+            SELECT doc_id, position, {_rounded('x', 6)} AS value FROM (
+              SELECT key AS doc_id, unnest(v) AS x,
+                     (generate_subscripts(v, 1) - 1)::INT AS position FROM de)""",
+        "retrieve_docs": found + f"""
+            SELECT question_id, rank, doc_id, {_rounded('d')} AS distance, text
+            FROM found JOIN documents USING (doc_id)""",
+        "rag_prompts": found + """
+            SELECT question_id, query, 'Question: ' || query || chr(10) || 'Context:' || chr(10)
+                   || string_agg(text, chr(10) ORDER BY rank) || chr(10) || 'Answer:' AS prompt
+            FROM found JOIN documents USING (doc_id) JOIN user_turns USING (question_id)
+            WHERE rank <= 2 GROUP BY question_id, query""",
+        "agent_answers": agent,
+    }
+
+
+# ---- generated columns ---------------------------------------------------------------------
+
 def _uniform(key: str, salt: str) -> str:
     return f"(CAST('0x' || left(md5('{salt}:' || {key}), 12) AS BIGINT) / 281474976710656.0::DOUBLE)"
 
@@ -578,7 +806,7 @@ def passthrough() -> dict[str, str]:
 
 def all_oracles() -> dict[str, str]:
     out: dict[str, str] = {}
-    for part in (samples, profile, guards, audits, dashboards, generated, vectors, recall,
-                 passthrough):
+    for part in (samples, profile, guards, audits, dashboards, generated, vectors, recall, questions,
+                 retrieval, passthrough):
         out.update(part())
     return out

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from quillon import constants as C
 from quillon.functions.guards import check_query
-from quillon.functions.scalars import blank, common, percent_text, space_tokens, word_tokens
+from quillon.functions.scalars import (
+    blank, common, percent_text, score_round, space_tokens, word_tokens,
+)
 
 
 def with_bias(df: DataFrame, text: str) -> DataFrame:
@@ -34,7 +36,7 @@ def with_bias(df: DataFrame, text: str) -> DataFrame:
     softened = F.when((total < 20) & (gendered == 1), imbalance * 0.5).otherwise(imbalance)
     share = F.when(stereo == 0, 0.0).otherwise(stereo / F.when(total > 0, total))
     raw = F.lit(0.7) * softened + F.lit(0.3) * F.least(share * 10, F.lit(1.0))
-    score = F.when(F.col("_blank"), 0.0).otherwise(F.least(F.bround(raw, 4), F.lit(1.0)))
+    score = F.when(F.col("_blank"), 0.0).otherwise(F.least(score_round(raw), F.lit(1.0)))
     s = F.col("_score")
     category = (F.when(F.col("_blank"), "neutral").when(s < 0.1, "minimal").when(s < 0.3, "low")
                 .when(s < 0.5, "moderate").otherwise("high"))
@@ -66,7 +68,7 @@ def answer_bias(text: Column) -> Column:
     gendered = male + female
     empty = F.coalesce(text, F.lit("")) == ""
     score = F.when(empty | (gendered == 0), 0.0).otherwise(
-        F.bround(F.abs(male - female) / F.when(gendered > 0, gendered), 4))
+        score_round(F.abs(male - female) / F.when(gendered > 0, gendered)))
     details = (
         F.when(empty, "No text provided")
         .when(gendered == 0, "No gendered language detected")
@@ -84,7 +86,7 @@ def with_ethics_report(df: DataFrame, text: str, query: str) -> DataFrame:
     return (
         scored.withColumn("_ethical", score)
         .withColumn("ethics", F.struct(
-            F.bround("_ethical", 4).alias("ethical_score"),
+            score_round(F.col("_ethical")).alias("ethical_score"),
             (F.col("_ethical") >= 0.5).alias("passed"),
             F.col("_safety").alias("query_safety"),
             F.concat(

@@ -60,12 +60,26 @@ def label_of(column: Column, value: Column) -> Column:
             .otherwise(value))
 
 
+def decimals(value: Column, digits: int) -> Column:
+    """Text with that many decimals, rounded on the exact binary value, exact halves to even.
+
+    ``format_string`` would round the printed digits half up instead.
+    """
+    pattern = "0." + "0" * digits
+    return F.call_function("format_number", value.cast("double"), F.lit(pattern))
+
+
 def two_decimals(value: Column) -> Column:
-    return F.format_string("%.2f", value.cast("double"))
+    return decimals(value, 2)
+
+
+def score_round(value: Column, digits: int = 4) -> Column:
+    """A score rounded as its text would be."""
+    return decimals(value, digits).cast("double")
 
 
 def percent_text(value: Column) -> Column:
-    return F.format_string("%.2f%%", value * 100)
+    return F.concat(decimals(value * 100, 2), F.lit("%"))
 
 
 def month_key(ts: Column) -> Column:

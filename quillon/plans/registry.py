@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillon.plans import audits, dashboards, generated, passthrough, samples
+from quillon.plans import answers, audits, dashboards, generated, passthrough, questions, retrieval
+from quillon.plans import samples
 from quillon.plans import vector_queries as vq
 from quillon.sources import catalog
 
@@ -37,6 +38,15 @@ QUERIES = {
     "graph_edges": vq.graph_edges,
     "graph_search": vq.graph_search,
     "recall_by_method": vq.recall_by_method,
+    "question_classify": questions.question_classify,
+    "question_slots": questions.question_slots,
+    "question_answers": questions.question_answers,
+    "chart_specs": questions.chart_specs,
+    "narratives": questions.narratives,
+    "pool_embeddings": retrieval.pool_embeddings,
+    "retrieve_docs": retrieval.retrieve_docs,
+    "rag_prompts": retrieval.rag_prompts,
+    "agent_answers": answers.agent_answers,
     "batch_groups": dashboards.batch_groups,
     "batch_stats": dashboards.batch_stats,
     "dashboard_totals": dashboards.dashboard_totals,
