@@ -173,22 +173,24 @@ def small_enough(queries: DataFrame, rows: int, size: int) -> pa.Table | None:
     return head if head.num_rows <= rows and head.nbytes <= size else None
 
 
-def pair_distances(pairs: DataFrame, metric: str, eps: float = 0.0) -> DataFrame:
-    """``(query_id, vec_id, distance)`` for joined rows that hold ``q_vec`` and ``embedding``."""
-    if metric not in C.METRICS:
-        raise ValueError(f"Unknown distance metric: {metric}")
+def pair_distances(pairs: DataFrame, eps: float = 0.0) -> DataFrame:
+    """``(metric, query_id, vec_id, distance)`` for rows with ``q_vec`` and ``embedding`` joined."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
+            metrics = values(batch["metric"])
+            for metric in np.unique(metrics):
+                rows = batch.take(pa.array(np.flatnonzero(metrics == metric)))
                 yield pa.record_batch({
-                    "query_id": batch["query_id"], "vec_id": batch["vec_id"],
-                    "distance": row_distance(metric, matrix(batch["q_vec"]),
-                                             matrix(batch["embedding"]), eps)})
+                    "metric": rows["metric"], "query_id": rows["query_id"],
+                    "vec_id": rows["vec_id"],
+                    "distance": row_distance(str(metric), matrix(rows["q_vec"]),
+                                             matrix(rows["embedding"]), eps)})
 
     types = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "vec_id")}
-    return pairs.select("query_id", "vec_id", "q_vec", "embedding").mapInArrow(
-        scan, f"query_id {types['query_id']}, vec_id {types['vec_id']}, distance double")
+    return pairs.select("metric", "query_id", "vec_id", "q_vec", "embedding").mapInArrow(
+        scan, f"metric string, query_id {types['query_id']}, vec_id {types['vec_id']}, "
+              "distance double")
 
 
 def against_broadcast(table: pa.Table, base: DataFrame, eps: float, earlier: bool,

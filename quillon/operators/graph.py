@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +12,11 @@ from quillon.operators.blocks import pair_distances
 from quillon.operators.neighbours import best_per_query, knn
 from quillon.session import written
 
+WALK = ["metric", "query_id"]
+
 
-def edges(vectors: DataFrame, degree: int = C.GRAPH_DEGREE, metric: str = "l2", **layout) -> DataFrame:
+def edges(vectors: DataFrame, degree: int = C.GRAPH_DEGREE, metric: str = "l2",
+          **layout) -> DataFrame:
     """``(src, dst, distance)``: every row and its ``degree`` nearest earlier rows, both ways.
 
     Earlier means a smaller ``vec_id``. Exact at any size: all earlier rows are candidates, block
@@ -26,40 +31,46 @@ def edges(vectors: DataFrame, degree: int = C.GRAPH_DEGREE, metric: str = "l2",
 
 def search(queries: DataFrame, vectors: DataFrame, links: DataFrame, k: int = 10,
            metric: str = "l2", beam: int = C.GRAPH_BEAM) -> DataFrame:
-    """``(query_id, rank, vec_id, distance)`` by beam search from the row with the smallest id.
+    """``(query_id, rank, vec_id, distance)`` by beam search from the row with the smallest id."""
+    tagged = links.select(F.lit(metric).alias("metric"), "src", "dst")
+    return search_many(queries, vectors, tagged, [metric], k, beam).drop("metric")
+
+
+def search_many(queries: DataFrame, vectors: DataFrame, links: DataFrame, metrics: list[str],
+                k: int = 10, beam: int = C.GRAPH_BEAM) -> DataFrame:
+    """Walks through one graph per metric, links(metric, src, dst), in the same rounds.
 
     A round expands the beam members not expanded before, drops nodes already visited, and keeps
     the best ``beam``. A round that admits nobody ends the search, as further ones could not change
     it. Every round is written to the shared folder, so plans stay short and a lost executor
-    repeats one round at most.
+    repeats one round at most. A hub that a third of all rows link to is a hot key of the join with
+    the links, which skew handling splits; its neighbours are spread out again before the rest.
     """
-    asked = written(queries.select("query_id", F.col("embedding").alias("q_vec")), "queries")
+    names = F.array(*[F.lit(m) for m in metrics])
+    asked = written(queries.select(
+        F.explode(names).alias("metric"), "query_id", F.col("embedding").alias("q_vec")), "queries")
     nodes = vectors.select("vec_id", "embedding")
     start = vectors.agg(F.min("vec_id").alias("m")).select("m").scalar()
 
     def measured(pairs: DataFrame) -> DataFrame:
-        return pair_distances(pairs.join(asked, "query_id").join(nodes, "vec_id"), metric)
+        return pair_distances(pairs.join(asked, WALK).join(nodes, "vec_id"))
 
-    admitted = written(measured(asked.select("query_id", start.alias("vec_id"))), "beam")
+    admitted = written(measured(asked.select(*WALK, start.alias("vec_id"))), "beam")
     visited, members = [admitted], admitted
-    steps = links.select(F.col("src").alias("at"), F.col("dst").alias("vec_id"))
+    steps = links.select("metric", F.col("src").alias("at"), F.col("dst").alias("vec_id"))
     for _ in range(beam):
-        seen = visited[0]
-        for more in visited[1:]:
-            seen = seen.unionByName(more)
-        reached = (admitted.select("query_id", F.col("vec_id").alias("at")).join(steps, "at")
-                   .select("query_id", "vec_id").distinct()
-                   .join(seen.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti"))
+        seen = reduce(DataFrame.unionByName, visited).select(*WALK, "vec_id")
+        reached = (admitted.select(*WALK, F.col("vec_id").alias("at")).join(steps, ["metric", "at"])
+                   .select(*WALK, "vec_id").distinct()
+                   .join(seen, [*WALK, "vec_id"], "left_anti"))
         found = written(measured(reached), "found")
         if found.isEmpty():
             break
         visited.append(found)
         both = members.withColumn("fresh", F.lit(False)).unionByName(
             found.withColumn("fresh", F.lit(True)))
-        kept = written(best_per_query(both, beam).drop("rank"), "beam")
+        kept = written(best_per_query(both, beam, tuple(WALK)).drop("rank"), "beam")
         admitted = kept.filter("fresh").drop("fresh")
         members = kept.drop("fresh")
-        if admitted.isEmpty():
-            break
-    return best_per_query(members, k).select("query_id", "rank", "vec_id", "distance")
-
+    return best_per_query(members, k, tuple(WALK)).select(
+        *WALK, "rank", "vec_id", "distance")

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.operators import blocks
+from quillon.operators.ranking import first_per_group
 
 
-def best_per_query(candidates: DataFrame, k: int, groups: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """``rank`` 1..k by (distance, vec_id); the literal bound lets Spark cut before the shuffle."""
-    order = Window.partitionBy(*groups).orderBy("distance", "vec_id")
-    return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def best_per_query(candidates: DataFrame, k: int,
+                   groups: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """``rank`` 1..k by (distance, vec_id)."""
+    return first_per_group(candidates, list(groups), ["distance", "vec_id"], k)
 
 
 def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column = "l2",

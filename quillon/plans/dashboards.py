@@ -52,8 +52,11 @@ def histogram(df: DataFrame, value: Column, bounds: list[float]) -> DataFrame:
 
 
 def batch_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Averages over the batch table beside the batch-size histogram; zeros if there are none."""
-    table = batch_groups(spark, folder)
+    return batch_summary(batch_groups(spark, folder))
+
+
+def batch_summary(table: DataFrame) -> DataFrame:
+    """Averages over a batch table beside the batch-size histogram; zeros if it is empty."""
     counts = [F.count_if(F.col("batch_size") <= b).alias(f"le_{b:g}") for b in C.BATCH_BUCKETS]
     return table.agg(
         F.round(F.coalesce(F.avg("batch_size"), F.lit(0.0)), 4).alias("avg_batch_size"),

@@ -8,12 +8,13 @@ than a billion different ones.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import constants as C
 from quillon.functions.scalars import label_of, month_key, title_of, two_decimals
 from quillon.functions.slots import needs_sql, with_slots
+from quillon.operators.ranking import first_per_group
 from quillon.sources import tables
 
 WHOLE_NUMBERS = ["count", "count_fare", "count_revenue"]
@@ -71,10 +72,9 @@ def ranked_answers(catalogue: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame
     Both rankings cut to ``rows`` per task before their shuffle.
     """
     def direction(name: str, order: Column) -> DataFrame:
-        window = (Window.partitionBy("base_table", "group_col", "value_name")
-                  .orderBy(order, "key_number", "key_text"))
-        return (catalogue.withColumn("rank", F.row_number().over(window))
-                .filter(F.col("rank") <= rows).withColumn("direction", F.lit(name)))
+        slot = ["base_table", "group_col", "value_name"]
+        return first_per_group(catalogue, slot, [order, "key_number", "key_text"], rows).withColumn(
+            "direction", F.lit(name))
 
     both = direction("ASC", F.asc("value")).unionByName(direction("DESC", F.desc("value")))
     entry = F.struct("rank", F.coalesce("key_text", F.lit("None")).alias("key"),

@@ -113,17 +113,26 @@ def recall_by_method(spark: SparkSession, folder: str) -> DataFrame:
     fits = [kmeans.Fit(cells, metric) for metric in C.METRICS
             for cells in (C.IVF_CELLS, C.SINGLE_PROBE_CELLS)]
     models = {(m.fit.metric, m.fit.cells): m for m in kmeans.fit_many(table, fits)}
-    exact, found = [], []
+    exact, found, links = [], [], []
     for metric in C.METRICS:
         truth = knn(asked, table, 10, metric).withColumn("metric", F.lit(metric))
         several = ivf.Index.of(table, models[metric, C.IVF_CELLS])
         one = ivf.Index.of(table, models[metric, C.SINGLE_PROBE_CELLS])
-        links = written(graph.edges(table, metric=metric), "links")
-        answers = {"ivf": ivf.search(asked, several),
-                   "ivf_single_probe": ivf.search(asked, one, nprobe=1, per_cell=None),
-                   "graph": graph.search(asked, table, links, metric=metric)}
-        for method, answer in answers.items():
-            exact.append(truth.withColumn("method", F.lit(method)))
-            found.append(answer.withColumns({"metric": F.lit(metric), "method": F.lit(method)}))
-    return recall_table(reduce(DataFrame.unionByName, exact),
-                        reduce(DataFrame.unionByName, found), ("metric", "method"))
+        links.append(graph.edges(table, metric=metric).withColumn("metric", F.lit(metric)))
+        exact.append(truth)
+        found += [
+            tagged(ivf.search(asked, several), metric, "ivf"),
+            tagged(ivf.search(asked, one, nprobe=1, per_cell=None), metric, "ivf_single_probe")]
+    walked = graph.search_many(asked, table, written(_all(links), "links"), C.METRICS)
+    found.append(walked.withColumn("method", F.lit("graph")))
+    methods = F.array(F.lit("ivf"), F.lit("ivf_single_probe"), F.lit("graph"))
+    truths = _all(exact).withColumn("method", F.explode(methods))
+    return recall_table(truths, _all(found), ("metric", "method"))
+
+
+def tagged(df: DataFrame, metric: str, method: str) -> DataFrame:
+    return df.withColumns({"metric": F.lit(metric), "method": F.lit(method)})
+
+
+def _all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)

@@ -20,6 +20,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+TIMES = [0.0, 0.0]
+
+
 def connect(folder: str):
     con = duckdb.connect()
     for name in TABLES:
@@ -49,11 +52,16 @@ def _rows(columns, rows):
 
 def compare(df, con, sql: str) -> str | None:
     """None if equal, else a short account of the difference."""
+    began = time.time()
     found_names, found = _rows(df.columns, [tuple(r) for r in df.collect()])
+    collected = time.time()
     result = con.execute(sql)
+    TIMES[:] = [collected - began, time.time() - collected]
     expected_names, expected = _rows([d[0] for d in result.description], result.fetchall())
     if found_names != expected_names:
         return f"columns {found_names} != {expected_names}"
+    if not found:
+        return "no rows on either side" if not expected else f"no rows vs {len(expected)}"
     if found != expected:
         extra, missing = found - expected, expected - found
         return (f"{sum(found.values())} rows vs {sum(expected.values())}; "
@@ -83,7 +91,7 @@ def main() -> None:
             df = queries[name](spark, folder)
             if name in sql:
                 verdict = compare(df, con, sql[name]) or "equal"
-                verdict = verdict if verdict != "equal" else f"equal ({df.count()} rows)"
+                verdict += f" (collect {TIMES[0]:.1f}s, duckdb {TIMES[1]:.1f}s)"
             else:
                 verdict = f"rows only: {len(df.collect())}"
         except Exception as failure:
