@@ -286,8 +286,9 @@ def audits() -> dict[str, str]:
                    || CASE WHEN unsafe THEN 'False' ELSE 'True' END AS summary
             FROM ethical""",
         "bias_by_language": "WITH" + _bias("documents", "lang, source") + """
-            SELECT lang, source, count(*) AS documents, round(avg(bias_score), 4) AS avg_bias,
-                   max(bias_score) AS max_bias,
+            SELECT lang, source, count(*) AS documents, 
+                   round(sum(round(bias_score * 10000)::BIGINT)::BIGINT / count(*) / 10000, 4)
+                   AS avg_bias, max(bias_score) AS max_bias,
                    count(*) FILTER (WHERE category = 'high') AS high,
                    count(*) FILTER (WHERE category = 'moderate') AS moderate
             FROM banded GROUP BY lang, source""",

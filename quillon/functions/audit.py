@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon import constants as C
-from quillon.functions.guards import check_query
+from quillon.functions.guards import with_safety
 from quillon.functions.scalars import (
     blank, common, percent_text, score_round, space_tokens, word_tokens,
 )
@@ -79,7 +79,7 @@ def answer_bias(text: Column) -> Column:
 
 def with_ethics_report(df: DataFrame, text: str, query: str) -> DataFrame:
     """``df`` plus ``bias`` and an ``ethics`` struct; a missing query counts as safe."""
-    scored = with_bias(df, text).withColumn("_safety", check_query(F.col(query)))
+    scored = with_safety(with_bias(df, text), query, "_safety")
     safe = F.col("_safety.is_safe")
     penalty = F.when(safe, 0.0).otherwise(0.5)
     score = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("bias.bias_score") * 0.5 - penalty)

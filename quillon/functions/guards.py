@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,33 +12,43 @@ from quillon import constants as C
 from quillon.functions.scalars import contains_any, first_contained
 
 
-def is_harmful(text: Column) -> Column:
-    """Any harmful pattern in the lower-cased text. ``.`` stops at a newline only."""
-    lowered = F.lower(text)
-    return reduce(lambda a, b: a | b, [lowered.rlike(f"(?Ud){p}") for p in C.HARMFUL_PATTERNS])
+def _needed_words(pattern: str) -> list[list[str]]:
+    """The word alternatives that any match of a harmful pattern must contain."""
+    bare = re.sub(r"\\[bs]", " ", pattern)
+    return [group.split("|") for group in re.findall(r"[a-z][a-z|]+", bare)]
 
 
-def blocked_topic(text: Column) -> Column:
-    return first_contained(F.lower(text), C.BLOCKED_TOPICS)
+def _harmful(lowered: Column) -> Column:
+    """Any harmful pattern. Plain substring tests come first, and spare most texts the pattern.
+
+    ``.`` stops at a newline only.
+    """
+    def matches(pattern: str) -> Column:
+        needed = [contains_any(lowered, words) for words in _needed_words(pattern)]
+        return reduce(lambda a, b: a & b, [*needed, lowered.rlike(f"(?Ud){pattern}")])
+
+    return reduce(lambda a, b: a | b, [matches(p) for p in C.HARMFUL_PATTERNS])
 
 
 def is_safe(text: Column) -> Column:
-    return ~F.coalesce(is_harmful(text) | blocked_topic(text).isNotNull(), F.lit(False))
+    """For short texts; ``with_safety`` lower-cases long ones only once."""
+    low = F.lower(text)
+    return ~F.coalesce(_harmful(low) | contains_any(low, C.BLOCKED_TOPICS), F.lit(False))
 
 
-def check_query(text: Column) -> Column:
-    """``struct(is_safe, reason, modified_query)``; an empty query is safe."""
-    topic = blocked_topic(text)
+def with_safety(df: DataFrame, text: str, out: str = "safety") -> DataFrame:
+    """``df`` plus ``struct(is_safe, reason, modified_query)``; an empty query is safe."""
+    low = F.col("_low")
+    topic = first_contained(low, C.BLOCKED_TOPICS)
     reason = (
-        F.when(F.coalesce(text, F.lit("")) == "", F.lit(None))
-        .when(is_harmful(text), "Query contains potentially harmful content")
-        .when(topic.isNotNull(), F.concat(F.lit("Query contains blocked topic: "), topic))
-    )
-    return F.struct(
-        reason.isNull().alias("is_safe"),
-        reason.alias("reason"),
-        F.when(reason.isNull(), text).alias("modified_query"),
+        F.when(_harmful(low), "Query contains potentially harmful content")
+        .otherwise(F.concat(F.lit("Query contains blocked topic: "), topic))
     )
+    judged = df.withColumn("_low", F.lower(text)).withColumn("_reason", reason)
+    safe = F.col("_reason").isNull()
+    return judged.withColumn(out, F.struct(
+        safe.alias("is_safe"), F.col("_reason").alias("reason"),
+        F.when(safe, F.col(text)).alias("modified_query"))).drop("_low", "_reason")
 
 
 def forbidden_operation(statement: Column) -> Column:

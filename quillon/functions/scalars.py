@@ -35,8 +35,7 @@ def common(left: Column, right: list[str]) -> Column:
 
 def first_number(text: Column) -> Column:
     """The first all-digit piece as a BIGINT; NULL if there is none or it does not fit."""
-    digits = F.filter(space_tokens(text), lambda w: w.rlike("^[0-9]+$"))
-    return F.get(digits, F.lit(0)).try_cast("bigint")
+    return F.regexp_extract(text, r"(?U)(?:^|\s)([0-9]+)(?=\s|$)", 1).try_cast("bigint")
 
 
 def blank(text: Column) -> Column:

@@ -54,7 +54,7 @@ def with_slots(df: DataFrame, query: str = "query") -> DataFrame:
         .withColumn("base_table", F.when(contains_any(low, C.CUSTOMER_WORDS), "customers")
                     .otherwise("trips"))
         .withColumns({
-            "needs_sql": F.coalesce(needs_sql(F.col(query)), F.lit(False)),
+            "needs_sql": F.coalesce(contains_any(low, C.NEEDS_SQL_WORDS), F.lit(False)),
             "group_col": group,
             "measure": measure,
             "direction": F.when(contains_any(low, C.ASCENDING_WORDS), "ASC").otherwise("DESC"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillon import constants as C
 from quillon.functions.audit import answer_bias
 from quillon.functions.guards import is_safe, validated_requests
-from quillon.plans.questions import answered, chart_json, narrative, result_json
+from quillon.plans.questions import answered
 from quillon.plans.retrieval import in_rank_order, retrieve
 from quillon.sources import tables
 
@@ -30,8 +30,6 @@ def answer(requests: DataFrame, store: DataFrame, trips: DataFrame, customers: D
              .join(distinct, "question_id").drop("question_id"))
     rows = (
         answered(good, trips, customers)
-        .withColumns({"narrative": narrative(), "sql_result": result_json(),
-                      "viz_code": chart_json()})
         .join(finds, ["query", "k", "metric"], "left")
         .select(
             "question_id", "query", "session_id", "k", "metric",

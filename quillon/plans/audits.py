@@ -21,8 +21,8 @@ def sanitize_sql(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def check_query(spark: SparkSession, folder: str) -> DataFrame:
-    checked = tables.texts(spark, folder).withColumn("c", guards.check_query(F.col("text")))
-    return checked.select("text_id", "c.is_safe", "c.reason", "c.modified_query")
+    checked = guards.with_safety(tables.texts(spark, folder), "text")
+    return checked.select("text_id", "safety.is_safe", "safety.reason", "safety.modified_query")
 
 
 def redact_pii(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,12 +66,15 @@ def ethics_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bias_by_language(spark: SparkSession, folder: str) -> DataFrame:
-    docs = tables.read(spark, folder, "documents").select("lang", "source", "text")
+    docs = tables.spread(tables.read(spark, folder, "documents").select(
+        "doc_id", "lang", "source", "text"), "doc_id")
     score, category = F.col("bias.bias_score"), F.col("bias.category")
+    # scores have four decimals: whole ten-thousandths add up the same in any order
+    mean = F.sum(F.round(score * 10000).cast("bigint")) / F.count("*") / 10000
     return (
         audit.with_bias(docs, "text").groupBy("lang", "source")
         .agg(F.count("*").alias("documents"),
-             F.round(F.avg(score), 4).alias("avg_bias"),
+             F.round(mean, 4).alias("avg_bias"),
              F.max(score).alias("max_bias"),
              F.count_if(category == "high").alias("high"),
              F.count_if(category == "moderate").alias("moderate"))

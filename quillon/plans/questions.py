@@ -1,13 +1,15 @@
 """A table of questions answered in one job.
 
 Each base table is aggregated once for all questions. The best and worst rows of every group and
-measure form a list of at most 48 entries of 20 rows, which travels to the questions; the questions
-themselves are only projected, never shuffled, so a question asked a billion times costs no more
-than a billion different ones.
+measure, with every possible number of rows, make at most 960 finished answers (result, chart,
+sentence), which travel to the questions. The questions themselves are only projected and looked
+up, never shuffled, so a question asked a billion times costs no more than a billion different ones.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +69,7 @@ def metric_catalogue(trips: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def ranked_answers(catalogue: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame:
-    """The first ``rows`` of each slot in each direction, packed in order.
+    """At most 48 slots: the first ``rows`` of each slot in each direction, packed in order.
 
     Both rankings cut to ``rows`` per task before their shuffle.
     """
@@ -82,18 +84,37 @@ def ranked_answers(catalogue: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame
     return both.groupBy(*SLOT_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
 
 
-def answered(questions: DataFrame, trips: DataFrame, customers: DataFrame) -> DataFrame:
-    """Questions with slots, ``rows`` (NULL if there are none) and ``error``."""
-    answers = F.broadcast(ranked_answers(metric_catalogue(trips, customers)))
-    shown = F.slice("ranked", F.lit(1), F.least(F.col("row_limit"), F.lit(C.RESULT_ROWS)).cast("int"))
-    rows = F.when(F.size(shown) > 0, shown)
+def finished_answers(ranked: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame:
+    """Each slot's answer for every row limit from 1 to ``rows``: built once, not per question."""
+    limits = F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("shown_rows")
     return (
-        with_slots(questions).join(answers, SLOT_KEYS, "left")
-        .withColumns({"rows": F.when(F.col("ranked").isNotNull(), rows), "error": F.col("problem")})
-        .drop("ranked", "problem")
+        ranked.select(*SLOT_KEYS, limits, "ranked")
+        .withColumn("rows", F.slice("ranked", F.lit(1), F.col("shown_rows"))).drop("ranked")
+        .select(*SLOT_KEYS, "shown_rows", F.size("rows").alias("row_count"),
+                result_json().alias("sql_result"), chart_json().alias("viz_code"),
+                sentence().alias("sentence"))
     )
 
 
+def answered(questions: DataFrame, trips: DataFrame, customers: DataFrame,
+             *extra: str) -> DataFrame:
+    """Questions with ``statement``, ``error`` and, where rows were found, the finished answer.
+
+    ``extra`` names the slot columns to keep.
+    """
+    answers = finished_answers(ranked_answers(metric_catalogue(trips, customers)))
+    asked = with_slots(questions).withColumn(
+        "shown_rows", F.least(F.col("row_limit"), F.lit(C.RESULT_ROWS)).cast("int"))
+    kept = [asked[c] for c in [*questions.columns, *extra]]
+    # null-safe, so that a later filter does not add null tests on every slot's long expression
+    same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(answers[c])
+                                       for c in [*SLOT_KEYS, "shown_rows"]])
+    return asked.join(F.broadcast(answers), same, "left").select(
+        *kept, "statement", F.col("problem").alias("error"),
+        F.coalesce("row_count", F.lit(0)).alias("row_count"), "sql_result", "viz_code",
+        narrative().alias("narrative"))
+
+
 def _whole() -> Column:
     return F.col("value_name").isin(WHOLE_NUMBERS)
 
@@ -112,8 +133,7 @@ def result_json() -> Column:
         return F.concat(F.lit('{"'), F.col("group_col"), F.lit('": '), key, F.lit(', "'),
                         F.col("value_name"), F.lit('": '), value, total, F.lit("}"))
 
-    listed = F.array_join(F.transform("rows", record), ", ")
-    return F.when(F.col("rows").isNotNull(), F.concat(F.lit("["), listed, F.lit("]")))
+    return F.concat(F.lit("["), F.array_join(F.transform("rows", record), ", "), F.lit("]"))
 
 
 def chart_json(kind: str = "bar") -> Column:
@@ -140,12 +160,11 @@ def chart_json(kind: str = "bar") -> Column:
             F.lit("plotly_dark").alias("template"), F.lit(False).alias("showlegend"))
         return F.to_json(F.struct(F.array(series).alias("data"), layout.alias("layout")))
 
-    drawn = F.when(_whole(), spec("bigint", lambda v: v.cast("bigint").cast("string"))).otherwise(
+    return F.when(_whole(), spec("bigint", lambda v: v.cast("bigint").cast("string"))).otherwise(
         spec("decimal(20,4)", two_decimals))
-    return F.when(F.col("rows").isNotNull(), drawn)
 
 
-def narrative() -> Column:
+def sentence() -> Column:
     """One sentence about the first row, chosen by what was measured."""
     names = F.create_map(*[F.lit(x) for pair in C.COLUMN_DESCRIPTIONS.items() for x in pair])
     group = F.coalesce(F.try_element_at(names, F.col("group_col")), F.col("group_col"))
@@ -170,7 +189,12 @@ def narrative() -> Column:
         .otherwise(F.concat(F.lit(" with "), name, F.lit(" "), value,
                             F.lit(". See chart for details.")))
     )
-    return F.when(F.col("rows").isNotNull(), F.concat(found, ending)).otherwise(F.concat(
+    return F.concat(found, ending)
+
+
+def narrative() -> Column:
+    """The answer's sentence, or a plain one for a question without rows."""
+    return F.coalesce("sentence", F.concat(
         F.lit("Query processed: "), F.col("query"), F.lit(". See visualization for details.")))
 
 
@@ -191,15 +215,13 @@ def question_slots(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_answers(spark: SparkSession, folder: str) -> DataFrame:
-    return _answered(spark, folder).select(
-        "question_id", "error", F.coalesce(F.size("rows"), F.lit(0)).alias("row_count"),
-        result_json().alias("sql_result"))
+    return _answered(spark, folder).select("question_id", "error", "row_count", "sql_result")
 
 
 def chart_specs(spark: SparkSession, folder: str) -> DataFrame:
-    return _answered(spark, folder).filter(F.col("rows").isNotNull()).select(
-        "question_id", chart_json().alias("chart"))
+    return _answered(spark, folder).filter(F.col("row_count") > 0).select(
+        "question_id", F.col("viz_code").alias("chart"))
 
 
 def narratives(spark: SparkSession, folder: str) -> DataFrame:
-    return _answered(spark, folder).select("question_id", narrative().alias("narrative"))
+    return _answered(spark, folder).select("question_id", "narrative")

@@ -46,7 +46,8 @@ def prompt(query: Column, context: Column) -> Column:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.read(spark, folder, "documents").select("doc_id", "text")
+    documents = tables.read(spark, folder, "documents").select("doc_id", "text")
+    return tables.spread(documents, "doc_id")
 
 
 def pool_embeddings(spark: SparkSession, folder: str) -> DataFrame:

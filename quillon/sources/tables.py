@@ -22,6 +22,15 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over all cores before heavy work per row, if its files make fewer tasks than that.
+
+    A large table is split into more tasks than there are cores and is left as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def register(spark: SparkSession, folder: str) -> None:
     """Temp views for every base table plus ``trips`` and ``customers``."""
     for name in BASE_TABLES:
@@ -137,7 +146,7 @@ def question_log(spark: SparkSession, folder: str) -> DataFrame:
         .alias("metric"),
         F.concat(F.lit("session_"), F.col("user_id").cast("string")).alias("session_id"),
     )
-    return phrased.unionByName(user_turns(spark, folder).withColumns(
+    return spread(phrased, "question_id").unionByName(user_turns(spark, folder).withColumns(
         {"k": F.lit(None).cast("int"), "metric": F.lit(None).cast("string")}))
 
 
@@ -213,4 +222,4 @@ def texts(spark: SparkSession, folder: str) -> DataFrame:
     turns = read(spark, folder, "conversations").select(
         F.concat(F.lit("t-"), F.col("conv_id").cast("string"), F.lit("-"),
                  F.col("turn").cast("string")).alias("text_id"), "text")
-    return docs.unionByName(turns).unionByName(contact_log(spark, folder))
+    return spread(docs, "text_id").unionByName(turns).unionByName(contact_log(spark, folder))

@@ -47,10 +47,8 @@ def base(spark, sf):
 def answered(spark, base):
     rows = [(str(i), q) for i, q in enumerate([*ASKED, *BROKEN, *QUIET])]
     df = questions.answered(spark.createDataFrame(rows, "question_id string, query string"), *base)
-    got = df.select("query", "statement", "error", "value_name", "group_col",
-                    questions.result_json().alias("result"), questions.chart_json().alias("chart"),
-                    questions.narrative().alias("narrative")).collect()
-    return {r["query"]: r for r in got}
+    got = df.withColumnsRenamed({"sql_result": "result", "viz_code": "chart"})
+    return {r["query"]: r for r in got.collect()}
 
 
 def test_statements(answered):

@@ -45,8 +45,12 @@ def test_answer_bias(spark):
 
 
 def test_query_safety(spark):
-    out = column(spark, ["Top 5 locations", "DROP TABLE trips", "Show passwords", "", None,
-                         "hack\nthe server", "key = 5", "attack the server"], guards.check_query)
+    texts = ["Top 5 locations", "DROP TABLE trips", "Show passwords", "", None,
+             "hack\nthe server", "key = 5", "attack the server"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    rows = guards.with_safety(df, "text").orderBy("i")
+    out = [r["safety"] for r in rows.collect()]
+    assert column(spark, texts, guards.is_safe) == [o["is_safe"] for o in out]
     assert [o["is_safe"] for o in out] == [True, False, False, True, True, True, False, False]
     assert out[2]["reason"] == "Query contains blocked topic: password"
     assert out[1]["modified_query"] is None and out[0]["modified_query"] == "Top 5 locations"
