@@ -68,11 +68,13 @@ def main() -> None:
         extra["cells_all_vectors_fitted"] = timed(lambda: run(ivf.search(asked, index)))
         index.members.unpersist()
         tables.register(spark, folder)
-        slots = questions.question_slots(spark, folder)
+        asked_for = questions.answered(
+            tables.question_log(spark, folder), tables.trips(spark, folder),
+            tables.customers(spark, folder)).filter("row_count > 0")
         statements = [r["statement"].replace("strftime('%Y-%m', pickup_date)",
                                              "date_format(pickup_date, 'yyyy-MM')")
-                      for r in slots.filter("statement IS NOT NULL").select("statement")
-                      .distinct().orderBy("statement").limit(ONE_BY_ONE).collect()]
+                      for r in asked_for.select("statement").distinct()
+                      .orderBy("statement").limit(ONE_BY_ONE).collect()]
 
         def one_by_one() -> None:
             for text in statements:
