@@ -64,17 +64,17 @@ def numbered(df: DataFrame, groups: list[str], order: list[str], out: str,
     return running_total(df, groups, order, F.lit(1).cast("bigint"), out, group_rows)
 
 
-def exact_percentile(df: DataFrame, groups: list[str], value: str, share: float, out: str,
-                     group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Linear-interpolated percentile per group, without holding a group's values in one buffer.
+def exact_percentiles(df: DataFrame, groups: list[str], value: str, shares: dict[str, float],
+                      group_rows: int = GROUP_ROWS) -> DataFrame:
+    """Linear-interpolated percentiles per group, one column per name in ``shares``.
 
-    Equal values are counted first, so the ordered pass sees each distinct value once.
+    No group's values are held in one buffer: equal values are counted first, and the ordered pass
+    then sees each distinct value once, for all shares together.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         F.count("*").alias("_n"))
     ranked = running_total(counts, groups, [value], F.col("_n"), "_upto", group_rows)
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
-    position = (F.col("_total") - 1) * F.lit(share)
     if groups:
         totals = totals.select(*[F.col(g).alias(f"_g_{g}") for g in groups], "_total")
         same = reduce(lambda a, b: a & b,
@@ -82,13 +82,19 @@ def exact_percentile(df: DataFrame, groups: list[str], value: str, share: float,
         ranked = ranked.join(totals, same)
     else:
         ranked = ranked.withColumn("_total", totals.scalar())
-    ends = ranked.withColumn("_pos", position).groupBy(*groups).agg(
-        F.min(F.when(F.col("_upto") > F.floor("_pos"), F.col(value))).alias("_low"),
-        F.min(F.when(F.col("_upto") > F.ceil("_pos"), F.col(value))).alias("_high"),
-        F.first("_pos").alias("_pos"),
-    )
-    return ends.select(
-        *groups,
-        (F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_pos") - F.floor("_pos")))
-        .alias(out),
-    )
+
+    def at(position) -> list:
+        """The values at the whole positions below and above."""
+        return [F.min(F.when(F.col("_upto") > end(position), F.col(value)))
+                for end in (F.floor, F.ceil)]
+
+    ends = []
+    for name, share in shares.items():
+        position = (F.col("_total") - 1) * F.lit(share)
+        low, high = at(position)
+        ends += [low.alias(f"_low_{name}"), high.alias(f"_high_{name}"),
+                 F.first(position - F.floor(position)).alias(f"_part_{name}")]
+    found = ranked.groupBy(*groups).agg(*ends)
+    return found.select(*groups, *[
+        (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}"))
+        .alias(n) for n in shares])

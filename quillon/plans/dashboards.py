@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import constants as C
-from quillon.operators.ordering import exact_percentile, numbered
+from quillon.operators.ordering import exact_percentiles, numbered
 from quillon.sources import tables
 
 TURNS_PER_SEGMENT = 1024
@@ -86,10 +86,8 @@ def latency_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     log = tables.request_log(spark, folder)
-    p50 = exact_percentile(log, ["status"], "latency", 0.50, "p50")
-    p95 = exact_percentile(log, ["status"], "latency", 0.95, "p95")
-    return p50.join(p95, "status").select(
-        "status", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
+    found = exact_percentiles(log, ["status"], "latency", {"p50": 0.50, "p95": 0.95})
+    return found.select("status", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
 def session_gauges(spark: SparkSession, folder: str) -> DataFrame:

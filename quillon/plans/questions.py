@@ -69,19 +69,16 @@ def metric_catalogue(trips: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def ranked_answers(catalogue: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame:
-    """At most 48 slots: the first ``rows`` of each slot in each direction, packed in order.
+    """At most 48 slots: the first ``rows`` of each group and measure in each direction, in order.
 
-    Both rankings cut to ``rows`` per task before their shuffle.
+    Both directions rank in the same pass, cut to ``rows`` per task before the shuffle.
     """
-    def direction(name: str, order: Column) -> DataFrame:
-        slot = ["base_table", "group_col", "value_name"]
-        return first_per_group(catalogue, slot, [order, "key_number", "key_text"], rows).withColumn(
-            "direction", F.lit(name))
-
-    both = direction("ASC", F.asc("value")).unionByName(direction("DESC", F.desc("value")))
-    entry = F.struct("rank", F.coalesce("key_text", F.lit("None")).alias("key"),
-                     "value", "total")
-    return both.groupBy(*SLOT_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
+    slot = ["base_table", "group_col", "value_name", "direction"]
+    both = catalogue.withColumn("direction", F.explode(F.array(F.lit("ASC"), F.lit("DESC"))))
+    height = F.when(F.col("direction") == "ASC", F.col("value")).otherwise(-F.col("value"))
+    first = first_per_group(both, slot, [height, "key_number", "key_text"], rows)
+    entry = F.struct("rank", F.coalesce("key_text", F.lit("None")).alias("key"), "value", "total")
+    return first.groupBy(*SLOT_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
 
 
 def finished_answers(ranked: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame:

@@ -57,7 +57,6 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
     and a customer with a third of all orders costs nothing extra.
     """
     orders = read(spark, folder, "orders")
-    last = orders.agg(F.max("o_orderdate").alias("d")).select("d").scalar()
     per_customer = orders.groupBy("o_custkey").agg(
         F.min("o_orderdate").alias("first_order"),
         F.max("o_orderdate").alias("last_order"),
@@ -68,12 +67,14 @@ def customers(spark: SparkSession, folder: str) -> DataFrame:
         .join(read(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .select("n_nationkey", F.col("r_name").alias("region"))
     )
-    months = (F.year(last) - F.year("first_order")) * 12 + F.month(last) - F.month("first_order")
-    active = F.col("last_order") >= last - F.expr("INTERVAL 365 DAYS")
+    months = ((F.year("final_order") - F.year("first_order")) * 12
+              + F.month("final_order") - F.month("first_order"))
+    active = F.col("last_order") >= F.col("final_order") - F.expr("INTERVAL 365 DAYS")
     return (
         read(spark, folder, "customer")
         .join(regions, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(per_customer, F.col("c_custkey") == F.col("o_custkey"), "left")
+        .withColumn("final_order", orders.agg(F.max("o_orderdate").alias("d")).scalar())
         .select(
             F.col("c_custkey").alias("id"),
             "region",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators.ordering import exact_percentile, numbered, running_total
+from quillon.operators.ordering import exact_percentiles, numbered, running_total
 from quillon.plans.dashboards import batch_summary, batch_table, batches, transcript_segments
 
 
@@ -49,10 +49,10 @@ def test_percentiles(spark, group_rows, share):
     df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs],
                                "g int, v double")
     got = {r["g"]: r["p"] for r in
-           exact_percentile(df, ["g"], "v", share, "p", group_rows).collect()}
+           exact_percentiles(df, ["g"], "v", {"p": share}, group_rows).collect()}
     for g, vs in values.items():
         assert got[g] == pytest.approx(np.percentile(vs, share * 100))
-    overall = exact_percentile(df, [], "v", share, "p", group_rows).first()["p"]
+    overall = exact_percentiles(df, [], "v", {"p": share}, group_rows).first()["p"]
     assert overall == pytest.approx(np.percentile(np.concatenate(list(values.values())),
                                                   share * 100))
 
