@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from quillon import constants as C
 from quillon.functions.vectors import known_metric
 
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 65_536
 BROADCAST_ROWS = 4096
 BROADCAST_BYTES = 64 << 20
 PAIRS_AT_ONCE = 1 << 21
@@ -167,10 +168,15 @@ def query_side(queries: DataFrame, query_id: str, vector: str, metric: str | Col
                           metric.alias("q_metric"), k.cast("int").alias("q_k"))
 
 
-def small_enough(queries: DataFrame, rows: int, size: int) -> pa.Table | None:
-    """The queries themselves if they fit the limits, else None. At most ``rows + 1`` are read."""
+def small_enough(queries: DataFrame, rows: int, size: int) -> tuple[pa.Table, bool]:
+    """At most ``rows + 1`` of the queries, and whether these are all and within ``size`` bytes."""
     head = queries.limit(rows + 1).toArrow()
-    return head if head.num_rows <= rows and head.nbytes <= size else None
+    return head, head.num_rows <= rows and head.nbytes <= size
+
+
+def block_rows_for(width: int) -> int:
+    """Rows of a block: large, as each side is sent once per block of the other, but bounded."""
+    return max(256, min(BLOCK_ROWS, BLOCK_BYTES // (8 * max(1, width))))
 
 
 def pair_distances(pairs: DataFrame, eps: float = 0.0) -> DataFrame:
@@ -219,7 +225,7 @@ def against_broadcast(table: pa.Table, base: DataFrame, eps: float, earlier: boo
         scan, f"query_id {query_type}, vec_id {base_type}, distance double")
 
 
-def _spread(sizes: DataFrame, block_rows: int) -> DataFrame:
+def _layout(sizes: DataFrame, block_rows: int) -> DataFrame:
     """Blocks per cell on each side, from the row counts in ``sizes(cell, q_rows, b_rows)``."""
     def parts(rows):
         return F.greatest(F.lit(1), F.ceil(F.col(rows) / F.lit(block_rows))).cast("bigint")
@@ -227,12 +233,13 @@ def _spread(sizes: DataFrame, block_rows: int) -> DataFrame:
 
 
 def block_grid(queries: DataFrame, base: DataFrame, sizes: DataFrame, eps: float,
-               earlier: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int, earlier: bool = False) -> DataFrame:
     """``(query_id, cell, vec_id, distance)``: best ``k`` per query and pair of blocks of a cell.
 
-    ``sizes`` has one row per cell; it is as small as the list of cells.
+    ``sizes`` has one row per cell of a list that the caller holds on the driver, so it is small
+    enough to send to every task; joining by cell instead would put a hot cell into one.
     """
-    layout = _spread(sizes, block_rows)
+    layout = F.broadcast(_layout(sizes, block_rows))
     query_type = queries.schema["query_id"].dataType.simpleString()
     base_type = base.schema["vec_id"].dataType.simpleString()
     keys = ["cell", "qb", "bb"]

@@ -73,7 +73,7 @@ def probes(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
 
 def search(queries: DataFrame, index: Index, k: int = 10, nprobe: int = C.IVF_PROBES,
            per_cell: int | None = C.IVF_PER_CELL, query_id: str = "query_id",
-           query_vector: str = "embedding", block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+           query_vector: str = "embedding", block_rows: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, distance)`` of the best ``k`` among the probed cells.
 
     ``per_cell`` keeps that many of a cell before the merge; it matters only below ``k``.
@@ -84,8 +84,9 @@ def search(queries: DataFrame, index: Index, k: int = 10, nprobe: int = C.IVF_PR
     counts = asked.groupBy("cell").agg(F.count("*").alias("q_rows"))
     known = queries.sparkSession.createDataFrame(
         [(int(c), int(n)) for c, n in zip(index.cells, index.sizes)], "cell int, b_rows bigint")
-    candidates = blocks.block_grid(asked, index.members, counts.join(known, "cell"), 0.0,
-                                   block_rows=block_rows)
+    candidates = blocks.block_grid(
+        asked, index.members, counts.join(F.broadcast(known), "cell"), 0.0,
+        block_rows or blocks.block_rows_for(index.means.shape[1]))
     if kept < k:
         candidates = best_per_query(candidates, kept, ("query_id", "cell")).drop("rank")
     return best_per_query(candidates, k).select("query_id", "rank", "vec_id", "distance")

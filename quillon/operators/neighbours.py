@@ -19,7 +19,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
         eps: float = 0.0, k_column: Column | None = None, query_id: str = "query_id",
         query_vector: str = "embedding", vec_id: str = "vec_id", vector: str = "embedding",
         earlier: bool = False, broadcast_rows: int = blocks.BROADCAST_ROWS,
-        block_rows: int = blocks.BLOCK_ROWS) -> DataFrame:
+        block_rows: int | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, distance)``: the ``k`` nearest rows of ``base`` per query.
 
     ``metric`` is a name (an unknown one raises) or a column (an unknown value means ``l2``).
@@ -30,15 +30,17 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
     asked = blocks.query_side(queries, query_id, query_vector, metric, wanted)
     rows = base.select(F.col(vec_id).alias("vec_id"), F.col(vector).alias("embedding"))
     query_type = asked.schema["query_id"].dataType.simpleString()
-    few = blocks.small_enough(asked, broadcast_rows, blocks.BROADCAST_BYTES)
-    if few is not None:
-        candidates = blocks.against_broadcast(few, rows, eps, earlier, query_type)
+    head, few = blocks.small_enough(asked, broadcast_rows, blocks.BROADCAST_BYTES)
+    if few:
+        candidates = blocks.against_broadcast(head, rows, eps, earlier, query_type)
     else:
+        width = len(head["q_vec"][0]) if len(head) else 1
         sizes = queries.sparkSession.createDataFrame(
             [(0, asked.count(), rows.count())], "cell int, q_rows bigint, b_rows bigint")
         everywhere = F.lit(0).alias("cell")
-        candidates = blocks.block_grid(asked.select("*", everywhere), rows.select("*", everywhere),
-                                       sizes, eps, earlier, block_rows)
+        candidates = blocks.block_grid(
+            asked.select("*", everywhere), rows.select("*", everywhere), sizes, eps,
+            block_rows or blocks.block_rows_for(width), earlier)
     best = best_per_query(candidates, k)
     if k_column is not None:
         best = best.join(asked.select("query_id", "q_k"), "query_id").filter(

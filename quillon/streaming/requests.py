@@ -52,8 +52,8 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
     a batch of prompts into results; without it the prompt is the result. If it fails, each request
     of the batch gets the error.
     """
-    texts = blocks.small_enough(store.select("doc_id", "text"), STORE_ROWS, STORE_BYTES)
-    if texts is None:
+    texts, fits = blocks.small_enough(store.select("doc_id", "text"), STORE_ROWS, STORE_BYTES)
+    if not fits:
         raise ValueError("store too large to share with every task: use land() and answer_landed()")
     session = requests.sparkSession
     kept = texts.sort_by("doc_id")
