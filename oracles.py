@@ -596,7 +596,7 @@ def _catalogue() -> str:
             key = text if number.startswith("NULL") else number
             parts.append(f"SELECT '{table}' AS base_table, '{group}' AS group_col, "
                          f"'{name}' AS value_name, {number} AS kn, {text} AS key, "
-                         f"round(CAST({call} AS DOUBLE), 4) AS value, {total} AS total "
+                         f"round(CAST({call} AS DOUBLE) * {1 + 1e-12!r}::DOUBLE, 4) AS value, {total} AS total "
                          f"FROM {table} GROUP BY {key}")
     described = " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in C.COLUMN_DESCRIPTIONS.items())
     return f"""
