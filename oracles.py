@@ -731,8 +731,9 @@ def retrieval() -> dict[str, str]:
                CASE WHEN fine THEN t.chart END AS viz_code,
                CASE WHEN fine THEN CASE WHEN m + f = 0 THEN 0.0::DOUBLE ELSE printf('%.4f', abs(m - f)::DOUBLE / (m + f))::DOUBLE END END
                  AS bias_score,
-               CASE WHEN fine THEN finds.docs END AS retrieved_docs,
-               CASE WHEN fine THEN finds.ids END AS retrieved_ids
+               CASE WHEN fine THEN array_to_string(finds.docs, chr(10)) END
+                 AS retrieved_docs,
+               CASE WHEN fine THEN array_to_string(finds.ids, ',') END AS retrieved_ids
         FROM (SELECT *, k BETWEEN 1 AND 50 AS fine FROM checked) c
         JOIN told t USING (question_id) JOIN gendered USING (question_id)
         LEFT JOIN finds ON finds.query = c.query AND finds.k = c.k AND finds.metric = c.metric"""

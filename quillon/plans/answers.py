@@ -51,8 +51,14 @@ def brief(answers: DataFrame) -> DataFrame:
 
 
 def agent_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """All logged questions over all trips and customers, with context from the short passages."""
+    """All logged questions over all trips and customers, with context from the short passages.
+
+    The found texts and ids are shown as joined text.
+    """
     store = tables.read(spark, folder, "benchmark").select(
         F.col("item_id").alias("doc_id"), "text")
-    return answer(tables.question_log(spark, folder), store, tables.trips(spark, folder),
+    rows = answer(tables.question_log(spark, folder), store, tables.trips(spark, folder),
                   tables.customers(spark, folder))
+    return rows.withColumns({
+        "retrieved_docs": F.array_join("retrieved_docs", "\n"),
+        "retrieved_ids": F.array_join(F.col("retrieved_ids").cast("array<string>"), ",")})
