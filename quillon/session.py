@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,7 +23,9 @@ def build_session(app: str = "quillon", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -52,4 +55,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"{label}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def erase(*frames: DataFrame) -> None:
+    """Delete the folders of frames made by ``written`` that no later plan reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, so that their kernels load wherever the driver started."""
+    context = spark.sparkContext
+    if getattr(context, "_quillon_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="quillon-package-")
+    archive = shutil.make_archive(os.path.join(folder, "quillon"), "zip", os.path.dirname(here),
+                                  os.path.basename(here))
+    context.addPyFile(archive)
+    context._quillon_shipped = True
