@@ -12,6 +12,7 @@ repeated or null ids are packed row by row; an empty table gives no rows; other
 from __future__ import annotations
 
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,39 +26,58 @@ from quillon.session import written
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
-class WordIds:
-    """Token ids of texts, as little-endian bytes. The vocabulary never joins text across white
-    space, so a word's ids are looked up once and kept."""
+def _byte_letters() -> dict[int, str]:
+    """The visible letter that byte-level vocabularies use for each byte: itself if it is printable,
+    else the next free one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class WordIds(dict):
+    """Token ids, as little-endian bytes, of words between white space, kept once looked up.
+
+    The vocabulary never joins text across white space, nor a letter and a mark after it. So a word
+    of Latin letters (before U+0250, where lower-casing and composition leave nothing to decide) and
+    perhaps a few marks at its end goes to the merge table directly; all others take the whole path.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: bytes) -> bytes:
+        stem = word.rstrip(b".,;:!?")
+        text = stem.decode()
+        if text.isalpha() and max(text) < "\u0250" and text.lower().isalpha():
+            mapped = text.lower().encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.tokenizer.model.tokenize(mapped)]
+            ids = np.array(found, "<u4").tobytes()
+            if len(stem) < len(word):
+                ids += self[word[len(stem):]]
+        else:
+            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+            ids = np.array(found, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known)) if split else []
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes())
-                          for w, e in zip(new, found, strict=True))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, words)) for words in split]
+    def encode(self, text: bytes) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _ENCODERS: dict[str, WordIds] = {}
 
 
 def _encoder(path: str) -> WordIds:
-    import os
-
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
@@ -77,8 +97,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
             for i in range(0, len(keys), 256):
                 rows = []
                 part = texts[i: i + 256].to_pylist()
-                for key, ids in zip(keys[i: i + 256], encoder.encode(part), strict=True):
-                    ids += end
+                for key, text in zip(keys[i: i + 256], part, strict=True):
+                    ids = encoder.encode(text) + end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at: at + 4 * capacity]
                         rows.append((key, k, at // 4, len(piece) // 4, zlib.crc32(piece),
