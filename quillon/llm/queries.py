@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import packing
+from quillon.llm import labelled, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +18,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(labelled.remainder("doc_id", 5) != 0))
+    return labelled.judged(toxicity.score(docs, model), 5, 0, 0.5)
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"),
                         public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(labelled.remainder("doc_id", 4) != 2))
+    return labelled.judged(quality.score(docs, model), 4, 2, 0.7)
+
+
 QUERIES: dict[str, Query] = {
+    "op10_quality": op10_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
