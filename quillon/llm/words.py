@@ -102,11 +102,15 @@ class Runs:
 
     def __init__(self, words: np.ndarray, lane: int = 0):
         words = words if lane == 0 else mix(words ^ _M1)
-        n, base = len(words), _BASE[lane]
-        self.back = np.cumprod(np.concatenate(
-            [[1], np.full(n, pow(int(base), -1, 2**64), np.uint64)]).astype(np.uint64))
-        power = np.cumprod(np.concatenate([[1], np.full(n, base, np.uint64)]).astype(np.uint64))
-        self.sums = np.concatenate([[0], np.cumsum(words * power[:n])]).astype(np.uint64)
+        def powers(base: int) -> np.ndarray:
+            steps = np.full(len(words) + 1, base, np.uint64)
+            steps[0] = 1
+            return np.cumprod(steps, dtype=np.uint64)
+
+        base = int(_BASE[lane])
+        self.back = powers(pow(base, -1, 2**64))
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(base)[:-1], dtype=np.uint64, out=self.sums[1:])
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
         size = np.broadcast_to(np.asarray(length, np.uint64), start.shape)
