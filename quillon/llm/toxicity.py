@@ -18,10 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import labelled
+from quillon.llm.words import lists
 from quillon.session import erase, written
 
 ORDERS = (3, 4, 5)
@@ -104,54 +108,47 @@ def _present(slot: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray
     return pairs // width, pairs % width
 
 
-def _matrix(sample: DataFrame, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and feature numbers of the fitted rows' features, and the labels."""
+def _features(sample: DataFrame, slot: np.ndarray) -> DataFrame:
+    """(y, present): the numbers of each sampled text's chosen features, as words."""
     shared = sample.sparkSession.sparkContext.broadcast(slot)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.arange(slot_count).astype(str).astype(object)
         for batch in batches:
             labels = batch.column(1).to_pylist()
             for first, part in _slices(batch.column(0).to_pylist()):
                 own, feature = _present(shared.value, part)
-                cuts = np.searchsorted(own, np.arange(len(part) + 1))
-                found = [feature[a:b].astype("<i4").tobytes()
-                         for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-                yield pa.RecordBatch.from_pydict(
-                    {"y": labels[first: first + len(part)], "f": found},
-                    pa.schema([("y", pa.int32()), ("f", pa.binary())]))
+                counts = np.bincount(own, minlength=len(part))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(labels[first: first + len(part)], pa.int32()),
+                     lists(names[feature], counts, pa.string())], ["y", "present"])
 
-    rows = sample.select("text", "y").mapInArrow(extract, "y int, f binary").collect()
-    found = [np.frombuffer(r["f"], "<i4") for r in rows]
-    row = np.repeat(np.arange(len(rows)), [len(f) for f in found])
-    return row, np.concatenate([*found, np.zeros(0, "<i4")]), np.array([r["y"] for r in rows])
+    slot_count = int(slot.max()) + 1
+    return sample.select("text", "y").mapInArrow(extract, "y int, present array<string>")
 
 
-def _regress(row, feature, y, scale, ridge: float, steps: int = 600) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on features valued ``scale``, by accelerated gradient steps.
+def _regress(rows: DataFrame, scale: np.ndarray, texts: np.ndarray, ridge: float,
+             steps: int = 100) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression on 0/1 features times ``scale``; weights for unscaled features.
 
-    Rows of the rarer label weigh more, by the root of how much rarer it is.
+    Texts of the rarer label weigh more, by the root of how much rarer it is.
     """
-    n, value = len(y), scale[feature]
-    rarer = np.sqrt(max(y.mean(), 1 - y.mean()) / min(y.mean(), 1 - y.mean()))
-    each = np.where(y == (y.mean() < 0.5), rarer, 1.0)
-    each /= each.mean()
-    norm = np.bincount(row, value**2, n).max(initial=0.0)
-    rate = 1.0 / (0.25 * max(norm, 1.0) / 4 + ridge)
-    w, b = np.zeros(len(scale)), 0.0
-    w0, b0 = w, b
-    for t in range(steps):
-        vw, vb = w + t / (t + 3) * (w - w0), b + t / (t + 3) * (b - b0)
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, vw[feature] * value, n) + vb, -40, 40)))
-        off = (p - y) * each
-        grad = np.bincount(feature, off[row] * value, len(scale)) / n + ridge * vw
-        w0, b0 = w, b
-        w, b = vw - rate * grad, vb - min(rate, 4.0) * off.mean()
-    return w * scale, b
+    rarer, often = int(texts.argmin()), texts.max() / texts.min()
+    weighted = rows.withColumn("weight", F.when(F.col("y") == rarer, float(often**0.5))
+                               .otherwise(1.0))
+    counted = CountVectorizerModel.from_vocabulary(
+        [str(i) for i in range(len(scale))], "present", "binary").setBinary(True)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(scale), inputCol="binary",
+                                outputCol="features")
+    model = LogisticRegression(labelCol="y", weightCol="weight", regParam=ridge, maxIter=steps,
+                               standardization=False, tol=1e-8).fit(
+        scaled.transform(counted.transform(weighted)))
+    return model.coefficients.toArray() * scale, float(model.intercept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS,
         features: int = FEATURES, alpha: float = 1.0, least: int = 3,
-        ridge: float = 3e-5) -> Model:
+        ridge: float = 1e-3) -> Model:
     """Learn from at most ``rows`` labelled documents; the model has at most ``features`` weights."""
     sample = written(labelled.sample(docs, labels, label, rows).coalesce(16), "toxicity-sample")
     bad, good, texts = _counts(sample)
@@ -168,9 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     chosen = np.sort(chosen[strength[chosen] > 1.0])
     slot = np.full(1 << BITS, -1)
     slot[chosen] = np.arange(len(chosen))
-    row, feature, y = _matrix(sample, slot)
+    if not len(chosen):
+        share = (texts[1] + 1) / (texts.sum() + 2)
+        erase(sample)
+        return Model(slot, np.zeros(1), float(np.log(share / (1 - share))))
+    weight, bias = _regress(_features(sample, slot), ratio[chosen], texts, ridge)
     erase(sample)
-    weight, bias = _regress(row, feature, y, ratio[chosen], ridge)
     return Model(slot, weight, bias)
 
 
