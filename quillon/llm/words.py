@@ -16,6 +16,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+BARE = LOWER.copy()
+BARE[[b for b in range(33, 127) if not chr(b).isalnum()]] = 32
 _SEED = np.random.default_rng(20_240_229)
 _BYTE = _SEED.integers(0, 2**64, 256, np.uint64)
 _M1, _M2, _M3 = (np.uint64(x) for x in (
@@ -86,13 +88,13 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def texts(column: pa.Array, lower: bool) -> Iterator[tuple]:
+def texts(column: pa.Array, lower: bool = False, bare: bool = False) -> Iterator[tuple]:
     """Slices of whole texts: number of the first text, bytes, word starts and ends, first words,
-    word hashes. ``lower`` maps A-Z only."""
+    word hashes. ``lower`` maps A-Z only; ``bare`` also makes ASCII marks white space."""
     data, at = raw(column)
     for i, j in groups(at):
         part = data[at[i]: at[j]]
-        part = LOWER[part] if lower else part
+        part = BARE[part] if bare else LOWER[part] if lower else part
         starts, ends, first = places(part, at[i: j + 1] - at[i])
         yield i, part, starts, ends, first, hashes(part, starts, ends)
 
