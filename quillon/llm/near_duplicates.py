@@ -37,7 +37,8 @@ from quillon.llm.graphs import components
 from quillon.session import erase, written
 
 MINIMA, BITS, BANDS, ROWS = 256, 4, 48, 5
-PURE, CHUNK = 256, 512
+PURE, CHUNK = 512, 1024
+CHUNK_SHINGLES = 1 << 21
 _RNG = np.random.default_rng(11)
 _TIMES = (_RNG.integers(0, 2**32, MINIMA, np.uint32) | np.uint32(1))[:, None]
 _PLUS = _RNG.integers(0, 2**32, MINIMA, np.uint32)[:, None]
@@ -190,17 +191,19 @@ _BLOCK = ["key", "low", "high"]
 
 
 def _block_rows(buckets: DataFrame) -> DataFrame:
-    """Members of buckets (key, band, cid, comp) once per block pair that they take part in.
+    """Members of buckets (key, band, cid, comp, n_shingles) once per block pair they take part in.
 
     The members of one component are cut into chunks of their own once there are many, so that
     chunk pairs within a component are never made; the others share chunks.
     """
-    per_comp = buckets.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("own"))
-    small = per_comp.groupBy("key").agg(
-        F.sum(F.when(F.col("own") < PURE, F.col("own")).otherwise(0)).alias("rest"))
+    per_comp = buckets.groupBy("key", "comp").agg(
+        F.count(F.lit(1)).alias("own"), F.sum("n_shingles").alias("own_size"))
     pure = F.col("own") >= PURE
-    parts = F.ceil(F.greatest(F.when(pure, F.col("own")).otherwise(F.col("rest")), F.lit(1))
-                   / CHUNK)
+    small = per_comp.groupBy("key").agg(
+        *[F.sum(F.when(~pure, F.col(c)).otherwise(0)).alias(f"rest_{c}")
+          for c in ("own", "own_size")])
+    rows, size = (F.when(pure, F.col(c)).otherwise(F.col(f"rest_{c}")) for c in ("own", "own_size"))
+    parts = F.ceil(F.greatest(rows / CHUNK, size / CHUNK_SHINGLES, F.lit(1.0)))
     chunk = F.xxhash64(F.when(pure, F.col("comp")).otherwise(-1), pure,
                        F.pmod(F.xxhash64("cid"), parts))
     sizes = per_comp.join(small, "key")
@@ -256,9 +259,9 @@ def _joining(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             shared = (times > 1)[inverse]
             column = (np.cumsum(times > 1) - 1)[inverse[shared]]
             common = np.zeros((len(found), len(found)), np.float32)
-            for at in range(0, int(column.max(initial=-1)) + 1, 8192):
-                part = (column >= at) & (column < at + 8192)
-                dense = np.zeros((len(found), 8192), np.float32)
+            for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+                part = (column >= at) & (column < at + 4096)
+                dense = np.zeros((len(found), 4096), np.float32)
                 dense[owner[shared][part], column[part] - at] = 1
                 common += dense @ dense.T
             common = common.astype(np.int64)
@@ -357,7 +360,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     labelled = written(_relabel(members.filter("n > 2"), comps), "near-labelled")
     split = labelled.groupBy("key").agg(
         F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    mixed = written(labelled.join(split, "key").select("key", "band", "cid", "comp"), "near-mixed")
+    mixed = written(labelled.join(split, "key").join(
+        classes.select("cid", "n_shingles"), "cid").select(
+        "key", "band", "cid", "comp", "n_shingles"), "near-mixed")
     likely = written(_likely(_block_rows(mixed), one, cut), "near-likely")
     more = written(_joining(likely, sets, percent), "near-links")
     comps = written(components(links.unionByName(more)), "near-components")
