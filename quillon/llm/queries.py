@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, labelled, near_duplicates, packing, quality, repeats, toxicity
+from quillon.llm import decontamination, labelled, near_duplicates, oracles, packing, quality, repeats, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op1_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  table(spark, sf_dir, "benchmark"))
 
 
+def op2_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op3_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
@@ -52,8 +56,9 @@ QUERIES: dict[str, Query] = {
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
     "op1_string_tiling": op1_string_tiling,
+    "op2_path_templates": op2_path_templates,
     "op3_repeated_phrases": op3_repeated_phrases,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
