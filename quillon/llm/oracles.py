@@ -68,4 +68,57 @@ SELECT page_id, host, path, rule,
 FROM v JOIN q4 USING (host, s1, s2, s3, s4)"""
 
 
-ORACLES = {"op2_path_templates": _url_filter()}
+#: Label, base or not, key phrase, where it starts in the template, template.
+_TEMPLATES = [
+    ("mit", True, "mit license", 0, "mit license"),
+    ("apache", True, "apache license", 0, "apache license"),
+    ("gpl", True, "general public license", 0, "general public license"),
+    ("apache-2.0", False, "apache license version 2 0", 3,
+     "licensed under the apache license version 2 0"),
+    ("gpl-3.0", False, "general public license version 3", 4,
+     "licensed under the gnu general public license version 3"),
+    ("gpl-2.0", False, "general public license version 2", 4,
+     "licensed under the gnu general public license version 2"),
+    ("lgpl", False, "lesser general public license", 1, "gnu lesser general public license"),
+    ("mpl-2.0", False, "mozilla public license", 0, "mozilla public license version 2 0"),
+    ("mit-notice", False, "released under the mit license", 0, "released under the mit license"),
+    ("mit-text", False, "permission is hereby granted free of charge", 0,
+     "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("bsd", False, "redistribution and use in source and binary forms", 0,
+     "redistribution and use in source and binary forms with or without modification are "
+     "permitted"),
+    ("cc-by-nc-4.0", False, "cc by nc 4 0", 2, "licensed under cc by nc 4 0"),
+    ("cc-by-sa-4.0", False, "cc by sa 4 0", 2, "licensed under cc by sa 4 0"),
+    ("cc-by-4.0", False, "cc by 4 0", 2, "licensed under cc by 4 0"),
+]
+
+
+def _license_scan() -> str:
+    """Every place of every key phrase, by trying each word of each file."""
+    values = ",\n".join(f"('{label}', {base}, string_split('{key}', ' '), {at}, "
+                        f"string_split('{body}', ' '))" for label, base, key, at, body in _TEMPLATES)
+    return f"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(
+    coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+t(label, base, key, lead, body) AS (VALUES {values}),
+c AS (SELECT r, label, base, key, lead, body, words
+      FROM w, t WHERE list_has_all(words, key)),
+p AS (SELECT *, unnest(range(0, len(words) - len(key) + 1)) AS i FROM c),
+v AS (SELECT r, label, base, i - lead AS o,
+      len(list_filter(range(0, len(body)), lambda k: i - lead + k >= 0
+                      AND words[(i - lead + k + 1)::INT] = body[(k + 1)::INT])) / len(body) AS share
+      FROM p WHERE words[(i + 1)::INT] = key[1]
+      AND list_slice(words, i + 1, i + len(key)) = key),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(o) FILTER (base) AS first_word,
+      max(o) FILTER (base) AS last_word,
+      coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+      string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+      FROM v WHERE share >= 0.6 GROUP BY r)
+SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+    coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+    coalesce(score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN g USING (r)"""
+
+
+ORACLES = {"op6_rare_token_index": _license_scan(), "op2_path_templates": _url_filter()}
