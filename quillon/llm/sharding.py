@@ -31,7 +31,7 @@ def _chance(salt: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _wishes(now: DataFrame, links: DataFrame, full: list[int]) -> DataFrame:
+def _wishes(now: DataFrame, links: DataFrame, full: list[int], salt: int) -> DataFrame:
     """row, shard, to, gain of every document with more neighbours in another shard that has room.
 
     An edge's members are counted per shard once, whatever their number; each member then sees the
@@ -50,7 +50,7 @@ def _wishes(now: DataFrame, links: DataFrame, full: list[int]) -> DataFrame:
         F.coalesce(F.max(F.when(here, F.col("votes"))), F.lit(0)).alias("here"))
     return best.select("row", "shard", (-F.col("best.minus")).alias("to"),
                        (F.col("best.votes") - F.col("here")).alias("gain")).filter(
-        "gain > 1 or gain = 1 and to < shard")
+        (F.col("gain") > 1) | (F.col("gain") == 1) & (_chance(100 + salt, "row") < 0.5))
 
 
 def _room(now: DataFrame, shards: int, total: int) -> dict[int, int]:
@@ -94,15 +94,13 @@ def _even(now: DataFrame, shards: int, rows: int) -> DataFrame:
     bounds = now.sparkSession.createDataFrame(over, "shard int, fair long")
     surplus = written(placed.join(F.broadcast(bounds), "shard").filter("place >= fair").select(
         "row", F.lit(0).alias("all")), "shard-surplus")
-    lack, at = [], 0
+    number = numbered(surplus, "all", [F.col("row")], _chance(1, "row"), "number", surplus.count())
+    home, at = F.lit(None).cast("int"), 0
     for s in range(shards):
         missing = max(0, fair[s] - sizes.get(s, 0))
-        lack.append((at, at + missing, s))
-        at += missing
-    homes = now.sparkSession.createDataFrame(lack, "low long, high long, moved int")
-    number = numbered(surplus, "all", [F.col("row")], _chance(1, "row"), "number", surplus.count())
-    moved = number.join(F.broadcast(homes), (F.col("number") >= F.col("low"))
-                        & (F.col("number") < F.col("high"))).select("row", "moved")
+        inside = (F.col("number") >= at) & (F.col("number") < at + missing)
+        home, at = F.when(inside, F.lit(s)).otherwise(home), at + missing
+    moved = number.select("row", home.alias("moved"))
     out = written(placed.drop("place").join(moved, "row", "left").withColumn(
         "shard", F.coalesce("moved", "shard")).drop("moved"), "shard-even")
     erase(placed, surplus)
@@ -127,7 +125,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
         free = _room(now, shards, rows)
         nearly = max(shards, rows // shards // 50)
         full = [s for s, n in free.items() if n < nearly] if k % 2 == 0 else []  # odd: swaps too
-        wishes = written(_wishes(now, links, full), "shard-wishes")
+        wishes = written(_wishes(now, links, full, k), "shard-wishes")
         moves = written(_granted(wishes, free, k), "shard-moves")
         some = bool(moves.take(1))
         if some:
