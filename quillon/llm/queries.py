@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, labelled, licenses, near_duplicates, oracles, packing, quality, repeats, sharding, toxicity, urls
+from quillon.llm import decontamination, hnsw, labelled, licenses, near_duplicates, oracles, packing, quality, repeats, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op4_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op2_path_templates": op2_path_templates,
     "op3_repeated_phrases": op3_repeated_phrases,
     "op4_label_propagation": op4_label_propagation,
+    "op5_hnsw": op5_hnsw,
     "op6_rare_token_index": op6_rare_token_index,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
