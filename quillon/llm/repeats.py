@@ -6,12 +6,14 @@ one phrase per twenty words.
 
 1. One pass over the texts gives each document's phrases and a digest of its words. Documents with
    equal words are one class; later ones of a class are copies and need no search.
-2. Phrases in two documents or more recur. Only windows with such a phrase are hashed (128 bits),
-   counted, and confirmed if two documents hold them; the smallest id of each is noted.
+2. Phrases in two documents or more recur. All windows of a document with the same phrase are a
+   span. Documents that agree on a whole span (128 bits) confirm its windows; where the spans of a
+   phrase differ, the windows of one document per span are compared one by one. The smallest id
+   that holds a window is noted.
 3. Documents with recurring phrases are dealt to shards by their id. Each shard gets the confirmed
-   phrases and windows that its documents may hold, compiles one Aho-Corasick automaton and runs its
-   documents' whole texts through it. Every place where a phrase is found is checked against the
-   confirmed windows around it. A shard's automaton never outgrows the shard's own texts, whatever
+   phrases and spans that its documents hold, compiles one Aho-Corasick automaton and runs its
+   documents' whole texts through it. The windows of every phrase that is found are looked up in
+   the confirmed spans. A shard's automaton never outgrows the shard's own texts, whatever
    the corpus holds. Documents without a recurring phrase have nothing to find.
 
 Defined cases: words are runs other than space and 09-0D, null is a text without words; a text
@@ -36,6 +38,7 @@ from quillon.session import erase, written
 
 WINDOW, PHRASE = 50, 8
 SHARD_BYTES = 8 << 20
+BROADCAST_PHRASES = 1 << 22
 _LAST = 2**63 - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -102,45 +105,89 @@ def features(docs: DataFrame, window: int, phrase: int) -> DataFrame:
              "phrases array<long>")
 
 
-def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Per document and recurring phrase: the phrase as text and the hashes of its windows."""
+def _text_spans(runs, total: int, at: np.ndarray, k: int, chosen, phrases: np.ndarray,
+                window: int):
+    """For text ``k`` of a slice and each of its windows' phrases in ``phrases``: the phrase, the
+    starts of the windows that have it, their hashes and the digest of all of them: a span."""
+    start, owner, least, _ = chosen
+    a, b = np.searchsorted(owner, [k, k + 1])
+    hit = a + np.flatnonzero(np.isin(least[a:b], phrases))
+    hit = hit[np.argsort(least[hit], kind="stable")]
+    values, heads = np.unique(least[hit], return_index=True)
+    hashed = [r.of(start[hit], window) for r in runs]
+    number = np.arange(len(hit), dtype=np.uint64)
+    for value, x, y in zip(values, heads, np.append(heads, len(hit))[1:], strict=True):
+        digest = [int(words.mix(h[x:y] + words.mix(number[: y - x])).sum().view(np.int64))
+                  for h in hashed]
+        yield value, start[hit[x:y]], [words.signed(h[x:y]) for h in hashed], digest
+
+
+def _per_text(column: pa.Array, window: int, phrase: int):
+    """(row, bytes, word starts, word ends, spans-of-phrases) for every text of a column."""
+    for first, data, starts, ends, at, hashed in words.texts(column):
+        runs = [words.Runs(hashed, lane) for lane in (0, 1)]
+        chosen = chosen_phrases(runs[0], len(starts), at, window, phrase)
+        for k in range(len(at) - 1):
+            yield (first + k, data, starts, ends, at[k], at[k + 1], chosen[3],
+                   lambda wanted, k=k: _text_spans(runs, len(starts), at, k, chosen, wanted,
+                                                   window))
+
+
+def _spans(texts: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Per document and recurring phrase: the phrase as text and the digest of its windows."""
+    kinds = [("shard", pa.int64()), ("id", pa.int64()), ("p", pa.int64()),
+             ("phrase", pa.string()), ("s1", pa.int64()), ("s2", pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("shard", pa.int64()), ("id", pa.int64()), ("phrase", pa.string()),
-                            ("h1", pa.list_(pa.int64())), ("h2", pa.list_(pa.int64()))])
         for batch in batches:
-            shards, ids = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            wanted = batch.column(3)
-            for first, data, starts, ends, at, hashed in words.texts(batch.column(2), lower=False):
-                runs = [words.Runs(hashed, lane) for lane in (0, 1)]
-                start, owner, least, every = chosen_phrases(
-                    runs[0], len(starts), at, window, phrase)
-                out = {k: [] for k in schema.names}
-                cuts = np.searchsorted(owner, np.arange(len(at)))
-                for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                    recurring = wanted[first + k].values.to_numpy().view(np.uint64)
-                    hit = a + np.flatnonzero(np.isin(least[a:b], recurring))
-                    order = hit[np.argsort(least[hit], kind="stable")]
-                    _, heads = np.unique(least[order], return_index=True)
-                    for x, y in zip(heads, [*heads[1:], len(order)], strict=True):
-                        mine = order[x:y]
-                        s = start[mine[0]]
-                        p = s + int((every[s: s + window - phrase + 1] == least[mine[0]]).argmax())
-                        out["shard"].append(shards[first + k])
-                        out["id"].append(ids[first + k])
-                        out["phrase"].append(b" ".join(
-                            data[starts[q]: ends[q]].tobytes() for q in range(p, p + phrase)
-                        ).decode())
-                        for lane, name in enumerate(("h1", "h2")):
-                            out[name].append(words.signed(runs[lane].of(start[mine], window)))
-                if out["id"]:
-                    yield pa.RecordBatch.from_pydict(out, schema)
+            rows = []
+            for row, data, starts, ends, _, _, every, spans in _per_text(
+                    batch.column(2), window, phrase):
+                wanted = batch.column(3)[row].values.to_numpy().view(np.uint64)
+                for value, begin, _, digest in spans(wanted):
+                    s = begin[0]
+                    p = s + int((every[s: s + window - phrase + 1] == value).argmax())
+                    text = b" ".join(data[starts[q]: ends[q]].tobytes()
+                                     for q in range(p, p + phrase)).decode()
+                    rows.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(),
+                                 int(value.view(np.int64)), text, *digest))
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, kind) for c, (_, kind) in
+                     zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
     return texts.select("shard", "id", "text", "phrases").mapInArrow(
-        run, "shard long, id long, phrase string, h1 array<long>, h2 array<long>")
+        run, "shard long, id long, p long, phrase string, s1 long, s2 long")
+
+
+def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
+    """The windows of the given spans (phrase, lowest and highest document), one row each."""
+    names = ["sid", "k", "h1", "h2", "low", "high"]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for row, _, _, _, _, _, _, spans in _per_text(batch.column(0), window, phrase):
+                given = {(g["p"], g["s1"], g["s2"]): g for g in batch.column(1)[row].as_py()}
+                wanted = np.array([g[0] for g in given], np.int64).view(np.uint64)
+                for value, begin, (one, two), digest in spans(wanted):
+                    g, n = given.get((int(value.view(np.int64)), *digest)), len(begin)
+                    if g is not None:
+                        parts.append([np.full(n, g["sid"]), np.arange(n), one, two,
+                                      np.full(n, g["low"]), np.full(n, g["high"])])
+            if parts:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(c).astype(np.int64))
+                     for c in zip(*parts, strict=True)], names)
+
+    return texts.select("text", "given").mapInArrow(
+        run, ", ".join(f"{n} long" for n in names))
 
-def _cut(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> str:
+
+def _cut(text: str, gone: np.ndarray) -> str:
     """The text without the words marked ``gone`` and the white space after each."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = words.places(data, np.array([0, len(data)]))
     after = np.append(starts[1:], ends[-1])
     keep = np.ones(len(data), bool)
     for i in np.flatnonzero(gone):
@@ -158,51 +205,65 @@ def _search(texts: DataFrame, confirmed: DataFrame, window: int, phrase: int,
         import ahocorasick
 
         automaton = ahocorasick.Automaton()
-        for text in right["phrase"].unique().to_pylist():
-            automaton.add_word(f" {text} ", len(text) + 2)
+        for text, value in zip(right["phrase"].to_pylist(), right["p"].to_pylist(), strict=True):
+            automaton.add_word(f" {text} ", value)
         automaton.make_automaton()
-        h1, h2 = right["h1"].to_numpy(), right["h2"].to_numpy()
-        order = np.lexsort((h2, h1))
-        h1, h2, least_id = h1[order], h2[order], right["least_id"].to_numpy()[order]
-        alike = int(np.unique(h1, return_counts=True)[1].max(initial=0))
+        known = dict(zip(zip(*(right[c].to_pylist() for c in ("p", "s1", "s2")), strict=True),
+                         right["least"].to_pylist(), strict=True))
         out = {name: [] for name, _ in kinds}
-        for row in range(left.num_rows):
-            column, own_id = left["text"].slice(row, 1), left["id"][row].as_py()
-            _, data, starts, ends, at, hashed = next(words.texts(column, lower=False))
-            n = len(starts)
-            mine = [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
+        for row, data, starts, ends, a, b, _, spans in _per_text(left["text"], window, phrase):
+            own_id, n, gone = left["id"][row].as_py(), b - a, np.zeros(0, bool)
+            mine = [data[x:y].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)]
             line = (b" " + b" ".join(mine) + b" ").decode()
-            spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-            found = [end - size + 1 for end, size in automaton.iter(line)] if len(
-                automaton) else []
-            found = np.searchsorted(spaces, np.array(found, np.int64))
-            near = np.zeros(max(n - window + 1, 0) + 1, np.int64)
-            last = len(near) - 1
-            np.add.at(near, np.minimum(np.maximum(found - window + phrase, 0), last), 1)
-            np.add.at(near, np.minimum(found + 1, last), -1)
-            near = np.flatnonzero(np.cumsum(near)[:-1] > 0)
-            one, two = (words.signed(words.Runs(hashed, k).of(near, window)) for k in (0, 1))
-            place, earlier = np.searchsorted(h1, one), np.zeros(len(near), bool)
-            for step in range(alike):
-                spot = np.minimum(place + step, len(h1) - 1)
-                earlier |= (h1[spot] == one) & (h2[spot] == two) & (least_id[spot] < own_id)
+            found = {value for _, value in automaton.iter(line)} if len(automaton) else set()
             edge = np.zeros(n + 1, np.int64)
-            np.add.at(edge, near[earlier], 1)
-            np.add.at(edge, near[earlier] + window, -1)
+            for value, begin, _, digest in spans(np.array(list(found), np.int64).view(np.uint64)):
+                least = known.get((int(value.view(np.int64)), *digest))
+                if least is not None:
+                    earlier = begin[np.array(least) < own_id] if len(least) == len(begin) else (
+                        begin if least[0] < own_id else begin[:0])
+                    np.add.at(edge, earlier - a, 1)
+                    np.add.at(edge, earlier - a + window, -1)
             gone = np.cumsum(edge)[:-1] > 0
             kept = b" ".join(w for w, g in zip(mine, gone, strict=True) if not g)
             out["id"].append(own_id)
             out["t"].append(left["t"][row].as_py())
             out["n_removed"].append(int(gone.sum()))
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(_cut(data, starts, ends, gone)
-                               if keep_text and gone.any() else None)
+            out["kept"].append(_cut(left["text"][row].as_py(), gone) if keep_text and gone.any() else None)
         return pa.table(out, pa.schema(kinds))
 
     return texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(
         run, "id long, t long, n_removed long, kept_sha256 string, kept string")
 
 
+def _confirmed(texts: DataFrame, spans: DataFrame, window: int, phrase: int) -> DataFrame:
+    """Per shard: the spans its documents hold, their phrases, and the smallest document that holds
+    each window of the span; a single number if that is the same for all windows.
+
+    Documents that agree on a whole span confirm each other's windows. Only phrases with different
+    spans are looked into window by window, and of each different span one document's.
+    """
+    span = ["p", "s1", "s2"]
+    ends = spans.groupBy(*span).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    kinds = ends.groupBy("p").agg(F.count(F.lit(1)).alias("n_spans"))
+    ends = written(ends.join(kinds, "p").withColumn("sid", F.monotonically_increasing_id()),
+                   "repeat-ends")
+    alone = ends.filter("n_spans = 1").select(*span, F.array("low").alias("least"))
+    given = ends.filter("n_spans > 1").groupBy(F.col("low").alias("id")).agg(
+        F.collect_list(F.struct(*span, "sid", "low", "high")).alias("given"))
+    each = written(_windows(texts.join(given, "id"), window, phrase), "repeat-windows")
+    held = each.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("high").alias("top"))
+    least = F.when(F.col("least") < F.col("top"), F.col("least")).otherwise(F.lit(_LAST))
+    looked_up = each.select("sid", "k", "h1", "h2").join(held, ["h1", "h2"]).groupBy("sid").agg(
+        F.sort_array(F.collect_set(F.struct("k", least.alias("least")))).alias("w"))
+    several = ends.join(looked_up, "sid").select(*span, F.col("w.least").alias("least"))
+    local = spans.groupBy("shard", *span).agg(
+        F.min("phrase").alias("phrase"), F.max("id").alias("top"))
+    return local.join(alone.unionByName(several), span).filter(
+        F.array_min("least") < F.col("top")).drop("top")
+
+
 def decide(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
            keep_text: bool = False) -> DataFrame:
     """Per row: id, t, n_words, n_removed, kept_sha256 and, on request, what is left of the text
@@ -212,26 +273,23 @@ def decide(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     by_words = ["d1", "d2", "n_words"]
     classes = written(long.groupBy(*by_words).agg(F.min("id").alias("first")), "repeat-classes")
     firsts = long.withColumn("first", F.col("id")).join(classes, [*by_words, "first"])
-    held = written(firsts.select("id", F.explode("phrases").alias("p")).distinct(),
-                   "repeat-phrases")
+    firsts = written(firsts.select("id", "phrases"), "repeat-firsts")
+    held = firsts.select("id", F.explode("phrases").alias("p"))
     recurring = held.groupBy("p").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter(
         "x < y").select("p")
     wanted = written(held.join(recurring, "p").groupBy("id").agg(
-        F.collect_list("p").alias("phrases")), "repeat-wanted")
+        F.collect_set("p").alias("phrases")), "repeat-wanted")
+    erase(firsts)
     amount = wanted.join(seen.select("id", "n_bytes"), "id").agg(F.sum("n_bytes")).first()[0] or 0
     n_shards = max(1, math.ceil(amount / SHARD_BYTES))
-    texts = written(_keyed(docs).join(wanted, "id").withColumn(
+    n_phrases = wanted.agg(F.sum(F.size("phrases"))).first()[0] or 0
+    ids = wanted if n_phrases > BROADCAST_PHRASES else F.broadcast(wanted)
+    texts = written(_keyed(docs).join(ids, "id").withColumn(
         "shard", F.pmod(F.xxhash64("id"), F.lit(n_shards))), "repeat-texts")
-    windows = written(_windows(texts, window, phrase), "repeat-windows")
-    each = windows.select("shard", "id", "phrase", F.explode(F.arrays_zip("h1", "h2")).alias("w")
-                          ).select("shard", "id", "phrase", "w.h1", "w.h2")
-    confirmed = each.groupBy("h1", "h2").agg(
-        F.min("id").alias("least_id"), F.max("id").alias("y")).filter("least_id < y").drop("y")
-    local = each.groupBy("shard", "phrase", "h1", "h2").agg(F.max("id").alias("y"))
-    local = local.join(confirmed, ["h1", "h2"]).filter("least_id < y").drop("y")
-    found = written(_search(texts, local, window, phrase, keep_text).dropDuplicates(["id", "t"]),
-                    "repeat-found")
-    erase(held, wanted, texts, windows)
+    spans = written(_spans(texts, window, phrase), "repeat-spans")
+    found = written(_search(texts, _confirmed(texts, spans, window, phrase), window, phrase,
+                            keep_text).dropDuplicates(["id", "t"]), "repeat-found")
+    erase(wanted, texts, spans)
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     return (seen.drop("phrases", "n_bytes").join(classes, by_words, "left")
             .join(found, ["id", "t"], "left")
