@@ -128,17 +128,18 @@ def _first_contained(text: str, words: list[str]) -> str:
 def samples() -> dict[str, str]:
     return {
         "sample_top_locations": _with(TRIPS) + """
-            SELECT location, total_fare,
-                   row_number() OVER (ORDER BY total_fare DESC, location) AS rank
-            FROM (SELECT location, round(sum(fare), 2) AS total_fare FROM trips GROUP BY location)
+            SELECT location, round(exact::DOUBLE / 1000000.0::DOUBLE, 2) AS total_fare,
+                   row_number() OVER (ORDER BY exact DESC, location) AS rank
+            FROM (SELECT location, sum(CAST(CAST(fare AS DECIMAL(20, 6)) * 1000000 AS HUGEINT))
+                  AS exact FROM trips GROUP BY location)
             QUALIFY rank <= 5""",
         "sample_avg_fare_by_passengers": _with(TRIPS) + """
             SELECT passengers, round(avg(fare), 4) AS avg_fare,
                    row_number() OVER (ORDER BY passengers) AS rank FROM trips GROUP BY passengers""",
         "sample_churn_by_region": _with(CUSTOMERS) + """
-            SELECT *, row_number() OVER (ORDER BY churn_rate DESC, region) AS rank
-            FROM (SELECT region, round(avg(churn) * 100, 4) AS churn_rate
-                  FROM customers GROUP BY region)""",
+            SELECT region, round(exact * 100, 4) AS churn_rate,
+                   row_number() OVER (ORDER BY exact DESC, region) AS rank
+            FROM (SELECT region, avg(churn) AS exact FROM customers GROUP BY region)""",
         "sample_tenure_buckets": _with(CUSTOMERS) + """
             SELECT *, row_number() OVER (ORDER BY tenure_bucket) AS rank
             FROM (SELECT CASE WHEN tenure <= 12 THEN '0-12 months'
@@ -584,26 +585,36 @@ def _catalogue() -> str:
               "month": ("trips", "NULL::BIGINT", "strftime(pickup_date, '%Y-%m')"),
               "region": ("customers", "NULL::BIGINT", "region"),
               "tenure": ("customers", "tenure", "tenure::VARCHAR")}
+    micro = {c: f"sum(CAST(CAST({c} AS DECIMAL(20, 6)) * 1000000 AS HUGEINT))"
+             for c in ("fare", "revenue")}
+    # measure: whole millionths, what they are divided by
     measures = {
-        "trips": {"sum_fare": "sum(fare)", "avg_fare": "avg(fare)", "count_fare": "count(fare)",
-                  "count": "count(*)"},
-        "customers": {"sum_revenue": "sum(revenue)", "avg_revenue": "avg(revenue)",
-                      "count_revenue": "count(revenue)", "avg_churn": "avg(churn)",
-                      "churn_rate": "avg(churn) * 100", "count": "count(*)"}}
+        "trips": {"sum_fare": (micro["fare"], "1"), "avg_fare": (micro["fare"], "count(fare)"),
+                  "count_fare": ("count(fare) * 1000000", "1"),
+                  "count": ("count(*) * 1000000", "1")},
+        "customers": {"sum_revenue": (micro["revenue"], "1"),
+                      "avg_revenue": (micro["revenue"], "count(revenue)"),
+                      "count_revenue": ("count(revenue) * 1000000", "1"),
+                      "avg_churn": ("sum(churn) * 1000000", "count(churn)"),
+                      "churn_rate": ("sum(churn) * 100000000", "count(churn)"),
+                      "count": ("count(*) * 1000000", "1")}}
     for group, (table, number, text) in groups.items():
-        for name, call in measures[table].items():
+        for name, (whole, by) in measures[table].items():
             total = "count(*)" if name == "churn_rate" else "NULL::BIGINT"
             key = text if number.startswith("NULL") else number
-            parts.append(f"SELECT '{table}' AS base_table, '{group}' AS group_col, "
-                         f"'{name}' AS value_name, {number} AS kn, {text} AS key, "
-                         f"round(CAST({call} AS DOUBLE) * {1 + 1e-12!r}::DOUBLE, 4) AS value, {total} AS total "
-                         f"FROM {table} GROUP BY {key}")
+            parts.append(
+                f"SELECT '{table}' AS base_table, '{group}' AS group_col, '{name}' AS value_name, "
+                f"{number} AS kn, {text} AS key, CAST({whole} AS DOUBLE) / 1000000.0::DOUBLE "
+                f"/ CAST({by} AS DOUBLE) AS value, CAST((CAST({whole} AS HUGEINT) * 2 + 100 * {by}) "
+                f"// (200 * {by}) AS DECIMAL(20, 0)) * 0.0001::DECIMAL(5, 4) AS exact, "
+                f"{total} AS total FROM {table} GROUP BY {key}")
     described = " ".join(f"WHEN '{k}' THEN {_quoted(v)}" for k, v in C.COLUMN_DESCRIPTIONS.items())
     return f"""
 catalogue AS ({' UNION ALL '.join(parts)}),
 ranked AS MATERIALIZED (SELECT *, d.direction AS dir, row_number() OVER (
     PARTITION BY base_table, group_col, value_name, d.direction
-    ORDER BY CASE d.direction WHEN 'ASC' THEN value ELSE -value END, kn, key) AS rank
+    ORDER BY CASE d.direction WHEN 'ASC' THEN value ELSE -value END, kn, key) AS rank,
+    count(*) OVER (PARTITION BY base_table, group_col, value_name, d.direction) AS all_rows
     FROM catalogue, (VALUES ('ASC'), ('DESC')) d(direction)),
 whole AS (SELECT *, value_name IN ('count', 'count_fare', 'count_revenue') AS is_whole,
     CASE WHEN group_col IN ('region', 'month') THEN '"' || key || '"'
@@ -611,11 +622,11 @@ whole AS (SELECT *, value_name IN ('count', 'count_fare', 'count_revenue') AS is
     CASE group_col WHEN 'location' THEN 'Loc ' || key WHEN 'region' THEN {_title('key', ' ')}
          ELSE key END AS label FROM ranked),
 texted AS (SELECT *, CASE WHEN is_whole THEN value::BIGINT::VARCHAR
-         ELSE value::DECIMAL(20, 4)::VARCHAR END AS number_json,
+         ELSE exact::DECIMAL(24, 4)::VARCHAR END AS number_json,
     CASE WHEN is_whole THEN value::BIGINT::VARCHAR ELSE printf('%.2f', value) END AS shown
     FROM whole),
 packs AS (SELECT base_table, group_col, value_name, dir, lim,
-    count(*) AS n, '[' || string_agg('{{"' || group_col || '": ' || key_json || ', "' || value_name
+    count(*) AS n, any_value(all_rows) AS all_rows, '[' || string_agg('{{"' || group_col || '": ' || key_json || ', "' || value_name
       || '": ' || number_json || coalesce(', "total": ' || total, '') || '}}', ', ' ORDER BY rank)
       || ']' AS result,
     min_by(key, rank) AS top_key, min_by(value, rank) AS top_value,
@@ -627,6 +638,7 @@ packs AS (SELECT base_table, group_col, value_name, dir, lim,
     FROM texted, range(1, 21) r(lim) WHERE rank <= lim
     GROUP BY base_table, group_col, value_name, dir, lim),
 answered AS (SELECT q.question_id, q.query, s.statement, s.error, s.group_col, s.value_name, p.n,
+    CASE WHEN p.n IS NOT NULL THEN least(s.row_limit, p.all_rows) END AS row_count,
     p.result, p.top_key, p.top_value, p.spots, p.ys, p.texts, p.hover, p.labels
     FROM question_log q LEFT JOIN slots s USING (question_id)
     LEFT JOIN packs p ON p.base_table = s.base_table AND p.group_col = s.group_col
@@ -664,7 +676,7 @@ def questions() -> dict[str, str]:
                    s.row_limit, s.statement
             FROM question_log q LEFT JOIN slots s USING (question_id)""",
         "question_answers": told + """
-            SELECT question_id, error, coalesce(n, 0)::INT AS row_count, result AS sql_result
+            SELECT question_id, error, coalesce(row_count, 0)::INT AS row_count, result AS sql_result
             FROM told""",
         "chart_specs": told + "SELECT question_id, chart FROM told WHERE chart IS NOT NULL",
         "narratives": told + "SELECT question_id, narrative FROM told",

@@ -20,22 +20,35 @@ from quillon.operators.ranking import first_per_group
 from quillon.sources import tables
 
 WHOLE_NUMBERS = ["count", "count_fare", "count_revenue"]
-# Sums of doubles differ in their last bits with the order of rows. This nudge sends exact halves of
-# the fourth decimal, which a mean over 32 rows easily has, the same way in every run.
-STEADY = 1 + 1e-12
+# Amounts are summed as whole millionths, so a total does not depend on the order of rows.
+MICRO = 1_000_000
 SLOT_KEYS = ["base_table", "group_col", "value_name", "direction"]
 
 
+def micro(amount: Column) -> Column:
+    """An amount in whole millionths."""
+    return (amount.cast("decimal(20,6)") * F.lit(MICRO).cast("decimal(7,0)")).cast("decimal(26,0)")
+
+
+def _measure(name: str, millionths: Column, count: Column, total: Column | None = None) -> Column:
+    """A measure ``millionths / count``: its value, and the value to four decimals (halves up, from
+    the exact quotient) for display."""
+    exact, n = millionths.cast("decimal(36,0)"), count.cast("decimal(20,0)")
+    shown = F.floor((exact * 2 + n * 100).cast("decimal(38,0)") / (n * 200).cast("decimal(24,0)"))
+    return F.struct(
+        F.lit(name).alias("value_name"),
+        (exact.cast("double") / (float(MICRO)) / count.cast("double")).alias("value"),
+        (shown.cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(5,4)"))
+        .cast("decimal(24,4)").alias("shown"),
+        (F.lit(None).cast("bigint") if total is None else total).alias("total"))
+
+
 def _long(df: DataFrame, table: str, group: Column, number: Column, text: Column,
-          measures: list[str], total: Column) -> DataFrame:
+          measures: list[Column]) -> DataFrame:
     """One row per group value and measure."""
-    cells = F.array(*[F.struct(F.lit(m).alias("value_name"),
-                               F.round(F.col(m).cast("double") * STEADY, 4).alias("value"),
-                               (total if m == "churn_rate" else F.lit(None).cast("bigint"))
-                               .alias("total")) for m in measures])
     return df.select(F.lit(table).alias("base_table"), group.alias("group_col"),
                      number.cast("bigint").alias("key_number"), text.alias("key_text"),
-                     F.inline(cells))
+                     F.inline(F.array(*measures)))
 
 
 def metric_catalogue(trips: DataFrame, customers: DataFrame) -> DataFrame:
@@ -44,8 +57,9 @@ def metric_catalogue(trips: DataFrame, customers: DataFrame) -> DataFrame:
     keys = ["location", "passengers", "month"]
     per_trip = fare.groupingSets([[F.col(k)] for k in keys], *keys).agg(
         F.grouping_id().alias("gid"),
-        F.sum("fare").alias("sum_fare"), F.avg("fare").alias("avg_fare"),
-        F.count("fare").alias("count_fare"), F.count("*").alias("count"))
+        F.sum(micro(F.col("fare"))).alias("fares"), F.count("fare").alias("n_fares"),
+        F.count("*").alias("n"))
+    one = F.lit(1)
     place = F.col("gid") == 0b011
     people = F.col("gid") == 0b101
     trip_rows = _long(
@@ -54,64 +68,79 @@ def metric_catalogue(trips: DataFrame, customers: DataFrame) -> DataFrame:
         F.when(place, F.col("location")).when(people, F.col("passengers")),
         F.when(place, F.col("location").cast("string"))
         .when(people, F.col("passengers").cast("string")).otherwise(F.col("month")),
-        ["sum_fare", "avg_fare", "count_fare", "count"], F.col("count"))
+        [_measure("sum_fare", F.col("fares"), one), _measure("avg_fare", F.col("fares"),
+                                                             F.col("n_fares")),
+         _measure("count_fare", F.col("n_fares") * MICRO, one),
+         _measure("count", F.col("n") * MICRO, one)])
     kept = ["region", "tenure"]
     per_customer = customers.groupingSets([[F.col(k)] for k in kept], *kept).agg(
         F.grouping_id().alias("gid"),
-        F.sum("revenue").alias("sum_revenue"), F.avg("revenue").alias("avg_revenue"),
-        F.count("revenue").alias("count_revenue"), F.avg("churn").alias("avg_churn"),
-        (F.avg("churn") * 100).alias("churn_rate"), F.count("*").alias("count"))
+        F.sum(micro(F.col("revenue"))).alias("revenues"), F.count("revenue").alias("n_revenues"),
+        F.sum("churn").alias("churned"), F.count("churn").alias("n_churn"),
+        F.count("*").alias("n"))
     area = F.col("gid") == 0b01
     customer_rows = _long(
         per_customer, "customers", F.when(area, "region").otherwise("tenure"),
         F.when(~area, F.col("tenure")),
         F.when(area, F.col("region")).otherwise(F.col("tenure").cast("string")),
-        ["sum_revenue", "avg_revenue", "count_revenue", "avg_churn", "churn_rate", "count"],
-        F.col("count"))
+        [_measure("sum_revenue", F.col("revenues"), one),
+         _measure("avg_revenue", F.col("revenues"), F.col("n_revenues")),
+         _measure("count_revenue", F.col("n_revenues") * MICRO, one),
+         _measure("avg_churn", F.col("churned") * MICRO, F.col("n_churn")),
+         _measure("churn_rate", F.col("churned") * 100 * MICRO, F.col("n_churn"), F.col("n")),
+         _measure("count", F.col("n") * MICRO, one)])
     return trip_rows.unionByName(customer_rows)
 
 
 def ranked_answers(catalogue: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame:
-    """At most 48 slots: the first ``rows`` of each group and measure in each direction, in order.
+    """At most 48 slots: the first ``rows`` of each group and measure in each direction, in order,
+    and how many there are in all.
 
-    Both directions rank in the same pass, cut to ``rows`` per task before the shuffle.
+    Rows are ranked by the unrounded value. Both directions rank in the same pass, cut to ``rows``
+    per task before the shuffle.
     """
-    slot = ["base_table", "group_col", "value_name", "direction"]
     both = catalogue.withColumn("direction", F.explode(F.array(F.lit("ASC"), F.lit("DESC"))))
     height = F.when(F.col("direction") == "ASC", F.col("value")).otherwise(-F.col("value"))
-    first = first_per_group(both, slot, [height, "key_number", "key_text"], rows)
-    entry = F.struct("rank", F.coalesce("key_text", F.lit("None")).alias("key"), "value", "total")
-    return first.groupBy(*SLOT_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
+    first = first_per_group(both, SLOT_KEYS, [height, "key_number", "key_text"], rows)
+    entry = F.struct("rank", F.coalesce("key_text", F.lit("None")).alias("key"), "value", "shown",
+                     "total")
+    ranked = first.groupBy(*SLOT_KEYS).agg(F.sort_array(F.collect_list(entry)).alias("ranked"))
+    slot = [k for k in SLOT_KEYS if k != "direction"]
+    sizes = catalogue.groupBy(*slot).agg(F.count(F.lit(1)).alias("all_rows"))
+    return ranked.join(sizes, slot)
 
 
 def finished_answers(ranked: DataFrame, rows: int = C.RESULT_ROWS) -> DataFrame:
     """Each slot's answer for every row limit from 1 to ``rows``: built once, not per question."""
     limits = F.explode(F.sequence(F.lit(1), F.lit(rows))).alias("shown_rows")
     return (
-        ranked.select(*SLOT_KEYS, limits, "ranked")
+        ranked.select(*SLOT_KEYS, limits, "ranked", "all_rows")
         .withColumn("rows", F.slice("ranked", F.lit(1), F.col("shown_rows"))).drop("ranked")
-        .select(*SLOT_KEYS, "shown_rows", F.size("rows").alias("row_count"),
+        .select(*SLOT_KEYS, "shown_rows", "all_rows",
                 result_json().alias("sql_result"), chart_json().alias("viz_code"),
                 sentence().alias("sentence"))
     )
 
 
 def answered(questions: DataFrame, trips: DataFrame, customers: DataFrame,
-             *extra: str) -> DataFrame:
+             *extra: str, rows: int = C.RESULT_ROWS) -> DataFrame:
     """Questions with ``statement``, ``error`` and, where rows were found, the finished answer.
 
-    ``extra`` names the slot columns to keep.
+    ``row_count`` is that of the whole result; result, chart and sentence show its first ``rows``,
+    a display length that a caller may set as high as questions ask. ``extra`` names the slot
+    columns to keep.
     """
-    answers = finished_answers(ranked_answers(metric_catalogue(trips, customers)))
+    answers = finished_answers(ranked_answers(metric_catalogue(trips, customers), rows), rows)
     asked = with_slots(questions).withColumn(
-        "shown_rows", F.least(F.col("row_limit"), F.lit(C.RESULT_ROWS)).cast("int"))
+        "shown_rows", F.least(F.col("row_limit"), F.lit(rows)).cast("int"))
     kept = [asked[c] for c in [*questions.columns, *extra]]
     # null-safe, so that a later filter does not add null tests on every slot's long expression
     same = reduce(lambda a, b: a & b, [asked[c].eqNullSafe(answers[c])
                                        for c in [*SLOT_KEYS, "shown_rows"]])
+    count = F.when(F.col("all_rows").isNotNull(), F.least(asked["row_limit"], F.col("all_rows")))
     return asked.join(F.broadcast(answers), same, "left").select(
         *kept, "statement", F.col("problem").alias("error"),
-        F.coalesce("row_count", F.lit(0)).alias("row_count"), "sql_result", "viz_code",
+        F.coalesce(count, F.lit(0)).cast("int").alias("row_count"), "sql_result", "viz_code",
         narrative().alias("narrative"))
 
 
@@ -127,7 +156,7 @@ def result_json() -> Column:
         key = F.when(key_is_text, F.concat(F.lit('"'), r["key"], F.lit('"'))).otherwise(
             F.when(r["key"] == "None", "null").otherwise(r["key"]))
         value = F.when(_whole(), r["value"].cast("bigint").cast("string")).otherwise(
-            r["value"].cast("decimal(20,4)").cast("string"))
+            r["shown"].cast("string"))
         total = F.when(r["total"].isNotNull(),
                        F.concat(F.lit(', "total": '), r["total"].cast("string"))).otherwise("")
         return F.concat(F.lit('{"'), F.col("group_col"), F.lit('": '), key, F.lit(', "'),
@@ -142,13 +171,13 @@ def chart_json(kind: str = "bar") -> Column:
     labels = F.transform("rows", lambda r: label_of(F.col("group_col"), r["key"]))
     spots = F.transform("rows", lambda r: r["rank"] - 1)
 
-    def spec(number: str, text) -> Column:
+    def spec(number, text) -> Column:
         shown = F.transform("rows", lambda r: text(r["value"]))
         hover = F.transform("rows", lambda r: F.concat(
             label_of(F.col("group_col"), r["key"]), F.lit(": "), text(r["value"])))
         series = F.struct(
             F.lit(kind).alias("type"), spots.alias("x"),
-            F.transform("rows", lambda r: r["value"].cast(number)).alias("y"),
+            F.transform("rows", number).alias("y"),
             F.col("value_name").alias("name"), shown.alias("text"),
             F.lit("auto").alias("textposition"), hover.alias("hovertext"))
         layout = F.struct(
@@ -160,8 +189,9 @@ def chart_json(kind: str = "bar") -> Column:
             F.lit("plotly_dark").alias("template"), F.lit(False).alias("showlegend"))
         return F.to_json(F.struct(F.array(series).alias("data"), layout.alias("layout")))
 
-    return F.when(_whole(), spec("bigint", lambda v: v.cast("bigint").cast("string"))).otherwise(
-        spec("decimal(20,4)", two_decimals))
+    return F.when(_whole(), spec(lambda r: r["value"].cast("bigint"),
+                                 lambda v: v.cast("bigint").cast("string"))).otherwise(
+        spec(lambda r: r["shown"], two_decimals))
 
 
 def sentence() -> Column:

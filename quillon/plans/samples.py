@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.scalars import month_key, tenure_bucket
+from quillon.plans.questions import MICRO, micro
 from quillon.sources.tables import customers, trips
 
 
@@ -15,10 +16,11 @@ def _ranked(df: DataFrame, *order) -> DataFrame:
 
 
 def top_locations(spark: SparkSession, folder: str) -> DataFrame:
-    totals = trips(spark, folder).groupBy("location").agg(
-        F.round(F.sum("fare"), 2).alias("total_fare"))
-    order = [F.desc("total_fare"), F.asc("location")]
-    return _ranked(totals.orderBy(*order).limit(5), *order)
+    totals = trips(spark, folder).groupBy("location").agg(F.sum(micro(F.col("fare"))).alias("exact"))
+    order = [F.desc("exact"), F.asc("location")]
+    return _ranked(totals.orderBy(*order).limit(5), *order).select(
+        "location", F.round(F.col("exact").cast("double") / float(MICRO), 2).alias("total_fare"),
+        "rank")
 
 
 def avg_fare_by_passengers(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,9 +30,9 @@ def avg_fare_by_passengers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def churn_by_region(spark: SparkSession, folder: str) -> DataFrame:
-    rates = customers(spark, folder).groupBy("region").agg(
-        F.round(F.avg("churn") * 100, 4).alias("churn_rate"))
-    return _ranked(rates, F.desc("churn_rate"), "region")
+    rates = customers(spark, folder).groupBy("region").agg(F.avg("churn").alias("exact"))
+    return _ranked(rates, F.desc("exact"), "region").select(
+        "region", F.round(F.col("exact") * 100, 4).alias("churn_rate"), "rank")
 
 
 def tenure_buckets(spark: SparkSession, folder: str) -> DataFrame:
