@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,21 @@ PAIRS_AT_ONCE = 1 << 21
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """A list column as a dense float64 matrix."""
+    """A list column as a dense float64 matrix. Null vectors or components and vectors of different
+    lengths have no distance and raise."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
     if not rows:
         return np.empty((0, 0))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    lengths = np.asarray(column.value_lengths().fill_null(-1))
+    flat = column.flatten()
+    odd = np.flatnonzero((lengths != lengths[0]) | (lengths < 0))
+    if len(odd) or flat.null_count:
+        raise ValueError(f"vectors must be complete and of one length: lengths {lengths[0]} and "
+                         f"{lengths[odd[0]] if len(odd) else lengths[0]} (-1: null), "
+                         f"{flat.null_count} null components")
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
 
 
 def values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -168,10 +177,19 @@ def query_side(queries: DataFrame, query_id: str, vector: str, metric: str | Col
                           metric.alias("q_metric"), k.cast("int").alias("q_k"))
 
 
-def small_enough(queries: DataFrame, rows: int, size: int) -> tuple[pa.Table, bool]:
-    """At most ``rows + 1`` of the queries, and whether these are all and within ``size`` bytes."""
-    head = queries.limit(rows + 1).toArrow()
-    return head, head.num_rows <= rows and head.nbytes <= size
+def small_enough(df: DataFrame, rows: int, size: int) -> tuple[pa.Table | None, bool]:
+    """The whole table if it has at most ``rows`` rows and ``size`` bytes, counted before anything
+    is fetched."""
+    def width(field) -> Column:
+        kind = field.dataType.typeName()
+        length = {"array": F.size(F.col(field.name)) * 8, "string": F.octet_length(field.name)}
+        return F.coalesce(length.get(kind, F.lit(8)), F.lit(0)).cast("bigint")
+
+    total = reduce(lambda x, y: x + y, [width(f) for f in df.schema])
+    n, held = df.select(total.alias("w")).limit(rows + 1).agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("w"), F.lit(0))).first()
+    fits = n <= rows and held <= size
+    return (df.toArrow() if fits else None), fits
 
 
 def block_rows_for(width: int) -> int:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon import constants as C
-from quillon.operators.blocks import pair_distances
+from quillon.operators import blocks
+from quillon.operators.blocks import pair_distances, row_distance
 from quillon.operators.neighbours import best_per_query, knn
 from quillon.session import written
+from quillon.sources.tables import spread
 
 WALK = ["metric", "query_id"]
 
@@ -38,9 +43,82 @@ def search(queries: DataFrame, vectors: DataFrame, links: DataFrame, k: int = 10
 
 def search_many(queries: DataFrame, vectors: DataFrame, links: DataFrame, metrics: list[str],
                 k: int = 10, beam: int = C.GRAPH_BEAM) -> DataFrame:
-    """Walks through one graph per metric, links(metric, src, dst), in the same rounds.
+    """Walks through one graph per metric, links(metric, src, dst).
 
-    A round expands the beam members not expanded before, drops nodes already visited, and keeps
+    If vectors and links together are small (counted first), they are shared with every task and each
+    query walks to the end where it lies: one pass, nothing is shuffled. Otherwise all walks go on in
+    the same rounds, with the same result.
+    """
+    rows = blocks.BROADCAST_BYTES // 64
+    nodes, some = blocks.small_enough(vectors.select("vec_id", "embedding"), rows,
+                                      blocks.BROADCAST_BYTES)
+    if some:
+        steps, few = blocks.small_enough(links.select("metric", "src", "dst"), 4 * rows,
+                                         4 * blocks.BROADCAST_BYTES)
+        if few and len(nodes):
+            return _walk_shared(queries, nodes, steps, vectors.schema, metrics, k, beam)
+    return _walk_in_rounds(queries, vectors, links, metrics, k, beam)
+
+
+def _walk_shared(queries: DataFrame, nodes: pa.Table, steps: pa.Table, schema, metrics: list[str],
+                 k: int, beam: int) -> DataFrame:
+    nodes = nodes.combine_chunks().sort_by("vec_id")
+    ids, vectors = blocks.values(nodes["vec_id"]), blocks.matrix(nodes["embedding"])
+    of = blocks.values(steps["metric"])
+    source, target = (np.searchsorted(ids, blocks.values(steps[c])) for c in ("src", "dst"))
+    graphs = {}
+    for metric in metrics:
+        mine = np.flatnonzero(of == metric)
+        order = mine[np.argsort(source[mine], kind="stable")]
+        graphs[metric] = (np.searchsorted(source[order], np.arange(len(ids) + 1)), target[order])
+    shared = queries.sparkSession.sparkContext.broadcast((ids, vectors, graphs))
+
+    def walk(q: np.ndarray, metric: str, first: np.ndarray, near: np.ndarray):
+        _, vectors, _ = shared.value
+        far = lambda at: row_distance(
+            metric, np.broadcast_to(q, (len(at), len(q))), vectors[at], 0.0)
+        members = fresh = np.zeros(1, np.int64)
+        dist, seen = far(members), np.zeros(len(vectors), bool)
+        seen[0] = True
+        for _ in range(beam):
+            reached = np.unique(np.concatenate([near[:0], *[
+                near[first[f]: first[f + 1]] for f in fresh]]))
+            reached = reached[~seen[reached]]
+            if not len(reached):
+                break
+            seen[reached] = True
+            new = np.repeat([False, True], [len(members), len(reached)])
+            members = np.concatenate([members, reached])
+            dist = np.concatenate([dist, far(reached)])
+            best = np.lexsort((members, dist))[:beam]
+            members, dist, fresh = members[best], dist[best], members[best][new[best]]
+        return members[:k], dist[:k]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, _, graphs = shared.value
+        for batch in batches:
+            asked, q = batch["query_id"], blocks.matrix(batch["embedding"])
+            for metric, (first, near) in graphs.items() if len(q) else ():
+                found = [walk(v, metric, first, near) for v in q]
+                sizes = [len(m) for m, _ in found]
+                yield pa.record_batch({
+                    "metric": pa.array([metric] * sum(sizes), pa.string()),
+                    "query_id": asked.take(pa.array(np.repeat(np.arange(len(q)), sizes))),
+                    "rank": pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes])
+                                     .astype(np.int32)),
+                    "vec_id": pa.array(ids[np.concatenate([m for m, _ in found])].tolist()),
+                    "distance": pa.array(np.concatenate([d for _, d in found]))})
+
+    kind = {f.name: f.dataType.simpleString() for f in queries.schema}
+    id_kind = schema["vec_id"].dataType.simpleString()
+    return spread(queries.select("query_id", "embedding"), "query_id").mapInArrow(
+        scan, f"metric string, query_id {kind['query_id']}, rank int, vec_id {id_kind}, "
+              "distance double")
+
+
+def _walk_in_rounds(queries: DataFrame, vectors: DataFrame, links: DataFrame, metrics: list[str],
+                    k: int, beam: int) -> DataFrame:
+    """A round expands the beam members not expanded before, drops nodes already visited, and keeps
     the best ``beam``. A round that admits nobody ends the search, as further ones could not change
     it. Every round is written to the shared folder, so plans stay short and a lost executor
     repeats one round at most. A hub that a third of all rows link to is a hot key of the join with

@@ -34,7 +34,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
     if few:
         candidates = blocks.against_broadcast(head, rows, eps, earlier, query_type)
     else:
-        width = len(head["q_vec"][0]) if len(head) else 1
+        width = asked.select(F.size("q_vec")).first()[0]
         sizes = queries.sparkSession.createDataFrame(
             [(0, asked.count(), rows.count())], "cell int, q_rows bigint, b_rows bigint")
         everywhere = F.lit(0).alias("cell")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -12,14 +13,25 @@ from quillon import constants as C
 from quillon.sources import synthetic, tables
 
 
+DAMAGED = ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER")
+QUERY_WORDS = {"SELECT", "WITH", "VALUES", "FROM", "TABLE"}
+
+
 def run_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, str | None]:
-    """``(frame, None)`` for a read-only statement, else ``(None, error)``. The frame is lazy."""
+    """``(frame, None)`` for a read-only statement, else ``(None, error)``. The frame is lazy.
+
+    Besides the guard's words, anything that does not begin as a query is refused: settings, loads,
+    caches and the like are commands even where they hold none of the words.
+    """
     upper = text.upper()
     for word in C.READ_ONLY_FORBIDDEN:
         if word in upper:
             return None, f"Forbidden SQL operation: {word}"
     if not text.strip():
         return None, "empty statement"
+    first = re.match(r"(?s)(?:\s|--[^\n]*\n|/\*.*?\*/|\()*([A-Za-z]+)", text)
+    if not first or first[1].upper() not in QUERY_WORDS:
+        return None, f"Forbidden SQL operation: {first[1].upper() if first else text.split()[0]}"
     try:
         return spark.sql(text), None
     except PySparkException as failure:
@@ -55,8 +67,9 @@ def init_tables(spark: SparkSession, rows: int = 10_000, force_recreate: bool =
                 database: str = "default") -> None:
     """Create and fill ``trips`` and ``customers`` once.
 
-    An existing table with rows is left alone; an empty one is filled; ``force_recreate`` or a
-    table that cannot be read (a damaged file) is replaced.
+    An existing table with rows is left alone; an empty one is filled. One whose files are damaged is
+    replaced, as is any with ``force_recreate``; every other failure to read is raised, and nothing
+    is overwritten.
     """
     sources = {"trips": synthetic.synthetic_trips, "customers": synthetic.synthetic_customers}
     for name, make in sources.items():
@@ -71,5 +84,7 @@ def _has_rows(spark: SparkSession, table: str) -> bool:
         return False
     try:
         return not spark.table(table).isEmpty()
-    except Exception:  # unreadable data files: treated as missing, and replaced
-        return False
+    except PySparkException as failure:
+        if any(sign in str(failure) for sign in DAMAGED):
+            return False
+        raise

@@ -44,13 +44,19 @@ def guarded(requests: DataFrame) -> DataFrame:
         "is_safe": is_safe(F.col("query")), "redacted": redact_pii(F.col("query"))})
 
 
+def in_range(requests: DataFrame, k: int) -> DataFrame:
+    """Requests with ``k`` filled in and ``reject_reason`` where a field is out of range."""
+    checked = validated_requests(requests.withColumn("k", F.coalesce("k", F.lit(k))))
+    return checked.select(*requests.columns, "reject_reason")
+
+
 def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE, k: int = 2,
              respond: Respond | None = None) -> DataFrame:
     """Answers to a stream (or table) of requests from a small store(doc_id, text).
 
     A batch closes at ``size`` requests or when the trigger's interval has passed. ``respond`` turns
     a batch of prompts into results; without it the prompt is the result. If it fails, each request
-    of the batch gets the error.
+    of the batch gets the error. A request that is out of range gets its reason and no result.
     """
     texts, fits = blocks.small_enough(store.select("doc_id", "text"), STORE_ROWS, STORE_BYTES)
     if not fits:
@@ -61,9 +67,9 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
     shared = session.sparkContext.broadcast(
         (blocks.values(kept["doc_id"]), kept["text"].to_pylist(),
          blocks.matrix(embedded["embedding"])))
-    asked = requests.select(
-        "request_id", "session_id", "query",
-        F.coalesce("k", F.lit(k)).alias("q_k"), embed_column(F.col("query")).alias("q_vec"))
+    asked = in_range(requests, k).select(
+        "request_id", "session_id", "query", "reject_reason", F.col("k").alias("q_k"),
+        embed_column(F.coalesce("query", F.lit(""))).alias("q_vec"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, passages, vectors = shared.value
@@ -77,22 +83,28 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
 
 
 def _served(part, ids, passages, vectors, respond, waiting) -> pa.RecordBatch:
-    began, n, queries = time.time(), len(part), part["query"].to_pylist()
-    results, error = [None] * n, None
+    began, n, reasons = time.time(), len(part), part["reject_reason"].to_pylist()
+    good = [i for i, reason in enumerate(reasons) if reason is None]
+    results, errors = [None] * n, reasons
+    served = part.take(pa.array(good, pa.int64()))
+    queries = served["query"].to_pylist()
     try:
-        asked = blocks.Queries(np.arange(n), blocks.matrix(part["q_vec"]), np.full(n, "l2"),
-                               blocks.values(part["q_k"]).astype(np.int64))
-        found: list[list[str]] = [[] for _ in range(n)]
-        for q, row in zip(*blocks.nearest(asked, ids, vectors, C.RETRIEVAL_EPS)[:2]):
-            found[q].append(passages[row])
+        m = len(good)
+        asked = blocks.Queries(np.arange(m), blocks.matrix(served["q_vec"]), np.full(m, "l2"),
+                               blocks.values(served["q_k"]).astype(np.int64))
+        found: list[list[str]] = [[] for _ in range(m)]
+        if m:
+            for q, row in zip(*blocks.nearest(asked, ids, vectors, C.RETRIEVAL_EPS)[:2]):
+                found[q].append(passages[row])
         made = [f"Question: {q}\nContext:\n" + "\n".join(f) + "\nAnswer:"
                 for q, f in zip(queries, found)]
-        results = made if respond is None else respond(made)
+        for i, result in zip(good, made if respond is None or not m else respond(made)):
+            results[i] = result
     except Exception as failure:
-        error = f"Error processing request: {failure}"
+        errors = [reason or f"Error processing request: {failure}" for reason in reasons]
     return pa.record_batch({
         "request_id": part["request_id"], "session_id": part["session_id"], "query": part["query"],
-        "result": pa.array(results, pa.string()), "error": pa.array([error] * n, pa.string()),
+        "result": pa.array(results, pa.string()), "error": pa.array(errors, pa.string()),
         "batch_key": pa.array([uuid.uuid4().hex] * n),
         "batch_size": pa.array([n] * n, pa.int32()),
         "processing_time": pa.array([time.time() - began] * n),
@@ -122,13 +134,20 @@ def land(requests: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
 
 def answer_landed(landed: DataFrame, done: DataFrame | None, store: DataFrame, k: int = 2) -> DataFrame:
-    """Prompts for landed requests not in ``done(request_id)``, from a store of any size."""
+    """Prompts for landed requests not in ``done(request_id)``, from a store of any size.
+
+    A request that is out of range gets its reason as ``error`` and no result.
+    """
     fresh = landed if done is None else landed.join(done, "request_id", "left_anti")
-    asked = fresh.withColumnRenamed("request_id", "question_id")
-    limit = F.coalesce(F.col("k"), F.lit(k))
-    found = retrieve(asked, store, C.MAX_K, "l2", k_column=limit)
-    return prompts(asked, found).select(
-        F.col("question_id").alias("request_id"), "query", F.col("prompt").alias("result"))
+    checked = in_range(fresh, k)
+    good = checked.filter("reject_reason IS NULL").withColumnRenamed("request_id", "question_id")
+    found = retrieve(good, store, C.MAX_K, "l2", k_column=F.col("k"))
+    answers = prompts(good, found).select(
+        F.col("question_id").alias("request_id"), "query", F.col("prompt").alias("result"),
+        F.lit(None).cast("string").alias("error"))
+    return answers.unionByName(checked.filter("reject_reason IS NOT NULL").select(
+        "request_id", "query", F.lit(None).cast("string").alias("result"),
+        F.col("reject_reason").alias("error")))
 
 
 def session_history(log: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
