@@ -217,6 +217,13 @@ def guards() -> dict[str, str]:
                    CASE WHEN reason IS NULL THEN text END AS modified_query
             FROM (SELECT *, {reason} AS reason FROM texts)""",
         "redact_pii": _with(TEXTS) + f"SELECT text_id, {redacted} AS redacted FROM texts",
+        "guarded_requests": _with(
+            QUESTION_LOG, "asked AS (SELECT *, query AS text FROM question_log)") + f"""
+            SELECT question_id, coalesce(k, 10) AS k, coalesce(metric, 'l2') AS metric, session_id,
+                   length(query)::INT AS query_length,
+                   CASE WHEN coalesce(k, 10) < 1 THEN 'k must be at least 1'
+                        WHEN coalesce(k, 10) > 50 THEN 'k must be at most 50' END AS reject_reason,
+                   ({reason}) IS NULL AS is_safe, {redacted} AS redacted FROM asked""",
         "validate_requests": _with(QUESTION_LOG) + """
             SELECT question_id, query, coalesce(k, 10) AS k, coalesce(metric, 'l2') AS metric,
                    session_id, length(query)::INT AS query_length,
@@ -341,6 +348,19 @@ def dashboards() -> dict[str, str]:
                    arg_max(bias_score, (ts, request_id)) AS latest_bias,
                    arg_max(latency, (ts, request_id)) AS latest_latency
             FROM request_log GROUP BY session_id""",
+        "session_history": _with(REQUEST_LOG) + """
+            SELECT session_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')
+                       AS window_start, count(*) AS requests,
+                   round(avg(latency), 4) AS avg_latency, round(avg(bias_score), 4) AS avg_bias
+            FROM request_log GROUP BY session_id, date_trunc('hour', ts)""",
+        "batch_groups_short": _with(REQUEST_LOG) + """,
+            short AS (SELECT *, (epoch_us(ts) // 100000) * 100000 AS w FROM request_log),
+            placed AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY ts, request_id) AS n,
+                count(*) OVER (PARTITION BY w) AS arrived FROM short)
+            SELECT strftime(make_timestamp(w), '%Y-%m-%d %H:%M:%S') AS window_start,
+                (n + 7) // 8 AS batch_no, count(*) AS batch_size,
+                round(sum(latency), 4) AS processing_time, max(arrived) - max(n) AS queue_size
+            FROM placed GROUP BY w, (n + 7) // 8""",
         "session_series": _with(REQUEST_LOG) + """
             SELECT session_id, row_number() OVER (PARTITION BY session_id
                        ORDER BY ts, request_id) - 1 AS position, request_id, latency, bias_score
@@ -835,6 +855,15 @@ def all_oracles() -> dict[str, str]:
     for part in (samples, profile, guards, audits, dashboards, generated, vectors, recall, questions,
                  retrieval, passthrough):
         out.update(part())
+    out["brief_answers"] = f"SELECT query, narrative AS result FROM ({out['agent_answers']})"
+    out["sql_text_functions"] = f"""
+        SELECT text_id, redacted, is_safe, bias_score FROM ({out['redact_pii']})
+        JOIN ({out['check_query']}) USING (text_id) JOIN ({out['bias_analyze']}) USING (text_id)"""
+    out["sql_distance_functions"] = f"""
+        SELECT vec_id, l2sq, l2, cosine, neg_dot, manhattan FROM ({out['dist_all_metrics']})"""
+    out["run_sql_guarded"] = _with(TRIPS) + """
+        SELECT passengers, count(*) AS trips_taken, max(fare) AS highest FROM trips
+        GROUP BY passengers"""
     for name, columns in NARROWER.items():
         casts = ", ".join(f"CAST({c} AS {kind}) AS {c}" for c, kind in columns.items())
         out[name] = f"SELECT * REPLACE ({casts}) FROM ({out[name]})"

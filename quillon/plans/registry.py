@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quillon.plans import answers, audits, dashboards, generated, passthrough, questions, retrieval
-from quillon.plans import samples
+from quillon.plans import samples, served
 from quillon.plans import vector_queries as vq
 from quillon.sources import catalog
 
@@ -57,5 +57,12 @@ QUERIES = {
     "transcripts": dashboards.transcripts,
     "synthetic_trips": generated.synthetic_trips,
     "synthetic_customers": generated.synthetic_customers,
+    "sql_text_functions": served.sql_text_functions,
+    "sql_distance_functions": served.sql_distance_functions,
+    "run_sql_guarded": served.run_sql_guarded,
+    "guarded_requests": served.guarded_requests,
+    "session_history": served.session_history,
+    "batch_groups_short": served.batch_groups_short,
+    "brief_answers": served.brief_answers,
     **{name: passthrough.statement(name) for name in passthrough.STATEMENTS},
 }
