@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +21,14 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
         eps: float = 0.0, k_column: Column | None = None, query_id: str = "query_id",
         query_vector: str = "embedding", vec_id: str = "vec_id", vector: str = "embedding",
         earlier: bool = False, broadcast_rows: int = blocks.BROADCAST_ROWS,
-        block_rows: int | None = None) -> DataFrame:
+        block_rows: int | None = None,
+        count_base: Callable[[], int] | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, distance)``: the ``k`` nearest rows of ``base`` per query.
 
     ``metric`` is a name (an unknown one raises) or a column (an unknown value means ``l2``).
     ``k_column`` gives a query its own number of results, up to ``k``. ``earlier`` restricts the
-    search to rows whose id is below the query's.
+    search to rows whose id is below the query's. ``count_base`` counts ``base`` where that is
+    cheaper than running its plan.
     """
     wanted = F.lit(k) if k_column is None else F.least(k_column, F.lit(k))
     asked = blocks.query_side(queries, query_id, query_vector, metric, wanted)
@@ -36,7 +40,7 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
     else:
         width = asked.select(F.size("q_vec")).first()[0]
         sizes = queries.sparkSession.createDataFrame(
-            [(0, asked.count(), rows.count())], "cell int, q_rows bigint, b_rows bigint")
+            [(0, asked.count(), (count_base or rows.count)())], "cell int, q_rows bigint, b_rows bigint")
         everywhere = F.lit(0).alias("cell")
         candidates = blocks.block_grid(
             asked.select("*", everywhere), rows.select("*", everywhere), sizes, eps,

@@ -10,6 +10,7 @@ from quillon.functions.audit import answer_bias
 from quillon.functions.guards import is_safe, validated_requests
 from quillon.plans.questions import answered
 from quillon.plans.retrieval import in_rank_order, retrieve
+from quillon.session import written
 from quillon.sources import tables
 
 
@@ -17,12 +18,13 @@ def answer(requests: DataFrame, store: DataFrame, trips: DataFrame, customers: D
     """Answer rows for requests(question_id, query, k, metric, session_id).
 
     Requests that fail validation come back with the reason as their error and nothing else.
-    Equal requests search the store once. Joining the finds back meets hot requests on the request
+    Equal requests are written once and search the store once. Joining the finds back meets hot requests on the request
     side only, where a skewed partition may be split.
     """
     checked = validated_requests(requests)
     good = checked.filter(F.col("reject_reason").isNull())
-    distinct = good.groupBy("query", "k", "metric").agg(F.min("question_id").alias("question_id"))
+    distinct = written(good.groupBy("query", "k", "metric").agg(
+        F.min("question_id").alias("question_id")), "distinct-questions")
     found = retrieve(distinct, store, C.MAX_K, F.col("metric"), k_column=F.col("k"))
     finds = (found.groupBy("question_id")
              .agg(in_rank_order("text").alias("retrieved_docs"),

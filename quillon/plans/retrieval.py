@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,12 +17,21 @@ PROMPT_DOCUMENTS = 2
 
 
 def retrieve(questions: DataFrame, store: DataFrame, k: int, metric: str | Column = "l2",
-             eps: float = C.RETRIEVAL_EPS, k_column: Column | None = None) -> DataFrame:
+             eps: float = C.RETRIEVAL_EPS, k_column: Column | None = None,
+             encode: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(question_id, rank, doc_id, distance, text)`` for questions(question_id, query, ...) over
-    store(doc_id, text)."""
-    asked = questions.join(embed_texts(questions, "question_id", "query"), "question_id")
-    found = knn(asked, embed_texts(store, "doc_id", "text"), k, metric, eps, k_column,
-                query_id="question_id", vec_id="doc_id")
+    store(doc_id, text).
+
+    Question ids are unique. ``encode`` turns a text column into vectors of a model of
+    the caller's (``encoder.encode_with``); without it both sides get mean token vectors. The store
+    is counted before anything of it is embedded.
+    """
+    asked = (questions.withColumn("embedding", encode(F.col("query"))) if encode else
+             questions.join(embed_texts(questions, "question_id", "query"), "question_id"))
+    passages = (store.select("doc_id", encode(F.col("text")).alias("embedding")) if encode
+                else embed_texts(store, "doc_id", "text"))
+    found = knn(asked, passages, k, metric, eps, k_column, query_id="question_id", vec_id="doc_id",
+                count_base=store.count)
     return (found.withColumnsRenamed({"query_id": "question_id", "vec_id": "doc_id"})
             .join(store.select("doc_id", "text"), "doc_id")
             .select("question_id", "rank", "doc_id", "distance", "text"))
