@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from quillon import constants as C
+import oracle_values as C
 from quillon.plans.passthrough import STATEMENTS
-from quillon.sources import synthetic as S
 
 # ---- derived views --------------------------------------------------------------------------
 
@@ -811,22 +810,22 @@ def _exponential(key: str, salt: str, scale: float, minimum: float) -> str:
 
 def generated() -> dict[str, str]:
     o, c = "o_orderkey", "c_custkey"
-    seconds = f"CAST(floor({_uniform(o, 'pickup')} * {S.DAYS * 86400 + 1}) AS BIGINT)"
+    seconds = f"CAST(floor({_uniform(o, 'pickup')} * {C.DAYS * 86400 + 1}) AS BIGINT)"
     return {
         "synthetic_trips": f"""
-            SELECT {o} AS id, strftime(o_orderdate + to_seconds({seconds} - {S.DAYS * 86400}),
+            SELECT {o} AS id, strftime(o_orderdate + to_seconds({seconds} - {C.DAYS * 86400}),
                        '%Y-%m-%d %H:%M:%S') AS pickup_date,
-                   {_uniform_int(o, 'location', 1, S.ZONES)} AS location,
-                   {_exponential(o, 'fare', S.FARE_SCALE, S.FARE_MIN)} AS fare,
-                   {_weighted(o, 'passengers', S.PASSENGER_WEIGHTS)} AS passengers FROM orders""",
+                   {_uniform_int(o, 'location', 1, C.ZONES)} AS location,
+                   {_exponential(o, 'fare', C.FARE_SCALE, C.FARE_MIN)} AS fare,
+                   {_weighted(o, 'passengers', C.PASSENGER_WEIGHTS)} AS passengers FROM orders""",
         "synthetic_customers": f"""
-            SELECT id, region, tenure, revenue, CAST(CASE WHEN tenure > {S.LONG_TENURE}
-                       THEN late < {S.LONG_TENURE_CHURN_SHARE} ELSE early < {S.CHURN_SHARE} END
+            SELECT id, region, tenure, revenue, CAST(CASE WHEN tenure > {C.LONG_TENURE}
+                       THEN late < {C.LONG_TENURE_CHURN_SHARE} ELSE early < {C.CHURN_SHARE} END
                    AS INT) AS churn
-            FROM (SELECT {c} AS id, {_weighted(c, 'region', S.REGION_WEIGHTS)} AS region,
-                         {_uniform_int(c, 'tenure', 1, S.MAX_TENURE)} AS tenure,
+            FROM (SELECT {c} AS id, {_weighted(c, 'region', C.REGION_WEIGHTS)} AS region,
+                         {_uniform_int(c, 'tenure', 1, C.MAX_TENURE)} AS tenure,
                          {_uniform(c, 'late churn')} AS late, {_uniform(c, 'churn')} AS early,
-                         {_exponential(c, 'revenue', S.REVENUE_SCALE, S.REVENUE_MIN)} AS revenue
+                         {_exponential(c, 'revenue', C.REVENUE_SCALE, C.REVENUE_MIN)} AS revenue
                   FROM customer)""",
     }
 
