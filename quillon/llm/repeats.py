@@ -39,6 +39,7 @@ from quillon.session import erase, written
 WINDOW, PHRASE = 50, 8
 SHARD_BYTES = 8 << 20
 BROADCAST_PHRASES = 1 << 22
+ROWS_AT_ONCE = 1 << 16
 _LAST = 2**63 - 1
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -164,9 +165,13 @@ def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """The windows of the given spans (phrase, lowest and highest document), one row each."""
     names = ["sid", "k", "h1", "h2", "low", "high"]
 
+    def table(parts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*parts, strict=True)], names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
+            parts, held = [], 0
             for row, _, _, _, _, _, _, spans in _per_text(batch.column(0), window, phrase):
                 given = {(g["p"], g["s1"], g["s2"]): g for g in batch.column(1)[row].as_py()}
                 wanted = np.array([g[0] for g in given], np.int64).view(np.uint64)
@@ -175,10 +180,12 @@ def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
                     if g is not None:
                         parts.append([np.full(n, g["sid"]), np.arange(n), one, two,
                                       np.full(n, g["low"]), np.full(n, g["high"])])
+                        held += n
+                if held > ROWS_AT_ONCE:
+                    yield table(parts)
+                    parts, held = [], 0
             if parts:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(c).astype(np.int64))
-                     for c in zip(*parts, strict=True)], names)
+                yield table(parts)
 
     return texts.select("text", "given").mapInArrow(
         run, ", ".join(f"{n} long" for n in names))
