@@ -365,9 +365,11 @@ def dashboards() -> dict[str, str]:
                        ORDER BY ts, request_id) - 1 AS position, request_id, latency, bias_score
             FROM request_log""",
         "transcripts": """
-            SELECT conv_id, turn // 1024 AS segment, count(*) AS message_count,
+            SELECT conv_id, place // 1024 AS segment, any_value(n) AS message_count,
                    string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript
-            FROM conversations GROUP BY conv_id, turn // 1024""",
+            FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (
+                      PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place
+                  FROM conversations) GROUP BY conv_id, place // 1024""",
     }
 
 

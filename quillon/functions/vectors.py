@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,14 +69,13 @@ def rounded(value: Column, digits: int = 4) -> Column:
 def mean_vectors(df: DataFrame, group: str, vector: str, out: str = "mean") -> DataFrame:
     """Element-wise mean per group with the member count.
 
-    Only ``groups x dimensions`` partial sums leave a task, whatever the size of a group.
+    Each task sums its vectors per group; one row per group and task is shuffled. Null vectors are
+    left out; vectors of different lengths in a group raise.
     """
-    cells = df.select(group, F.posexplode(vector).alias("pos", "x"))
-    means = cells.groupBy(group, "pos").agg(
-        F.avg(F.col("x").cast("double")).alias("m"), F.count("*").alias("n"))
-    return means.groupBy(group).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("pos", "m"))), lambda c: c["m"]).alias(out),
-        F.max("n").alias("n"))
+    member = array_to_vector(F.col(vector).cast("array<double>"))
+    means = df.filter(F.col(vector).isNotNull()).groupBy(group).agg(
+        Summarizer.metrics("mean", "count").summary(member).alias("s"))
+    return means.select(group, vector_to_array("s.mean").alias(out), F.col("s.count").alias("n"))
 
 
 _PAIR = "(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE RETURN "

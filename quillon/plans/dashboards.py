@@ -108,16 +108,21 @@ def session_series(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transcript_segments(turns: DataFrame, size: int = TURNS_PER_SEGMENT) -> DataFrame:
-    """Transcripts in segments of ``size`` turns, so an endless conversation is many rows."""
+    """Transcripts in segments of ``size`` messages, so an endless conversation is many rows.
+
+    Segments are cut by the message's place in its conversation, whatever the turn numbers are; every
+    row carries the conversation's own number of messages.
+    """
     said = F.struct("turn", "role", "text")
-    return (
-        turns.groupBy("conv_id", F.floor(F.col("turn") / size).alias("segment"))
-        .agg(F.sort_array(F.collect_list(said)).alias("messages"))
-    )
+    placed = numbered(turns, ["conv_id"], ["turn", "role", "text"], "place")
+    segments = placed.groupBy("conv_id", F.floor((F.col("place") - 1) / size).alias("segment")).agg(
+        F.sort_array(F.collect_list(said)).alias("messages"))
+    totals = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("message_count"))
+    return segments.join(totals, "conv_id")
 
 
 def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     lines = F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
     return transcript_segments(tables.read(spark, folder, "conversations")).select(
-        "conv_id", "segment", F.size("messages").cast("bigint").alias("message_count"),
+        "conv_id", "segment", "message_count",
         F.array_join(lines, "\n").alias("transcript"))
