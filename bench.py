@@ -20,7 +20,8 @@ HEADLINE = [
     "sample_tenure_buckets", "sample_trips_per_month", "question_answers", "chart_specs",
     "narratives", "agent_answers", "retrieve_docs", "rag_prompts", "pool_embeddings", "knn_l2",
     "knn_cosine", "knn_dot", "knn_manhattan", "kmeans_l2", "ivf_search", "ivf_single_probe",
-    "graph_edges", "graph_search", "bias_analyze", "redact_pii", "check_query", "batch_groups",
+    "graph_edges", "graph_search", "recall_by_method", "bias_analyze", "redact_pii",
+    "check_query", "batch_groups",
     "latency_percentiles", "session_series", "sql_joins", "sql_windows",
 ]
 ONE_BY_ONE = 20

@@ -69,10 +69,11 @@ def exact_percentiles(df: DataFrame, groups: list[str], value: str, shares: dict
     """Linear-interpolated percentiles per group, one column per name in ``shares``.
 
     No group's values are held in one buffer: equal values are counted first, and the ordered pass
-    then sees each distinct value once, for all shares together.
+    then sees each distinct value once, for all shares together. The counts are written once, as
+    they are read for the totals, the slices and the ranks.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
-        F.count("*").alias("_n"))
+    counts = written(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(
+        F.count("*").alias("_n")), "value-counts")
     ranked = running_total(counts, groups, [value], F.col("_n"), "_upto", group_rows)
     totals = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
     if groups:
