@@ -1,7 +1,7 @@
 """Words of Arrow text batches as hashes and byte places, without a Python object per word.
 
 A word is a run of bytes other than space and 09-0D. Memory beyond the batch is bounded: byte-wise
-work goes through slices of about a megabyte, and what stays is a few numbers per word.
+work goes through slices of about 256 kB, and what stays is a few numbers per word.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
