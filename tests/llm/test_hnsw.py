@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quillon.llm import hnsw
@@ -68,6 +69,22 @@ def test_one_vector_in_a_third_of_all_rows(spark):
     assert [i for q, _, i, _ in sorted(found) if q == 1000] == list(range(1001, 1011))
 
 
+def test_recall_of_a_full_shard_without_clusters(spark):
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(hnsw.SHARD_ROWS, 64)).astype(np.float32)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(vectors)),
+                                           "embedding": list(vectors)}))
+    found = {}
+    for q, _, i, _ in got(hnsw.nearest(rows, 10, 50, shards=1)):
+        found.setdefault(q, set()).add(i)
+    near = vectors[::50] @ vectors.T
+    near[np.arange(len(near)), np.arange(0, len(vectors), 50)] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :10]
+    assert len(found) == len(want)
+    assert np.mean([len(found[q * 50] & set(w)) / 10 for q, w in enumerate(want.tolist())]) >= 0.98
+
+
 def test_query_recall(spark, sf):
     rows = [(r["vec_id"], r["embedding"])
             for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
