@@ -4,9 +4,11 @@ Every document starts in a shard chosen by a hash. In each round a join of the l
 present shards counts every document's neighbours per shard; a document wants the shard with most of
 them, if it is not its own. Moves between two shards are granted up to a quota: what the target is short of, plus as many
 as want to go the other way. Who goes first is decided by gain and a hash, through counts per gain
-class and hash step, so neither a shard's nor a hot document's rows are collected. Then surplus
-documents, unlinked ones first, fill what is missing, and counts are at most one apart (law
-``rows``).
+class and hash step, so neither a shard's nor a hot document's rows are collected. A gain of 1 is mutual
+(the other document would gain by coming here), so a hash of the edge decides which way it goes. Rounds
+that keep more links than before count; it ends when ``IDLE`` in a row did not, at least half of them
+with swaps between full shards. Then surplus documents, unlinked ones first and linked ones edge by
+edge, fill what is missing, and counts are at most one apart (law ``rows``).
 
 Links are given as a table of edges, or are those of equal texts. An edge may have any number of
 members: its members are counted per shard, never paired.
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from quillon.llm.numbering import numbered
 from quillon.session import erase, written
 
-SHARDS, ROUNDS, STEPS = 8, 6, 256
+SHARDS, IDLE, STEPS = 8, 4, 256
+TOGETHER = 1000  # members up to which an edge moves as a whole when counts are evened out
 
 
 def _chance(salt: int, *columns: str) -> Column:
@@ -31,26 +34,38 @@ def _chance(salt: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *columns), F.lit(1 << 30)) / float(1 << 30)
 
 
-def _wishes(now: DataFrame, links: DataFrame, full: list[int], salt: int) -> DataFrame:
+def _wishes(now: DataFrame, links: DataFrame, full: list[int], salt: int, thin: bool) -> DataFrame:
     """row, shard, to, gain of every document with more neighbours in another shard that has room.
 
     An edge's members are counted per shard once, whatever their number; each member then sees the
-    counts of its edges, less itself.
+    counts of its edges, less itself. ``thin`` leaves half of the wishes out, by a hash.
     """
     held = links.join(now.select("row", "shard"), "row")
     counts = held.groupBy("edge", "shard").agg(F.count(F.lit(1)).alias("n")).select(
         "edge", F.col("shard").alias("there"), "n")
     own = F.when(F.col("shard") == F.col("there"), 1).otherwise(0)
     votes = held.join(counts, "edge").groupBy("row", "shard", "there").agg(
-        F.sum(F.col("n") - own).alias("votes"))
+        F.sum(F.col("n") - own).alias("votes"), F.min("edge").alias("edge"))
     here = F.col("shard") == F.col("there")
     open_ = ~here & ~F.col("there").isin(full) if full else ~here
     best = votes.groupBy("row", "shard").agg(
-        F.max(F.when(open_, F.struct("votes", (-F.col("there")).alias("minus")))).alias("best"),
+        F.max(F.when(open_, F.struct("votes", (-F.col("there")).alias("minus"),
+                                           "edge"))).alias("best"),
         F.coalesce(F.max(F.when(here, F.col("votes"))), F.lit(0)).alias("here"))
-    return best.select("row", "shard", (-F.col("best.minus")).alias("to"),
-                       (F.col("best.votes") - F.col("here")).alias("gain")).filter(
-        (F.col("gain") > 1) | (F.col("gain") == 1) & (_chance(100 + salt, "row") < 0.5))
+    upward = _chance(100 + salt, "best.edge") < 0.5
+    wishes = best.withColumns({
+        "to": -F.col("best.minus"), "gain": F.col("best.votes") - F.col("here")}).filter(
+        (F.col("gain") > 1) | (F.col("gain") == 1) & (upward == (F.col("to") > F.col("shard"))))
+    if thin:
+        wishes = wishes.filter(_chance(200 + salt, "row") < 0.5)
+    return wishes.select("row", "shard", "to", "gain")
+
+
+def _kept(now: DataFrame, links: DataFrame) -> int:
+    """Links within shards, twice."""
+    n = F.count(F.lit(1)).cast("decimal(18,0)")
+    return int(links.join(now.select("row", "shard"), "row").groupBy("edge", "shard").agg(
+        (n * (n - 1).cast("decimal(18,0)")).alias("n")).agg(F.sum("n")).first()[0] or 0)
 
 
 def _room(now: DataFrame, shards: int, total: int) -> dict[int, int]:
@@ -85,59 +100,67 @@ def _granted(wishes: DataFrame, free: dict[int, int], salt: int) -> DataFrame:
 
 def _even(now: DataFrame, shards: int, rows: int) -> DataFrame:
     """Counts at most one apart: surplus rows, unlinked ones first, fill the shards that lack."""
-    loose = F.when(F.col("linked"), 0.0).otherwise(0.5) + _chance(0, "row") / 2
-    placed = written(numbered(now, "shard", [F.col("linked").desc(), "row"], loose, "place", rows),
-                     "shard-places")
+    loose = F.when(F.col("linked"), 0.0).otherwise(0.5) + _chance(0, "tie") / 2
+    placed = written(numbered(now, "shard", [F.col("linked").desc(), "tie", "row"], loose, "place",
+                              rows), "shard-places")
     sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     fair = {s: rows // shards + (s < rows % shards) for s in range(shards)}
     over = [(s, fair[s]) for s in range(shards) if sizes.get(s, 0) > fair[s]]
     bounds = now.sparkSession.createDataFrame(over, "shard int, fair long")
     surplus = written(placed.join(F.broadcast(bounds), "shard").filter("place >= fair").select(
-        "row", F.lit(0).alias("all")), "shard-surplus")
-    number = numbered(surplus, "all", [F.col("row")], _chance(1, "row"), "number", surplus.count())
+        "row", "tie", F.lit(0).alias("all")), "shard-surplus")
+    number = numbered(surplus, "all", [F.col("tie"), F.col("row")], _chance(1, "tie"), "number",
+                      surplus.count())
     home, at = F.lit(None).cast("int"), 0
     for s in range(shards):
         missing = max(0, fair[s] - sizes.get(s, 0))
         inside = (F.col("number") >= at) & (F.col("number") < at + missing)
         home, at = F.when(inside, F.lit(s)).otherwise(home), at + missing
     moved = number.select("row", home.alias("moved"))
-    out = written(placed.drop("place").join(moved, "row", "left").withColumn(
+    out = written(placed.drop("place", "tie").join(moved, "row", "left").withColumn(
         "shard", F.coalesce("moved", "shard")).drop("moved"), "shard-even")
     erase(placed, surplus)
     return out
 
 
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
-              rounds: int = ROUNDS) -> DataFrame:
+              rounds: int | None = None) -> DataFrame:
     """``nodes`` (a column ``row``, unique; fixed) with columns ``linked`` and ``shard``.
 
     ``links``: row, edge. All rows of an edge are neighbours of each other; a plain link is an edge
-    of two rows. Stops early when two rounds grant nothing.
+    of two rows. ``rounds``, if given, is the most that are run.
     """
-    ends = links.select("row").distinct().withColumn("linked", F.lit(True))
+    small = links.join(links.groupBy("edge").agg(F.count(F.lit(1)).alias("n")), "edge")
+    ends = small.groupBy("row").agg(F.min(F.when(F.col("n") <= TOGETHER, F.col("edge"))).alias(
+        "least")).select("row", "least", F.lit(True).alias("linked"))
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
     now = written(nodes.join(ends, "row", "left").select(
         *nodes.columns, F.coalesce("linked", F.lit(False)).alias("linked"),
-        start.alias("shard")), "shards")
+        F.when(F.col("least").isNull(), F.xxhash64("row")).otherwise(
+            F.xxhash64(F.lit(3), "least")).alias("tie"), start.alias("shard")), "shards")
     rows = now.count()
-    idle = 0
-    for k in range(rounds):
+    best, idle, k, thin = _kept(now, links), 0, 0, False
+    while rows and idle < IDLE and (rounds is None or k < rounds):
         free = _room(now, shards, rows)
         nearly = max(shards, rows // shards // 50)
-        full = [s for s, n in free.items() if n < nearly] if k % 2 == 0 else []  # odd: swaps too
-        wishes = written(_wishes(now, links, full, k), "shard-wishes")
+        full = [s for s, n in free.items() if n < nearly] if k % 2 == 0 else []
+        full = [] if len(full) == shards else full  # swaps in odd rounds, and where nothing else moves
+        wishes = written(_wishes(now, links, full, k, thin), "shard-wishes")
         moves = written(_granted(wishes, free, k), "shard-moves")
-        some = bool(moves.take(1))
+        some, better = bool(moves.take(1)), False
         if some:
             after = written(now.join(moves, "row", "left").withColumn(
                 "shard", F.coalesce("moved", "shard")).drop("moved"), "shards")
-            erase(now)
-            now = after
+            kept = _kept(after, links)
+            better = kept > best
+            if better:
+                now, after, best = after, now, kept
+            erase(after)
         erase(wishes, moves)
-        idle = 0 if some else idle + 1
-        if idle == 2:
-            break
-    return _even(now, shards, rows) if rows else now
+        thin = some and not better
+        idle = 0 if better else idle + 1
+        k += 1
+    return _even(now, shards, rows) if rows else now.drop("tie")
 
 
 def equal_text_links(nodes: DataFrame) -> DataFrame:
@@ -146,7 +169,7 @@ def equal_text_links(nodes: DataFrame) -> DataFrame:
     return nodes.select("row", "same").join(groups.filter("n > 1"), "same").select("row", "edge")
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def shard(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row."""
     text = F.coalesce("text", F.lit("")).cast("binary")
     nodes = written(docs.select(

@@ -43,6 +43,16 @@ def test_groups_stay_together(spark, monkeypatch):
     assert kept > 0.85 * links
 
 
+@pytest.mark.parametrize("single, twins, least", [(4000, 400, 1.0), (0, 2000, 0.98)])
+def test_twins_come_together(spark, single, twins, least):
+    rows = [(i, f"text {i}") for i in range(single)]
+    rows += [(10_000 + i, f"twin {i % twins}") for i in range(2 * twins)]
+    got = sharding.shard(docs(spark, rows)).collect()
+    check(got, rows)
+    kept, links = split_groups(got, rows)
+    assert kept >= least * links
+
+
 def test_a_group_of_a_third(spark):
     rows = [(i, f"t {i}") for i in range(400)] + [(1000 + i, "hot") for i in range(200)]
     got = sharding.shard(docs(spark, rows)).collect()
