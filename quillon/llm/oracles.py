@@ -121,4 +121,38 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word,
 FROM w LEFT JOIN g USING (r)"""
 
 
-ORACLES = {"op6_rare_token_index": _license_scan(), "op2_path_templates": _url_filter()}
+def _divergence() -> str:
+    """Every kept term in every group, then all pairs of groups term by term."""
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang,
+    coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+t AS (SELECT r, lang, source, unnest(words) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+v AS (SELECT lang, count(*)::HUGEINT AS kinds, sum(c)::HUGEINT AS total FROM k GROUP BY lang),
+n AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t SEMI JOIN k USING (lang, term)
+      GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS total FROM g
+      LEFT JOIN n USING (lang, source) GROUP BY ALL),
+p AS (SELECT s.lang, s.source, k.term, coalesce(n.c, 0) AS c,
+      1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 1)) // (s.total + v.kinds) AS p,
+      1 + (1000000000::HUGEINT * (k.c + 1)) // (v.total + v.kinds) AS q
+      FROM s JOIN v USING (lang) JOIN k USING (lang) LEFT JOIN n USING (lang, source, term)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS f
+      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+      GROUP BY ALL),
+e AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+      coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+      LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+      UNION ALL
+      SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p
+      WHERE c > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part
+      ORDER BY value DESC, item)::INT AS rank FROM e)
+SELECT * FROM o WHERE part = 'pair' OR rank <= 200"""
+
+
+ORACLES = {"op6_rare_token_index": _license_scan(), "op2_path_templates": _url_filter(),
+           "op11_pair_merge": _divergence()}

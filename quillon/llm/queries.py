@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, hnsw, labelled, licenses, near_duplicates, oracles, packing, quality, repeats, sharding, toxicity, urls
+from quillon.llm import decontamination, divergence, hnsw, labelled, licenses, near_duplicates, oracles, packing, quality, repeats, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled.judged(quality.score(docs, model), 4, 2, 0.7)
 
 
+def op11_pair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
@@ -75,5 +79,6 @@ QUERIES: dict[str, Query] = {
     "op6_rare_token_index": op6_rare_token_index,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op11_pair_merge": op11_pair_merge,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
