@@ -154,5 +154,68 @@ o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part
 SELECT * FROM o WHERE part = 'pair' OR rank <= 200"""
 
 
+#: Kind, pattern, own score in tenths, words for and against it, check of a match m.
+_DIGITS = "regexp_replace(m, '[ -]', '', 'g')"
+_KINDS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", 9, "email|mail|contact",
+     "example", "true"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", 6, "ip|address|host|server|login",
+     "version|release|section",
+     "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 "
+     "OR coalesce(try_cast(ltrim(x, '0') AS INT), 0) > 255)) = 0"),
+    ("card", r"[0-9]([\x20-]?[0-9])+", 8, "card|credit|visa|mastercard|payment",
+     "isbn|tracking|order",
+     f"len({_DIGITS}) BETWEEN 12 AND 19 AND list_sum(list_transform(range(0, len({_DIGITS})), "
+     f"lambda i: CASE WHEN i % 2 = 0 THEN substr({_DIGITS}, len({_DIGITS}) - i, 1)::INT "
+     f"WHEN substr({_DIGITS}, len({_DIGITS}) - i, 1)::INT > 4 "
+     f"THEN 2 * substr({_DIGITS}, len({_DIGITS}) - i, 1)::INT - 9 "
+     f"ELSE 2 * substr({_DIGITS}, len({_DIGITS}) - i, 1)::INT END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 7, "phone|tel|call|mobile|fax", "order|version",
+     "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 9 AND 15"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}([A-Z0-9]{11,30}|( [A-Z0-9]{4}){2,7}( ([0-9][A-Z0-9]{0,2}|"
+     r"[A-Z][0-9][A-Z0-9]?|[A-Z]{2}[0-9]))?)\b", 9, "iban|bank|account|bic|swift", "serial",
+     "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || "
+     "left(m, 4), ''), lambda x: strpos('0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', x) - 1)), "
+     "lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1"),
+    ("ssn", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 3, "ssn|social|security|taxpayer",
+     "isbn|part|serial", "left(m, 3) NOT IN ('000', '666') AND left(m, 1) <> '9' "
+     "AND substr(m, 5, 2) <> '00' AND right(m, 4) <> '0000'"),
+    ("aba", r"\b[0-9]{9}\b", 2, "routing|aba|bank|transit", "isbn|serial|order",
+     "m <> '000000000' AND list_sum(list_transform(range(1, 10), lambda i: "
+     "substr(m, i, 1)::INT * [3, 7, 1][((i - 1) % 3 + 1)::INT])) % 10 = 0"),
+]
+
+
+def _personal() -> str:
+    """Matches and the text between them give every start; checks, scores and digests follow."""
+    found = "\nUNION ALL\n".join(f"""
+SELECT r, text, {k} AS o, '{kind}' AS kind, {own} AS own, '\\b({good})\\b' AS good,
+    '\\b({bad})\\b' AS bad, m, s FROM (
+  SELECT r, text, ms[i] AS m, (list_sum(list_transform(ss[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT r, text, regexp_extract_all(text, '{pattern}') AS ms,
+           string_split_regex(text, '{pattern}') AS ss FROM d)))
+WHERE {check}""" for k, (kind, pattern, own, good, bad, check) in enumerate(_KINDS))
+    counts = ", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, *_ in _KINDS[:4])
+    sums = ", ".join(f"count(*) FILTER (o = {k}) AS n_{kind}"
+                     for k, (kind, *_) in enumerate(_KINDS[:4]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({found}),
+c AS (SELECT *, s + length(m) AS e, translate(substr(text, greatest(s - 48, 0) + 1,
+      s - greatest(s - 48, 0)) || chr(10) || substr(text, s + length(m) + 1, 24),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS around FROM f),
+p AS (SELECT *, greatest(0, least(10, own + 4 * regexp_matches(around, good)::INT
+      - 3 * regexp_matches(around, bad)::INT)) AS tenths FROM c),
+k AS (SELECT *, kind || ':' || s || ':' || e AS shown FROM p WHERE o < 4 OR tenths >= 5),
+g AS (SELECT r, {sums}, string_agg(shown, ',' ORDER BY s, o) FILTER (o < 4) AS base,
+      string_agg(shown, ',' ORDER BY s, o) AS spans,
+      string_agg((tenths // 10) || '.' || (tenths % 10), ',' ORDER BY s, o) AS scores
+      FROM k GROUP BY r)
+SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (r)"""
+
+
 ORACLES = {"op6_rare_token_index": _license_scan(), "op2_path_templates": _url_filter(),
-           "op11_pair_merge": _divergence()}
+           "op11_pair_merge": _divergence(), "op12_checked_spans": _personal()}

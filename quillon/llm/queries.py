@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, divergence, hnsw, labelled, licenses, near_duplicates, oracles, packing, quality, repeats, sharding, toxicity, urls
+from quillon.llm import decontamination, divergence, hnsw, labelled, licenses, near_duplicates, oracles, packing, personal, quality, repeats, sharding, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op11_pair_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_checked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
@@ -80,5 +84,6 @@ QUERIES: dict[str, Query] = {
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op11_pair_merge": op11_pair_merge,
+    "op12_checked_spans": op12_checked_spans,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
