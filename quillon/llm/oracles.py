@@ -217,5 +217,43 @@ SELECT doc_id, {counts}, sha256(coalesce(base, '')) AS base_sha256,
     coalesce(spans, '') AS spans, coalesce(scores, '') AS scores FROM d LEFT JOIN g USING (r)"""
 
 
+def _spellings() -> str:
+    """Checksums byte by byte, then near words by equal rests after a deletion."""
+    return """
+WITH RECURSIVE z AS (SELECT list(list_reduce([k::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+      lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY k)
+      AS crc FROM range(256) AS q(k)),
+d AS (SELECT row_number() OVER () AS r, coalesce(doc_id::VARCHAR, '') || ':' AS head,
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+      AS text FROM documents),
+u AS (SELECT r, head, unnest(regexp_extract_all(text, '[a-zÀ-ÿ]{7,}')) AS w FROM d),
+c AS (SELECT r, head, w, count(*) AS n FROM u GROUP BY ALL),
+b AS (SELECT w, n, flatten(list_transform(string_split(head || w, ''), lambda x:
+      CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [195, unicode(x)::BIGINT - 64] END))
+      AS bytes FROM c),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda a, x:
+      xor(a >> 8, crc[xor(a, x) % 256 + 1])), 4294967295) AS h FROM b, z),
+a AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT)
+      || substr(w, (h % length(w) + 2)::INT) ELSE w END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM a GROUP BY word
+      HAVING sum(n) >= 2 AND length(word) >= 7),
+x AS (SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS rest
+      FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n FROM x a JOIN x b ON a.i = b.i AND a.rest = b.rest
+      AND length(a.word) = length(b.word) AND a.word <> b.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word
+      UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word),
+o AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near,
+      row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM p),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near,
+      CASE WHEN o.n >= 10 * v.n THEN near END AS form,
+      CASE WHEN o.n >= 10 * v.n THEN o.n END AS form_n
+      FROM v LEFT JOIN o ON o.word = v.word AND place = 1),
+g AS (SELECT word, word AS root, form AS ahead FROM f
+      UNION ALL SELECT g.word, f.word, f.form FROM g JOIN f ON f.word = g.ahead)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word) WHERE ahead IS NULL"""
+
+
 ORACLES = {"op6_rare_token_index": _license_scan(), "op2_path_templates": _url_filter(),
-           "op11_pair_merge": _divergence(), "op12_checked_spans": _personal()}
+           "op11_pair_merge": _divergence(), "op12_checked_spans": _personal(),
+           "op13_bloom_edits": _spellings()}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontamination, divergence, hnsw, labelled, licenses, near_duplicates, oracles, packing, personal, quality, repeats, sharding, toxicity, urls
+from quillon.llm import decontamination, divergence, hnsw, labelled, licenses, near_duplicates, oracles, packing, personal, quality, repeats, sharding, spellings, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,6 +72,10 @@ def op12_checked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.report(table(spark, sf_dir, "documents"))
 
 
+def op13_bloom_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op9_minhash": op9_minhash,
     "op10_quality": op10_quality,
@@ -85,5 +89,6 @@ QUERIES: dict[str, Query] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op11_pair_merge": op11_pair_merge,
     "op12_checked_spans": op12_checked_spans,
+    "op13_bloom_edits": op13_bloom_edits,
 }
 ORACLES: dict[str, str] = oracles.ORACLES
