@@ -106,7 +106,7 @@ def placed_in_batches(requests: DataFrame, lane: str, size: int = C.MAX_BATCH_SI
                 .append_column("place", pa.array(rows - first + 1))
                 .filter(pa.array((first < own) & (rows >= first))))
 
-    schema = StructType([*requests.schema.fields, StructField("batch_no", LongType()),
+    schema = StructType([*arrived.select(names).schema.fields, StructField("batch_no", LongType()),
                          StructField("place", LongType())])
     return chunks.join(entries, [lane, "_chunk"]).groupBy(lane, "_chunk").applyInArrow(deal, schema)
 

@@ -51,9 +51,18 @@ def prompts(questions: DataFrame, found: DataFrame) -> DataFrame:
         "question_id", "query", prompt(F.col("query"), F.coalesce("context", F.lit(""))))
 
 
+# --- fixed values: the parts of a prompt --------------------------------------------------------
+BEFORE_QUERY, BEFORE_CONTEXT, AFTER_CONTEXT = "Question: ", "\nContext:\n", "\nAnswer:"
+
+
 def prompt(query: Column, context: Column) -> Column:
-    return F.concat(F.lit("Question: "), query, F.lit("\nContext:\n"), context,
-                    F.lit("\nAnswer:")).alias("prompt")
+    return F.concat(F.lit(BEFORE_QUERY), query, F.lit(BEFORE_CONTEXT), context,
+                    F.lit(AFTER_CONTEXT)).alias("prompt")
+
+
+def prompt_text(query: str, context: str) -> str:
+    """The same prompt inside a task."""
+    return f"{BEFORE_QUERY}{query}{BEFORE_CONTEXT}{context}{AFTER_CONTEXT}"
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,25 +8,27 @@ by the batch search, which has no such limit.
 from __future__ import annotations
 
 import time
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillon import constants as C
 from quillon.functions.guards import is_safe, redact_pii, validated_requests
 from quillon.operators import blocks
+from quillon.operators.batching import WAIT_MICROS
 from quillon.operators.encoder import embed_column, embed_texts
-from quillon.plans.retrieval import prompts, retrieve
+from quillon.plans.retrieval import prompt_text, prompts, retrieve
+from quillon.streaming.batches import batched, observed
 
 REQUEST_SCHEMA = ("request_id BIGINT, ts TIMESTAMP, session_id STRING, query STRING, k INT, "
                   "metric STRING")
-ANSWER_SCHEMA = ("request_id BIGINT, session_id STRING, query STRING, result STRING, error STRING, "
-                 "batch_key STRING, batch_size INT, processing_time DOUBLE, queue_size INT")
+ANSWER_SCHEMA = ("request_id BIGINT, ts TIMESTAMP, session_id STRING, query STRING, result STRING, "
+                 "error STRING, place INT, batch_key STRING, batch_size INT, "
+                 "processing_time DOUBLE, queue_size INT, closed_by STRING")
 STORE_ROWS, STORE_BYTES = 100_000, 256 << 20
 Respond = Callable[[list[str]], list[str]]
 
@@ -51,12 +53,14 @@ def in_range(requests: DataFrame, k: int) -> DataFrame:
 
 
 def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE, k: int = 2,
-             respond: Respond | None = None) -> DataFrame:
+             respond: Respond | None = None, lane: Column | None = None,
+             wait_micros: int = WAIT_MICROS, lateness: str = "1 second") -> DataFrame:
     """Answers to a stream (or table) of requests from a small store(doc_id, text).
 
-    A batch closes at ``size`` requests or when the trigger's interval has passed. ``respond`` turns
-    a batch of prompts into results; without it the prompt is the result. If it fails, each request
-    of the batch gets the error. A request that is out of range gets its reason and no result.
+    Requests of a ``lane`` (one for all by default) are answered in count-or-time batches, see
+    ``batches.batched``. ``respond`` turns a batch of prompts into results; without it the prompt is
+    the result. If it fails, each request of the batch gets the error. A request that is out of
+    range gets its reason and no result.
     """
     texts, fits = blocks.small_enough(store.select("doc_id", "text"), STORE_ROWS, STORE_BYTES)
     if not fits:
@@ -67,23 +71,31 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
     shared = session.sparkContext.broadcast(
         (blocks.values(kept["doc_id"]), kept["text"].to_pylist(),
          blocks.matrix(embedded["embedding"])))
-    asked = in_range(requests, k).select(
-        "request_id", "session_id", "query", "reject_reason", F.col("k").alias("q_k"),
-        embed_column(F.coalesce("query", F.lit(""))).alias("q_vec"))
+    asked = observed(in_range(requests, k), "arrived", F.count("request_id").alias("requests"))
+    closed = batched(asked.select(
+        "ts", "request_id", "session_id", "query", "reject_reason", F.col("k").alias("q_k"),
+        embed_column(F.coalesce("query", F.lit(""))).alias("q_vec")),
+        F.lit("") if lane is None else lane, size, wait_micros, lateness)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, passages, vectors = shared.value
-        for arrived in batches:
-            for first in range(0, len(arrived), size):
-                part = arrived.slice(first, size)
-                waiting = len(arrived) - first - len(part)
-                yield _served(part, ids, passages, vectors, respond, waiting)
-
-    return asked.mapInArrow(scan, ANSWER_SCHEMA)
-
-
-def _served(part, ids, passages, vectors, respond, waiting) -> pa.RecordBatch:
-    began, n, reasons = time.time(), len(part), part["reject_reason"].to_pylist()
+        for rows in arrived:
+            for i in range(len(rows)):
+                yield _served(rows.slice(i, 1), ids, passages, vectors, respond)
+
+    first = F.col("place") == 1
+    return observed(
+        closed.mapInArrow(scan, ANSWER_SCHEMA), "served", F.count(F.lit(1)).alias("requests"),
+        F.count_if(first).alias("batches"),
+        F.sum(F.when(first, F.col("processing_time"))).alias("processing_time"),
+        F.max("queue_size").alias("max_queue_size"))
+
+
+def _served(batch: pa.RecordBatch, ids, passages, vectors, respond) -> pa.RecordBatch:
+    """The answers of one batch, given as a row."""
+    began = time.time()
+    part = pa.RecordBatch.from_struct_array(batch["requests"].flatten())
+    n, reasons = len(part), part["reject_reason"].to_pylist()
     good = [i for i, reason in enumerate(reasons) if reason is None]
     results, errors = [None] * n, reasons
     served = part.take(pa.array(good, pa.int64()))
@@ -96,19 +108,22 @@ def _served(part, ids, passages, vectors, respond, waiting) -> pa.RecordBatch:
         if m:
             for q, row in zip(*blocks.nearest(asked, ids, vectors, C.RETRIEVAL_EPS)[:2]):
                 found[q].append(passages[row])
-        made = [f"Question: {q}\nContext:\n" + "\n".join(f) + "\nAnswer:"
-                for q, f in zip(queries, found)]
+        made = [prompt_text(q, "\n".join(f)) for q, f in zip(queries, found)]
         for i, result in zip(good, made if respond is None or not m else respond(made)):
             results[i] = result
     except Exception as failure:
         errors = [reason or f"Error processing request: {failure}" for reason in reasons]
+    key = f"{batch['lane'][0].as_py()}-{batch['batch_no'][0].as_py()}"
+    spread = {"batch_key": key, "batch_size": n, "processing_time": time.time() - began,
+              "queue_size": batch["queue_size"][0].as_py(),
+              "closed_by": batch["closed_by"][0].as_py()}
+    kinds = {"batch_size": pa.int32(), "queue_size": pa.int32()}
     return pa.record_batch({
-        "request_id": part["request_id"], "session_id": part["session_id"], "query": part["query"],
-        "result": pa.array(results, pa.string()), "error": pa.array(errors, pa.string()),
-        "batch_key": pa.array([uuid.uuid4().hex] * n),
-        "batch_size": pa.array([n] * n, pa.int32()),
-        "processing_time": pa.array([time.time() - began] * n),
-        "queue_size": pa.array([waiting] * n, pa.int32())})
+        "request_id": part["request_id"], "ts": part["ts"], "session_id": part["session_id"],
+        "query": part["query"], "result": pa.array(results, pa.string()),
+        "error": pa.array(errors, pa.string()),
+        "place": pa.array(np.arange(1, n + 1), pa.int32()),
+        **{name: pa.array([value] * n, kinds.get(name)) for name, value in spread.items()}})
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None,
@@ -157,9 +172,31 @@ def session_history(log: DataFrame, window: str = "1 hour", lateness: str = "10
     """
     return (
         log.withWatermark("ts", lateness)
-        .groupBy(F.window("ts", window).alias("w"), "session_id")
-        .agg(F.count("*").alias("requests"), F.avg("latency").alias("avg_latency"),
-             F.avg("bias_score").alias("avg_bias"))
+        .groupBy(F.window("ts", window).alias("w"), "session_id").agg(*_history())
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
                 "session_id", "requests", "avg_latency", "avg_bias")
     )
+
+
+def session_visits(log: DataFrame, gap: Column | str = "30 minutes",
+                   lateness: str = "10 minutes") -> DataFrame:
+    """Requests, mean latency and mean bias per session and visit: a visit ends when ``gap`` passes
+    after a request without another. ``gap`` may depend on the request.
+
+    On a stream visits come out once the watermark has passed their end (append mode; Spark has no
+    update mode for them), so state stays as large as the open visits. Start and end are aggregates:
+    a caller's filter on the window itself would be moved before the merging of requests.
+    """
+    gap = F.lit(gap) if isinstance(gap, str) else gap
+    return (
+        log.withWatermark("ts", lateness)
+        .withColumn("_until", F.col("ts") + gap.cast("interval"))
+        .groupBy(F.session_window("ts", gap), "session_id")
+        .agg(F.min("ts").alias("visit_start"), F.max("_until").alias("visit_end"), *_history())
+        .select("session_id", "visit_start", "visit_end", "requests", "avg_latency", "avg_bias")
+    )
+
+
+def _history() -> list[Column]:
+    return [F.count("*").alias("requests"), F.avg("latency").alias("avg_latency"),
+            F.avg("bias_score").alias("avg_bias")]
