@@ -316,6 +316,22 @@ batch_groups AS (
   FROM placed GROUP BY w, (n + 7) // 8)"""
 
 
+#: Batches of eight requests or half an hour per replica: every request's jump to the batch after
+#: one that begins with it, then the jumps that are taken.
+COUNT_OR_TIME = """
+laned AS (SELECT *, CAST(split_part(session_id, '_', 2) AS BIGINT) % 2 AS lane, epoch_us(ts) AS us
+  FROM request_log),
+arrivals AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY ts, request_id) - 1 AS pos,
+  count(*) OVER (PARTITION BY lane) AS n FROM laned),
+jumps AS (SELECT lane, pos, n, least(pos + 8, max(pos) OVER (PARTITION BY lane ORDER BY us
+  RANGE BETWEEN CURRENT ROW AND 1799999999 FOLLOWING) + 1) AS beyond FROM arrivals),
+taken AS (SELECT lane, pos, n, beyond, 1 AS batch_no FROM jumps WHERE pos = 0
+  UNION ALL SELECT j.lane, j.pos, j.n, j.beyond, t.batch_no + 1 FROM taken t JOIN jumps j
+  ON j.lane = t.lane AND j.pos = t.beyond),
+in_batch AS (SELECT a.*, batch_no, a.pos - t.pos + 1 AS place, beyond - t.pos AS batch_size
+  FROM arrivals a JOIN taken t ON t.lane = a.lane AND a.pos >= t.pos AND a.pos < t.beyond)"""
+
+
 def dashboards() -> dict[str, str]:
     latency = " UNION ALL ".join(
         [f"SELECT '{b:g}' AS le, count(*) FILTER (WHERE latency <= {b}) AS observations, "
@@ -360,6 +376,31 @@ def dashboards() -> dict[str, str]:
                 (n + 7) // 8 AS batch_no, count(*) AS batch_size,
                 round(sum(latency), 4) AS processing_time, max(arrived) - max(n) AS queue_size
             FROM placed GROUP BY w, (n + 7) // 8""",
+        "request_batches": _with("RECURSIVE " + REQUEST_LOG, COUNT_OR_TIME) + """
+            SELECT lane, batch_no::BIGINT AS batch_no,
+                strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS opened, count(*) AS batch_size,
+                round(sum(latency), 4) AS processing_time,
+                CASE WHEN count(*) = 8 THEN 'size' ELSE 'time' END AS closed_by
+            FROM in_batch GROUP BY lane, batch_no""",
+        "request_results": _with(REQUEST_LOG) + """,
+            waits AS (SELECT *, k % 10 <> 3 AND floor(latency * 1000000) BETWEEN 0 AND 120000000
+                AS met, floor(latency * 1000000)::BIGINT AS micros FROM request_log)
+            SELECT request_id, session_id, CASE WHEN met AND status = 'ok' THEN metric END AS result,
+                CASE WHEN NOT met THEN 'no answer within 2 minutes'
+                     WHEN status = 'error' THEN 'failed' END AS error,
+                CASE WHEN met THEN micros END AS waited_micros FROM waits""",
+        "session_visits": _with(REQUEST_LOG) + """,
+            spans AS (SELECT *, ts + CASE WHEN status = 'error' THEN INTERVAL 1 HOUR
+                ELSE INTERVAL 6 HOUR END AS until FROM request_log),
+            begun AS (SELECT *, coalesce(ts > max(until) OVER (PARTITION BY session_id
+                ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true)
+                AS begins FROM spans),
+            visits AS (SELECT *, sum(begins::INT) OVER (PARTITION BY session_id
+                ORDER BY ts, request_id) AS visit FROM begun)
+            SELECT session_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS visit_start,
+                strftime(max(until), '%Y-%m-%d %H:%M:%S.%f') AS visit_end, count(*) AS requests,
+                round(avg(latency), 9) AS avg_latency, round(avg(bias_score), 9) AS avg_bias
+            FROM visits GROUP BY session_id, visit""",
         "session_series": _with(REQUEST_LOG) + """
             SELECT session_id, row_number() OVER (PARTITION BY session_id
                        ORDER BY ts, request_id) - 1 AS position, request_id, latency, bias_score
@@ -770,7 +811,28 @@ def retrieval() -> dict[str, str]:
         FROM (SELECT *, k BETWEEN 1 AND 50 AS fine FROM checked) c
         JOIN told t USING (question_id) JOIN gendered USING (question_id)
         LEFT JOIN finds ON finds.query = c.query AND finds.k = c.k AND finds.metric = c.metric"""
+    served = _with(
+        "RECURSIVE " + QUESTION_LOG, REQUEST_LOG[len(EVENTS_K) + 2:], COUNT_OR_TIME,
+        """asked AS (SELECT b.*, q.query, coalesce(q.k, 2) AS q_k FROM in_batch b
+             JOIN question_log q ON q.question_id = 'e-' || b.request_id),
+           query_texts AS (SELECT DISTINCT query FROM asked)""",
+        _embedded("qe", "query_texts", "query", "query"),
+        _embedded("de", "benchmark", "item_id", "text"), f"""
+        scored AS (SELECT q.key AS query, d.key AS doc_id, row_number() OVER (PARTITION BY q.key
+          ORDER BY {_distance('l2', 'q.v', 'd.v')}, d.key) AS rank FROM qe q, de d),
+        contexts AS (SELECT query, k, string_agg(text, chr(10) ORDER BY rank) AS context
+          FROM scored JOIN benchmark ON item_id = doc_id, range(1, 51) AS ks(k)
+          WHERE rank <= k GROUP BY query, k)""") + """
+        SELECT request_id, a.query, CASE WHEN q_k BETWEEN 1 AND 50 THEN 'Question: ' || a.query
+                 || chr(10) || 'Context:' || chr(10) || context || chr(10) || 'Answer:' END AS result,
+               CASE WHEN q_k < 1 THEN 'k must be at least 1' WHEN q_k > 50
+                    THEN 'k must be at most 50' END AS error,
+               lane || '-' || batch_no AS batch_key, place::INT AS place,
+               batch_size::INT AS batch_size,
+               CASE WHEN batch_size = 8 THEN 'size' ELSE 'time' END AS closed_by
+        FROM asked a LEFT JOIN contexts c ON c.query = a.query AND c.k = a.q_k"""
     return {
+        "served_requests": served,
         "pool_embeddings": "WITH" + _embedded("de", "documents", "doc_id", "text") + f"""
             SELECT doc_id, position, {_rounded('x', 6)} AS value FROM (
               SELECT key AS doc_id, unnest(v) AS x,
@@ -857,6 +919,21 @@ def all_oracles() -> dict[str, str]:
                  retrieval, passthrough):
         out.update(part())
     out["brief_answers"] = f"SELECT query, narrative AS result FROM ({out['agent_answers']})"
+    out["trace_records"] = f"""
+        SELECT left(query, 100) AS query, k, metric, a.session_id, latency AS latency_ms,
+               a.bias_score, len(string_split(retrieved_ids, ','))::INT AS docs_retrieved,
+               CASE WHEN narrative IS NULL THEN 'error' ELSE 'ok' END AS status,
+               CASE WHEN narrative IS NULL THEN left(error, 200) END AS error,
+               query AS full_query, CASE WHEN narrative IS NULL THEN error END AS full_error,
+               '{{"query":' || to_json(query) || ',"sql_query":' || coalesce(to_json(sql_query), 'null')
+               || ',"narrative":' || coalesce(to_json(narrative), 'null') || ',"bias_score":'
+               || coalesce(to_json(a.bias_score), 'null') || ',"latency_ms":' || to_json(latency)
+               || ',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z","error":'
+               || coalesce(to_json(error), 'null') || '}}' AS trace,
+               strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, strftime(ts, '%Y-%m-%d') AS dt
+        FROM ({out['agent_answers']}) a
+        JOIN (SELECT 'e-' || event_id AS question_id, ts, value AS latency FROM events)
+        USING (question_id)"""
     out["sql_text_functions"] = f"""
         SELECT text_id, redacted, is_safe, bias_score FROM ({out['redact_pii']})
         JOIN ({out['check_query']}) USING (text_id) JOIN ({out['bias_analyze']}) USING (text_id)"""

@@ -71,7 +71,7 @@ def placed_in_batches(requests: DataFrame, lane: str, size: int = C.MAX_BATCH_SI
                             & F.col("request_id").isNotNull())
     arrived = written(numbered(whole, [lane], ["ts", "request_id"], "_at", group_rows).select(
         *requests.columns, (F.col("_at") - 1).alias("_at"),
-        F.unix_micros("ts").alias("_micros")), "arrivals")
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("_micros")), "arrivals")
     chunk, inside = F.floor(F.col("_at") / chunk_rows), F.col("_at") % chunk_rows
     shown_twice = (inside < size) & (F.col("_at") >= chunk_rows)
     chunks = arrived.withColumn("_chunk", F.explode(

@@ -64,5 +64,10 @@ QUERIES = {
     "session_history": served.session_history,
     "batch_groups_short": served.batch_groups_short,
     "brief_answers": served.brief_answers,
+    "request_batches": served.request_batches,
+    "served_requests": served.served_requests,
+    "request_results": served.request_results,
+    "session_visits": served.session_visits,
+    "trace_records": served.trace_records,
     **{name: passthrough.statement(name) for name in passthrough.STATEMENTS},
 }

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import constants as C
-from quillon.sources import synthetic, tables
-
+from quillon.sources import statements, synthetic, tables
 
 DAMAGED = ("is not a Parquet file", "CANNOT_READ_FILE_FOOTER")
 QUERY_WORDS = {"SELECT", "WITH", "VALUES", "FROM", "TABLE"}
@@ -20,8 +19,8 @@ QUERY_WORDS = {"SELECT", "WITH", "VALUES", "FROM", "TABLE"}
 def run_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, str | None]:
     """``(frame, None)`` for a read-only statement, else ``(None, error)``. The frame is lazy.
 
-    Besides the guard's words, anything that does not begin as a query is refused: settings, loads,
-    caches and the like are commands even where they hold none of the words.
+    Besides the guard's words, anything that is not a plain query of registered tables by its parsed
+    plan is refused, see ``statements.refusal``.
     """
     upper = text.upper()
     for word in C.READ_ONLY_FORBIDDEN:
@@ -32,6 +31,8 @@ def run_sql(spark: SparkSession, text: str) -> tuple[DataFrame | None, str | Non
     first = re.match(r"(?s)(?:\s|--[^\n]*\n|/\*.*?\*/|\()*([A-Za-z]+)", text)
     if not first or first[1].upper() not in QUERY_WORDS:
         return None, f"Forbidden SQL operation: {first[1].upper() if first else text.split()[0]}"
+    if refused := statements.refusal(spark, text):
+        return None, refused
     try:
         return spark.sql(text), None
     except PySparkException as failure:

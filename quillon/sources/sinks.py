@@ -1,8 +1,13 @@
-"""Trace records of served requests, appended to a table partitioned by day."""
+"""Trace records of served requests, in a table that takes every batch once.
+
+A batch of records lands in a folder of its own and counts when its commit marker is there. A batch
+that is written again is skipped, one that failed half-way is replaced, and readers see committed
+batches only. All files go through Spark and Hadoop's file systems, so the table may lie in any store.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.ranking import first_per_group
@@ -12,10 +17,15 @@ QUERY_SHOWN, ERROR_SHOWN = 100, 200
 
 
 def trace_records(answers: DataFrame, latency_ms: Column, at: Column) -> DataFrame:
-    """A record per answer: parameters, metrics and the trace as JSON; failures keep their error."""
+    """A record per answer: parameters, metrics and the trace as JSON, of failures too.
+
+    ``query`` and ``error`` are shortened as a log shows them; ``full_query`` and ``full_error`` are
+    whole.
+    """
     failed = F.col("narrative").isNull()
     trace = F.to_json(F.struct("query", "sql_query", "narrative", "bias_score",
-                               F.col("latency_ms"), F.col("ts").alias("timestamp")))
+                               F.col("latency_ms"), F.col("ts").alias("timestamp"), "error"),
+                      {"ignoreNullFields": "false"})
     return (
         answers.withColumns({"latency_ms": latency_ms, "ts": at})
         .select(
@@ -23,12 +33,41 @@ def trace_records(answers: DataFrame, latency_ms: Column, at: Column) -> DataFra
             "latency_ms", "bias_score", F.size("retrieved_docs").alias("docs_retrieved"),
             F.when(failed, "error").otherwise("ok").alias("status"),
             F.when(failed, F.left("error", F.lit(ERROR_SHOWN))).alias("error"),
-            F.when(~failed, trace).alias("trace"), "ts", F.to_date("ts").alias("dt"))
+            F.col("query").alias("full_query"), F.when(failed, F.col("error")).alias("full_error"),
+            trace.alias("trace"), "ts", F.to_date("ts").alias("dt"))
     )
 
 
-def append_trace(records: DataFrame, path: str) -> None:
-    records.write.mode("append").partitionBy("dt").parquet(path)
+def append_trace(records: DataFrame, path: str, batch_id: str) -> bool:
+    """Add a batch of records unless it is there already; whether it was added.
+
+    The marker is written after the data, so a batch without one is rewritten from the start.
+    """
+    spark = records.sparkSession
+    if not committed(spark, path).filter(F.col("batch_id") == batch_id).isEmpty():
+        return False
+    records.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("dt").parquet(
+        f"{path}/batches/folder={batch_id}")
+    spark.createDataFrame([(batch_id,)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{path}/commits/{batch_id}")
+    return True
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of the batches that count."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "batch_id string")
+    return spark.read.option("recursiveFileLookup", "true").schema("value string").text(
+        f"{path}/commits").select(F.col("value").alias("batch_id"))
+
+
+def read_trace(spark: SparkSession, path: str) -> DataFrame | None:
+    """The records of all committed batches, None before the first."""
+    done = committed(spark, path)
+    if done.isEmpty():
+        return None
+    return spark.read.parquet(f"{path}/batches").drop("folder").join(done, "batch_id", "left_semi")
 
 
 def exported(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:

@@ -51,7 +51,7 @@ def batched(requests: DataFrame, lane: Column, size: int = C.MAX_BATCH_SIZE,
     kind = requests.schema["request_id"].dataType.simpleString()
     fed = requests.withWatermark("ts", lateness).select(
         "ts", "request_id", F.coalesce(lane.cast("string"), F.lit("")).alias("lane"),
-        F.unix_micros("ts").alias("micros"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"),
         F.to_json(F.struct(*fields), STAMP).alias("payload"))
 
     def close(key: tuple, arrived: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

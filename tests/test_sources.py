@@ -29,6 +29,66 @@ def test_run_sql(spark, sf):
     assert catalog.run_sql(spark, "SELECT nothing FROM nowhere")[0] is None
 
 
+REFUSED = {
+    "SELECT reflect('java.lang.System', 'getProperty', 'java.version')": "function reflect",
+    "SELECT java_method('java.lang.System', 'getProperty', 'java.version')": "function java_method",
+    "SELECT try_reflect('java.lang.System', 'exit', 1) FROM trips": "function try_reflect",
+    "SELECT system.builtin.reflect('a', 'b')": "function reflect",
+    "SELECT count(*) FROM text.`/etc/hostname`": "unregistered relation",
+    "SELECT * FROM trips WHERE id IN (SELECT value FROM text.`/etc/hostname`)": "unregistered",
+    "WITH a AS (SELECT * FROM parquet.`/tmp/x`) SELECT * FROM a": "unregistered relation",
+    "SELECT exists(array(1), x -> reflect('a', 'b') = x)": "function reflect",
+    "SELECT (SELECT max(reflect('a', 'b')) FROM trips)": "function reflect",
+    "SELECT sum(fare) OVER (ORDER BY reflect('a', 'b')) FROM trips": "function reflect",
+    "SELECT IDENTIFIER('reflect')('a', 'b')": "computed name",
+    "SELECT * FROM IDENTIFIER('trips')": "computed name",
+    "SELECT TRANSFORM(id) USING 'cat' FROM trips": "ScriptTransformation",
+    "SELECT * FROM trips t LATERAL VIEW explode(array(reflect('a', 'b'))) x": "function reflect",
+    "SELECT * FROM read_files('/etc')": "table function read_files",
+    "VALUES (reflect('a', 'b'))": "function reflect",
+    "FROM trips JOIN csv.`/etc/passwd` p SELECT *": "unregistered relation",
+    "SELECT * FROM a.b.c": "unregistered relation",
+    "SELECT FROM WHERE": "",
+    "SET spark.x=1": "SET", "EXPLAIN SELECT 1": "EXPLAIN", "CACHE TABLE trips": "CACHE",
+}
+PLAIN = [
+    "WITH a AS (SELECT location, count(*) AS n FROM trips GROUP BY location HAVING count(*) > 1) "
+    "SELECT *, row_number() OVER (PARTITION BY n ORDER BY location) AS r FROM a ORDER BY n LIMIT 5",
+    "SELECT DISTINCT region FROM customers WHERE id IN (SELECT id FROM customers) "
+    "AND EXISTS (SELECT 1 FROM trips)",
+    "SELECT location FROM trips UNION ALL SELECT id FROM range(3) INTERSECT SELECT 1 EXCEPT SELECT 9",
+    "(SELECT 1 AS x) UNION VALUES (2)", "TABLE trips", "FROM trips SELECT max(fare)",
+    "SELECT region, x FROM customers LATERAL VIEW explode(array(1, 2)) e AS x",
+    "SELECT * FROM (SELECT region, churn FROM customers) PIVOT (count(*) FOR churn IN (0, 1))",
+    "SELECT region, sum(churn) FROM customers GROUP BY CUBE (region)",
+    "SELECT /*+ BROADCAST(t) */ transform(array(fare), x -> x + 1) FROM trips t LIMIT 2 OFFSET 1",
+    "SELECT * FROM trips a JOIN LATERAL (SELECT a.fare AS f) b LEFT JOIN customers c ON a.id = c.id",
+    "SELECT sum(fare) OVER w FROM trips WINDOW w AS (ORDER BY id)",
+    "SELECT * FROM trips TABLESAMPLE (10 ROWS)",
+]
+
+
+@pytest.mark.parametrize("text", REFUSED)
+def test_statements_that_reach_outside_are_refused(spark, sf, text):
+    tables.register(spark, sf)
+    df, error = catalog.run_sql(spark, text)
+    assert df is None and REFUSED[text] in error
+
+
+@pytest.mark.parametrize("text", PLAIN)
+def test_plain_queries_run(spark, sf, text):
+    tables.register(spark, sf)
+    df, error = catalog.run_sql(spark, text)
+    assert error is None and df.columns
+
+
+def test_tables_of_a_database_are_registered_relations(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS guarded")
+    spark.range(3).write.mode("overwrite").saveAsTable("guarded.numbers")
+    df, error = catalog.run_sql(spark, "SELECT count(*) AS n FROM guarded.numbers")
+    assert error is None and df.first()["n"] == 3
+
+
 def test_init_tables(spark):
     spark.sql("CREATE DATABASE IF NOT EXISTS loads")
     catalog.init_tables(spark, 200, database="loads")
@@ -105,14 +165,41 @@ def test_traces(spark, sf, tmp_path):
     store = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id bigint, text string")
     done = answer(requests, store, tables.trips(spark, sf), tables.customers(spark, sf))
     records = sinks.trace_records(done, F.lit(12.5), F.lit("2024-05-01 10:00:00").cast("timestamp"))
-    for _ in range(2):
-        sinks.append_trace(records, str(tmp_path / "trace"))
-    got = spark.read.parquet(str(tmp_path / "trace"))
-    assert got.count() == 4 and (tmp_path / "trace" / "dt=2024-05-01").exists()
+    path = str(tmp_path / "trace")
+    assert sinks.read_trace(spark, path) is None
+    assert [sinks.append_trace(records, path, "one") for _ in range(3)] == [True, False, False]
+    got = sinks.read_trace(spark, path)
+    assert got.count() == 2 and (tmp_path / "trace/batches/folder=one/dt=2024-05-01").exists()
     ok = got.filter("status = 'ok'").first()
     assert len(ok["query"]) == 100 and ok["docs_retrieved"] == 2
+    assert ok["full_query"] == "Top 3 locations by fare " + "x" * 200
     assert json.loads(ok["trace"])["latency_ms"] == 12.5
-    assert got.filter("status = 'error'").first()["error"] == "k must be at least 1"
+    failed = got.filter("status = 'error'").first()
+    assert failed["error"] == failed["full_error"] == "k must be at least 1"
+    assert json.loads(failed["trace"]) == {
+        "query": "bad", "sql_query": None, "narrative": None, "bias_score": None,
+        "latency_ms": 12.5, "timestamp": "2024-05-01T10:00:00.000Z", "error": "k must be at least 1"}
+
+
+def test_long_errors_are_whole_beside_the_shortened_ones(spark):
+    answers = spark.createDataFrame(
+        [("q" * 150, "boom " * 100, [1])], "query string, error string, retrieved_docs array<int>"
+    ).withColumns({c: F.lit(None).cast("string") for c in ("narrative", "sql_query", "session_id",
+                                                           "metric", "k", "bias_score")})
+    row = sinks.trace_records(answers, F.lit(1.0), F.lit("2024-05-01").cast("timestamp")).first()
+    assert (len(row["query"]), len(row["full_query"])) == (100, 150)
+    assert (len(row["error"]), len(row["full_error"])) == (200, 500)
+
+
+def test_a_batch_without_its_marker_is_replaced(spark, tmp_path):
+    path = str(tmp_path / "trace")
+    rows = spark.range(5).withColumn("dt", F.lit("2024-05-01"))
+    rows.limit(3).withColumn("batch_id", F.lit("two")).write.partitionBy("dt").parquet(
+        f"{path}/batches/folder=two")
+    assert sinks.append_trace(rows.limit(1), path, "one")
+    assert sinks.read_trace(spark, path).count() == 1  # the half-written batch does not count
+    assert sinks.append_trace(rows, path, "two")
+    assert sinks.read_trace(spark, path).count() == 6
 
 
 def test_encoders(spark, tmp_path):
