@@ -908,7 +908,8 @@ NARROWER = {
     **{name: {"rank": "INTEGER"} for name in (
         "sample_top_locations", "sample_avg_fare_by_passengers", "sample_churn_by_region",
         "sample_tenure_buckets", "sample_trips_per_month", "knn_l2", "knn_cosine", "knn_dot",
-        "knn_manhattan", "knn_mixed_metric", "ivf_search", "ivf_single_probe", "graph_search",
+        "knn_manhattan", "knn_l2_large", "knn_manhattan_large", "knn_cosine_large",
+        "knn_mixed_metric", "ivf_search", "ivf_single_probe", "graph_search",
         "retrieve_docs")},
 }
 
@@ -918,6 +919,8 @@ def all_oracles() -> dict[str, str]:
     for part in (samples, profile, guards, audits, dashboards, generated, vectors, recall, questions,
                  retrieval, passthrough):
         out.update(part())
+    for large in ("knn_l2", "knn_manhattan", "knn_cosine", "graph_edges"):
+        out[f"{large}_large"] = out[large]
     out["brief_answers"] = f"SELECT query, narrative AS result FROM ({out['agent_answers']})"
     out["trace_records"] = f"""
         SELECT left(query, 100) AS query, k, metric, a.session_id, latency AS latency_ms,

@@ -1,10 +1,12 @@
 """Nearest vectors between blocks of two vector tables.
 
 Distances of one block against another are a matrix product; only each query's best ``k`` of a block
-leave the task, so no stage ever holds or emits all pairs. Two ways to lay the blocks out:
+leave the task, so no stage ever holds or emits all pairs. Three ways to lay the blocks out:
 
 * few queries (checked by size): the queries travel to the vectors, which are not shuffled;
-* otherwise both sides are hashed into blocks of bounded size and every pair of blocks is a group.
+* otherwise both sides are hashed into blocks of bounded size and every pair of blocks is a group;
+* where only rows with a smaller id may meet a query, blocks are ranges of ids instead, and pairs
+  with a later block of candidates are not built, which halves the copies.
 
 A ``cell`` column restricts who meets whom. A cell with a third of all vectors, or one that every
 query probes, becomes many blocks like any other.
@@ -285,3 +287,49 @@ def block_grid(queries: DataFrame, base: DataFrame, sizes: DataFrame, eps: float
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         meet, f"query_id {query_type}, cell int, vec_id {base_type}, distance double")
+
+
+def earlier_grid(queries: DataFrame, base: DataFrame, eps: float, block_rows: int,
+                 rows: int) -> DataFrame:
+    """``(query_id, vec_id, distance)``: best ``k`` per query and block among rows of ``base`` with a
+    smaller id. Ids are whole numbers; equal ids are in one block. ``rows`` is the count of ``base``.
+    """
+    parts = max(1, -(-rows // block_rows))
+    shares = [i / parts for i in range(1, parts)]
+    cuts = base.agg(F.percentile_approx("vec_id", shares, 100 * parts)).first()[0] if shares else []
+    limits = np.unique(np.array(cuts or [], np.int64))
+    last = len(limits)
+    query_type = queries.schema["query_id"].dataType.simpleString()
+    base_type = base.schema["vec_id"].dataType.simpleString()
+
+    def with_block(df: DataFrame, key: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                block = np.searchsorted(limits, values(batch[key]), "left")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)],
+                                                 [*batch.schema.names, "block"])
+
+        shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+        return df.mapInArrow(run, f"{shape}, block long")
+
+    below = F.sequence(F.lit(0).cast("long"), F.col("block"))
+    above = F.sequence(F.col("block"), F.lit(last).cast("long"))
+    left = with_block(queries, "query_id").withColumn("bb", F.explode(below)).withColumnRenamed(
+        "block", "qb")
+    right = with_block(base.select("vec_id", "embedding"), "vec_id").withColumn(
+        "qb", F.explode(above)).withColumnRenamed("block", "bb")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        schema = pa.schema([("query_id", a.schema.field("query_id").type),
+                            ("vec_id", b.schema.field("vec_id").type), ("distance", pa.float64())])
+        if not len(a) or not len(b):
+            return schema.empty_table()
+        q, ids = Queries.of(a), values(b["vec_id"])
+        qi, bi, dist = nearest(q, ids, matrix(b["embedding"]), eps, True)
+        return pa.table({"query_id": pa.array(q.ids[qi], schema.field("query_id").type),
+                         "vec_id": pa.array(ids[bi], schema.field("vec_id").type),
+                         "distance": pa.array(dist)}, schema=schema)
+
+    keys = ["qb", "bb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+        meet, f"query_id {query_type}, vec_id {base_type}, distance double")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from quillon.operators import blocks
+from quillon.operators import balls, blocks
 from quillon.operators.ranking import first_per_group
 
 
@@ -27,7 +28,8 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
 
     ``metric`` is a name (an unknown one raises) or a column (an unknown value means ``l2``).
     ``k_column`` gives a query its own number of results, up to ``k``. ``earlier`` restricts the
-    search to rows whose id is below the query's. ``count_base`` counts ``base`` where that is
+    search to rows whose id is below the query's. Beyond ``broadcast_rows`` queries l2 and Manhattan
+    skip blocks by their bounds (``balls``), the other distances meet all blocks. ``count_base`` counts ``base`` where that is
     cheaper than running its plan.
     """
     wanted = F.lit(k) if k_column is None else F.least(k_column, F.lit(k))
@@ -36,16 +38,21 @@ def knn(queries: DataFrame, base: DataFrame, k: int = 10, metric: str | Column =
     query_type = asked.schema["query_id"].dataType.simpleString()
     head, few = blocks.small_enough(asked, broadcast_rows, blocks.BROADCAST_BYTES)
     if few:
-        candidates = blocks.against_broadcast(head, rows, eps, earlier, query_type)
+        best = best_per_query(blocks.against_broadcast(head, rows, eps, earlier, query_type), k)
     else:
         width = asked.select(F.size("q_vec")).first()[0]
-        sizes = queries.sparkSession.createDataFrame(
-            [(0, asked.count(), (count_base or rows.count)())], "cell int, q_rows bigint, b_rows bigint")
-        everywhere = F.lit(0).alias("cell")
-        candidates = blocks.block_grid(
-            asked.select("*", everywhere), rows.select("*", everywhere), sizes, eps,
-            block_rows or blocks.block_rows_for(width), earlier)
-    best = best_per_query(candidates, k)
+        size, total = block_rows or blocks.block_rows_for(width), (count_base or rows.count)()
+        if earlier and isinstance(rows.schema["vec_id"].dataType, IntegralType):
+            best = best_per_query(blocks.earlier_grid(asked, rows, eps, size, total), k)
+        elif isinstance(metric, str) and metric in balls.METRICS and not earlier and not eps:
+            best = balls.exact(asked, rows, k, metric, size, total, width).neighbours
+        else:
+            sizes = queries.sparkSession.createDataFrame(
+                [(0, asked.count(), total)], "cell int, q_rows bigint, b_rows bigint")
+            everywhere = F.lit(0).alias("cell")
+            best = best_per_query(blocks.block_grid(
+                asked.select("*", everywhere), rows.select("*", everywhere), sizes, eps, size,
+                earlier), k)
     if k_column is not None:
         best = best.join(asked.select("query_id", "q_k"), "query_id").filter(
             F.col("rank") <= F.col("q_k"))

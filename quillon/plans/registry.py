@@ -29,6 +29,9 @@ QUERIES = {
     "knn_cosine": vq.knn_by("cosine"),
     "knn_dot": vq.knn_by("dot"),
     "knn_manhattan": vq.knn_by("manhattan"),
+    "knn_l2_large": vq.knn_large("l2", 64),
+    "knn_manhattan_large": vq.knn_large("manhattan", 64),
+    "knn_cosine_large": vq.knn_large("cosine", 128),
     "knn_mixed_metric": vq.knn_mixed_metric,
     "kmeans_assign_step": vq.kmeans_assign_step,
     "kmeans_update_step": vq.kmeans_update_step,
@@ -36,6 +39,7 @@ QUERIES = {
     "ivf_search": vq.ivf_search,
     "ivf_single_probe": vq.ivf_single_probe,
     "graph_edges": vq.graph_edges,
+    "graph_edges_large": vq.graph_edges_large,
     "graph_search": vq.graph_search,
     "recall_by_method": vq.recall_by_method,
     "question_classify": questions.question_classify,

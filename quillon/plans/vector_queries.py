@@ -51,6 +51,20 @@ def knn_by(metric: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def knn_large(metric: str, rows: int) -> Callable[[SparkSession, str], DataFrame]:
+    """The plan for tables beyond the broadcast: blocks of ``rows`` vectors, skipped by bounds."""
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        table = vectors(spark, folder)
+        return shown(knn(as_queries(table), table, 10, metric, broadcast_rows=0, block_rows=rows))
+
+    return run
+
+
+def graph_edges_large(spark: SparkSession, folder: str) -> DataFrame:
+    """The edges from blocks of id ranges, as tables beyond the broadcast get them."""
+    return shown(graph.edges(vectors(spark, folder), broadcast_rows=0, block_rows=64))
+
+
 def knn_mixed_metric(spark: SparkSession, folder: str) -> DataFrame:
     """Each query with its own metric and number of results, as requests carry them."""
     table = read(spark, folder, "embeddings")
