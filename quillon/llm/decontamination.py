@@ -9,10 +9,12 @@ twice. An item is leaked if its tiles cover at least ``share`` of it.
 
 The benchmark is cut into blocks of at most ``block_words`` words (counted, not guessed); each block
 is broadcast and the documents are scanned once per block, so any number of items is served and
-nothing is shuffled.
+nothing is shuffled. An item longer than that is a block of its own.
 
-Defined cases: null or blank texts share nothing; items with fewer than ``least`` words cannot be
-tiled and are never leaked; repeated items count once, an item without an id keeps its null;
+Items with fewer than ``least`` words are seeds as a whole: they leak where all their words stand in
+a row, as one tile.
+
+Defined cases: null or blank texts share nothing; blank items are never leaked; repeated items count once, an item without an id keeps its null;
 repeated documents are reported once each; empty tables give no leaks; extra columns are ignored
 (``clean`` returns them).
 """
@@ -25,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm import words
@@ -43,10 +45,12 @@ class Block:
     item: np.ndarray
     place: np.ndarray
     filter: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def _index(rows: list, least: int) -> Block:
     ids, tokens, seeds, item, place = [], [], [], [], []
+    whole: dict[int, list[tuple[int, int]]] = {}
     column = pa.array([r["text"] for r in rows], pa.string())
     for first, _, _, _, at, hashed in words.texts(column, bare=True):
         for k in range(len(at) - 1):
@@ -56,6 +60,10 @@ def _index(rows: list, least: int) -> Block:
                 seeds.append(found)
                 item.append(np.full(len(found), len(ids)))
                 place.append(np.arange(len(found)))
+            elif len(mine):
+                value = words.Runs(mine).of(np.zeros(1, np.int64), len(mine))[0]
+                whole.setdefault(len(mine), []).append((int(value), len(ids)))
+            if len(mine):
                 ids.append(rows[first + k]["item_id"])
                 tokens.append(mine)
     seeds = np.concatenate([np.zeros(0, np.uint64), *seeds])
@@ -63,7 +71,9 @@ def _index(rows: list, least: int) -> Block:
     quick = np.zeros(1 << 22, bool)
     quick[(seeds >> np.uint64(42)).astype(np.int64)] = True
     flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])[order]
-    return Block(ids, tokens, seeds[order], flat(item), flat(place), quick)
+    short = {n: (np.array([v for v, _ in sorted(found)], np.uint64),
+                 np.array([i for _, i in sorted(found)])) for n, found in whole.items()}
+    return Block(ids, tokens, seeds[order], flat(item), flat(place), quick, short)
 
 
 def blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[Block]:
@@ -71,22 +81,27 @@ def blocks(benchmark: DataFrame, least: int, block_words: int) -> Iterator[Block
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter(
         "text is not null").distinct()
     size = F.size(F.split("text", r"\s+"))
-    total = items.agg(F.sum(size)).first()[0] or 0
-    n = max(1, math.ceil(2 * total / block_words)) if total > block_words else 1
-    while True:
-        block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-        largest, most_items = items.groupBy(block.alias("k")).agg(
-            F.sum(size).alias("s"), F.count(F.lit(1)).alias("c")).agg(
-            F.max("s"), F.max("c")).first()
-        if (largest or 0) <= block_words or most_items == 1:
-            break
-        n *= 2
+    sized = items.withColumn("size", size)
+    own = sized.filter(F.col("size") > block_words)
+    for row in own.toLocalIterator():  # each alone is a block; one is held at a time
+        yield _index([row], least)
+    rest = sized.filter(F.col("size") <= block_words)
+    total, n = rest.agg(F.sum("size")).first()[0] or 0, 1
+    if total > block_words:
+        n = math.ceil(2 * total / block_words)
+        while (rest.groupBy(_block_of(n)).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+               > block_words) and n < total:
+            n *= 2
     for k in range(n):
-        rows = items.filter(block == k).collect()
+        rows = rest.filter(_block_of(n) == k).collect()
         if rows:
             yield _index(rows, least)
 
 
+def _block_of(n: int) -> Column:
+    return F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("k")
+
+
 def tile(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """Greedy tiles (place in text, place in item, words), longest first."""
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
@@ -168,17 +183,40 @@ def _leaks(block: Block, hashed: np.ndarray, seeds: np.ndarray, least: int, shar
             yield item, tiles
 
 
+def _short_leaks(block: Block, hashed: np.ndarray, at: np.ndarray) -> dict[int, list]:
+    """Row of a slice -> its leaked short items, each as one tile at its first place."""
+    out: dict[int, list] = {}
+    for n, (values, items) in block.short.items():
+        runs = words.Runs(hashed).of(np.arange(max(0, len(hashed) - n + 1)), n)
+        left = np.searchsorted(values, runs, "left")
+        hits = np.flatnonzero((left < len(values)) & (
+            values[np.minimum(left, len(values) - 1)] == runs))
+        row = np.searchsorted(at, hits, "right") - 1
+        inside = hits + n <= at[row + 1]
+        seen = set()
+        for k, place, value in zip(row[inside], hits[inside], left[hits[inside]], strict=True):
+            right = int(np.searchsorted(values, values[value], "right"))
+            for item in items[value:right].tolist():
+                if (k, item) not in seen and (block.tokens[item] == hashed[place: place + n]).all():
+                    seen.add((k, item))
+                    out.setdefault(int(k), []).append((item, [(int(place - at[k]), 0, n)]))
+    return out
+
+
 def _scan(column: pa.Array, block: Block, least: int, share: float):
-    """(row, leaks of the row) for every text of a batch."""
+    """(row, leaks of the row) for every text of a batch that has any."""
     for first, _, starts, _, at, hashed in words.texts(column, bare=True):
+        short = _short_leaks(block, hashed, at)
         seeds = words.Runs(hashed).of(np.arange(max(0, len(starts) - least + 1)), least)
         some = block.filter[(seeds >> np.uint64(42)).astype(np.int64)]
         reach = np.concatenate([[0], np.cumsum(some)])
         for k in range(len(at) - 1):
             a, b = at[k], max(at[k], at[k + 1] - least + 1)
+            found = short.get(k, [])
             if b > a and reach[b] > reach[a]:
-                yield first + k, list(_leaks(block, hashed[a: at[k + 1]], seeds[a:b], least,
-                                             share))
+                found = found + list(_leaks(block, hashed[a: at[k + 1]], seeds[a:b], least, share))
+            if found:
+                yield first + k, found
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, share: float = SHARE,

@@ -40,7 +40,10 @@ def brute(rows, items, least=5, share=0.5):
         grams = {tuple(words[k: k + least]) for k in range(len(words) - least + 1)}
         for item_id, item in items:
             item = plain(item)
-            if any(tuple(item[k: k + least]) in grams for k in range(len(item) - least + 1)):
+            if 0 < len(item) < least:
+                if any(words[k: k + len(item)] == item for k in range(len(words))):
+                    out.append((doc_id, item_id, len(item)))
+            elif any(tuple(item[k: k + least]) in grams for k in range(len(item) - least + 1)):
                 covered = greedy(item, words, least)
                 if covered >= share * len(item):
                     out.append((doc_id, item_id, covered))
@@ -56,13 +59,13 @@ def same(got, rows, items):
         assert r["coverage"] == pytest.approx(r["covered_words"] / r["item_words"])
         doc, item = plain(by_id[r["doc_id"]]), plain(of[r["item_id"]])
         for d, i, n in zip(r["tile_doc"], r["tile_item"], r["tile_words"], strict=True):
-            assert doc[d: d + n] == item[i: i + n] and n >= 5
+            assert doc[d: d + n] == item[i: i + n] and n >= min(5, len(item))
 
 
 def made(seed):
     rng = random.Random(seed)
     draw = lambda k: [rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(k)]
-    items = [(i, " ".join(draw(rng.randint(3, 40)))) for i in range(12)]
+    items = [(i, " ".join(draw(rng.randint(1, 40)))) for i in range(14)]
     rows = []
     for n in range(50):
         words = draw(rng.randint(0, 40))
@@ -97,12 +100,36 @@ def test_awkward_rows(spark):
              (5, rows[-1][1][:400])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = dc.leaks(docs(spark, rows), bench).collect()
-    assert [(r["doc_id"], r["item_id"]) for r in got] == [(6, 5)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == [(4, 4), (4, 4), (6, 5)]
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.leaks(docs(spark, rows), none).count() == 0
     assert dc.leaks(docs(spark, []), bench).count() == 0
     assert dc.clean(docs(spark, rows), none).count() == len(rows)
-    assert dc.clean(docs(spark, rows), bench).count() == len(rows) - 1
+    assert dc.clean(docs(spark, rows), bench).count() == len(rows) - 3
+
+
+def test_short_items_leak_as_a_whole(spark):
+    items = [(1, "The answer is four"), (2, "four"), (3, "is four, the"), (4, "is four"), (5, "--")]
+    bench = spark.createDataFrame(items + items[:1], "item_id long, text string")
+    rows = [(1, "the answer is four"), (2, "It is FOUR. The end is four"), (3, "answer is five"),
+            (4, "is"), (5, "four"), (6, "the answer is"), (7, "four the answer is")]
+    same(dc.leaks(docs(spark, rows), bench).collect(), rows, items)
+    assert {r["doc_id"] for r in dc.clean(docs(spark, rows), bench).collect()} == {3, 4, 6}
+
+
+def test_a_long_item_is_a_block_of_its_own(spark):
+    rng = random.Random(1)
+    long = " ".join(f"w{rng.randrange(3000)}" for _ in range(5000))
+    items = [(0, long)] + [(i, " ".join(f"v{rng.randrange(900)}" for _ in range(20)))
+                           for i in range(1, 60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = list(dc.blocks(bench, 5, 200))
+    assert sorted(len(b.ids) for b in found)[-1] <= 10 and sum(len(b.ids) for b in found) == 60
+    assert [b.ids for b in found if len(b.tokens[0]) == 5000] == [[0]]
+    rows = [(1, long[: len(long) * 3 // 4]), (2, items[7][1]), (3, "clean text")]
+    got = {(r["doc_id"], r["item_id"]) for r in dc.leaks(docs(spark, rows), bench,
+                                                         block_words=400).collect()}
+    assert got == {(1, 0), (2, 7)}
 
 
 def test_tiles_never_overlap():
