@@ -12,10 +12,11 @@ def remainder(doc_id: str, modulus: int):
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, y) of at most ``rows`` labelled ids, chosen by a hash of the id.
+    """(doc_id, text, y) of at most ``rows`` labelled documents, chosen by a hash of the id.
 
-    ``rows`` bounds what is broadcast and fitted on. A null label or id is no label; an id labelled
-    more than once counts as its rounded mean. Labels without a document are left out before the
+    ``rows`` bounds what is broadcast and fitted on: of rows that share an id the one with the least
+    text hash is taken. A null label or id is no label; an id labelled more than once counts as its
+    rounded mean. Labels without a document are left out before the
     choice. Most ids are cut by a hash threshold in the tasks, so the final ordering sees a few
     times ``rows`` at most.
     """
@@ -29,8 +30,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFra
     place = F.xxhash64("doc_id")
     chosen = (known.filter(F.pmod(place, F.lit(steps)) < int(share * steps) + 1)
               .orderBy(place, "doc_id").limit(rows))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        F.broadcast(chosen), "doc_id")
+    own = F.struct(F.xxhash64("text").alias("h"), "text")
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+            .join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(own).alias("own"))
+            .select("doc_id", F.col("own.text").alias("text"), "y"))
 
 
 def judged(scored: DataFrame, modulus: int, held: int, threshold: float) -> DataFrame:

@@ -6,8 +6,9 @@ repetition inside the passage and against the text before it, and is encoded by
 Gated attention (a tanh branch times a sigmoid branch) weights the encodings; the score is a
 logistic function of the weighted sum. All weights are learned together from document labels only.
 
-The fit uses at most ``rows`` labelled documents and ``bag`` evenly spaced passages of each; scoring
-encodes every passage of whole texts. Defined cases: a null or blank text is a bag with one passage
+The fit uses at most ``rows`` labelled documents, every passage of each; documents are taken in order
+of a hash of their id while all their passages fit into ``budget``, so a document is used whole or not
+at all. Scoring encodes every passage of whole texts. Defined cases: a null or blank text is a bag with one passage
 of zeros; rows are scored one by one, so repeated rows repeat; without labels of both kinds the
 score is the smoothed share of label 1; an empty table gives no rows.
 """
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm import labelled, words
@@ -27,7 +28,7 @@ from quillon.session import erase, written
 
 SPAN = 64
 FIT_ROWS = 6_000
-BAG = 64
+FIT_PASSAGES = 250_000
 _CLASS = np.zeros(256, np.int64)
 _MARKS = [b for b in range(33, 127) if not chr(b).isalnum()]
 _CLASS[_MARKS] = np.arange(5, 5 + len(_MARKS))
@@ -51,10 +52,15 @@ def passages(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             passage = head[owner] + (np.arange(len(starts)) - at[owner]) // SPAN
             n = np.bincount(passage, minlength=total).astype(float)
             some = np.maximum(n, 1)
-            # bytes from a word's start to the next word's start belong to its passage
-            reach = np.diff(np.append(starts, len(data)))
+            # bytes from a word's start to the next word's start belong to its passage; after a
+            # text's last word only the text's end is left, which does not count
+            until = np.append(starts[1:], ends[-1])
+            last = at[1:][n_words > 0] - 1
+            until[last] = ends[last]
+            reach = until - starts
             byte = np.repeat(passage, reach)
-            kind = _CLASS[data[starts[0]:]]
+            place = np.arange(len(byte)) - np.repeat(np.cumsum(reach) - reach, reach)
+            kind = _CLASS[data[np.repeat(starts, reach) + place]]
             counts = np.bincount(byte * _CLASSES + kind, minlength=total * _CLASSES)
             counts = counts.reshape(total, _CLASSES).astype(float)
             x[:, :_CLASSES] = counts / np.maximum(counts.sum(1, keepdims=True), 1)
@@ -153,24 +159,36 @@ def _learn(x, per_text, y, hidden=24, gate=12, epochs=40, batch=128, rate=5e-3,
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS,
-        bag: int = BAG) -> Model:
-    """Learn from at most ``rows`` labelled documents, ``bag`` passages of each at most."""
+def bags(docs: DataFrame, labels: DataFrame, label: str, rows: int, budget: int) -> DataFrame:
+    """(doc_id, y, n, x) of the documents to fit on: all ``n`` passages' features of each."""
     sample = written(labelled.sample(docs, labels, label, rows).coalesce(16), "quality-sample")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, per_text, x in passages(batch.column(0)):
+            for first, per_text, x in passages(batch.column(1)):
                 ends = np.cumsum(per_text)
-                found = [x[np.linspace(end - n, end - 1, min(n, bag)).astype(int)]
-                         for n, end in zip(per_text, ends, strict=True)]
+                found = [x[end - n: end] for n, end in zip(per_text, ends, strict=True)]
+                mine = slice(first, first + len(found))
                 yield pa.RecordBatch.from_pydict(
-                    {"y": batch.column(1)[first: first + len(found)],
+                    {"doc_id": batch.column(0)[mine], "y": batch.column(2)[mine],
+                     "n": per_text.astype(np.int64),
                      "x": [f.astype("<f4").tobytes() for f in found]},
-                    pa.schema([("y", pa.int32()), ("x", pa.binary())]))
+                    pa.schema([("doc_id", pa.int64()), ("y", pa.int32()), ("n", pa.int64()),
+                               ("x", pa.binary())]))
 
-    got = sample.select("text", "y").mapInArrow(describe, "y int, x binary").collect()
+    described = written(sample.select("doc_id", "text", "y").mapInArrow(
+        describe, "doc_id long, y int, n long, x binary"), "quality-bags")
     erase(sample)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    fits = described.select("doc_id", "n").filter(F.col("n") <= budget).withColumn(
+        "upto", F.sum("n").over(order)).filter(F.col("upto") <= budget)  # at most ``rows`` rows
+    return described.join(F.broadcast(fits.select("doc_id")), "doc_id")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS,
+        budget: int = FIT_PASSAGES) -> Model:
+    """Learn from at most ``rows`` labelled documents with at most ``budget`` passages in all."""
+    got = sorted(bags(docs, labels, label, rows, budget).collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in got], float)
     if not len(y) or y.min() == y.max():
         share = (y.sum() + 1) / (len(y) + 2)
@@ -178,8 +196,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int =
                 "U": np.zeros((1, 1)), "a": np.zeros(1), "c": np.zeros(1),
                 "b": np.array([np.log(share / (1 - share))])}
         return Model(np.zeros(WIDTH), np.ones(WIDTH), zero)
-    bags = [np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH) for r in got]
-    x, per_text = np.concatenate(bags).astype(float), np.array([len(b) for b in bags])
+    per_text = np.array([r["n"] for r in got])
+    x = np.concatenate([np.frombuffer(r["x"], "<f4").reshape(-1, WIDTH) for r in got]).astype(float)
+    del got
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     return Model(mean, scale, _learn(np.clip((x - mean) / scale, -8, 8), per_text, y))
 
@@ -201,9 +220,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they came."""
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    at = names.index("text")
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,4 +229,4 @@ def keep(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
                 out[first: first + len(per_text)] = model.score(x, per_text)
             yield batch.filter(pa.array(out >= threshold))
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(run, docs.schema)
