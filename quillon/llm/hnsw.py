@@ -6,9 +6,13 @@ shards by a hash of their content; a shard's graph is built in one task in batch
 neighbour searches advance together as array operations. Per level the neighbours are one flat
 ``int32`` array of fixed width. The index is a table, one row per shard, written to the shared folder.
 
+A graph is built on vectors less their shard's median, scaled by a power of two into single precision;
+where a shard's vectors differ in size by more than single precision bears, it is built in double.
 Every query is sent to every shard of its dimension and walks down from the top level to a beam
-of ``beam`` nodes on the lowest; the nearest of each shard are measured in double precision on the
-original vectors and merged. The number of shards stays at ``SHARDS`` until a shard would exceed
+of ``beam`` nodes on the lowest; a query so far from a shard that the graph's numbers cannot tell its
+nodes apart is measured against all of them. The nearest of each shard are measured in double
+precision on the original vectors, which lie beside the graph, and merged. Queries come in blocks of
+about ``BLOCK_QUERIES``, a task per shard and block, so no group grows with the number of queries. The number of shards stays at ``SHARDS`` until a shard would exceed
 ``SHARD_ROWS``. That size and the beam belong together: among unit vectors of 64 dimensions without any
 clusters the recall in one shard was 0.99 at 10,000 nodes and 0.97 at 20,000.
 
@@ -19,6 +23,7 @@ length; equal rows count once; fewer candidates than asked give all; empty table
 
 from __future__ import annotations
 
+import dataclasses
 import math
 
 import numpy as np
@@ -26,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.session import written
+from quillon.session import erase, written
 
 LINKS, BUILD_BEAM, BEAM, BATCH, ENTRIES = 16, 64, 256, 256, 16
 SHARDS, SHARD_ROWS = 12, 10_000
-QUERY_BLOCK = 512
+QUERY_BLOCK, BLOCK_QUERIES = 512, 16_384
+FAR, UNEVEN = 2.0**20, 2.0**10
 
 
 def _distances(vectors: np.ndarray, norms: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -46,7 +52,7 @@ def _beam(vectors, norms, links, entry: np.ndarray, q: np.ndarray, width: int):
     width = max(width, e)
     ids = np.full((b, width), -1, np.int64)
     ids[:, :e] = entry
-    dist = np.full((b, width), np.inf, np.float32)
+    dist = np.full((b, width), np.inf, vectors.dtype)
     dist[:, :e] = _distances(vectors, norms, entry, q)
     done = np.zeros((b, width), bool)
     none = len(vectors)  # a column of its own for places that hold no id
@@ -66,7 +72,7 @@ def _beam(vectors, norms, links, entry: np.ndarray, q: np.ndarray, width: int):
         known = seen[active[:, None], spot] | (new < 0)
         seen[active[:, None], spot] = True
         new[known] = -1
-        far = _distances(vectors, norms, new, q[active]).astype(np.float32)
+        far = _distances(vectors, norms, new, q[active]).astype(vectors.dtype)
         every = np.concatenate([dist[active], far], 1)
         best = np.argsort(every, axis=1, kind="stable")[:, :width]
         take = np.arange(len(active))[:, None]
@@ -138,7 +144,7 @@ class Graph:
                 continue
             mine = new[here]
             pair = (self.norms[mine][:, None] + self.norms[mine][None, :]
-                    - 2 * self.vectors[mine] @ self.vectors[mine].T).astype(np.float32)
+                    - 2 * self.vectors[mine] @ self.vectors[mine].T).astype(self.vectors.dtype)
             np.fill_diagonal(pair, np.inf)
             nearest = np.argsort(pair, axis=1)[:, : beam // 2]
             ids = np.concatenate([found[here], mine[nearest]], 1)
@@ -195,23 +201,66 @@ def _nodes(table: DataFrame, keep: int) -> DataFrame:
         F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
+@dataclasses.dataclass
+class Frame:
+    """How a shard's original vectors are seen by its graph."""
+
+    middle: np.ndarray
+    scale: float
+    kind: str
+
+    @classmethod
+    def of(cls, originals: np.ndarray) -> Frame:
+        top = float(np.abs(originals).max(initial=0))
+        unit = _power_of_two(top)  # sums and squares of the largest numbers would overflow
+        middle = np.median(originals / unit, axis=0) * unit
+        size = np.abs(originals / unit - middle / unit).max(1)
+        usual = float(np.median(size)) or float(size.max(initial=0))
+        even = size.max(initial=0) <= UNEVEN * usual
+        return cls(middle, unit * _power_of_two(float(size.max(initial=0))), "<f4" if even else "<f8")
+
+    def seen(self, originals: np.ndarray) -> np.ndarray:
+        return originals / self.scale - self.middle / self.scale
+
+
+def _power_of_two(x: float) -> float:
+    return float(2.0 ** min(1000, max(-1000, np.frexp(x)[1]))) if x else 1.0
+
+
+def measured(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of ``a`` to ``b`` in double precision, without overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        gap = a - b
+        out = np.sqrt((gap * gap).sum(1))
+        odd = ~np.isfinite(out)
+        if odd.any():
+            unit = _power_of_two(max(float(np.abs(a).max()), float(np.abs(b).max()))) * 2.0
+            gap = a[odd] / unit - b / unit
+            out[odd] = np.sqrt((gap * gap).sum(1)) * unit
+    return out
+
+
 def build(table: DataFrame, k: int, shards: int = SHARDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The index: one row per dimension and shard with vectors, ids and flat neighbour arrays."""
+    """The index: one row per dimension and shard with vectors as given, ids, how the graph sees
+    them, and flat neighbour arrays."""
     nodes = written(_nodes(table, k + 1), "hnsw-nodes")
     shards = max(shards, math.ceil(nodes.count() / shard_rows))
-    schema = ("dim int, shard int, vectors binary, ids array<array<long>>, entry int, "
-              "links array<binary>, width array<int>")
+    schema = ("dim int, shard int, originals binary, stored string, middle binary, scale double, "
+              "kind string, ids array<array<long>>, entry int, links array<binary>, width array<int>")
 
     def make(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("least")
         dim, shard = group["dim"][0].as_py(), group["shard"][0].as_py()
         flat = group["embedding"].combine_chunks().flatten().to_numpy()
-        vectors = flat.reshape(group.num_rows, dim).astype(np.float32)
-        order = np.random.default_rng(0).permutation(len(vectors))
-        graph = Graph.build(vectors[order])
+        order = np.random.default_rng(0).permutation(group.num_rows)
+        given = flat.reshape(group.num_rows, dim)[order]
+        originals = given.astype(np.float64)
+        frame = Frame.of(originals)
+        graph = Graph.build(frame.seen(originals).astype(frame.kind))
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int32()),
-            "vectors": [vectors[order].tobytes()],
+            "originals": [given.tobytes()], "stored": [given.dtype.str],
+            "middle": [frame.middle.tobytes()], "scale": [frame.scale], "kind": [frame.kind],
             "ids": pa.array([group["ids"].combine_chunks().take(pa.array(order)).to_pylist()],
                             pa.list_(pa.list_(pa.int64()))),
             "entry": pa.array([graph.entry], pa.int32()),
@@ -222,42 +271,69 @@ def build(table: DataFrame, k: int, shards: int = SHARDS, shard_rows: int = SHAR
         F.size("embedding").alias("dim"),
         F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int").alias("shard"),
         "embedding", "ids", F.col("ids")[0].alias("least"))
-    return written(dealt.groupBy("dim", "shard").applyInArrow(make, schema), "hnsw-index")
+    made = dealt.repartition(4 * shards, "dim", "shard").groupBy("dim", "shard")
+    index = written(made.applyInArrow(make, schema), "hnsw-index")
+    erase(nodes)
+    return index
+
 
+def _opened(row: dict) -> tuple[np.ndarray, Frame, Graph]:
+    originals = np.frombuffer(row["originals"], row["stored"]).reshape(-1, row["dim"]).astype(
+        np.float64)
+    frame = Frame(np.frombuffer(row["middle"]), row["scale"], row["kind"])
+    links = [np.frombuffer(x, np.int32).reshape(-1, w)
+             for x, w in zip(row["links"], row["width"], strict=True)]
+    return originals, frame, Graph(frame.seen(originals).astype(frame.kind), links, row["entry"])
 
-def search(queries: DataFrame, index: DataFrame, k: int = 10, beam: int = BEAM) -> DataFrame:
+
+def search(queries: DataFrame, index: DataFrame, k: int = 10, beam: int = BEAM,
+           block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for each query."""
+    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "vec_id": [], "score": []}
+        found = [kinds.empty_table()]
         for row in right.to_pylist() if left.num_rows else []:
-            vectors = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
-            links = [np.frombuffer(x, np.int32).reshape(-1, w)
-                     for x, w in zip(row["links"], row["width"], strict=True)]
-            graph = Graph(vectors, links, row["entry"])
-            flat = left["embedding"].combine_chunks().flatten().to_numpy().reshape(
-                left.num_rows, -1).astype(np.float32)
+            originals, frame, graph = _opened(row)
+            asked = left["embedding"].combine_chunks().flatten().to_numpy().reshape(
+                left.num_rows, -1).astype(np.float64)
             own = left["query_id"].to_pylist()
             for i in range(0, len(own), QUERY_BLOCK):
-                part = flat[i: i + QUERY_BLOCK]
-                found = graph.search(part, beam)
-                for q, query, ids in zip(own[i: i + QUERY_BLOCK], part, found, strict=True):
-                    ids = ids[ids >= 0]
-                    gap = vectors[ids].astype(np.float64) - query.astype(np.float64)
-                    score = np.sqrt((gap * gap).sum(1))
-                    near = sorted((s, v) for s, n in zip(score.tolist(), ids.tolist(), strict=True)
-                                  for v in row["ids"][n] if v != q)[:k]
-                    out["query_id"] += [q] * len(near)
-                    out["score"] += [s for s, _ in near]
-                    out["vec_id"] += [v for _, v in near]
-        return pa.table(out, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()),
-                                        ("score", pa.float64())]))
-
+                found.append(_block(own[i: i + QUERY_BLOCK], asked[i: i + QUERY_BLOCK], row["ids"],
+                                    originals, frame, graph))
+        return pa.concat_tables(found)
+
+    def _block(own: list, asked: np.ndarray, names: list, originals, frame, graph) -> pa.Table:
+        seen = frame.seen(asked)
+        far = np.abs(seen).max(1) > FAR
+        near = np.full((len(own), beam), -1, np.int64)
+        if not far.all():
+            some = graph.search(seen[~far].astype(frame.kind), beam)
+            near = np.full((len(own), max(beam, some.shape[1])), -1, np.int64)
+            near[~far, : some.shape[1]] = some
+        out = {name: [] for name in kinds.names}
+        for q, query, ids, whole in zip(own, asked, near, far, strict=True):
+            ids = np.arange(len(originals)) if whole else ids[ids >= 0]
+            score = measured(originals[ids], query)
+            best = sorted((s, v) for s, n in zip(score.tolist(), ids.tolist(), strict=True)
+                          for v in names[n] if v != q)[:k]
+            out["query_id"] += [q] * len(best)
+            out["score"] += [s for s, _ in best]
+            out["vec_id"] += [v for _, v in best]
+        return pa.table(out, kinds)
+
+    n_blocks = max(1, math.ceil(queries.count() / block_queries))
     places = index.select("dim", "shard").groupBy("dim").agg(F.collect_list("shard").alias("all"))
     sent = queries.select("query_id", "embedding", F.size("embedding").alias("dim")).distinct()
-    sent = sent.join(places, "dim").select("dim", F.explode("all").alias("shard"), "query_id",
-                                           "embedding")
-    found = sent.groupBy("dim", "shard").cogroup(index.groupBy("dim", "shard")).applyInArrow(
-        run, "query_id long, vec_id long, score double")
+    sent = sent.join(places, "dim").select(
+        "dim", F.explode("all").alias("shard"), "query_id", "embedding",
+        F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block"))
+    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    key = ["dim", "shard", "block"]
+    tasks = 4 * max(1, index.count() * n_blocks)
+    found = sent.repartition(tasks, *key).groupBy(*key).cogroup(
+        copies.withColumn("block", F.col("block").cast("long")).repartition(tasks, *key)
+        .groupBy(*key)).applyInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

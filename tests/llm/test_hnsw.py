@@ -93,3 +93,56 @@ def test_query_recall(spark, sf):
     assert len(found) == len(want)
     true = {(q, i) for q, _, i, _ in want}
     assert np.mean([(q, i) in true for q, _, i, _ in found]) >= 0.95
+
+
+def wide(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+
+@pytest.mark.parametrize("case", ["unit", "around a million", "1e25", "1e200", "mixed sizes"])
+def test_double_and_very_large_vectors(spark, case):
+    rng = np.random.default_rng(6)
+    m = rng.normal(size=(900, 8))
+    m = {"unit": m, "around a million": 1e6 + m, "1e25": m * 1e25, "1e200": m * 1e200,
+         "mixed sizes": m * np.where(np.arange(900) % 2, 1e12, 1.0)[:, None]}[case]
+    found = got(hnsw.nearest(wide(spark, [(i, v.tolist()) for i, v in enumerate(m)]), 10, 50,
+                             shards=2))
+    unit = 1e190 if case == "1e200" else 1.0
+    far = np.sqrt(((m[::50, None] / unit - m[None] / unit) ** 2).sum(2)) * unit
+    far[np.arange(len(far)), np.arange(0, 900, 50)] = np.inf
+    want = {(q * 50, int(i)) for q, near in enumerate(np.argsort(far, axis=1)[:, :10]) for i in near}
+    assert np.mean([(q, i) in want for q, _, i, _ in found]) >= 0.95 and len(found) == len(want)
+    for q, _, i, d in found:
+        assert d == pytest.approx(far[q // 50, i], rel=1e-12)
+
+
+def test_queries_far_from_a_shard_are_measured_exactly(spark):
+    rng = np.random.default_rng(2)
+    base = wide(spark, [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)), 1)])
+    asked = spark.createDataFrame([(0, [1e9, 0.0, 3e8, 1.0])], "query_id long, embedding array<double>")
+    found = got(hnsw.search(asked, hnsw.build(base, 5, 2), 5))
+    rows = np.array([r["embedding"] for r in base.orderBy("vec_id").collect()])
+    far = np.sqrt(((rows - np.array([1e9, 0.0, 3e8, 1.0])) ** 2).sum(1))
+    assert [i for _, _, i, _ in sorted(found, key=lambda r: r[1])] == (
+        np.argsort(far, kind="stable")[:5] + 1).tolist()
+
+
+def test_blocks_of_queries_change_nothing(spark):
+    rows = table(spark, [(*r, 0, 5) for r in drawn(600)])
+    index = hnsw.build(rows.select("vec_id", "embedding"), 10, 2)
+    asked = rows.filter("vec_id % 5 = 0").select(
+        rows["vec_id"].alias("query_id"), "embedding")
+    assert sorted(got(hnsw.search(asked, index, 10))) == sorted(
+        got(hnsw.search(asked, index, 10, block_queries=7)))
+
+
+@pytest.mark.parametrize("dim", [16, 256])
+def test_recall_in_other_dimensions(spark, dim):
+    rng = np.random.default_rng(dim)
+    vectors = rng.normal(size=(3000, dim)).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(3000), "embedding": list(vectors)}))
+    found = {(q, i) for q, _, i, _ in got(hnsw.nearest(rows, 10, 100, shards=1))}
+    near = ((vectors[::100, None] - vectors[None]) ** 2).sum(2)
+    near[np.arange(30), np.arange(0, 3000, 100)] = np.inf
+    want = {(q * 100, int(i)) for q, w in enumerate(np.argsort(near, axis=1)[:, :10]) for i in w}
+    assert len(found & want) >= 0.9 * len(want)
