@@ -11,6 +11,7 @@ repeated or null ids are packed row by row; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -27,6 +28,17 @@ from quillon.session import written
 CAPACITY = 2048
 END_ID = 0
 CACHE_WORDS = 1_000_000
+#: The rules of a vocabulary of lower-cased words, as its file states them.
+SPLITTING = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+        {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|"
+                                               r"[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
 _PIECES = ("doc_id long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
@@ -41,9 +53,10 @@ def _byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Token ids, as little-endian bytes, of words between white space, kept once looked up.
 
-    The vocabulary never joins text across white space, nor a letter and a mark after it. So a word
-    of Latin letters (before U+0250, where lower-casing and composition leave nothing to decide) and
-    perhaps a few marks at its end goes to the merge table directly; all others take the whole path.
+    A vocabulary whose file has the ``SPLITTING`` rules never joins text across white space, nor a
+    letter and a mark after it. So a word of Latin letters (before U+0250, where lower-casing and
+    composition leave nothing to decide) and perhaps a few marks at its end goes to the merge table
+    directly; all others take the whole path. With any other file whole texts do.
     """
 
     def __init__(self, path: str):
@@ -52,6 +65,9 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.letters = _byte_letters()
+        rules = json.loads(self.tokenizer.to_str())
+        self.splits = (all(rules.get(k) == v for k, v in SPLITTING.items())
+                       and rules["model"].get("type") == "BPE")
 
     def __missing__(self, word: bytes) -> bytes:
         stem = word.rstrip(b".,;:!?")
@@ -71,6 +87,9 @@ class WordIds(dict):
     def encode(self, text: bytes) -> bytes:
         if len(self) > CACHE_WORDS:
             self.clear()
+        if not self.splits:
+            found = self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+            return np.array(found, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
 
