@@ -10,10 +10,11 @@ one phrase per twenty words.
    span. Documents that agree on a whole span (128 bits) confirm its windows; where the spans of a
    phrase differ, the windows of one document per span are compared one by one. The smallest id
    that holds a window is noted.
-3. Documents with recurring phrases are dealt to shards by their id. Each shard gets the confirmed
-   phrases and spans that its documents hold, compiles one Aho-Corasick automaton and runs its
-   documents' whole texts through it. The windows of every phrase that is found are looked up in
-   the confirmed spans. A shard's automaton never outgrows the shard's own texts, whatever
+3. Documents with recurring phrases are dealt to shards by their id and text. Each shard gets the
+   confirmed phrases and spans that its documents hold, compiles one Aho-Corasick automaton and
+   streams its documents' whole texts through it. Every occurrence the automaton reports gives the
+   windows around it; those whose phrase it is are looked up in the confirmed spans, and what is
+   confirmed is marked. A place that the automaton does not report is never looked at. A shard's automaton never outgrows the shard's own texts, whatever
    the corpus holds. Documents without a recurring phrase have nothing to find.
 
 Defined cases: words are runs other than space and 09-0D, null is a text without words; a text
@@ -67,9 +68,10 @@ def chosen_phrases(runs: words.Runs, total: int, at: np.ndarray, window: int, ph
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Row identity: the id, null as the largest, and a hash of the text."""
+    """Row identity: the id, null as the largest, a hash of the text, and whether there is an id."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-                       F.xxhash64("text").alias("t"), "text")
+                       F.xxhash64("text").alias("t"), "text",
+                       F.col("doc_id").cast("long").isNotNull().alias("named"))
 
 
 def features(docs: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -96,23 +98,21 @@ def features(docs: DataFrame, window: int, phrase: int) -> DataFrame:
                     sha.append(hashlib.sha256(b" ".join(text.split())).hexdigest())
                     size.append(len(text))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(1), pa.array(n, pa.int64()), pa.array(whole[0]),
+                    [rows.column(0), rows.column(1), rows.column(3), pa.array(n, pa.int64()),
+                     pa.array(whole[0]),
                      pa.array(whole[1]), pa.array(sha), pa.array(size, pa.int64()),
                      words.lists(words.signed(least), np.bincount(owner, minlength=len(n)))],
-                    ["id", "t", "n_words", "d1", "d2", "sha", "n_bytes", "phrases"])
+                    ["id", "t", "named", "n_words", "d1", "d2", "sha", "n_bytes", "phrases"])
 
     return _keyed(docs).mapInArrow(
-        run, "id long, t long, n_words long, d1 long, d2 long, sha string, n_bytes long, "
-             "phrases array<long>")
+        run, "id long, t long, named boolean, n_words long, d1 long, d2 long, sha string, "
+             "n_bytes long, phrases array<long>")
 
 
-def _text_spans(runs, total: int, at: np.ndarray, k: int, chosen, phrases: np.ndarray,
-                window: int):
-    """For text ``k`` of a slice and each of its windows' phrases in ``phrases``: the phrase, the
-    starts of the windows that have it, their hashes and the digest of all of them: a span."""
-    start, owner, least, _ = chosen
-    a, b = np.searchsorted(owner, [k, k + 1])
-    hit = a + np.flatnonzero(np.isin(least[a:b], phrases))
+def _spans_at(runs, chosen, hit: np.ndarray, window: int):
+    """The windows numbered ``hit``, by phrase: the phrase, the starts of its windows, their hashes
+    and the digest of all of them: a span."""
+    start, _, least, _ = chosen
     hit = hit[np.argsort(least[hit], kind="stable")]
     values, heads = np.unique(least[hit], return_index=True)
     hashed = [r.of(start[hit], window) for r in runs]
@@ -123,26 +123,51 @@ def _text_spans(runs, total: int, at: np.ndarray, k: int, chosen, phrases: np.nd
         yield value, start[hit[x:y]], [words.signed(h[x:y]) for h in hashed], digest
 
 
+def _text_spans(runs, k: int, chosen, phrases: np.ndarray, window: int):
+    """Spans of text ``k`` of a slice that have one of ``phrases``."""
+    _, owner, least, _ = chosen
+    a, b = np.searchsorted(owner, [k, k + 1])
+    yield from _spans_at(runs, chosen, a + np.flatnonzero(np.isin(least[a:b], phrases)), window)
+
+
+def _spans_around(runs, k: int, chosen, places: np.ndarray, phrases: np.ndarray, window: int,
+                  phrase: int):
+    """Spans of text ``k`` whose windows hold one of the reported (place, phrase) as their own."""
+    start, owner, least, _ = chosen
+    a, b = np.searchsorted(owner, [k, k + 1])
+    if a == b or not len(places):
+        return
+    first = np.maximum(places - (window - phrase), 0)
+    last = np.minimum(places, b - a - 1)
+    size = np.maximum(last - first + 1, 0)
+    around = np.repeat(first, size) + np.arange(int(size.sum())) - np.repeat(
+        np.cumsum(size) - size, size)
+    mine = around[least[a + around] == np.repeat(phrases, size)]
+    yield from _spans_at(runs, chosen, a + np.unique(mine), window)
+
+
 def _per_text(column: pa.Array, window: int, phrase: int):
-    """(row, bytes, word starts, word ends, spans-of-phrases) for every text of a column."""
+    """(row, bytes, word starts, word ends, first word, word after, phrase hashes, spans of phrases,
+    spans around places) for every text of a column."""
     for first, data, starts, ends, at, hashed in words.texts(column):
         runs = [words.Runs(hashed, lane) for lane in (0, 1)]
         chosen = chosen_phrases(runs[0], len(starts), at, window, phrase)
         for k in range(len(at) - 1):
             yield (first + k, data, starts, ends, at[k], at[k + 1], chosen[3],
-                   lambda wanted, k=k: _text_spans(runs, len(starts), at, k, chosen, wanted,
-                                                   window))
+                   lambda wanted, k=k: _text_spans(runs, k, chosen, wanted, window),
+                   lambda places, found, k=k: _spans_around(runs, k, chosen, places, found, window,
+                                                            phrase))
 
 
 def _spans(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     """Per document and recurring phrase: the phrase as text and the digest of its windows."""
     kinds = [("shard", pa.int64()), ("id", pa.int64()), ("p", pa.int64()),
-             ("phrase", pa.string()), ("s1", pa.int64()), ("s2", pa.int64())]
+             ("phrase", pa.string()), ("s1", pa.int64()), ("s2", pa.int64()), ("t", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for row, data, starts, ends, _, _, every, spans in _per_text(
+            for row, data, starts, ends, _, _, every, spans, _ in _per_text(
                     batch.column(2), window, phrase):
                 wanted = batch.column(3)[row].values.to_numpy().view(np.uint64)
                 for value, begin, _, digest in spans(wanted):
@@ -151,14 +176,15 @@ def _spans(texts: DataFrame, window: int, phrase: int) -> DataFrame:
                     text = b" ".join(data[starts[q]: ends[q]].tobytes()
                                      for q in range(p, p + phrase)).decode()
                     rows.append((batch.column(0)[row].as_py(), batch.column(1)[row].as_py(),
-                                 int(value.view(np.int64)), text, *digest))
+                                 int(value.view(np.int64)), text, *digest,
+                                 batch.column(4)[row].as_py()))
             if rows:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, (_, kind) in
                      zip(zip(*rows, strict=True), kinds, strict=True)], [k for k, _ in kinds])
 
-    return texts.select("shard", "id", "text", "phrases").mapInArrow(
-        run, "shard long, id long, p long, phrase string, s1 long, s2 long")
+    return texts.select("shard", "id", "text", "phrases", "t").mapInArrow(
+        run, "shard long, id long, p long, phrase string, s1 long, s2 long, t long")
 
 
 def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
@@ -172,7 +198,7 @@ def _windows(texts: DataFrame, window: int, phrase: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts, held = [], 0
-            for row, _, _, _, _, _, _, spans in _per_text(batch.column(0), window, phrase):
+            for row, _, _, _, _, _, _, spans, _ in _per_text(batch.column(0), window, phrase):
                 given = {(g["p"], g["s1"], g["s2"]): g for g in batch.column(1)[row].as_py()}
                 wanted = np.array([g[0] for g in given], np.int64).view(np.uint64)
                 for value, begin, (one, two), digest in spans(wanted):
@@ -202,43 +228,58 @@ def _cut(text: str, gone: np.ndarray) -> str:
     return data[keep].tobytes().decode()
 
 
+_KEPT = [("id", pa.int64()), ("t", pa.int64()), ("n_removed", pa.int64()),
+         ("kept_sha256", pa.string()), ("kept", pa.string())]
+
+
+def search_shard(left: pa.Table, right: pa.Table, window: int, phrase: int,
+                 keep_text: bool) -> pa.Table:
+    """What every document of a shard keeps, after the shard's automaton has found all places.
+
+    ``left``: id, t, text; ``right``: phrase (text), p, s1, s2 and the smallest ids per window.
+    """
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for text, value in zip(right["phrase"].to_pylist(), right["p"].to_pylist(), strict=True):
+        automaton.add_word(f" {text} ", value)
+    automaton.make_automaton()
+    known = dict(zip(zip(*(right[c].to_pylist() for c in ("p", "s1", "s2")), strict=True),
+                     right["least"].to_pylist(), strict=True))
+    out = {name: [] for name, _ in _KEPT}
+    for row, data, starts, ends, a, b, _, _, around in _per_text(left["text"], window, phrase):
+        own_id, n, gone = left["id"][row].as_py(), b - a, np.zeros(0, bool)
+        mine = [data[x:y].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)]
+        line = (b" " + b" ".join(mine) + b" ").decode()
+        hits = list(automaton.iter(line)) if len(automaton) else []
+        # the space after a phrase is a boundary: its number is that of the word after it
+        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), "<u4") == 32)
+        ended = np.array([end for end, _ in hits], np.int64)
+        places = np.searchsorted(spaces, ended) - phrase
+        found = np.array([value for _, value in hits], np.int64).view(np.uint64)
+        edge = np.zeros(n + 1, np.int64)
+        for value, begin, _, digest in around(places, found):
+            least = known.get((int(value.view(np.int64)), *digest))
+            if least is not None:
+                earlier = begin[np.array(least) < own_id] if len(least) == len(begin) else (
+                    begin if least[0] < own_id else begin[:0])
+                np.add.at(edge, earlier - a, 1)
+                np.add.at(edge, earlier - a + window, -1)
+        gone = np.cumsum(edge)[:-1] > 0
+        kept = b" ".join(w for w, g in zip(mine, gone, strict=True) if not g)
+        out["id"].append(own_id)
+        out["t"].append(left["t"][row].as_py())
+        out["n_removed"].append(int(gone.sum()))
+        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+        out["kept"].append(_cut(left["text"][row].as_py(), gone) if keep_text and gone.any() else None)
+    return pa.table(out, pa.schema(_KEPT))
+
+
 def _search(texts: DataFrame, confirmed: DataFrame, window: int, phrase: int,
             keep_text: bool) -> DataFrame:
-    """What every sharded document keeps, after its shard's automaton has found all places."""
-    kinds = [("id", pa.int64()), ("t", pa.int64()), ("n_removed", pa.int64()),
-             ("kept_sha256", pa.string()), ("kept", pa.string())]
-
+    """``search_shard`` of every shard."""
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for text, value in zip(right["phrase"].to_pylist(), right["p"].to_pylist(), strict=True):
-            automaton.add_word(f" {text} ", value)
-        automaton.make_automaton()
-        known = dict(zip(zip(*(right[c].to_pylist() for c in ("p", "s1", "s2")), strict=True),
-                         right["least"].to_pylist(), strict=True))
-        out = {name: [] for name, _ in kinds}
-        for row, data, starts, ends, a, b, _, spans in _per_text(left["text"], window, phrase):
-            own_id, n, gone = left["id"][row].as_py(), b - a, np.zeros(0, bool)
-            mine = [data[x:y].tobytes() for x, y in zip(starts[a:b], ends[a:b], strict=True)]
-            line = (b" " + b" ".join(mine) + b" ").decode()
-            found = {value for _, value in automaton.iter(line)} if len(automaton) else set()
-            edge = np.zeros(n + 1, np.int64)
-            for value, begin, _, digest in spans(np.array(list(found), np.int64).view(np.uint64)):
-                least = known.get((int(value.view(np.int64)), *digest))
-                if least is not None:
-                    earlier = begin[np.array(least) < own_id] if len(least) == len(begin) else (
-                        begin if least[0] < own_id else begin[:0])
-                    np.add.at(edge, earlier - a, 1)
-                    np.add.at(edge, earlier - a + window, -1)
-            gone = np.cumsum(edge)[:-1] > 0
-            kept = b" ".join(w for w, g in zip(mine, gone, strict=True) if not g)
-            out["id"].append(own_id)
-            out["t"].append(left["t"][row].as_py())
-            out["n_removed"].append(int(gone.sum()))
-            out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-            out["kept"].append(_cut(left["text"][row].as_py(), gone) if keep_text and gone.any() else None)
-        return pa.table(out, pa.schema(kinds))
+        return search_shard(left, right, window, phrase, keep_text)
 
     return texts.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(
         run, "id long, t long, n_removed long, kept_sha256 string, kept string")
@@ -252,14 +293,15 @@ def _confirmed(texts: DataFrame, spans: DataFrame, window: int, phrase: int) ->
     spans are looked into window by window, and of each different span one document's.
     """
     span = ["p", "s1", "s2"]
-    ends = spans.groupBy(*span).agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    ends = spans.groupBy(*span).agg(F.min(F.struct("id", "t")).alias("one"), F.max("id").alias(
+        "high")).select(*span, F.col("one.id").alias("low"), F.col("one.t").alias("t"), "high")
     kinds = ends.groupBy("p").agg(F.count(F.lit(1)).alias("n_spans"))
     ends = written(ends.join(kinds, "p").withColumn("sid", F.monotonically_increasing_id()),
                    "repeat-ends")
     alone = ends.filter("n_spans = 1").select(*span, F.array("low").alias("least"))
-    given = ends.filter("n_spans > 1").groupBy(F.col("low").alias("id")).agg(
+    given = ends.filter("n_spans > 1").groupBy(F.col("low").alias("id"), "t").agg(
         F.collect_list(F.struct(*span, "sid", "low", "high")).alias("given"))
-    each = written(_windows(texts.join(given, "id"), window, phrase), "repeat-windows")
+    each = written(_windows(texts.join(given, ["id", "t"]), window, phrase), "repeat-windows")
     held = each.groupBy("h1", "h2").agg(F.min("low").alias("least"), F.max("high").alias("top"))
     least = F.when(F.col("least") < F.col("top"), F.col("least")).otherwise(F.lit(_LAST))
     looked_up = each.select("sid", "k", "h1", "h2").join(held, ["h1", "h2"]).groupBy("sid").agg(
@@ -273,26 +315,30 @@ def _confirmed(texts: DataFrame, spans: DataFrame, window: int, phrase: int) ->
 
 def decide(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
            keep_text: bool = False) -> DataFrame:
-    """Per row: id, t, n_words, n_removed, kept_sha256 and, on request, what is left of the text
+    """Per row: id, t, named, n_words, n_removed, kept_sha256 and, on request, what is left of the text
     (null where nothing goes)."""
     seen = written(features(docs, window, phrase), "repeat-features")
     long = seen.filter(F.col("n_words") >= window)
     by_words = ["d1", "d2", "n_words"]
     classes = written(long.groupBy(*by_words).agg(F.min("id").alias("first")), "repeat-classes")
     firsts = long.withColumn("first", F.col("id")).join(classes, [*by_words, "first"])
-    firsts = written(firsts.select("id", "phrases"), "repeat-firsts")
-    held = firsts.select("id", F.explode("phrases").alias("p"))
+    firsts = written(firsts.select("id", "t", "phrases"), "repeat-firsts")
+    held = firsts.select("id", "t", F.explode("phrases").alias("p"))
     recurring = held.groupBy("p").agg(F.min("id").alias("x"), F.max("id").alias("y")).filter(
         "x < y").select("p")
-    wanted = written(held.join(recurring, "p").groupBy("id").agg(
+    wanted = written(held.join(recurring, "p").groupBy("id", "t").agg(
         F.collect_set("p").alias("phrases")), "repeat-wanted")
     erase(firsts)
-    amount = wanted.join(seen.select("id", "n_bytes"), "id").agg(F.sum("n_bytes")).first()[0] or 0
-    n_shards = max(1, math.ceil(amount / SHARD_BYTES))
+    sizes = seen.groupBy("id", "t").agg(F.first("n_bytes").alias("n_bytes"),
+                                        F.count(F.lit(1)).alias("n"))
+    amount, most = wanted.join(sizes, ["id", "t"]).agg(F.sum("n_bytes"), F.max("n")).first()
+    n_shards = max(1, math.ceil((amount or 0) / SHARD_BYTES))
     n_phrases = wanted.agg(F.sum(F.size("phrases"))).first()[0] or 0
-    ids = wanted if n_phrases > BROADCAST_PHRASES else F.broadcast(wanted)
-    texts = written(_keyed(docs).join(ids, "id").withColumn(
-        "shard", F.pmod(F.xxhash64("id"), F.lit(n_shards))), "repeat-texts")
+    rows = wanted if n_phrases > BROADCAST_PHRASES else F.broadcast(wanted)
+    texts = _keyed(docs).drop("named").join(rows, ["id", "t"])
+    texts = texts.dropDuplicates(["id", "t"]) if (most or 0) > 1 else texts  # equal rows once
+    texts = written(texts.withColumn(
+        "shard", F.pmod(F.xxhash64("id", "t"), F.lit(n_shards))), "repeat-texts")
     spans = written(_spans(texts, window, phrase), "repeat-spans")
     found = written(_search(texts, _confirmed(texts, spans, window, phrase), window, phrase,
                             keep_text).dropDuplicates(["id", "t"]), "repeat-found")
@@ -300,7 +346,7 @@ def decide(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     copy = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
     return (seen.drop("phrases", "n_bytes").join(classes, by_words, "left")
             .join(found, ["id", "t"], "left")
-            .select("id", "t", "n_words",
+            .select("id", "t", "named", "n_words",
                     F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0)))
                     .cast("long").alias("n_removed"),
                     F.when(copy, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "sha"))
@@ -311,7 +357,7 @@ def decide(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
 def report(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, one row per input row."""
     return decide(docs, window, phrase).select(
-        F.when(F.col("id") < _LAST, F.col("id")).alias("doc_id"), "n_words", "n_removed",
+        F.when(F.col("named"), F.col("id")).alias("doc_id"), "n_words", "n_removed",
         "kept_sha256")
 
 

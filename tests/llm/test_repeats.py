@@ -1,9 +1,12 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from helpers import awkward, docs
 
+from pyspark.sql import functions as F
+
 from quillon.llm import repeats
 from quillon.llm.queries import QUERIES
 
@@ -82,3 +85,58 @@ def test_remove_keeps_columns_and_other_text(spark):
     assert repeats.remove(frame).columns == frame.columns
     assert got[1]["text"] == long and got[3]["text"] is None
     assert got[2]["text"] == "head\ttail\nend"
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    """Places that the automaton does not report are not looked at."""
+    import ahocorasick
+
+    passage = [f"p{i}" for i in range(80)]
+    texts = pa.table({"id": [1, 2], "t": [5, 6], "shard": [0, 0],
+                      "text": [" ".join(passage), "x y " + " ".join(passage) + " z"]})
+    rows = [(1, texts["text"][0].as_py()), (2, texts["text"][1].as_py())]
+    frame = spark.createDataFrame(texts)
+    runs = [r["phrases"] for r in repeats.features(docs(spark, rows), 50, 8).collect()]
+    both = sorted(set(runs[0]) & set(runs[1]))
+    frame = frame.withColumn("phrases", F.array(*[F.lit(p) for p in both]))
+    spans = repeats._spans(frame, 50, 8).collect()
+    confirmed = [{"phrase": r["phrase"], "p": r["p"], "s1": r["s1"], "s2": r["s2"], "least": [1]}
+                 for r in spans if r["id"] == 2]
+    kept = {}
+    for skip in (False, True):
+        with monkeypatch.context() as patch:
+            original = ahocorasick.Automaton
+            patch.setattr(ahocorasick, "Automaton", lambda: FakeOf(original, skip))
+            kept[skip] = repeats.search_shard(texts, pa.Table.from_pylist(confirmed), 50, 8, False)
+    gone = {skip: dict(zip(t["id"].to_pylist(), t["n_removed"].to_pylist()))
+            for skip, t in kept.items()}
+    assert gone[False][2] >= 50 and gone[False][1] == 0
+    assert gone[True] == {1: 0, 2: 0}
+
+
+class FakeOf:
+    """An automaton that reports everything or nothing."""
+
+    def __init__(self, real, skip):
+        self.real, self.skip = real(), skip
+        self.add_word, self.make_automaton = self.real.add_word, self.real.make_automaton
+
+    def __len__(self):
+        return len(self.real)
+
+    def iter(self, line):
+        return iter(()) if self.skip else self.real.iter(line)
+
+
+def test_ids_that_repeat_or_are_large(spark):
+    long = [f"k{i}" for i in range(70)]
+    last = 2**63 - 1
+    rows = [(7, " ".join(long[:60] + [f"n{i}"] * 3)) for i in range(40)] + [
+        (7, " ".join(long)), (3, " ".join(long[5:])), (last, " ".join(long)), (None, " ".join(long))]
+    rows += [(None, " ".join(long + [f"m{i}"])) for i in range(30)] + [(7, " ".join(long))] * 5
+    same(repeats.report(docs(spark, rows)).collect(), brute_named(rows, 50))
+
+
+def brute_named(rows, window):
+    out = brute(rows, window)
+    return [(rows[k][0], *r[1:]) for k, r in enumerate(out)]
