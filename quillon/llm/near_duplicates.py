@@ -18,8 +18,8 @@ the estimate's margin of 5.5 standard deviations.
 
 Defined cases: words are split at space and 09-0D after lower-casing A-Z; a text with fewer words
 than a shingle is one shingle, one without words (or null) has none and links with nothing. A null
-id links with nothing and is kept. Rows with the same id are judged each by its own text. Extra
-columns are ignored.
+id links with nothing and is kept. Rows with the same id are judged each by its own text; ``one_of_each``
+decides by row, with null ids last. Extra columns are ignored (``one_of_each`` returns them).
 """
 
 from __future__ import annotations
@@ -85,9 +85,10 @@ def digests(found: np.ndarray) -> tuple[int, int]:
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    """Per row: set size, digests, packed low bits and band keys."""
-    kinds = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()),
-             ("d2", pa.int64()), ("bits", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
+    """Per row: a hash of the text, set size, digests, packed low bits and band keys."""
+    kinds = [("doc_id", pa.int64()), ("t", pa.int64()), ("n_shingles", pa.int64()),
+             ("d1", pa.int64()), ("d2", pa.int64()), ("bits", pa.list_(pa.int64())),
+             ("bands", pa.list_(pa.int64()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,15 +105,20 @@ def features(docs: DataFrame, size: int) -> DataFrame:
                     bands.append(band_keys(least))
             none = [np.zeros(0, np.uint64)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()),
-                 pa.array(d2, pa.int64()),
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64()),
+                 pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                  words.lists(words.signed(np.concatenate(none + bits)),
                              np.array(count, int) * (MINIMA // 16)),
                  words.lists(words.signed(np.concatenate(none + bands)),
                              np.array(count, int) * BANDS)], [k for k, _ in kinds])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, d1 long, d2 long, bits array<long>, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc_id long, t long, n_shingles long, d1 long, d2 long, "
+                                        "bits array<long>, bands array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text",
+                       F.xxhash64("text").alias("t"))
 
 
 def _corrected(differing, total: int = MINIMA):
@@ -302,8 +308,8 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())],
                                              ["cid", "found"]).filter(pa.array(right, pa.bool_()))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
-    return texts.join(wanted, "rep").select("cid", "text", "d1", "d2").mapInArrow(
+    texts = _keyed(docs).withColumnRenamed("doc_id", "rep")
+    return texts.join(wanted, ["rep", "t"]).select("cid", "text", "d1", "d2").mapInArrow(
         run, "cid long, found binary")
 
 
@@ -319,13 +325,45 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     ``size``: words per shingle; ``percent``: least similarity, 100 * intersection / union.
     """
+    return grouped(docs, size, percent).select("doc_id", "n_shingles", "component_id").withColumn(
+        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` with one row of every group: that with the smallest id, then text hash.
+
+    Rows without an id come after all others. Rows without words are in no group and all stay. All
+    columns come back as they were.
+    """
+    last = F.lit(2**63 - 1)
+    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), last),
+                              "_t": F.xxhash64("text")})
+    judged = written(grouped(docs.withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), last)),
+                             size, percent).select("doc_id", "t", "n_shingles", "group"),
+                     "near-judged")
+    first = judged.filter("n_shingles > 0").groupBy("group").agg(
+        F.min(F.struct("doc_id", "t")).alias("one"), F.count(F.lit(1)).alias("n")).select(
+        F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"))
+    blank = judged.filter("n_shingles = 0").select(F.col("doc_id").alias("_id"),
+                                                   F.col("t").alias("_t")).distinct()
+    most = judged.filter("n_shingles > 0").groupBy("doc_id", "t").count().agg(F.max("count")).first()[0]
+    kept = named.join(first, ["_id", "_t"], "left_semi")
+    if (most or 0) > 1:  # equal rows, of which one stays
+        kept = kept.dropDuplicates(["_id", "_t"])
+    return kept.unionByName(named.join(blank, ["_id", "_t"], "left_semi")).select(*docs.columns)
+
+
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, t (a hash of the text), n_shingles, group (null without shingles) and component_id,
+    one row per input row."""
     cut = cut_for(percent / 100)
     seen = written(features(docs, size), "near-features")
     usable = seen.filter("n_shingles > 0 and doc_id is not null")
     by_set = ["d1", "d2", "n_shingles"]
-    classes = written(usable.groupBy(*by_set).agg(F.min("doc_id").alias("rep")).withColumn(
-        "cid", F.monotonically_increasing_id()), "near-classes")
-    one = usable.withColumnRenamed("doc_id", "rep").join(classes, [*by_set, "rep"])
+    classes = usable.groupBy(*by_set).agg(F.min(F.struct("doc_id", "t")).alias("one")).select(
+        *by_set, F.col("one.doc_id").alias("rep"), F.col("one.t").alias("t"))
+    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    one = usable.withColumnRenamed("doc_id", "rep").join(classes, [*by_set, "rep", "t"])
     one = written(one.select("cid", "bits", "bands").dropDuplicates(["cid"]), "near-signatures")
 
     # buckets, their centres, and one pair for every member and centre
@@ -351,7 +389,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     members = written(members.join(buckets, "key").filter("n > 2 or near").select(
         "key", "band", "cid", "n"), "near-members")
     wanted = members.select("cid").distinct().join(
-        classes.select("cid", "rep", "d1", "d2"), "cid")
+        classes.select("cid", "rep", "t", "d1", "d2"), "cid")
     sets = written(_sets_of(docs, wanted, size), "near-sets")
     links = written(_confirm(tried.filter("near").select("a", "b"), sets, percent), "near-links")
     comps = components(links)
@@ -369,11 +407,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     firsts = _relabel(classes, comps)
     least = firsts.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = firsts.join(least, "comp").select(*by_set, "component_id")
-    out = seen.select("doc_id", *by_set).join(named, by_set, "left").select(
-        "doc_id", "n_shingles",
+    named = firsts.join(least, "comp").select(*by_set, "component_id", F.col("comp").alias("group"))
+    erase(one, tried, sets, members, labelled, mixed, likely, links, more)
+    return seen.select("doc_id", "t", *by_set).join(named, by_set, "left").select(
+        "doc_id", "t", "n_shingles", "group",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         .alias("component_id"))
-    erase(one, tried, sets, members, labelled, mixed, likely, links, more)
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"),
-                                             F.lit(True)))

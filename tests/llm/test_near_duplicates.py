@@ -112,3 +112,30 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r["id"]: r["component"] for r in got} == {x: top(x) for x in parent}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_texts_under_one_id_take_rows_in_proportion(spark):
+    """A third of all rows share an id; every class is read from its own row."""
+    rows = planted(5, groups=6, copies=6, alone=40)
+    rows = [(7 if k % 3 == 0 else i, t) for k, (i, t) in enumerate(rows)]
+    frame = docs(spark, rows)
+    seen = nd.features(frame, 3)
+    classes = seen.filter("n_shingles > 0").selectExpr(
+        "doc_id rep", "t", "d1", "d2", "monotonically_increasing_id() cid")
+    assert nd._sets_of(frame, classes, 3).count() == seen.filter("n_shingles > 0").count()
+    got = nd.near_duplicates(frame, 3, 85)
+    assert got.count() == len(rows)
+
+
+def test_one_of_each_decides_by_row(spark):
+    rng = random.Random(2)
+    text = " ".join(f"v{rng.randrange(500)}" for _ in range(80))
+    near, other = text + " more", " ".join(f"u{i}" for i in range(40))
+    rows = [(3, text), (7, near), (7, other), (7, other), (None, text), (None, "alone here now then so"),
+            (None, "alone here now then so"), (9, ""), (9, None), (None, " "), (8, other)]
+    got = nd.one_of_each(docs(spark, rows, group=1, t="x"))
+    assert got.columns == docs(spark, rows, group=1, t="x").columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(
+        [(3, text), (7, other), (None, "alone here now then so"), (9, ""), (9, None), (None, " ")],
+        key=str)
+    assert nd.one_of_each(docs(spark, [])).count() == 0
