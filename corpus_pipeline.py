@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm import decontamination, labelled, near_duplicates, packing, quality, repeats
 from quillon.llm.queries import table
@@ -27,13 +26,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every near-duplicate group, once. Rows without an id
-    all stay."""
-    judged = near_duplicates.near_duplicates(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
-    kept = judged.filter(F.col("kept") & F.col("doc_id").isNotNull()).select(
-        F.col("doc_id").alias("_kept_id")).distinct()
-    with_id = docs.join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    return with_id.dropDuplicates(["doc_id", "text"]).unionByName(docs.filter("doc_id is null"))
+    """One row of every near-duplicate group: that with the smallest id, rows without an id last."""
+    return near_duplicates.one_of_each(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
