@@ -70,4 +70,11 @@ def test_repeated_rows_leave_one(spark, sf):
     text = " ".join(f"v{i}" for i in range(30))
     frame = docs(spark, [(1, text), (1, text), (2, text), (None, text), (None, text)])
     got = rows_of(cp.without_near_copies(spark, frame, sf))
-    assert got == [(1, text), (None, text), (None, text)]
+    assert got == [(1, text)]
+
+
+def test_a_near_copy_under_a_kept_id_goes(spark, sf):
+    text = " ".join(f"v{i}" for i in range(60))
+    other = " ".join(f"u{i}" for i in range(60))
+    frame = docs(spark, [(3, text), (7, text + " more"), (7, other)])
+    assert sorted(rows_of(cp.without_near_copies(spark, frame, sf))) == [(3, text), (7, other)]
