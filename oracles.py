@@ -639,7 +639,7 @@ slots AS (SELECT *,
     FROM named WHERE needs_sql)"""
 
 
-def _catalogue() -> str:
+def _catalogue(most: int = 20) -> str:
     """CTEs from every group value under every measure to each question's row count and texts."""
     parts = []
     groups = {"location": ("trips", "location", "location::VARCHAR"),
@@ -697,7 +697,7 @@ packs AS (SELECT base_table, group_col, value_name, dir, lim,
     '[' || string_agg('"' || shown || '"', ',' ORDER BY rank) || ']' AS texts,
     '[' || string_agg('"' || label || ': ' || shown || '"', ',' ORDER BY rank) || ']' AS hover,
     '[' || string_agg('"' || label || '"', ',' ORDER BY rank) || ']' AS labels
-    FROM texted, range(1, 21) r(lim) WHERE rank <= lim
+    FROM texted, range(1, {most} + 1) r(lim) WHERE rank <= lim
     GROUP BY base_table, group_col, value_name, dir, lim),
 answered AS (SELECT q.question_id, q.query, s.statement, s.error, s.group_col, s.value_name, p.n,
     CASE WHEN p.n IS NOT NULL THEN least(s.row_limit, p.all_rows) END AS row_count,
@@ -705,7 +705,7 @@ answered AS (SELECT q.question_id, q.query, s.statement, s.error, s.group_col, s
     FROM question_log q LEFT JOIN slots s USING (question_id)
     LEFT JOIN packs p ON p.base_table = s.base_table AND p.group_col = s.group_col
       AND p.value_name = s.value_name AND p.dir = s.direction
-      AND p.lim = least(s.row_limit, 20)),
+      AND p.lim = least(s.row_limit, {most})),
 told AS (SELECT *, CASE WHEN n IS NULL
       THEN 'Query processed: ' || query || '. See visualization for details.'
       ELSE 'Analysis: Found ' || n || ' results. Top result: ' || CASE group_col {described}
@@ -742,6 +742,29 @@ def questions() -> dict[str, str]:
             FROM told""",
         "chart_specs": told + "SELECT question_id, chart FROM told WHERE chart IS NOT NULL",
         "narratives": told + "SELECT question_id, narrative FROM told",
+        "question_rows": _with(QUESTION_LOG, TRIPS, CUSTOMERS, _slots(), _catalogue(24)) + """,
+            records AS (SELECT question_id, unnest(range(0, json_array_length(result)::BIGINT)) AS position,
+                        result FROM told WHERE result IS NOT NULL),
+            fields AS (SELECT question_id, position, json_extract(result, '$[' || position || ']')
+                       AS record FROM records),
+            keyed AS (SELECT question_id, position, record, unnest(json_keys(record)) AS name
+                      FROM fields),
+            read_back AS (SELECT question_id, position, name,
+                      json_extract_string(record, '$."' || name || '"') AS value FROM keyed)
+            SELECT question_id, position::INT AS position, name, try_cast(value AS DOUBLE) AS number,
+                   CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS text
+            FROM read_back""",
+        "chart_values": told + """,
+            points AS (SELECT question_id, chart,
+                unnest(range(0, json_array_length(chart, '$.data[0].x')::BIGINT)) AS i
+                FROM told WHERE chart IS NOT NULL)
+            SELECT question_id, json_extract_string(chart, '$.layout.title') AS title,
+                   json_extract_string(chart, '$.data[0].name') AS series,
+                   json_extract(chart, '$.data[0].x[' || i || ']')::INT AS position,
+                   json_extract(chart, '$.data[0].y[' || i || ']')::DOUBLE AS height,
+                   json_extract_string(chart, '$.data[0].text[' || i || ']') AS shown,
+                   json_extract_string(chart, '$.layout.xaxis.ticktext[' || i || ']') AS label
+            FROM points""",
     }
 
 

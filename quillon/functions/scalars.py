@@ -68,6 +68,12 @@ def decimals(value: Column, digits: int) -> Column:
     return F.call_function("format_number", value.cast("double"), F.lit(pattern))
 
 
+def json_text(value: Column) -> Column:
+    """A text as a JSON string, quoted and escaped; ``null`` for NULL."""
+    listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
 def two_decimals(value: Column) -> Column:
     return decimals(value, 2)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import constants as C
-from quillon.functions.scalars import label_of, month_key, title_of, two_decimals
+from quillon.functions.scalars import json_text, label_of, month_key, title_of, two_decimals
 from quillon.functions.slots import needs_sql, with_slots
 from quillon.operators.ranking import first_per_group
 from quillon.sources import tables
@@ -153,18 +153,51 @@ def result_json() -> Column:
     key_is_text = F.col("group_col").isin("region", "month")
 
     def record(r: Column) -> Column:
-        key = F.when(key_is_text, F.concat(F.lit('"'), r["key"], F.lit('"'))).otherwise(
+        key = F.when(key_is_text, json_text(r["key"])).otherwise(
             F.when(r["key"] == "None", "null").otherwise(r["key"]))
         value = F.when(_whole(), r["value"].cast("bigint").cast("string")).otherwise(
             r["shown"].cast("string"))
         total = F.when(r["total"].isNotNull(),
                        F.concat(F.lit(', "total": '), r["total"].cast("string"))).otherwise("")
-        return F.concat(F.lit('{"'), F.col("group_col"), F.lit('": '), key, F.lit(', "'),
-                        F.col("value_name"), F.lit('": '), value, total, F.lit("}"))
+        return F.concat(F.lit("{"), json_text(F.col("group_col")), F.lit(": "), key, F.lit(", "),
+                        json_text(F.col("value_name")), F.lit(": "), value, total, F.lit("}"))
 
     return F.concat(F.lit("["), F.array_join(F.transform("rows", record), ", "), F.lit("]"))
 
 
+def result_rows(answers: DataFrame, result: str = "sql_result") -> DataFrame:
+    """A result text read back: a row per record and field, with its ``text`` or its ``number``.
+
+    All other columns are kept; an answer without a result has no rows, and neither has a text that
+    is no JSON list of records.
+    """
+    records = F.from_json(result, "array<map<string,string>>")
+    fields = answers.select("*", F.posexplode(records).alias("position", "_record")).select(
+        "*", F.explode("_record").alias("name", "_value")).drop("_record", result)
+    number = F.expr("try_cast(_value AS DOUBLE)")
+    return fields.withColumns({"number": number, "text": F.when(number.isNull(), F.col("_value"))}
+                              ).drop("_value")
+
+
+CHART_SCHEMA = ("data array<struct<type string, x array<int>, y array<double>, name string, "
+                "text array<string>, hovertext array<string>>>, layout struct<title string, "
+                "xaxis struct<title string, ticktext array<string>>, yaxis struct<title string>>")
+
+
+def chart_points(charts: DataFrame, chart: str = "chart") -> DataFrame:
+    """A chart text read back: a row per point with its series, place, height, text and label."""
+    read = charts.withColumn("_c", F.from_json(chart, CHART_SCHEMA))
+    points = F.arrays_zip(F.col("_s.x").alias("x"), F.col("_s.y").alias("y"),
+                          F.col("_s.text").alias("text"), F.col("_c.layout.xaxis.ticktext")
+                          .alias("label"))
+    return (read.select("*", F.explode("_c.data").alias("_s"))
+            .select("*", F.explode(points).alias("_p"))
+            .select(*[c for c in charts.columns if c != chart],
+                    F.col("_c.layout.title").alias("title"), F.col("_s.name").alias("series"),
+                    F.col("_p.x").alias("position"), F.col("_p.y").alias("height"),
+                    F.col("_p.text").alias("shown"), F.col("_p.label").alias("label")))
+
+
 def chart_json(kind: str = "bar") -> Column:
     """Chart series and layout of the rows: first column across, second up."""
     value_title, group_title = title_of(F.col("value_name")), title_of(F.col("group_col"))
@@ -255,3 +288,19 @@ def chart_specs(spark: SparkSession, folder: str) -> DataFrame:
 
 def narratives(spark: SparkSession, folder: str) -> DataFrame:
     return _answered(spark, folder).select("question_id", "narrative")
+
+
+#: The most rows that the logged questions of the events ask for.
+ASKED_ROWS = 24
+
+
+def question_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """All asked rows of every answer, read back from its JSON text."""
+    whole = answered(tables.question_log(spark, folder), tables.trips(spark, folder),
+                     tables.customers(spark, folder), rows=ASKED_ROWS)
+    return result_rows(whole.select("question_id", "sql_result"))
+
+
+def chart_values(spark: SparkSession, folder: str) -> DataFrame:
+    """The points of every chart, read back from its JSON text."""
+    return chart_points(chart_specs(spark, folder))

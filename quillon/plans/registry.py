@@ -47,6 +47,8 @@ QUERIES = {
     "question_answers": questions.question_answers,
     "chart_specs": questions.chart_specs,
     "narratives": questions.narratives,
+    "question_rows": questions.question_rows,
+    "chart_values": questions.chart_values,
     "pool_embeddings": retrieval.pool_embeddings,
     "retrieve_docs": retrieval.retrieve_docs,
     "rag_prompts": retrieval.rag_prompts,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon import constants as C
 from quillon.functions.vectors import rounded
-from quillon.operators.encoder import embed_texts
+from quillon.operators.encoder import embed_column, embed_texts
 from quillon.operators.neighbours import knn
 from quillon.sources import tables
 
@@ -23,11 +23,11 @@ def retrieve(questions: DataFrame, store: DataFrame, k: int, metric: str | Colum
     store(doc_id, text).
 
     Question ids are unique. ``encode`` turns a text column into vectors of a model of
-    the caller's (``encoder.encode_with``); without it both sides get mean token vectors. The store
-    is counted before anything of it is embedded.
+    the caller's (``encoder.encode_with``); without it both sides get mean token vectors, questions
+    within their row. The store is counted before anything of it is embedded.
     """
-    asked = (questions.withColumn("embedding", encode(F.col("query"))) if encode else
-             questions.join(embed_texts(questions, "question_id", "query"), "question_id"))
+    asked = questions.withColumn("embedding", encode(F.col("query")) if encode else embed_column(
+        F.coalesce("query", F.lit(""))))
     passages = (store.select("doc_id", encode(F.col("text")).alias("embedding")) if encode
                 else embed_texts(store, "doc_id", "text"))
     found = knn(asked, passages, k, metric, eps, k_column, query_id="question_id", vec_id="doc_id",
