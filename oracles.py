@@ -933,7 +933,7 @@ NARROWER = {
         "sample_tenure_buckets", "sample_trips_per_month", "knn_l2", "knn_cosine", "knn_dot",
         "knn_manhattan", "knn_l2_large", "knn_manhattan_large", "knn_cosine_large",
         "knn_mixed_metric", "ivf_search", "ivf_single_probe", "graph_search",
-        "retrieve_docs")},
+        "retrieve_docs", "ivf_search_kept", "retrieve_docs_kept")},
 }
 
 
@@ -944,6 +944,19 @@ def all_oracles() -> dict[str, str]:
         out.update(part())
     for large in ("knn_l2", "knn_manhattan", "knn_cosine", "graph_edges"):
         out[f"{large}_large"] = out[large]
+    for kept in ("ivf_search", "retrieve_docs"):
+        out[f"{kept}_kept"] = out[kept]
+    out["kmeans_cluster_rule"] = out["kmeans_l2"]
+    out["run_sql_limit"] = _with(TRIPS) + """
+        SELECT count(*) AS shown_rows FROM (SELECT * FROM trips LIMIT 1000)"""
+    out["percentile_sketches"] = _with(REQUEST_LOG) + """
+        SELECT status, count(*) AS n, true AS p50_within, true AS p95_within FROM request_log
+        GROUP BY status"""
+    out["embed_with_encoder"] = """
+        SELECT doc_id, (generate_subscripts(v, 1) - 1)::INT AS position, unnest(v)::FLOAT AS value
+        FROM (SELECT doc_id, list_transform(['', 'a', 'e', 'i', 'o', 'u'], lambda x: CASE
+              WHEN x = '' THEN length(text) ELSE length(text) - length(replace(text, x, '')) END) AS v
+              FROM documents)"""
     out["brief_answers"] = f"SELECT query, narrative AS result FROM ({out['agent_answers']})"
     out["trace_records"] = f"""
         SELECT left(query, 100) AS query, k, metric, a.session_id, latency AS latency_ms,

@@ -68,9 +68,3 @@ def encode_with(encode: Callable[[list[str]], np.ndarray]):
         return pd.Series(list(np.asarray(encode(texts.tolist()), dtype=np.float32)))
 
     return encoded
-
-
-def embed_corpus(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
-    """Embed once, keep the result as a table, and read it back."""
-    embed_texts(df, key, text).write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)

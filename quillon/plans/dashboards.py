@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from quillon import constants as C
 from quillon.operators.ordering import exact_percentiles, numbered
+from quillon.operators.sketches import merged, percentiles, sketches
+from quillon.session import written
 from quillon.sources import tables
 
 TURNS_PER_SEGMENT = 1024
+SHARES = {"p50": 0.50, "p95": 0.95}
 
 
 def batches(requests: DataFrame, interval: str = C.MAX_WAITING, size: int = C.MAX_BATCH_SIZE,
@@ -86,10 +89,24 @@ def latency_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     log = tables.request_log(spark, folder)
-    found = exact_percentiles(log, ["status"], "latency", {"p50": 0.50, "p95": 0.95})
+    found = exact_percentiles(log, ["status"], "latency", SHARES)
     return found.select("status", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"))
 
 
+def percentile_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    """Median and 95th percentile per status from daily sketches, each with whether its rank among
+    all latencies is within two percent of the share asked."""
+    log = tables.request_log(spark, folder)
+    daily = written(sketches(log.withColumn("day", F.to_date("ts")), ["status", "day"], "latency"),
+                    "sketches")
+    found = percentiles(merged(daily, ["status"]), SHARES)
+    ranks = log.join(F.broadcast(found), "status").groupBy("status", "n").agg(*[
+        (F.count_if(F.col("latency") <= F.col(name)) / F.first("n")).alias(name) for name in SHARES])
+    return ranks.select("status", "n", *[
+        F.col(name).between(share - 0.02, share + 0.02).alias(f"{name}_within")
+        for name, share in SHARES.items()])
+
+
 def session_gauges(spark: SparkSession, folder: str) -> DataFrame:
     """Requests per session with the latest bias score and latency."""
     when = F.struct("ts", "request_id")

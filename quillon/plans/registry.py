@@ -36,6 +36,8 @@ QUERIES = {
     "kmeans_assign_step": vq.kmeans_assign_step,
     "kmeans_update_step": vq.kmeans_update_step,
     "kmeans_l2": vq.kmeans_l2,
+    "kmeans_cluster_rule": vq.kmeans_cluster_rule,
+    "ivf_search_kept": vq.ivf_search_kept,
     "ivf_search": vq.ivf_search,
     "ivf_single_probe": vq.ivf_single_probe,
     "graph_edges": vq.graph_edges,
@@ -51,6 +53,8 @@ QUERIES = {
     "chart_values": questions.chart_values,
     "pool_embeddings": retrieval.pool_embeddings,
     "retrieve_docs": retrieval.retrieve_docs,
+    "retrieve_docs_kept": retrieval.retrieve_docs_kept,
+    "embed_with_encoder": retrieval.embed_with_encoder,
     "rag_prompts": retrieval.rag_prompts,
     "agent_answers": answers.agent_answers,
     "batch_groups": dashboards.batch_groups,
@@ -58,6 +62,7 @@ QUERIES = {
     "dashboard_totals": dashboards.dashboard_totals,
     "latency_histogram": dashboards.latency_histogram,
     "latency_percentiles": dashboards.latency_percentiles,
+    "percentile_sketches": dashboards.percentile_sketches,
     "session_gauges": dashboards.session_gauges,
     "session_series": dashboards.session_series,
     "transcripts": dashboards.transcripts,
@@ -66,6 +71,7 @@ QUERIES = {
     "sql_text_functions": served.sql_text_functions,
     "sql_distance_functions": served.sql_distance_functions,
     "run_sql_guarded": served.run_sql_guarded,
+    "run_sql_limit": served.run_sql_limit,
     "guarded_requests": served.guarded_requests,
     "session_history": served.session_history,
     "batch_groups_short": served.batch_groups_short,

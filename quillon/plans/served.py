@@ -50,6 +50,15 @@ def run_sql_guarded(spark: SparkSession, folder: str) -> DataFrame:
     return found
 
 
+def run_sql_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """A statement with a plain LIMIT, through the guard: how many rows it gives."""
+    tables.register(spark, folder)
+    found, error = catalog.run_sql(spark, "SELECT * FROM trips LIMIT 1000")
+    if found is None:
+        raise ValueError(error)
+    return found.agg(F.count(F.lit(1)).alias("shown_rows"))
+
+
 def guarded_requests(spark: SparkSession, folder: str) -> DataFrame:
     """All logged questions as requests: defaults, reason of refusal, safety and redaction."""
     return stream.guarded(tables.question_log(spark, folder)).select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,7 +14,7 @@ from quillon.functions import vectors as V
 from quillon.operators import graph, ivf, kmeans
 from quillon.operators.neighbours import knn
 from quillon.operators.recall import recall_table
-from quillon.session import written
+from quillon.session import checkpoint_dir, written
 from quillon.sources.tables import read
 
 CELLS_SHOWN = 10
@@ -99,6 +100,21 @@ def kmeans_l2(spark: SparkSession, folder: str) -> DataFrame:
     return kmeans.assign(table, model.centroids, "l2").select("vec_id", "cluster_id")
 
 
+def kmeans_cluster_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells fitted until no vector changes its cell."""
+    table = vectors(spark, folder)
+    model = kmeans.fit(table, CELLS_SHOWN, "l2", convergence="cluster")
+    return kmeans.assign(table, model.centroids, "l2").select("vec_id", "cluster_id")
+
+
+def ivf_search_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Search in an index that was fitted once, saved and loaded."""
+    table = vectors(spark, folder)
+    path = f"{checkpoint_dir(spark)}/cells-{uuid.uuid4().hex}"
+    ivf.ivf(table, "l2").save(path)
+    return shown(ivf.search(as_queries(table), ivf.Index.load(spark, path)))
+
+
 def ivf_search(spark: SparkSession, folder: str) -> DataFrame:
     table = vectors(spark, folder)
     return shown(ivf.search(as_queries(table), ivf.ivf(table, "l2")))

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.operators.ordering import numbered
+from quillon.sources.matrix_format import (
+    PART_BYTES, MatrixSource, byte_ranges, lines_from, numbers, opened)
 from quillon.sources.synthetic import uniform
 
 # --- fixed values: size of the default random dataset ------------------------------------------
 DEFAULT_ROWS, DEFAULT_WIDTH, DEFAULT_K = 1000, 100, 10
-ROWS_PER_READ = 65_536
 
 
 @dataclass
@@ -29,62 +28,36 @@ class Dataset:
     k: int
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame | None:
-    """A ``.npy`` or whitespace-separated text matrix, rows numbered from 0; None for no path."""
+def read_matrix(spark: SparkSession, path: str, part_bytes: int = PART_BYTES) -> DataFrame | None:
+    """A ``.npy`` or whitespace-separated text matrix, rows numbered from 0; None for no path.
+
+    Rows of a text are in file order; comments after ``#`` and empty lines do not count. Its rows are
+    counted per byte range in the tasks, so that each range can number its own.
+    """
     if path == "":
         return None
-    return _read_npy(spark, path) if path.endswith(".npy") else _read_text(spark, path)
-
-
-def _read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Rows in file order. Comments after ``#`` and empty lines do not count."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
-        F.monotonically_increasing_id().alias("line"),
-        F.regexp_replace(F.regexp_replace("value", "#.*$", ""), r"^\s+|\s+$", "").alias("value"))
-    rows = numbered(lines.filter(F.col("value") != ""), [], ["file", "at", "line"], "n")
-    return rows.select((F.col("n") - 1).alias("vec_id"),
-                       F.split("value", r"\s+").cast("array<float>").alias("embedding"))
-
-
-def _opened(path: str):
-    system, inner = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
-    return system.open_input_file(inner)
-
-
-def _read_npy(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks read their own byte ranges of the file; only the header is read here."""
-    with _opened(path) as handle:
-        version = np.lib.format.read_magic(handle)
-        read = (np.lib.format.read_array_header_1_0 if version == (1, 0)
-                else np.lib.format.read_array_header_2_0)
-        shape, column_major, kind = read(handle)
-        start = handle.tell()
-    rows, width = (shape[0], shape[1]) if len(shape) == 2 else (1, shape[0])
-    size = kind.itemsize
-
-    def block(handle, first: int, count: int) -> np.ndarray:
-        if not column_major:
-            handle.seek(start + first * width * size)
-            return np.frombuffer(handle.read(count * width * size), kind).reshape(count, width)
-        columns = []
-        for c in range(width):
-            handle.seek(start + (c * rows + first) * size)
-            columns.append(np.frombuffer(handle.read(count * size), kind))
-        return np.stack(columns, axis=1)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark.dataSource.register(MatrixSource)
+    reader = spark.read.format("matrix").option("part_bytes", part_bytes)
+    if not path.endswith(".npy"):
+        reader = reader.option("rows_before", json.dumps(_rows_before(spark, path, part_bytes)))
+    return reader.load(path)
+
+
+def _rows_before(spark: SparkSession, path: str, part_bytes: int) -> list[int]:
+    """For each byte range the number of rows that start before it: a number per range."""
+    with opened(path) as handle:
+        cuts = byte_ranges(handle.size(), part_bytes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number in batch["id"].to_pylist():
-                first = number * ROWS_PER_READ
-                with _opened(path) as handle:
-                    part = block(handle, first, min(ROWS_PER_READ, rows - first))
-                yield pa.record_batch({
-                    "vec_id": pa.array(np.arange(first, first + len(part), dtype=np.int64)),
-                    "embedding": pa.array(list(part.astype(np.float32)), pa.list_(pa.float32()))})
-
-    reads = max(1, math.ceil(rows / ROWS_PER_READ))
-    return spark.range(0, reads, 1, reads).mapInArrow(scan, "vec_id bigint, embedding array<float>")
+                with opened(path) as handle:
+                    n = sum(numbers(line) is not None for line in lines_from(handle, *cuts[number]))
+                yield pa.record_batch({"part": pa.array([number]), "n": pa.array([n])})
+
+    found = spark.range(0, len(cuts), 1, len(cuts)).mapInArrow(count, "part bigint, n bigint")
+    counts = [r["n"] for r in sorted(found.collect(), key=lambda r: r["part"])]
+    return [sum(counts[:i]) for i in range(len(counts))]
 
 
 def normal_vector(key: Column, salt: str, width: int) -> Column:

@@ -1,9 +1,4 @@
-"""Trace records of served requests, in a table that takes every batch once.
-
-A batch of records lands in a folder of its own and counts when its commit marker is there. A batch
-that is written again is skipped, one that failed half-way is replaced, and readers see committed
-batches only. All files go through Spark and Hadoop's file systems, so the table may lie in any store.
-"""
+"""Trace records of served requests, in a table that takes every batch once, and exports."""
 
 from __future__ import annotations
 
@@ -11,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.ranking import first_per_group
+from quillon.sources import committed
 
 # --- fixed values: lengths of the shortened log fields ------------------------------------------
 QUERY_SHOWN, ERROR_SHOWN = 100, 200
@@ -39,35 +35,13 @@ def trace_records(answers: DataFrame, latency_ms: Column, at: Column) -> DataFra
 
 
 def append_trace(records: DataFrame, path: str, batch_id: str) -> bool:
-    """Add a batch of records unless it is there already; whether it was added.
-
-    The marker is written after the data, so a batch without one is rewritten from the start.
-    """
-    spark = records.sparkSession
-    if not committed(spark, path).filter(F.col("batch_id") == batch_id).isEmpty():
-        return False
-    records.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").partitionBy("dt").parquet(
-        f"{path}/batches/folder={batch_id}")
-    spark.createDataFrame([(batch_id,)], "value string").coalesce(1).write.mode("overwrite").text(
-        f"{path}/commits/{batch_id}")
-    return True
-
-
-def committed(spark: SparkSession, path: str) -> DataFrame:
-    """The ids of the batches that count."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], "batch_id string")
-    return spark.read.option("recursiveFileLookup", "true").schema("value string").text(
-        f"{path}/commits").select(F.col("value").alias("batch_id"))
+    """Add a batch of records, by day, unless it is there already; whether it was added."""
+    return committed.append(records, path, batch_id, "dt")
 
 
 def read_trace(spark: SparkSession, path: str) -> DataFrame | None:
     """The records of all committed batches, None before the first."""
-    done = committed(spark, path)
-    if done.isEmpty():
-        return None
-    return spark.read.parquet(f"{path}/batches").drop("folder").join(done, "batch_id", "left_semi")
+    return committed.read(spark, path)
 
 
 def exported(rows: DataFrame, key: str, order: str, limit: int) -> DataFrame:

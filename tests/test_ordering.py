@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import sketches
 from quillon.operators.ordering import exact_percentiles, numbered, running_total
 from quillon.plans.dashboards import batch_summary, batch_table, batches, transcript_segments
 
@@ -85,3 +86,24 @@ def test_transcript_segments_stay_bounded(spark):
     rows = transcript_segments(turns, 100).orderBy("segment").collect()
     assert [len(r["messages"]) for r in rows] == [100, 100, 50]
     assert [m["turn"] for r in rows for m in r["messages"]] == list(range(250))
+
+
+def test_sketches_add_up(spark):
+    """The rank of a merged sketch's percentile is within its error of the exact one."""
+    rows = spark.range(60_000).select(
+        (F.col("id") % 3).alias("g"), (F.col("id") % 17).alias("day"),
+        F.when(F.col("id") % 11 > 0, F.pow(F.rand(7), 3) * 1000).alias("v"))
+    rows = rows.cache()
+    daily = sketches.sketches(rows, ["g", "day"], "v")
+    found = sketches.percentiles(sketches.merged(daily, ["g"]), {"p50": 0.5, "p95": 0.95}).collect()
+    values = {g: np.sort([r["v"] for r in rows.filter(f"g = {g} AND v IS NOT NULL").collect()])
+              for g in range(3)}
+    for r in found:
+        have = values[r["g"]]
+        assert r["n"] == len(have)
+        for name, share in (("p50", 0.5), ("p95", 0.95)):
+            assert abs(np.searchsorted(have, r[name]) / len(have) - share) < 0.015
+    rows.unpersist()
+    few = spark.createDataFrame([(1.0,), (3.0,), (None,)], "v double")
+    one = sketches.percentiles(sketches.sketches(few.selectExpr("1 g", "v"), ["g"], "v"), {"p": 0.5})
+    assert one.first()["n"] == 2 and one.first()["p"] in (1.0, 3.0)

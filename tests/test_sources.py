@@ -1,5 +1,6 @@
 """Ad-hoc SQL, table loads, generated tables, matrix files, exports and traces."""
 
+import io
 import json
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from quillon.operators import encoder
 from quillon.operators.neighbours import knn
 from quillon.plans.answers import answer
-from quillon.sources import catalog, matrices, sinks, synthetic, tables
+from quillon.sources import catalog, embeddings, matrices, matrix_format, sinks, synthetic, tables
+from quillon.sources.matrix_format import MatrixSource
 
 
 def test_run_sql(spark, sf):
@@ -117,15 +119,16 @@ def test_generated_tables(spark):
     assert rates[False] == pytest.approx(0.27, abs=0.03)
 
 
-def test_matrix_files(spark, tmp_path, monkeypatch):
+def test_matrix_files(spark, tmp_path):
     m = np.random.default_rng(0).normal(size=(37, 5)).astype(np.float32)
     np.savetxt(tmp_path / "m.txt", m, header="a comment")
     np.save(tmp_path / "c.npy", m)
     np.save(tmp_path / "f.npy", np.asfortranarray(m.astype(np.float64)))
     np.save(tmp_path / "one.npy", m[0])
-    monkeypatch.setattr(matrices, "ROWS_PER_READ", 10)
     for name in ("m.txt", "c.npy", "f.npy"):
-        rows = matrices.read_matrix(spark, str(tmp_path / name)).orderBy("vec_id").collect()
+        table = matrices.read_matrix(spark, str(tmp_path / name), 200)
+        assert table.select(F.spark_partition_id().alias("p")).distinct().count() > 3
+        rows = table.orderBy("vec_id").collect()
         assert [r["vec_id"] for r in rows] == list(range(37))
         assert np.allclose(np.array([r["embedding"] for r in rows]), m, atol=1e-6)
     one = matrices.read_matrix(spark, str(tmp_path / "one.npy")).collect()
@@ -133,6 +136,50 @@ def test_matrix_files(spark, tmp_path, monkeypatch):
     assert matrices.read_matrix(spark, "") is None
 
 
+def test_the_matrix_format_by_itself(spark, tmp_path):
+    m = np.random.default_rng(2).normal(size=(50, 4)).astype(np.float32)
+    text = "# top\n\n" + "\n".join(" ".join(map(str, r)) + ("  # note" if i % 3 else "")
+                                     + ("\n" if i % 7 == 0 else "") for i, r in enumerate(m))
+    (tmp_path / "m.txt").write_text(text)
+    np.save(tmp_path / "m.npy", m)
+    spark.dataSource.register(MatrixSource)
+    for name, size in (("m.txt", 37), ("m.txt", 1000), ("m.npy", 64)):
+        table = spark.read.format("matrix").option("part_bytes", size).load(str(tmp_path / name))
+        rows = table.orderBy("vec_id").collect()
+        assert [r["vec_id"] for r in rows] == list(range(50))
+        assert np.allclose(np.array([r["embedding"] for r in rows]), m)
+    (tmp_path / "none.txt").write_text("")
+    assert matrices.read_matrix(spark, str(tmp_path / "none.txt")).count() == 0
+
+
+def test_every_line_is_in_one_range():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        lines = [bytes(rng.choice([32, 48, 49], rng.integers(0, 9)).tolist()) for _ in range(12)]
+        data = b"\n".join(lines) + (b"\n" if rng.random() < 0.5 else b"")
+        whole = [x for x in data.split(b"\n") if x]
+        for size in (1, 3, 7, 100):
+            got = [x for a, b in matrix_format.byte_ranges(len(data), size)
+                   for x in matrix_format.lines_from(io.BytesIO(data), a, b) if x]
+            assert got == whole
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(1, "a b"), (2, "a b"), (3, "c"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    assert embeddings.size(spark, path) == 0
+    assert embeddings.update(df.filter("id < 3"), "text", path, "first") == 1
+    assert embeddings.update(df, "text", path, "second") == 2
+    assert embeddings.update(df, "text", path, "third") == 0 and embeddings.size(spark, path) == 3
+    got = {r["id"]: r["embedding"] for r in embeddings.of(df, "id", "text", path).collect()}
+    want = {r["id"]: r["embedding"] for r in encoder.embed_texts(
+        df.fillna({"text": ""}), "id", "text").collect()}
+    assert got == want and got[1] == got[2] and got[4] == got[5] == [0.0] * 16
+    (tmp_path / "store/commits/second").rename(tmp_path / "gone")  # as if the run had failed
+    assert embeddings.size(spark, path) == 1 and embeddings.update(df, "text", path, "second") == 2
+
+
 def test_datasets(spark, tmp_path):
     m = np.random.default_rng(1).normal(size=(20, 3))
     np.savetxt(tmp_path / "a.txt", m)
@@ -216,5 +263,3 @@ def test_encoders(spark, tmp_path):
     lengths = encoder.encode_with(lambda texts: np.array([[len(t), 1] for t in texts]))
     assert [r[0] for r in df.orderBy("id").select(lengths("text")).collect()] == [
         [5, 1], [0, 1], [5, 1], [5, 1]]
-    kept = encoder.embed_corpus(df, "id", "text", str(tmp_path / "corpus"))
-    assert kept.count() == 4
