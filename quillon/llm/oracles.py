@@ -3,40 +3,36 @@
 from __future__ import annotations
 
 
+#: Levels of the URL statement; it stands for trees of paths with up to so many segments.
+_URL_LEVELS = 8
+
+
 def _url_filter() -> str:
     """Shapes, variable segments level by level, then purity from the host down."""
-    levels, above = [], "host"
-    for k in range(1, 5):
+    levels, walk = [], []
+    for k in range(1, _URL_LEVELS + 1):
         levels.append(f"""
-k{k} AS (SELECT {above}, s{k} AS s, sum(n) AS n FROM g{k - 1} GROUP BY ALL),
-n{k} AS (SELECT {above}, count(*) FILTER (s <> '') AS kinds,
-                coalesce(sum(n) FILTER (s <> ''), 0) AS pages FROM k{k} GROUP BY ALL),
-g{k} AS (SELECT g{k - 1}.*, CASE WHEN s{k} <> '' AND kinds >= 8 AND kinds * 2 >= pages THEN '*'
-                            ELSE s{k} END AS g{k}
-         FROM g{k - 1} JOIN n{k} USING ({above}))""")
-        above += f", g{k}"
-    walk, nodes = [], "host"
-    walk.append("""
-p0 AS (SELECT g4.*, host AS template, (SELECT (sum(blocked) + 0.5::DOUBLE)
-       / (sum(allowed) + sum(blocked) + 1.0::DOUBLE) FROM g4) AS purity FROM g4),
-c0 AS (SELECT host, sum(blocked)::DOUBLE AS b, sum(allowed + blocked)::DOUBLE AS m
-       FROM g4 GROUP BY ALL),
-q0 AS (SELECT p0.* REPLACE ((b + 4.0::DOUBLE * purity) / (m + 4.0::DOUBLE) AS purity)
-       FROM p0 JOIN c0 USING (host))""")
-    for k in range(1, 5):
-        nodes += f", g{k}"
+n{k} AS (SELECT node, count(*) AS kinds, sum(n) AS pages FROM (
+      SELECT node, coalesce(parts[{k}], '') AS s, sum(n) AS n FROM g{k - 1} GROUP BY ALL)
+      WHERE s <> '' GROUP BY node),
+h{k} AS (SELECT g{k - 1}.*, coalesce(parts[{k}], '') AS s, CASE WHEN kinds >= 8
+      AND kinds * 2 >= pages THEN '*' ELSE coalesce(parts[{k}], '') END AS g
+      FROM g{k - 1} LEFT JOIN n{k} USING (node)),
+g{k} AS (SELECT host, shape, parts, n, allowed, blocked,
+      CASE WHEN s = '' THEN general ELSE list_append(general, g) END AS general,
+      CASE WHEN s = '' THEN node ELSE node || '/' || g END AS node FROM h{k})""")
         walk.append(f"""
-c{k} AS (SELECT {nodes}, sum(blocked)::DOUBLE AS b, sum(allowed + blocked)::DOUBLE AS m
-       FROM g4 GROUP BY ALL),
-o{k} AS (SELECT q{k - 1}.*, b, m, m > 0 AND abs(b / greatest(m, 1.0::DOUBLE) - purity)
-         > 1.96::DOUBLE * sqrt(purity * (1.0::DOUBLE - purity) / greatest(m, 1.0::DOUBLE)) AS own
-       FROM q{k - 1} JOIN c{k} USING ({nodes})),
+c{k} AS (SELECT template, general[{k}] AS g, sum(blocked)::DOUBLE AS b,
+      sum(allowed + blocked)::DOUBLE AS m FROM q{k - 1} WHERE len(general) >= {k} GROUP BY ALL),
+o{k} AS (SELECT q{k - 1}.*, c{k}.b, c{k}.m, coalesce(c{k}.m > 0
+      AND abs(c{k}.b / greatest(c{k}.m, 1.0::DOUBLE) - purity) > 1.96::DOUBLE
+        * sqrt(purity * (1.0::DOUBLE - purity) / greatest(c{k}.m, 1.0::DOUBLE)), false) AS own
+      FROM q{k - 1} LEFT JOIN c{k} ON c{k}.template = q{k - 1}.template
+        AND c{k}.g = general[{k}]),
 q{k} AS (SELECT * EXCLUDE (b, m, own) REPLACE (
-         CASE WHEN own THEN (b + 4.0::DOUBLE * purity) / (m + 4.0::DOUBLE) ELSE purity END
-           AS purity,
-         CASE WHEN g{k} = '' THEN template
-              ELSE template || '/' || CASE WHEN own THEN g{k} ELSE '~' END END AS template)
-       FROM o{k})""")
+      CASE WHEN own THEN (b + 4.0::DOUBLE * purity) / (m + 4.0::DOUBLE) ELSE purity END AS purity,
+      CASE WHEN len(general) < {k} THEN template ELSE template || '/'
+        || CASE WHEN own THEN general[{k}] ELSE '~' END END AS template) FROM o{k})""")
     return f"""
 WITH u AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
@@ -53,19 +49,25 @@ r AS (SELECT *, CASE
     END AS rule,
     list_filter(string_split(regexp_replace(path, '[0-9]+', '{{n}}', 'g'), '/'), lambda x: x <> '')
       AS parts FROM u),
-v AS (SELECT page_id, host, path, rule,
+v AS (SELECT page_id, host, path, rule, parts, array_to_string(parts, '/') AS shape,
     CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END
-      AS by_rule,
-    coalesce(parts[1], '') AS s1, coalesce(parts[2], '') AS s2, coalesce(parts[3], '') AS s3,
-    coalesce(array_to_string(parts[4:], '/'), '') AS s4 FROM r),
-g0 AS (SELECT host, s1, s2, s3, s4, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS allowed,
-    count(*) FILTER (by_rule = 'block') AS blocked FROM v GROUP BY ALL),
+      AS by_rule FROM r),
+g0 AS (SELECT host, shape, any_value(parts) AS parts, count(*) AS n,
+    count(*) FILTER (by_rule = 'allow') AS allowed, count(*) FILTER (by_rule = 'block') AS blocked,
+    []::VARCHAR[] AS general, host AS node FROM v GROUP BY host, shape),
 {",".join(levels).strip()},
+p0 AS (SELECT host, shape, general, allowed, blocked, host AS template,
+       (SELECT (sum(blocked) + 0.5::DOUBLE) / (sum(allowed) + sum(blocked) + 1.0::DOUBLE)
+        FROM g{_URL_LEVELS}) AS purity FROM g{_URL_LEVELS}),
+c0 AS (SELECT host, sum(blocked)::DOUBLE AS b, sum(allowed + blocked)::DOUBLE AS m
+       FROM p0 GROUP BY ALL),
+q0 AS (SELECT p0.* REPLACE ((b + 4.0::DOUBLE * purity) / (m + 4.0::DOUBLE) AS purity)
+       FROM p0 JOIN c0 USING (host)),
 {",".join(walk).strip()}
 SELECT page_id, host, path, rule,
     coalesce(by_rule, CASE WHEN purity >= 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
     template, round_even(purity, 9) AS purity
-FROM v JOIN q4 USING (host, s1, s2, s3, s4)"""
+FROM v JOIN q{_URL_LEVELS} USING (host, shape)"""
 
 
 #: Label, base or not, key phrase, where it starts in the template, template.

@@ -3,15 +3,16 @@
 Rules (host and path prefix, allow or block) fit a host and its subdomains; the longest fitting one
 decides and its verdict is also the label that the trees learn from.
 
-The tree of a host has one level per path segment, the fourth holding all that is left. Runs of
-digits become ``{n}``; at a node with many children that are mostly seen once or twice, the segment
-is a variable and all children become ``*``. A branch whose labelled block share does not differ
-significantly from what its parent stands for is merged into it. The purity of what is left is the
+The tree of a host has one level per path segment, as many as the longest path has. Runs of digits
+become ``{n}``; at a node with many children that are mostly seen once or twice, the segment is a
+variable and all children become ``*``. A branch whose labelled block share does not differ
+significantly from what its parent stands for is merged: it and its like become one node ``~``, and
+the next level counts their children together. The purity of what is left is the
 block share smoothed towards the parent's, from the host's up to all hosts'; a URL is blocked if its
 template's purity reaches ``reject``.
 
 All steps are DataFrame expressions, aggregates and joins: URLs are counted into shapes first, the
-trees are built over shapes, and the verdicts are joined back.
+trees are built over shapes, a written table per level, and the verdicts are joined back.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and is judged with all
 such; repeated rows repeat; an empty table gives no rows; other columns are ignored.
@@ -27,7 +28,6 @@ from quillon.session import erase, written
 #: Rule, verdict.
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"),
          ("com/fr/", "allow"), ("com/de/", "block")]
-LEVELS = ["s1", "s2", "s3", "s4"]
 MANY, FEW_EACH, WEIGHT, DEVIATIONS, REJECT = 8, 2, 4.0, 1.96, 0.5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -48,57 +48,63 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return fits
 
 
-def _segments(path: Column) -> list[Column]:
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), lambda s: s != "")
-    single = [F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(f"s{k + 1}") for k in range(3)]
-    rest = F.when(F.size(parts) > 3, F.array_join(F.slice(parts, 4, F.greatest(
-        F.size(parts) - 3, F.lit(1))), "/")).otherwise(F.lit(""))
-    return [*single, rest.alias("s4")]
-
-
-def _generalised(shapes: DataFrame) -> DataFrame:
-    """Columns g1..g4: each segment as it is, or ``*`` where its node's children vary."""
-    above = ["host"]
-    for level, name in enumerate(LEVELS, 1):
-        some = F.col(name) != ""
-        children = shapes.groupBy(*above, name).agg(F.sum("n").alias("n"))
-        nodes = children.groupBy(*above).agg(
-            F.count(F.when(some, 1)).alias("kinds"),
-            F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("pages"))
-        varies = (F.col("kinds") >= MANY) & (F.col("kinds") * FEW_EACH >= F.col("pages"))
-        out = written(shapes.join(nodes, above).withColumn(
-            f"g{level}", F.when(some & varies, F.lit("*")).otherwise(F.col(name)))
-            .drop("kinds", "pages"), "url-shapes")
-        erase(shapes)
-        shapes, above = out, [*above, f"g{level}"]
-    return shapes
-
-
-def _judged_shapes(shapes: DataFrame, weight: float, deviations: float) -> DataFrame:
+def segments(path: Column) -> Column:
+    """The path's segments, runs of digits as ``{n}``, empty ones left out."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "{n}"), "/"), lambda s: s != "")
+
+
+def _at(parts: str, level: int) -> Column:
+    """Segment ``level`` (from 1), empty past the end."""
+    return F.coalesce(F.get(parts, F.lit(level - 1)), F.lit(""))
+
+
+def _generalised(shapes: DataFrame, depth: int) -> DataFrame:
+    """Column ``general`` (and ``node``): each segment as it is, or ``*`` where its node's children vary."""
+    out = written(shapes.withColumns({"node": F.col("host"),
+                                      "general": F.array().cast("array<string>")}), "url-shapes")
+    for level in range(1, depth + 1):
+        here = out.withColumn("s", _at("parts", level))
+        some = F.col("s") != ""
+        children = here.filter(some).groupBy("node", "s").agg(F.sum("n").alias("n"))
+        nodes = children.groupBy("node").agg(F.count(F.lit(1)).alias("kinds"),
+                                             F.sum("n").alias("pages"))
+        varies = F.coalesce((F.col("kinds") >= MANY)
+                            & (F.col("kinds") * FEW_EACH >= F.col("pages")), F.lit(False))
+        stands = F.when(varies, F.lit("*")).otherwise(F.col("s"))
+        grown = here.join(nodes, "node", "left").withColumns({
+            "node": F.when(some, F.concat("node", F.lit("/"), stands)).otherwise(F.col("node")),
+            "general": F.when(some, F.array_append("general", stands)).otherwise(F.col("general"))})
+        grown = written(grown.select(*out.columns), "url-shapes")
+        erase(out)
+        out = grown
+    return out
+
+
+def _judged_shapes(shapes: DataFrame, depth: int, weight: float, deviations: float) -> DataFrame:
     """Template and purity of every shape, walking each host's tree from the top."""
     total = shapes.agg(F.sum("allowed"), F.sum("blocked")).first()
     allowed, blocked = (x or 0 for x in total)
-    out = shapes.withColumn("purity", F.lit((blocked + 0.5) / (allowed + blocked + 1.0)))
-    out = out.withColumn("template", F.col("host"))
-    nodes = ["host"]
-    for level in range(len(LEVELS) + 1):
-        seen = shapes.groupBy(*nodes).agg(F.sum("blocked").cast("double").alias("b"),
-                                          F.sum(F.col("allowed") + F.col("blocked"))
-                                          .cast("double").alias("m"))
+    out = shapes.select("host", "shape", "general", "allowed", "blocked", F.col("host").alias(
+        "template"), F.lit((blocked + 0.5) / (allowed + blocked + 1.0)).alias("purity"))
+    for level in range(depth + 1):
+        here = out.withColumn("g", _at("general", level) if level else F.lit("."))
+        some = F.col("g") != ""  # a path that has ended keeps what its last node stands for
+        seen = here.filter(some).groupBy("template", "g").agg(
+            F.sum("blocked").cast("double").alias("b"),
+            F.sum(F.col("allowed") + F.col("blocked")).cast("double").alias("m"))
         p, b, m = F.col("purity"), F.col("b"), F.col("m")
-        apart = (m > 0) & (F.abs(b / F.greatest(m, F.lit(1.0)) - p)
-                           > deviations * F.sqrt(p * (1.0 - p) / F.greatest(m, F.lit(1.0))))
+        apart = some & (m > 0) & (F.abs(b / F.greatest(m, F.lit(1.0)) - p) > deviations * F.sqrt(
+            p * (1.0 - p) / F.greatest(m, F.lit(1.0))))
         own = F.lit(True) if level == 0 else apart
-        out = out.join(seen, nodes).withColumn("own", own)
+        step = F.concat("template", F.lit("/"), F.when(own, F.col("g")).otherwise(F.lit("~")))
+        walked = here.join(seen, ["template", "g"], "left").withColumns({
+            "template": F.when(some, step).otherwise(F.col("template")) if level else F.col("template"),
+            "purity": F.when(own, (b + weight * p) / (m + weight)).otherwise(p)})
+        walked = written(walked.select(*out.columns), "url-templates")
         if level:
-            step = F.concat(F.lit("/"), F.when(F.col("own"), F.col(f"g{level}"))
-                            .otherwise(F.lit("~")))
-            out = out.withColumn("template", F.when(F.col(f"g{level}") == "", F.col("template"))
-                                 .otherwise(F.concat("template", step)))
-        out = out.withColumn("purity", F.when(
-            F.col("own"), (b + weight * p) / (m + weight)).otherwise(p)).drop("b", "m", "own")
-        nodes = [*nodes, f"g{level + 1}"]
-    return out.select("host", *LEVELS, "template", "purity")
+            erase(out)
+        out = walked
+    return out.select("host", "shape", "template", "purity")
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, weight: float = WEIGHT,
@@ -111,16 +117,17 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] | None = None, weight:
     verdict = F.lit(None).cast("string")
     for name, action in rules:
         verdict = F.when(F.col("rule") == name, F.lit(action)).otherwise(verdict)
-    parsed = parsed.withColumn("rule", rule).withColumn("by_rule", verdict).select(
-        "*", *_segments(F.col("path")))
-    shapes = written(parsed.groupBy("host", *LEVELS).agg(
+    parsed = parsed.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn(
+        "shape", F.array_join(segments(F.col("path")), "/"))
+    shapes = written(parsed.groupBy("host", "shape").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("by_rule") == "allow", 1))
-        .alias("allowed"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked")),
-        "url-shapes")
-    shapes = _generalised(shapes)
-    judged = written(_judged_shapes(shapes, weight, deviations), "url-templates")
-    erase(shapes)
+        .alias("allowed"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked"))
+        .withColumn("parts", F.filter(F.split("shape", "/"), lambda s: s != "")), "url-shapes")
+    depth = shapes.agg(F.max(F.size("parts"))).first()[0] or 0
+    general = _generalised(shapes, depth)
+    judged = _judged_shapes(general, depth, weight, deviations)
+    erase(shapes, general)
     learned = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
-    return parsed.join(judged, ["host", *LEVELS]).select(
+    return parsed.join(judged, ["host", "shape"]).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", learned).alias("verdict"),
         "template", F.bround("purity", 9).alias("purity"))

@@ -79,3 +79,38 @@ def test_query_equals_its_statement(spark):
     sf = "/root/testdata/sf0.01"
     df = QUERIES["op2_path_templates"](spark, sf)
     assert compare(df, connect(sf), ORACLES["op2_path_templates"]) is None
+
+
+def test_deep_segments_vary_too(spark):
+    rows = [(i, f"x://s.com/a/b/c/d/e/v{chr(97 + i)}x/end") for i in range(20)]
+    frame = pages(spark, [(*r, "x", 1, 2) for r in rows])
+    shapes = urls.judge(frame).select("template").distinct().collect()
+    assert len(shapes) == 1
+    against_oracle(spark, rows)
+
+
+def test_merged_siblings_pool_their_children(spark):
+    """Under each of six siblings there is one blocked child: too few alone, enough together."""
+    rows = [(i, f"x://a.com/fr/{i}") for i in range(40)] + [
+        (100 + i, f"x://b.com/de/{i}") for i in range(40)]
+    rows += [(200 + i, f"x://sub.example.org/{w}/bad/x") for i, w in enumerate(["u", "v", "w", "y"] * 4)]
+    rows += [(300 + i, f"x://q.com/{w}/fr/1") for i, w in enumerate(["k", "l", "m"] * 3)]
+    rows += [(400 + i, f"x://com/de/{w}/bad/{i}") for i, w in enumerate("nopqrs")]
+    against_oracle(spark, rows)
+    made = spark.createDataFrame(
+        [("h", f"{w}/{c}", [w, c], 1 if c == "ok" else 0, 1 if c == "bad" else 0)
+         for w in "klmnop" for c in ("ok", "bad")],
+        "host string, shape string, general array<string>, allowed int, blocked int")
+    out = {r["shape"]: r for r in urls._judged_shapes(made, 2, 4.0, 0.5).collect()}
+    assert {out[f"{w}/bad"]["template"] for w in "klmnop"} == {"h/~/bad"}
+    assert out["k/bad"]["purity"] > 0.75 and out["k/ok"]["purity"] < 0.25
+
+
+def test_a_page_does_not_depend_on_how_deep_others_are(spark):
+    rows = [(i, f"x://a.com/{'fr' if i % 3 else 'de'}/{i}") for i in range(30)] + [(50, "x://a.com/x")]
+    alone = {r["page_id"]: (r["template"], r["purity"]) for r in urls.judge(
+        pages(spark, [(*r, "x", 1, 2) for r in rows])).collect()}
+    deep = rows + [(99, "x://nolabels.net/" + "/".join("abcdefgh"))]
+    among = {r["page_id"]: (r["template"], r["purity"]) for r in urls.judge(
+        pages(spark, [(*r, "x", 1, 2) for r in deep])).collect()}
+    assert {k: v for k, v in among.items() if k != 99} == alone
