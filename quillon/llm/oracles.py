@@ -256,6 +256,48 @@ g AS (SELECT word, word AS root, form AS ahead FROM f
 SELECT word, form, root, n, n_near, form_n FROM f JOIN g USING (word) WHERE ahead IS NULL"""
 
 
+def _repeated_phrases() -> str:
+    """Every window of every document by a digest of its words, and the smallest id that holds it."""
+    return r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+i AS (SELECT r, id, words, unnest(range(1, len(words) - 48)) AS i FROM d WHERE len(words) >= 50),
+w AS (SELECT r, id, i, md5(array_to_string(words[i:i + 49], ' ')) AS key FROM i),
+least AS (SELECT key, min(id) AS first FROM w GROUP BY key),
+gone AS (SELECT r, i FROM w JOIN least USING (key) WHERE first < id),
+p AS (SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS pos FROM d),
+marked AS (SELECT p.r, p.pos, word, max(g.i) OVER (PARTITION BY p.r ORDER BY p.pos
+    ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS covered
+    FROM p LEFT JOIN gone g ON g.r = p.r AND g.i = p.pos),
+k AS (SELECT r, count(*) AS n_words, count(*) FILTER (covered) AS n_removed,
+    string_agg(word, ' ' ORDER BY pos) FILTER (NOT covered) AS kept FROM marked GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
+
+def _near_duplicates() -> str:
+    """All pairs that share a shingle, their similarity, and everything that links reach."""
+    return r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT r, unnest(CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(
+    range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+met AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b
+    ON a.shingle = b.shingle AND a.r < b.r GROUP BY ALL),
+links AS (SELECT a, b FROM met JOIN n x ON x.r = a JOIN n y ON y.r = b
+    WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+paired AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r, r AS other FROM d UNION SELECT reach.r, b FROM reach JOIN paired ON a = other),
+least AS (SELECT reach.r, min(doc_id) AS component_id FROM reach JOIN d ON d.r = other
+    GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d JOIN least USING (r) LEFT JOIN n USING (r)"""
+
+
 ORACLES = {"op6_rare_token_index": _license_scan(), "op2_path_templates": _url_filter(),
            "op11_pair_merge": _divergence(), "op12_checked_spans": _personal(),
-           "op13_bloom_edits": _spellings()}
+           "op13_bloom_edits": _spellings(), "op3_repeated_phrases": _repeated_phrases(),
+           "op9_minhash": _near_duplicates()}

@@ -1,12 +1,18 @@
 import random
+import sys
 
 import pytest
 from helpers import awkward, docs
 
 from quillon.llm import near_duplicates as nd
 from quillon.llm.graphs import components
+from quillon.llm.oracles import ORACLES
 from quillon.llm.queries import QUERIES
 
+sys.path.insert(0, "tests")
+from compare import compare as statement  # noqa: E402
+from compare import connect  # noqa: E402
+
 
 def shingles(text, size):
     words = (text or "").encode().lower().split()
@@ -139,3 +145,8 @@ def test_one_of_each_decides_by_row(spark):
         [(3, text), (7, other), (None, "alone here now then so"), (9, ""), (9, None), (None, " ")],
         key=str)
     assert nd.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_query_equals_its_statement(spark):
+    sf = "/root/testdata/sf0.01"
+    assert statement(QUERIES["op9_minhash"](spark, sf), connect(sf), ORACLES["op9_minhash"]) is None

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import sys
 
 import pyarrow as pa
 import pytest
@@ -8,8 +9,13 @@ from helpers import awkward, docs
 from pyspark.sql import functions as F
 
 from quillon.llm import repeats
+from quillon.llm.oracles import ORACLES
 from quillon.llm.queries import QUERIES
 
+sys.path.insert(0, "tests")
+from compare import compare as statement  # noqa: E402
+from compare import connect  # noqa: E402
+
 
 def brute(rows, window):
     """What is left, by looking up every window of every document."""
@@ -140,3 +146,8 @@ def test_ids_that_repeat_or_are_large(spark):
 def brute_named(rows, window):
     out = brute(rows, window)
     return [(rows[k][0], *r[1:]) for k, r in enumerate(out)]
+
+
+def test_query_equals_its_statement(spark):
+    sf = "/root/testdata/sf0.01"
+    assert statement(QUERIES["op3_repeated_phrases"](spark, sf), connect(sf), ORACLES["op3_repeated_phrases"]) is None
