@@ -933,7 +933,7 @@ NARROWER = {
         "sample_tenure_buckets", "sample_trips_per_month", "knn_l2", "knn_cosine", "knn_dot",
         "knn_manhattan", "knn_l2_large", "knn_manhattan_large", "knn_cosine_large",
         "knn_mixed_metric", "ivf_search", "ivf_single_probe", "graph_search",
-        "retrieve_docs", "ivf_search_kept", "retrieve_docs_kept")},
+        "retrieve_docs", "ivf_search_kept", "retrieve_docs_kept", "graph_search_large")},
 }
 
 
@@ -942,7 +942,7 @@ def all_oracles() -> dict[str, str]:
     for part in (samples, profile, guards, audits, dashboards, generated, vectors, recall, questions,
                  retrieval, passthrough):
         out.update(part())
-    for large in ("knn_l2", "knn_manhattan", "knn_cosine", "graph_edges"):
+    for large in ("knn_l2", "knn_manhattan", "knn_cosine", "graph_edges", "graph_search"):
         out[f"{large}_large"] = out[large]
     for kept in ("ivf_search", "retrieve_docs"):
         out[f"{kept}_kept"] = out[kept]

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,10 +14,11 @@ from quillon import constants as C
 from quillon.operators import blocks
 from quillon.operators.blocks import pair_distances, row_distance
 from quillon.operators.neighbours import best_per_query, knn
-from quillon.session import written
+from quillon.session import checkpoint_dir, erase, written
 from quillon.sources.tables import spread
 
 WALK = ["metric", "query_id"]
+PART_ROWS, HUB_ROWS = 16_384, 100_000
 
 
 def edges(vectors: DataFrame, degree: int = C.GRAPH_DEGREE, metric: str = "l2",
@@ -42,19 +43,19 @@ def search(queries: DataFrame, vectors: DataFrame, links: DataFrame, k: int = 10
 
 
 def search_many(queries: DataFrame, vectors: DataFrame, links: DataFrame, metrics: list[str],
-                k: int = 10, beam: int = C.GRAPH_BEAM) -> DataFrame:
+                k: int = 10, beam: int = C.GRAPH_BEAM,
+                shared_bytes: int = blocks.BROADCAST_BYTES) -> DataFrame:
     """Walks through one graph per metric, links(metric, src, dst).
 
     If vectors and links together are small (counted first), they are shared with every task and each
     query walks to the end where it lies: one pass, nothing is shuffled. Otherwise all walks go on in
     the same rounds, with the same result.
     """
-    rows = blocks.BROADCAST_BYTES // 64
-    nodes, some = blocks.small_enough(vectors.select("vec_id", "embedding"), rows,
-                                      blocks.BROADCAST_BYTES)
+    rows = shared_bytes // 64
+    nodes, some = blocks.small_enough(vectors.select("vec_id", "embedding"), rows, shared_bytes)
     if some:
         steps, few = blocks.small_enough(links.select("metric", "src", "dst"), 4 * rows,
-                                         4 * blocks.BROADCAST_BYTES)
+                                         4 * shared_bytes)
         if few and len(nodes):
             return _walk_shared(queries, nodes, steps, vectors.schema, metrics, k, beam)
     return _walk_in_rounds(queries, vectors, links, metrics, k, beam)
@@ -117,38 +118,79 @@ def _walk_shared(queries: DataFrame, nodes: pa.Table, steps: pa.Table, schema, m
 
 
 def _walk_in_rounds(queries: DataFrame, vectors: DataFrame, links: DataFrame, metrics: list[str],
-                    k: int, beam: int) -> DataFrame:
-    """A round expands the beam members not expanded before, drops nodes already visited, and keeps
-    the best ``beam``. A round that admits nobody ends the search, as further ones could not change
-    it. Every round is written to the shared folder, so plans stay short and a lost executor
-    repeats one round at most. A hub that a third of all rows link to is a hot key of the join with
-    the links, which skew handling splits; its neighbours are spread out again before the rest.
+                    k: int, beam: int, part_rows: int = PART_ROWS) -> DataFrame:
+    """A query's row holds its vector and its beam; a round expands the members not expanded before.
+
+    Links lie in a table with the vectors they lead to, bucketed by node, so a round is one join of
+    what is expanded with that table, which is not shuffled, and an update of the queries' rows.
+    Nodes seen before need no list: the beam only gets better, so what has left it or is in it never
+    enters again. Of a round's candidates each query gets its best ``beam``. A node with more than
+    ``part_rows`` links is spread over several buckets, and what expands it goes to all of them.
+    Every round is written to the shared folder; a lost executor repeats one round at most.
     """
+    spark = queries.sparkSession
+    table = f"quillon_links_{uuid.uuid4().hex}"
+    near, hubs, few = _adjacency(vectors, links, table, part_rows)
     names = F.array(*[F.lit(m) for m in metrics])
-    asked = written(queries.select(
-        F.explode(names).alias("metric"), "query_id", F.col("embedding").alias("q_vec")), "queries")
-    nodes = vectors.select("vec_id", "embedding")
-    start = vectors.agg(F.min("vec_id").alias("m")).select("m").scalar()
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        return pair_distances(pairs.join(asked, WALK).join(nodes, "vec_id"))
-
-    admitted = written(measured(asked.select(*WALK, start.alias("vec_id"))), "beam")
-    visited, members = [admitted], admitted
-    steps = links.select("metric", F.col("src").alias("at"), F.col("dst").alias("vec_id"))
+    asked = queries.select(F.explode(names).alias("metric"), "query_id",
+                           F.col("embedding").alias("q_vec"))
+    start = vectors.orderBy("vec_id").select("vec_id", "embedding").first()
+    kinds = {f.name: f.dataType for f in vectors.schema}
+    first = pair_distances(asked.filter(F.lit(start is not None)).withColumns({
+        c: F.lit(start and start[c]).cast(kinds[c]) for c in ("vec_id", "embedding")}))
+    member = F.struct("distance", "vec_id", F.lit(True).alias("fresh"))
+    state = written(asked.join(first, WALK).select(*WALK, "q_vec", F.array(member).alias("beam")),
+                    "walk")
     for _ in range(beam):
-        seen = reduce(DataFrame.unionByName, visited).select(*WALK, "vec_id")
-        reached = (admitted.select(*WALK, F.col("vec_id").alias("at")).join(steps, ["metric", "at"])
-                   .select(*WALK, "vec_id").distinct()
-                   .join(seen, [*WALK, "vec_id"], "left_anti"))
-        found = written(measured(reached), "found")
-        if found.isEmpty():
+        fresh = F.filter("beam", lambda m: m["fresh"])
+        frontier = state.select(*WALK, "q_vec", F.explode(F.transform(
+            fresh, lambda m: m["vec_id"])).alias("at"))
+        spread_out = frontier.join(F.broadcast(hubs) if few else hubs, ["metric", "at"], "left").select(
+            *WALK, "q_vec", "at", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+            .alias("part"))
+        reached = pair_distances(spread_out.join(near, ["metric", "at", "part"])).dropDuplicates(
+            [*WALK, "vec_id"])
+        best = best_per_query(reached, beam, tuple(WALK)).groupBy(*WALK).agg(
+            F.collect_list(member).alias("found"))
+        after = written(state.join(best, WALK, "left").select(*WALK, "q_vec", _merged(beam)), "walk")
+        erase(state)
+        state = after
+        if state.filter(F.exists("beam", lambda m: m["fresh"])).isEmpty():
             break
-        visited.append(found)
-        both = members.withColumn("fresh", F.lit(False)).unionByName(
-            found.withColumn("fresh", F.lit(True)))
-        kept = written(best_per_query(both, beam, tuple(WALK)).drop("rank"), "beam")
-        admitted = kept.filter("fresh").drop("fresh")
-        members = kept.drop("fresh")
-    return best_per_query(members, k, tuple(WALK)).select(
-        *WALK, "rank", "vec_id", "distance")
+    spark.sql(f"DROP TABLE {table}")
+    erase(near, hubs)
+    return state.select(*WALK, F.posexplode(F.slice("beam", 1, k)).alias("rank", "m")).select(
+        *WALK, (F.col("rank") + 1).alias("rank"), "m.vec_id", "m.distance")
+
+
+def _merged(beam: int):
+    """The beam after a round: old members, expanded by now, and new ones, best first."""
+    old = F.transform("beam", lambda m: F.struct(
+        m["distance"].alias("distance"), m["vec_id"].alias("vec_id"), F.lit(False).alias("fresh")))
+    known = F.transform("beam", lambda m: m["vec_id"])
+    found = F.coalesce("found", F.filter("beam", lambda m: F.lit(False)))
+    new = F.filter(found, lambda m: ~F.array_contains(known, m["vec_id"]))
+    return F.slice(F.sort_array(F.concat(old, new)), 1, beam).alias("beam")
+
+
+def _adjacency(vectors: DataFrame, links: DataFrame, table: str,
+               part_rows: int) -> tuple[DataFrame, DataFrame, bool]:
+    """Links with the vectors they lead to, bucketed by (metric, at, part); nodes of several parts
+    with their number, and whether those are few enough to broadcast."""
+    spark = links.sparkSession
+    steps = links.select("metric", F.col("src").alias("at"), F.col("dst").alias("vec_id"))
+    sizes = steps.groupBy("metric", "at").agg(F.ceil(F.count(F.lit(1)) / part_rows).cast("int")
+                                              .alias("parts"))
+    hubs = written(sizes.filter("parts > 1"), "hubs")
+    few = hubs.count() <= HUB_ROWS
+    part = F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")
+    placed = steps.join(F.broadcast(hubs) if few else hubs, ["metric", "at"], "left").withColumn(
+        "part", part).drop("parts").join(vectors.select("vec_id", "embedding"), "vec_id")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["metric", "at", "part"]
+    path = f"{checkpoint_dir(spark)}/{table}"
+    (placed.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .format("parquet").option("path", path).saveAsTable(table))
+    near = spark.table(table)
+    near.written_to = path
+    return near, hubs, few

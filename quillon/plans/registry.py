@@ -43,6 +43,7 @@ QUERIES = {
     "graph_edges": vq.graph_edges,
     "graph_edges_large": vq.graph_edges_large,
     "graph_search": vq.graph_search,
+    "graph_search_large": vq.graph_search_large,
     "recall_by_method": vq.recall_by_method,
     "question_classify": questions.question_classify,
     "question_slots": questions.question_slots,

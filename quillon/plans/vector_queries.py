@@ -136,6 +136,14 @@ def graph_search(spark: SparkSession, folder: str) -> DataFrame:
     return shown(graph.search(as_queries(table), table, links))
 
 
+def graph_search_large(spark: SparkSession, folder: str) -> DataFrame:
+    """The same walks in rounds, as graphs beyond the broadcast get them."""
+    table = vectors(spark, folder)
+    links = written(graph.edges(table).withColumn("metric", F.lit("l2")), "links")
+    return shown(graph.search_many(as_queries(table), table, links, ["l2"], shared_bytes=0).drop(
+        "metric"))
+
+
 def recall_by_method(spark: SparkSession, folder: str) -> DataFrame:
     """Recall of the three approximate methods under the four metrics; all fits share each scan."""
     table = vectors(spark, folder)

@@ -247,6 +247,26 @@ def test_graph_search_is_the_plain_walk(spark, metric):
     assert got == {i: walk(m, q, metric, 3, 8, 5) for i, q in enumerate(asked)}
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+@pytest.mark.parametrize("part_rows", [4, 16_384])
+def test_walks_in_rounds_are_the_plain_walk(spark, metric, part_rows):
+    """Hubs of many links, ties and beams that fill up; nothing of earlier rounds is read again."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(160, 6)).astype(np.float32)
+    m[::4] = m[1]
+    table, asked = frame(spark, m), m[:14] + np.float32(0.05)
+    links = graph.edges(table, 3, metric).select(F.lit(metric).alias("metric"), "src", "dst")
+    got = graph._walk_in_rounds(frame(spark, asked, "query_id"), table, links, [metric], 5, 8,
+                                part_rows)
+    assert found(got.drop("metric")) == {i: walk(m, q, metric, 3, 8, 5) for i, q in enumerate(asked)}
+    again = graph.search_many(frame(spark, asked, "query_id"), table, links, [metric], 5, 8,
+                              shared_bytes=0)
+    assert again.exceptAll(got).isEmpty() and again.count() == got.count()
+    none = table.limit(0)
+    assert graph._walk_in_rounds(frame(spark, asked, "query_id"), none, links, [metric], 5,
+                                 8).count() == 0
+
+
 def test_mean_vectors(spark):
     m = np.random.default_rng(9).normal(size=(50, 4)).astype(np.float32)
     df = frame(spark, m).withColumn("g", F.col("vec_id") % 3)
