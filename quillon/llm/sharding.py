@@ -8,7 +8,8 @@ class and hash step, so neither a shard's nor a hot document's rows are collecte
 (the other document would gain by coming here), so a hash of the edge decides which way it goes. Rounds
 that keep more links than before count; it ends when ``IDLE`` in a row did not, at least half of them
 with swaps between full shards. Then surplus documents, unlinked ones first and linked ones edge by
-edge, fill what is missing, and counts are at most one apart (law ``rows``).
+edge, fill what is missing, and counts are at most one apart (law ``rows``). All edges, small or large,
+lie side by side in one order, so one is split only where the cut between two shards falls in it.
 
 Links are given as a table of edges, or are those of equal texts. An edge may have any number of
 members: its members are counted per shard, never paired.
@@ -19,14 +20,13 @@ of their own; null ids are allowed; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.numbering import numbered
+from quillon.llm.numbering import SLICE_ROWS, numbered
 from quillon.session import erase, written
 
 SHARDS, IDLE, STEPS = 8, 4, 256
-TOGETHER = 1000  # members up to which an edge moves as a whole when counts are evened out
 
 
 def _chance(salt: int, *columns: str) -> Column:
@@ -100,16 +100,15 @@ def _granted(wishes: DataFrame, free: dict[int, int], salt: int) -> DataFrame:
 
 def _even(now: DataFrame, shards: int, rows: int) -> DataFrame:
     """Counts at most one apart: surplus rows, unlinked ones first, fill the shards that lack."""
-    loose = F.when(F.col("linked"), 0.0).otherwise(0.5) + _chance(0, "tie") / 2
-    placed = written(numbered(now, "shard", [F.col("linked").desc(), "tie", "row"], loose, "place",
+    placed = written(numbered(now, "shard", [F.col("spot"), F.col("row")], F.col("spot"), "place",
                               rows), "shard-places")
     sizes = {r["shard"]: r["count"] for r in placed.groupBy("shard").count().collect()}
     fair = {s: rows // shards + (s < rows % shards) for s in range(shards)}
     over = [(s, fair[s]) for s in range(shards) if sizes.get(s, 0) > fair[s]]
     bounds = now.sparkSession.createDataFrame(over, "shard int, fair long")
     surplus = written(placed.join(F.broadcast(bounds), "shard").filter("place >= fair").select(
-        "row", "tie", F.lit(0).alias("all")), "shard-surplus")
-    number = numbered(surplus, "all", [F.col("tie"), F.col("row")], _chance(1, "tie"), "number",
+        "row", "spot", F.lit(0).alias("all")), "shard-surplus")
+    number = numbered(surplus, "all", [F.col("spot"), F.col("row")], F.col("spot"), "number",
                       surplus.count())
     home, at = F.lit(None).cast("int"), 0
     for s in range(shards):
@@ -117,12 +116,35 @@ def _even(now: DataFrame, shards: int, rows: int) -> DataFrame:
         inside = (F.col("number") >= at) & (F.col("number") < at + missing)
         home, at = F.when(inside, F.lit(s)).otherwise(home), at + missing
     moved = number.select("row", home.alias("moved"))
-    out = written(placed.drop("place", "tie").join(moved, "row", "left").withColumn(
+    out = written(placed.drop("place", "spot").join(moved, "row", "left").withColumn(
         "shard", F.coalesce("moved", "shard")).drop("moved"), "shard-even")
     erase(placed, surplus)
     return out
 
 
+def _spots(links: DataFrame) -> DataFrame:
+    """(row, spot): linked rows in 0 .. 0.5, those of an edge side by side, edges ordered by a hash.
+
+    A row counts for its least edge. Edges are laid end to end by running sums within hash steps of
+    about ``SLICE_ROWS`` rows and the steps' totals, so spots are even whatever the edges' sizes.
+    """
+    ends = links.groupBy("row").agg(F.min("edge").alias("least"))
+    edges = written(ends.groupBy("least").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "hash", _chance(3, "least")), "shard-edges")
+    total = edges.agg(F.sum("n")).first()[0] or 1
+    steps = max(1, total // SLICE_ROWS)
+    stepped = edges.withColumn("step", F.floor(F.col("hash") * steps))
+    upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)  # a row per step
+    before = stepped.groupBy("step").agg(F.sum("n").alias("held")).select(
+        "step", F.coalesce(F.sum("held").over(upto), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("step").orderBy("hash", "least").rowsBetween(
+        Window.unboundedPreceding, -1)
+    first = stepped.withColumn("first", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(
+        before, "step").select("least", "n", (F.col("first") + F.col("before")).alias("first"))
+    return ends.join(first, "least").select("row", (
+        (F.col("first") + _chance(4, "row") * F.col("n")) / (2.0 * total)).alias("spot"))
+
+
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
               rounds: int | None = None) -> DataFrame:
     """``nodes`` (a column ``row``, unique; fixed) with columns ``linked`` and ``shard``.
@@ -130,14 +152,11 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
     ``links``: row, edge. All rows of an edge are neighbours of each other; a plain link is an edge
     of two rows. ``rounds``, if given, is the most that are run.
     """
-    small = links.join(links.groupBy("edge").agg(F.count(F.lit(1)).alias("n")), "edge")
-    ends = small.groupBy("row").agg(F.min(F.when(F.col("n") <= TOGETHER, F.col("edge"))).alias(
-        "least")).select("row", "least", F.lit(True).alias("linked"))
     start = F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")
-    now = written(nodes.join(ends, "row", "left").select(
-        *nodes.columns, F.coalesce("linked", F.lit(False)).alias("linked"),
-        F.when(F.col("least").isNull(), F.xxhash64("row")).otherwise(
-            F.xxhash64(F.lit(3), "least")).alias("tie"), start.alias("shard")), "shards")
+    now = written(nodes.join(_spots(links), "row", "left").select(
+        *nodes.columns, F.col("spot").isNotNull().alias("linked"),
+        F.coalesce("spot", 0.5 + _chance(0, "row") / 2).alias("spot"), start.alias("shard")),
+        "shards")
     rows = now.count()
     best, idle, k, thin = _kept(now, links), 0, 0, False
     while rows and idle < IDLE and (rounds is None or k < rounds):
@@ -160,7 +179,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS,
         thin = some and not better
         idle = 0 if better else idle + 1
         k += 1
-    return _even(now, shards, rows) if rows else now.drop("tie")
+    return _even(now, shards, rows) if rows else now.drop("spot")
 
 
 def equal_text_links(nodes: DataFrame) -> DataFrame:

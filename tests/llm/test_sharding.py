@@ -99,3 +99,91 @@ def test_numbers_are_gapless(spark, monkeypatch):
                               "k", 300).collect()
     for g in range(3):
         assert sorted(r["k"] for r in rows if r["g"] == g) == list(range(100))
+
+
+def test_large_edges_move_as_a_whole(spark, monkeypatch):
+    """Two edges of 1,200 in one of two shards: one stays, the other goes, none is split."""
+    from pyspark.sql import functions as F
+
+    from quillon.session import written
+
+    monkeypatch.setattr(numbering, "SLICE_ROWS", 100)
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 100)
+    links = spark.range(2400).select(F.col("id").alias("row"), F.floor(F.col("id") / 1200).alias(
+        "edge"))
+    now = written(links.join(sharding._spots(links), "row").select(
+        "row", F.lit(True).alias("linked"), "spot", F.lit(0).alias("shard")), "now")
+    got = sharding._even(now, 2, 2400).collect()
+    homes = {e: {r["shard"] for r in got if r["row"] // 1200 == e} for e in (0, 1)}
+    assert sorted(map(sorted, homes.values())) == [[0], [1]]
+
+
+def test_spots_lay_edges_end_to_end(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLICE_ROWS", 50)
+    ends = [(i, i % 7 if i < 300 else i // 2) for i in range(600)] + [(5, 900), (299, 900)]
+    spots = {r["row"]: r["spot"] for r in sharding._spots(
+        spark.createDataFrame(ends, "row long, edge long")).collect()}
+    least = {}
+    for row, edge in ends:
+        least[row] = min(edge, least.get(row, edge))
+    assert spots.keys() == least.keys() and all(0 <= s < 0.5 for s in spots.values())
+    order = [least[r] for r in sorted(spots, key=spots.get)]
+    assert sum(a != b for a, b in zip(order, order[1:])) == len(set(order)) - 1
+    in_half = sum(s < 0.25 for s in spots.values())
+    assert abs(in_half - len(spots) / 2) < 60
+
+
+@pytest.mark.parametrize("full, thin", [([], False), ([1], False), ([], True)])
+def test_a_round_against_a_plain_twin(spark, full, thin):
+    """Wishes by counting every neighbour, grants by walking through the steps of each pair."""
+    import random
+
+    rng = random.Random(4)
+    shard_of = {i: rng.randrange(4) for i in range(160)}
+    ends = sorted({(rng.randrange(160), rng.randrange(45)) for _ in range(260)})
+    now = spark.createDataFrame(list(shard_of.items()), "row long, shard int")
+    links = spark.createDataFrame(ends, "row long, edge long")
+    salt = 3
+
+    def chance(number, values, column):
+        df = spark.createDataFrame([(v,) for v in values], f"{column} long")
+        return {r[0]: r[1] for r in df.select(column, sharding._chance(number, column)).collect()}
+
+    coin = {e: c < 0.5 for e, c in chance(100 + salt, range(45), "edge").items()}
+    rest = chance(200 + salt, range(160), "row")
+    want = {}
+    for row in range(160):
+        votes, least = Counter(), {}
+        for e in (e for r, e in ends if r == row):
+            for other in {r for r, x in ends if x == e}:
+                there = shard_of[other]
+                votes[there] += other != row
+                least[there] = min(e, least.get(there, e))
+        open_ = [(n, -s) for s, n in votes.items() if s != shard_of[row] and s not in full]
+        if open_:
+            n, minus = max(open_)
+            gain, to = n - votes[shard_of[row]], -minus
+            if (gain > 1 or gain == 1 and coin[least[to]] == (to > shard_of[row])) and not (
+                    thin and rest[row] >= 0.5):
+                want[row] = (to, gain)
+    wishes = sharding._wishes(now, links, full, salt, thin)
+    assert {r["row"]: (r["to"], r["gain"]) for r in wishes.collect()} == want and len(want) > 5
+
+    free = {0: 2, 1: 0, 2: 5, 3: 1}
+    place = chance(salt, range(160), "row")
+    steps = {}
+    for row, (to, gain) in want.items():
+        step = (31 - min(31, gain.bit_length() - 1)) * sharding.STEPS + int(
+            place[row] * sharding.STEPS)
+        steps.setdefault((shard_of[row], to), {}).setdefault(step, []).append(row)
+    granted = {}
+    for (a, b), by_step in steps.items():
+        quota = sum(map(len, steps.get((b, a), {}).values())) + max(0, free[b]) // sum(
+            t == b for _, t in steps)
+        for step in sorted(by_step):
+            if len(by_step[step]) > quota:
+                break
+            quota -= len(by_step[step])
+            granted |= dict.fromkeys(by_step[step], b)
+    got = sharding._granted(wishes, free, salt)
+    assert {r["row"]: r["moved"] for r in got.collect()} == granted
