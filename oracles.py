@@ -382,6 +382,9 @@ def dashboards() -> dict[str, str]:
                 round(sum(latency), 4) AS processing_time,
                 CASE WHEN count(*) = 8 THEN 'size' ELSE 'time' END AS closed_by
             FROM in_batch GROUP BY lane, batch_no""",
+        "requests_once": _with(REQUEST_LOG) + """
+            SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, session_id, latency, metric
+            FROM request_log""",
         "request_results": _with(REQUEST_LOG) + """,
             waits AS (SELECT *, k % 10 <> 3 AND floor(latency * 1000000) BETWEEN 0 AND 120000000
                 AS met, floor(latency * 1000000)::BIGINT AS micros FROM request_log)

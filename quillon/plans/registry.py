@@ -79,6 +79,7 @@ QUERIES = {
     "brief_answers": served.brief_answers,
     "request_batches": served.request_batches,
     "served_requests": served.served_requests,
+    "requests_once": served.requests_once,
     "request_results": served.request_results,
     "session_visits": served.session_visits,
     "trace_records": served.trace_records,

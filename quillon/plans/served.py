@@ -14,6 +14,7 @@ from quillon.plans.dashboards import batch_table
 from quillon.sources import catalog, sinks, tables
 from quillon.streaming import requests as stream
 from quillon.streaming import results
+from quillon.streaming.batches import unrepeated
 
 HALF_HOUR = 1_800_000_000
 
@@ -115,6 +116,15 @@ def served_requests(spark: SparkSession, folder: str) -> DataFrame:
                          "batch_size", "closed_by")
 
 
+def requests_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The request log after a producer has sent part of it again, with each request once."""
+    log = _log(spark, folder).select("request_id", "ts", "session_id", "latency", "metric")
+    again = log.filter("request_id % 3 = 0").withColumn("ts", F.col("ts") + F.expr(
+        "INTERVAL 5 SECONDS"))
+    return unrepeated(log.unionByName(again)).withColumn(
+        "ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def request_results(spark: SparkSession, folder: str) -> DataFrame:
     """Answers of a worker log brought back to their requests: some lost, some late, some failed."""
     log = _log(spark, folder)

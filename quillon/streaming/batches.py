@@ -19,7 +19,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,9 +32,17 @@ METRICS_SCHEMA = ("trigger BIGINT, arrived BIGINT, batches BIGINT, requests BIGI
                   "processing_time DOUBLE, max_queue_size BIGINT, backlog BIGINT")
 
 
-def unrepeated(requests: DataFrame, lateness: str) -> DataFrame:
-    """A stream whose requests come once, however often a producer sends them within ``lateness``."""
-    return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["request_id"])
+def unrepeated(requests: DataFrame, lateness: str = "1 minute", at: str = "ts") -> DataFrame:
+    """Requests once, however often a producer sends them: the earliest of each id.
+
+    On a stream repeats are known for ``lateness`` after the first, on a table always. Rows without
+    an id (heartbeats) count as one on a stream and are left out of a table.
+    """
+    if not requests.isStreaming:
+        first = F.row_number().over(Window.partitionBy("request_id").orderBy(at))
+        return requests.filter(F.col("request_id").isNotNull()).withColumn("_first", first).filter(
+            "_first = 1").drop("_first")
+    return requests.withWatermark(at, lateness).dropDuplicatesWithinWatermark(["request_id"])
 
 
 def batched(requests: DataFrame, lane: Column, size: int = C.MAX_BATCH_SIZE,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.streaming.batches import unrepeated
+
 WITHIN, LATENESS = "2 minutes", "10 seconds"
 
 
@@ -18,9 +20,9 @@ def joined(requests: DataFrame, answers: DataFrame, within: str = WITHIN,
     waits in state for ``within`` and the lateness, and no longer; repeats are dropped as long.
     """
     fields = [c for c in requests.columns if c not in ("result", "error", "answered_at")]
-    asked = _once(requests.select(fields), "ts", lateness)
-    given = _once(answers.select(F.col("request_id").alias("_answers"), "answered_at", "result",
-                                 "error"), "answered_at", lateness, "_answers")
+    asked = unrepeated(requests.select(fields), lateness)
+    given = unrepeated(answers, lateness, "answered_at").select(
+        F.col("request_id").alias("_answers"), "answered_at", "result", "error")
     bound = F.expr(f"INTERVAL {within}")
     found = asked.join(given, (F.col("request_id") == F.col("_answers"))
                        & (F.col("answered_at") >= F.col("ts"))
@@ -29,11 +31,3 @@ def joined(requests: DataFrame, answers: DataFrame, within: str = WITHIN,
     return found.select(
         *fields, "answered_at", "result",
         F.when(lost, f"no answer within {within}").otherwise(F.col("error")).alias("error"))
-
-
-def _once(rows: DataFrame, at: str, lateness: str, key: str = "request_id") -> DataFrame:
-    if rows.isStreaming:
-        return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([key])
-    first = F.row_number().over(Window.partitionBy(key).orderBy(at))
-    return rows.filter(F.col(key).isNotNull()).withColumn("_first", first).filter(
-        "_first = 1").drop("_first")
