@@ -29,6 +29,7 @@ from quillon.session import written
 
 CHUNK_ROWS = 100_000
 WAIT_MICROS = 100_000
+BEFORE_ALL = -(2**62)
 
 
 def next_open(micros: np.ndarray, size: int, wait: int) -> np.ndarray:
@@ -63,15 +64,16 @@ def placed_in_batches(requests: DataFrame, lane: str, size: int = C.MAX_BATCH_SI
     """``requests`` (lane, ts, request_id, ...) with ``batch_no`` (from 1 in the lane) and ``place``
     (from 1 in the batch).
 
-    Requests without a time or an id, or a lane, are left out: they have no place in the order.
+    Requests without a time come first, as if sent together; those without an id (heartbeats) or a
+    lane are left out.
     ``chunk_rows`` is at least ``size``; ``group_rows`` bounds a plain window, as in ``numbered``.
     """
     chunk_rows = max(chunk_rows, size)
-    whole = requests.filter(F.col(lane).isNotNull() & F.col("ts").isNotNull()
-                            & F.col("request_id").isNotNull())
+    whole = requests.filter(F.col(lane).isNotNull() & F.col("request_id").isNotNull())
     arrived = written(numbered(whole, [lane], ["ts", "request_id"], "_at", group_rows).select(
         *requests.columns, (F.col("_at") - 1).alias("_at"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("_micros")), "arrivals")
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(BEFORE_ALL))
+        .alias("_micros")), "arrivals")
     chunk, inside = F.floor(F.col("_at") / chunk_rows), F.col("_at") % chunk_rows
     shown_twice = (inside < size) & (F.col("_at") >= chunk_rows)
     chunks = arrived.withColumn("_chunk", F.explode(

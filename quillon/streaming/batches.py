@@ -51,7 +51,8 @@ def batched(requests: DataFrame, lane: Column, size: int = C.MAX_BATCH_SIZE,
 
     ``requests`` needs request_id and ts; all its columns come back in the array of structs, in
     order. ``queue_size`` is what the lane still held when the batch was closed. A table is batched
-    as a whole: its last batches are closed, and nothing is left waiting.
+    as a whole: its last batches are closed, and nothing is left waiting. Requests without a time
+    come first in a table, and have no place on a stream (``requests.answered`` gives them an error).
     """
     if not requests.isStreaming:
         return _batched_table(requests, lane, size, wait_micros)

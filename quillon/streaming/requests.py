@@ -60,7 +60,7 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
     Requests of a ``lane`` (one for all by default) are answered in count-or-time batches, see
     ``batches.batched``. ``respond`` turns a batch of prompts into results; without it the prompt is
     the result. If it fails, each request of the batch gets the error. A request that is out of
-    range gets its reason and no result.
+    range, or has no time on a stream, gets its reason and no result.
     """
     texts, fits = blocks.small_enough(store.select("doc_id", "text"), STORE_ROWS, STORE_BYTES)
     if not fits:
@@ -84,11 +84,16 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
                 yield _served(rows.slice(i, 1), ids, passages, vectors, respond)
 
     first = F.col("place") == 1
-    return observed(
+    answers = observed(
         closed.mapInArrow(scan, ANSWER_SCHEMA), "served", F.count(F.lit(1)).alias("requests"),
         F.count_if(first).alias("batches"),
         F.sum(F.when(first, F.col("processing_time"))).alias("processing_time"),
         F.max("queue_size").alias("max_queue_size"))
+    if not requests.isStreaming:
+        return answers
+    timeless = requests.filter("ts IS NULL AND request_id IS NOT NULL").select(
+        "request_id", "ts", "session_id", "query", F.lit("request has no time").alias("error"))
+    return answers.unionByName(timeless, allowMissingColumns=True)
 
 
 def _served(batch: pa.RecordBatch, ids, passages, vectors, respond) -> pa.RecordBatch:

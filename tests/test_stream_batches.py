@@ -104,6 +104,15 @@ def test_replayed_requests_are_served_once(spark, tmp_path):
     assert got.exceptAll(table).isEmpty() and got.count() == table.count()
 
 
+def test_requests_without_a_time_get_an_error(spark, tmp_path):
+    burst(spark, str(tmp_path / "in"), 1, n=5)
+    spark.createDataFrame([(77, None, "s", "when", None, None)], R.REQUEST_SCHEMA).coalesce(1).write.mode(
+        "append").parquet(str(tmp_path / "in"))
+    got = drained(R.answered(R.read_requests(spark, str(tmp_path / "in")), store(spark)), tmp_path, "out")
+    errors = {r["request_id"]: r["error"] for r in got.collect()}
+    assert errors == {**dict.fromkeys(range(5)), 77: "request has no time"}
+
+
 ANSWERS = "request_id long, answered_at timestamp, result string, error string"
 
 
