@@ -19,12 +19,17 @@ DIMENSIONS = 16
 _WORDS = [(1, 12, 6), (13, 12, 6), (25, 8, 4)]  # first hex digit, hex digits, bytes
 
 
+def _token_words(token: Column) -> list[Column]:
+    """The md5 of a token as three whole numbers of six, six and four bytes."""
+    digest = F.md5(token)
+    return [F.conv(F.substring(digest, first, length), 16, 10).cast("bigint")
+            for first, length, _ in _WORDS]
+
+
 def token_bytes(token: Column) -> list[Column]:
     """The md5 bytes of a token as 16 whole numbers, from three conversions."""
-    digest = F.md5(token)
     out = []
-    for first, length, count in _WORDS:
-        word = F.conv(F.substring(digest, first, length), 16, 10).cast("bigint")
+    for word, (_, _, count) in zip(_token_words(token), _WORDS):
         out += [F.shiftright(word, 8 * (count - 1 - i)).bitwiseAND(255) for i in range(count)]
     return out
 
@@ -50,14 +55,25 @@ def embed_texts(df: DataFrame, key: str, text: str, max_tokens: int | None = Non
 
 
 def embed_column(text: Column) -> Column:
-    """The same embedding within the row, for short texts and streams."""
-    vectors = F.transform(word_tokens(text), lambda t: F.array(*token_bytes(t)))
+    """The same embedding within the row, for short texts and streams.
+
+    A token becomes three whole numbers of its digest's bytes once; the bytes' sums then grow along
+    the tokens in one pass.
+    """
+    words = F.transform(word_tokens(text), lambda t: F.array(*_token_words(t)))
+    zeros = F.array(*[F.lit(0).cast("bigint")] * DIMENSIONS)
+
+    def add(sums: Column, word: Column) -> Column:
+        places = [(w, 8 * (count - 1 - i)) for w, (_, _, count) in enumerate(_WORDS)
+                  for i in range(count)]
+        return F.array(*[sums[i] + F.shiftright(word[w], shift).bitwiseAND(255)
+                         for i, (w, shift) in enumerate(places)])
 
-    def mean(i: int) -> Column:
-        total = F.aggregate(vectors, F.lit(0).cast("bigint"), lambda s, v: s + v[i])
-        return F.when(F.size(vectors) > 0, total / F.greatest(F.size(vectors), F.lit(1)))
+    def means(state: Column) -> Column:
+        return F.transform(state, lambda s: _scaled(F.when(count > 0, s / count)))
 
-    return F.array(*[_scaled(mean(i)) for i in range(DIMENSIONS)])
+    count = F.size(word_tokens(text))
+    return means(F.aggregate(words, zeros, add))
 
 
 def encode_with(encode: Callable[[list[str]], np.ndarray]):
