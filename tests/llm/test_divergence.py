@@ -87,7 +87,8 @@ def test_few_ranks_flushes_and_shuffled_lookups(spark, monkeypatch):
 
 
 def test_counts_leave_tasks_when_many_are_held(spark):
-    rows = [("en", f"s{i % 2}", f"common a{i} b{i}") for i in range(2000)]
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    rows = [("en", f"s{i % 2}", f"common x{name(i)} y{name(i)}") for i in range(2000)]
     partial = D.term_counts(table(spark, rows).coalesce(1), 500)
     total = partial.agg(F.sum("n"), F.sum("docs"), F.count_if(F.col("term") == "common")).first()
     assert total[:2] == (3 * 2000, 3 * 2000) and total[2] >= 8
