@@ -30,6 +30,7 @@ ANSWER_SCHEMA = ("request_id BIGINT, ts TIMESTAMP, session_id STRING, query STRI
                  "error STRING, place INT, batch_key STRING, batch_size INT, "
                  "processing_time DOUBLE, queue_size INT, closed_by STRING")
 STORE_ROWS, STORE_BYTES = 100_000, 256 << 20
+BATCHES_AT_ONCE = 256
 Respond = Callable[[list[str]], list[str]]
 
 
@@ -80,8 +81,8 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
     def scan(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, passages, vectors = shared.value
         for rows in arrived:
-            for i in range(len(rows)):
-                yield _served(rows.slice(i, 1), ids, passages, vectors, respond)
+            for i in range(0, len(rows), BATCHES_AT_ONCE):
+                yield from _served(rows.slice(i, BATCHES_AT_ONCE), ids, passages, vectors, respond)
 
     first = F.col("place") == 1
     answers = observed(
@@ -96,39 +97,66 @@ def answered(requests: DataFrame, store: DataFrame, size: int = C.MAX_BATCH_SIZE
     return answers.unionByName(timeless, allowMissingColumns=True)
 
 
-def _served(batch: pa.RecordBatch, ids, passages, vectors, respond) -> pa.RecordBatch:
-    """The answers of one batch, given as a row."""
+def _served(rows: pa.RecordBatch, ids, passages, vectors, respond) -> Iterator[pa.RecordBatch]:
+    """The answers of some batches, given as a row each. They are searched together and responded to
+    one by one; a batch's time is its share of the search and its own response."""
     began = time.time()
-    part = pa.RecordBatch.from_struct_array(batch["requests"].flatten())
-    n, reasons = len(part), part["reject_reason"].to_pylist()
-    good = [i for i, reason in enumerate(reasons) if reason is None]
-    results, errors = [None] * n, reasons
-    served = part.take(pa.array(good, pa.int64()))
-    queries = served["query"].to_pylist()
+    sizes = np.asarray(rows["requests"].value_lengths())
+    part = pa.RecordBatch.from_struct_array(rows["requests"].flatten())
+    reasons = part["reject_reason"].to_pylist()
+    results, errors = [None] * len(part), list(reasons)
+    good = np.flatnonzero(np.asarray(part["reject_reason"].is_null()))
     try:
-        m = len(good)
-        asked = blocks.Queries(np.arange(m), blocks.matrix(served["q_vec"]), np.full(m, "l2"),
-                               blocks.values(served["q_k"]).astype(np.int64))
-        found: list[list[str]] = [[] for _ in range(m)]
-        if m:
-            for q, row in zip(*blocks.nearest(asked, ids, vectors, C.RETRIEVAL_EPS)[:2]):
-                found[q].append(passages[row])
-        made = [prompt_text(q, "\n".join(f)) for q, f in zip(queries, found)]
-        for i, result in zip(good, made if respond is None or not m else respond(made)):
-            results[i] = result
+        made = _prompts(part.take(pa.array(good)), ids, passages, vectors)
     except Exception as failure:
+        if len(rows) > 1:
+            for i in range(len(rows)):
+                yield from _served(rows.slice(i, 1), ids, passages, vectors, respond)
+            return
+        good, made = good[:0], []
         errors = [reason or f"Error processing request: {failure}" for reason in reasons]
-    key = f"{batch['lane'][0].as_py()}-{batch['batch_no'][0].as_py()}"
-    spread = {"batch_key": key, "batch_size": n, "processing_time": time.time() - began,
-              "queue_size": batch["queue_size"][0].as_py(),
-              "closed_by": batch["closed_by"][0].as_py()}
-    kinds = {"batch_size": pa.int32(), "queue_size": pa.int32()}
-    return pa.record_batch({
+    ends = np.cumsum(sizes)
+    cuts = np.searchsorted(good, np.concatenate([[0], ends]))
+    took = np.full(len(rows), (time.time() - began) / max(1, len(rows)))
+    for i in range(len(rows)):
+        mine, texts = good[cuts[i]: cuts[i + 1]], made[cuts[i]: cuts[i + 1]]
+        if respond is not None and texts:
+            began = time.time()
+            try:
+                texts = respond(texts)
+            except Exception as failure:
+                texts = []
+                for at in range(ends[i] - sizes[i], ends[i]):
+                    errors[at] = reasons[at] or f"Error processing request: {failure}"
+            took[i] += time.time() - began
+        for at, text in zip(mine, texts):
+            results[at] = text
+    own = pa.array(np.repeat(np.arange(len(rows)), sizes))
+    keys = [f"{lane}-{number}" for lane, number in zip(rows["lane"].to_pylist(),
+                                                       rows["batch_no"].to_pylist())]
+    yield pa.record_batch({
         "request_id": part["request_id"], "ts": part["ts"], "session_id": part["session_id"],
         "query": part["query"], "result": pa.array(results, pa.string()),
         "error": pa.array(errors, pa.string()),
-        "place": pa.array(np.arange(1, n + 1), pa.int32()),
-        **{name: pa.array([value] * n, kinds.get(name)) for name, value in spread.items()}})
+        "place": pa.array(np.arange(len(part)) - np.repeat(ends - sizes, sizes) + 1, pa.int32()),
+        "batch_key": pa.array(keys, pa.string()).take(own),
+        "batch_size": pa.array(sizes, pa.int32()).take(own),
+        "processing_time": pa.array(took).take(own),
+        "queue_size": rows["queue_size"].cast(pa.int32()).take(own),
+        "closed_by": rows["closed_by"].take(own)})
+
+
+def _prompts(served: pa.RecordBatch, ids, passages, vectors) -> list[str]:
+    """The prompt of every request, with its passages in rank order."""
+    n = len(served)
+    if not n:
+        return []
+    asked = blocks.Queries(np.arange(n), blocks.matrix(served["q_vec"]), np.full(n, "l2"),
+                           blocks.values(served["q_k"]).astype(np.int64))
+    found: list[list[str]] = [[] for _ in range(n)]
+    for q, row in zip(*(c.tolist() for c in blocks.nearest(asked, ids, vectors, C.RETRIEVAL_EPS)[:2])):
+        found[q].append(passages[row])
+    return [prompt_text(q, "\n".join(f)) for q, f in zip(served["query"].to_pylist(), found)]
 
 
 def write_stream(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None,
