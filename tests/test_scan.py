@@ -123,3 +123,19 @@ def test_batches_are_served_together():
         assert got["batch_key"].to_pylist() == ["0-1", "0-1", "1-1", "1-2", "1-2"]
     assert got["error"].to_pylist() == [None, None, "no", "no", "Error processing request: lost"]
     assert "Context:\nb\na" in got["result"][1].as_py() and got["result"][4].as_py() is None
+
+
+def test_a_text_is_split_once_for_its_embedding(spark):
+    """The count of tokens was taken from the text again for each of the 16 dimensions."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators.encoder import embed_column, embed_texts
+
+    texts = spark.createDataFrame([(0, "one two two"), (1, ""), (2, None), (3, "x " * 300)],
+                                  "id int, text string")
+    inside = texts.select("id", embed_column(F.coalesce("text", F.lit(""))).alias("v"))
+    plan = inside._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("text#") <= 6
+    want = {r["id"]: r["embedding"] for r in embed_texts(texts, "id", "text").collect()}
+    for r in inside.collect():
+        assert np.allclose(r["v"], want[r["id"]])
