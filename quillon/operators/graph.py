@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ from quillon.sources.tables import spread
 
 WALK = ["metric", "query_id"]
 PART_ROWS, HUB_ROWS = 16_384, 100_000
+#: Queries that walk together in a task, and what their marks of seen nodes may take.
+WALKS_AT_ONCE, SEEN_BYTES = 256, 32 << 20
 
 
 def edges(vectors: DataFrame, degree: int = C.GRAPH_DEGREE, metric: str = "l2",
@@ -47,8 +50,8 @@ def search_many(queries: DataFrame, vectors: DataFrame, links: DataFrame, metric
                 shared_bytes: int = blocks.BROADCAST_BYTES) -> DataFrame:
     """Walks through one graph per metric, links(metric, src, dst).
 
-    If vectors and links together are small (counted first), they are shared with every task and each
-    query walks to the end where it lies: one pass, nothing is shuffled. Otherwise all walks go on in
+    If vectors and links together are small (counted first), they are shared with every task and the
+    queries walk to the end where they lie, some hundred together: one pass, nothing is shuffled. Otherwise all walks go on in
     the same rounds, with the same result.
     """
     rows = shared_bytes // 64
@@ -65,50 +68,30 @@ def _walk_shared(queries: DataFrame, nodes: pa.Table, steps: pa.Table, schema, m
                  k: int, beam: int) -> DataFrame:
     nodes = nodes.combine_chunks().sort_by("vec_id")
     ids, vectors = blocks.values(nodes["vec_id"]), blocks.matrix(nodes["embedding"])
-    of = blocks.values(steps["metric"])
-    source, target = (np.searchsorted(ids, blocks.values(steps[c])) for c in ("src", "dst"))
+    source, target = (np.searchsorted(ids, blocks.values(steps[c])).astype(np.int32)
+                      for c in ("src", "dst"))
     graphs = {}
     for metric in metrics:
-        mine = np.flatnonzero(of == metric)
+        mine = np.flatnonzero(pa.compute.equal(steps["metric"], metric).to_numpy())
         order = mine[np.argsort(source[mine], kind="stable")]
         graphs[metric] = (np.searchsorted(source[order], np.arange(len(ids) + 1)), target[order])
     shared = queries.sparkSession.sparkContext.broadcast((ids, vectors, graphs))
 
-    def walk(q: np.ndarray, metric: str, first: np.ndarray, near: np.ndarray):
-        _, vectors, _ = shared.value
-        far = lambda at: row_distance(
-            metric, np.broadcast_to(q, (len(at), len(q))), vectors[at], 0.0)
-        members = fresh = np.zeros(1, np.int64)
-        dist, seen = far(members), np.zeros(len(vectors), bool)
-        seen[0] = True
-        for _ in range(beam):
-            reached = np.unique(np.concatenate([near[:0], *[
-                near[first[f]: first[f + 1]] for f in fresh]]))
-            reached = reached[~seen[reached]]
-            if not len(reached):
-                break
-            seen[reached] = True
-            new = np.repeat([False, True], [len(members), len(reached)])
-            members = np.concatenate([members, reached])
-            dist = np.concatenate([dist, far(reached)])
-            best = np.lexsort((members, dist))[:beam]
-            members, dist, fresh = members[best], dist[best], members[best][new[best]]
-        return members[:k], dist[:k]
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, _, graphs = shared.value
+        ids, vectors, graphs = shared.value
+        step = max(1, min(WALKS_AT_ONCE, SEEN_BYTES // len(ids)))
         for batch in batches:
             asked, q = batch["query_id"], blocks.matrix(batch["embedding"])
-            for metric, (first, near) in graphs.items() if len(q) else ():
-                found = [walk(v, metric, first, near) for v in q]
-                sizes = [len(m) for m, _ in found]
-                yield pa.record_batch({
-                    "metric": pa.array([metric] * sum(sizes), pa.string()),
-                    "query_id": asked.take(pa.array(np.repeat(np.arange(len(q)), sizes))),
-                    "rank": pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes])
-                                     .astype(np.int32)),
-                    "vec_id": pa.array(ids[np.concatenate([m for m, _ in found])].tolist()),
-                    "distance": pa.array(np.concatenate([d for _, d in found]))})
+            for start in range(0, len(q), step):
+                for metric, (first, near) in graphs.items():
+                    who, node, dist = _walks(q[start: start + step], vectors, metric, first, near, beam)
+                    rank = _places(who)
+                    who, node, dist, rank = (c[rank < k] for c in (who, node, dist, rank))
+                    yield pa.record_batch({
+                        "metric": pa.array([metric] * len(who), pa.string()),
+                        "query_id": asked.take(pa.array(start + who)),
+                        "rank": pa.array((rank + 1).astype(np.int32)),
+                        "vec_id": pa.array(ids[node].tolist()), "distance": pa.array(dist)})
 
     kind = {f.name: f.dataType.simpleString() for f in queries.schema}
     id_kind = schema["vec_id"].dataType.simpleString()
@@ -117,6 +100,45 @@ def _walk_shared(queries: DataFrame, nodes: pa.Table, steps: pa.Table, schema, m
               "distance double")
 
 
+def _places(who: np.ndarray) -> np.ndarray:
+    """The place of each row among those of the same, from 0; equal numbers lie together, in order."""
+    return np.arange(len(who)) - np.searchsorted(who, who, "left")
+
+
+def _walks(q: np.ndarray, vectors: np.ndarray, metric: str, first: np.ndarray, near: np.ndarray,
+           beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The beams of several queries after their walks, as (query, node, distance), best first. Links
+    of node i are ``near[first[i]: first[i + 1]]``."""
+    def far(who: np.ndarray, node: np.ndarray) -> np.ndarray:
+        out = np.empty(len(who))
+        for i in range(0, len(who), 1 << 13):
+            cut = slice(i, i + (1 << 13))
+            out[cut] = row_distance(metric, q[who[cut]], vectors[node[cut]], 0.0)
+        return out
+
+    n = len(vectors)
+    who, node = np.arange(len(q)), np.zeros(len(q), np.int64)
+    dist, new = far(who, node), np.ones(len(q), bool)
+    seen = np.zeros(len(q) * n, bool)
+    seen[who * n] = True
+    for _ in range(beam):
+        begin, count = first[node[new]], first[node[new] + 1] - first[node[new]]
+        at = np.arange(count.sum()) + np.repeat(begin - np.cumsum(count) + count, count)
+        reached = np.repeat(who[new], count) * n + near[at]
+        reached = np.unique(reached[~seen[reached]])
+        if not len(reached):
+            break
+        seen[reached] = True
+        by, to = np.divmod(reached, n)
+        new = np.repeat([False, True], [len(who), len(to)])
+        who, node = np.concatenate([who, by]), np.concatenate([node, to])
+        dist = np.concatenate([dist, far(by, to)])
+        best = np.lexsort((node, dist, who))
+        best = best[_places(who[best]) < beam]
+        who, node, dist, new = who[best], node[best], dist[best], new[best]
+    return who, node, dist
+
+
 def _walk_in_rounds(queries: DataFrame, vectors: DataFrame, links: DataFrame, metrics: list[str],
                     k: int, beam: int, part_rows: int = PART_ROWS) -> DataFrame:
     """A query's row holds its vector and its beam; a round expands the members not expanded before.
