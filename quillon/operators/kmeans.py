@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon import constants as C
-from quillon.operators.blocks import Queries, matrix, nearest
+from quillon.operators.blocks import ROUNDING, Queries, bounded, matrix, nearest, row_distance
 
 COLLECT_BYTES = 64 << 20
 CENTROID_BYTES = 256 << 20
+#: Vectors that are compared with all centroids at once.
+ROWS_AT_ONCE = 1024
 
 
 @dataclass(frozen=True)
@@ -48,10 +50,60 @@ def closest(vectors: np.ndarray, centroids: np.ndarray, metric: str, k: int = 1,
             eps: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, centroid, distance) of each row's ``k`` nearest centroids, ties to the lowest number."""
     n = len(vectors)
+    if k == 1 and n and len(centroids):
+        cell = closest_one(vectors, centroids, metric, eps)
+        return np.arange(n), cell, row_distance(metric, vectors, centroids[cell], eps)
     asked = Queries(np.arange(n), vectors, np.full(n, metric), np.full(n, k))
     return nearest(asked, np.arange(len(centroids)), centroids, eps)
 
 
+def closest_one(vectors: np.ndarray, centroids: np.ndarray, metric: str,
+                eps: float = 0.0) -> np.ndarray:
+    """Number of each row's nearest centroid. Single precision settles the rows whose nearest stands
+    out by more than its rounding; the others are compared in double precision."""
+    out, kept = np.full(len(vectors), -1), np.unique(centroids, axis=0, return_index=True)[1]
+    kept.sort()  # of equal centroids the first
+    rows = np.flatnonzero(bounded(metric, vectors, eps))
+    if len(rows) and bounded(metric, centroids, eps).all():
+        for i in range(0, len(rows), ROWS_AT_ONCE):
+            some = rows[i: i + ROWS_AT_ONCE]
+            near, slack = _to_centroids(vectors[some], centroids[kept], metric, eps)
+            cell = near.argmin(axis=0)
+            edge = near[cell, np.arange(len(some))] + 2 * slack
+            alone = np.count_nonzero(near <= edge, axis=0) == 1
+            out[some[alone]] = kept[cell[alone]]
+    left = np.flatnonzero(out < 0)
+    if len(left):
+        asked = Queries(np.arange(len(left)), vectors[left], np.full(len(left), metric),
+                        np.ones(len(left), np.int64))
+        row, cell, _ = nearest(asked, np.arange(len(centroids)), centroids, eps)
+        out[left[row]] = cell
+    return out
+
+
+def _to_centroids(x: np.ndarray, centroids: np.ndarray, metric: str,
+                  eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """What orders the centroids of each row, as (centroid, row), and how far it may be off per row."""
+    unit = 4 * (x.shape[1] + 16) * ROUNDING
+    if metric == "manhattan":
+        a, b = np.ascontiguousarray(x.T, np.float32), centroids.astype(np.float32)
+        near, step = np.zeros((len(b), len(x)), np.float32), np.empty((len(b), len(x)), np.float32)
+        for d in range(len(a)):
+            np.subtract(a[d], b[:, d, None], out=step)
+            np.abs(step, out=step)
+            near += step
+        return near, unit * (np.abs(x).sum(axis=1) + np.abs(centroids).sum(axis=1).max()) + 1e-36
+    lengths, far = np.sqrt((x * x).sum(axis=1)), np.sqrt((centroids * centroids).sum(axis=1))
+    if metric == "l2":
+        near = centroids.astype(np.float32) @ (-2 * x.T).astype(np.float32)
+        near += (far * far).astype(np.float32)[:, None]
+        return near, unit * (2 * lengths + far.max()) * far.max() + 1e-36
+    if metric == "dot":
+        return -centroids.astype(np.float32) @ x.T.astype(np.float32), unit * lengths * far.max() + 1e-36
+    near = (-centroids / far[:, None]).astype(np.float32) @ (x / lengths[:, None]).T.astype(np.float32)
+    return near, unit + eps / (lengths * far.min()) + 1e-36
+
+
 def hashed_order(vec_id: str = "vec_id"):
     """Order that seeds are taken in: a multiplicative hash of the id."""
     return (F.pmod(F.col(vec_id), F.lit(1 << 31)) * F.lit(2654435761)) % F.lit(1 << 32)
@@ -97,13 +149,14 @@ def _pass(vectors: DataFrame, plans: dict[int, tuple[str, np.ndarray, np.ndarray
             x = matrix(batch["embedding"])
             for i, (metric, now, before) in plans.items():
                 counts, changed, sums = state[i]
-                _, cell, _ = closest(x, now, metric)
+                cell = closest_one(x, now, metric)
                 moved = (np.ones(len(x), bool) if before is None
-                         else closest(x, before, metric)[1] != cell)
-                counts += np.bincount(cell, minlength=len(now))
+                         else closest_one(x, before, metric) != cell)
+                here = np.bincount(cell, minlength=len(now))
+                counts += here
                 changed += np.bincount(cell[moved], minlength=len(now))
-                for c in np.unique(cell):
-                    sums[c] += x[cell == c].sum(axis=0)
+                order, used = np.argsort(cell, kind="stable"), np.flatnonzero(here)
+                sums[used] += np.add.reduceat(x[order], (np.cumsum(here) - here)[used], axis=0)
         for i, (counts, changed, sums) in state.items():
             used = np.flatnonzero(counts)
             yield pa.record_batch({
