@@ -35,3 +35,17 @@ def test_nearest_centroid_of_odd_rows(metric):
             want = blocks.nearest(asked, np.arange(len(centroids)), centroids, 0.0)
             got = kmeans.closest(x, centroids, metric)
             assert all(np.array_equal(a, b, equal_nan=a.dtype.kind == "f") for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("odd", [False, True])
+def test_manhattan_scan_gives_distances_within_its_slack(odd):
+    rng = np.random.default_rng(27)
+    x, y = rng.normal(size=(40, 64)), rng.normal(size=(5000, 64))
+    if odd:
+        y[7] *= 1e5
+    bounds = np.full(len(x), 30.0)
+    block, slack, start = blocks._scan("manhattan", x, y, 0.0, 10, bounds)
+    near, true = block(slice(0, 40), slice(0, 5000)), np.abs(x[:, None] - y).sum(axis=2)
+    scale = start / bounds
+    assert (near.dtype == np.int16) == (not odd)
+    assert (np.abs(near - true * scale[:, None]) <= slack[:, None]).all()
